@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
-from seamark.llm import line_rules, mixing
+from pyspark.sql import functions as F
+
+from seamark.llm import chat, decontaminate, line_rules, mixing, secrets
 from seamark.llm.common import table
 from seamark.llm.sql import ORACLE
 
 
+def op2_secret_scan(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark, sf_dir):
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    rows = said.unionByName(own)
+    return chat.report(rows.select("conv_id", "turn", "role", chat.text_part(F.coalesce("text", F.lit(""))).alias("parts")))
+
+
+def op7_decontamination(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark, sf_dir):
     out = line_rules.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
