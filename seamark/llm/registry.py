@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seamark.llm import chat, decontaminate, line_rules, mixing, secrets
+from seamark.llm import chat, decontaminate, line_rules, mixing, secrets, simhash
 from seamark.llm.common import table
 from seamark.llm.sql import ORACLE
 
@@ -25,6 +25,10 @@ def op5_chat_format(spark, sf_dir):
     return chat.report(rows.select("conv_id", "turn", "role", chat.text_part(F.coalesce("text", F.lit(""))).alias("parts")))
 
 
+def op6_simhash(spark, sf_dir):
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
