@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.common import ascii_lower, whole, words
+from seamark.llm.common import ascii_lower, cut, whole, words
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SIZE = 10
@@ -74,12 +74,12 @@ def prefixes(docs: DataFrame, wins: DataFrame, text: str = "text") -> DataFrame:
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, items (sorted array of item ids as strings), places (hit positions)."""
     wins = windows(items, size=size)
-    pre = prefixes(docs, wins, text)
-    per = pre.groupBy("anchor", "offset", "win").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    per = per.groupBy("anchor").agg(F.collect_list(F.struct("offset", "win", "items")).alias("wins"))
+    per = prefixes(docs, wins, text).groupBy("anchor", "offset", "win").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    # Written once: the counts over all documents aren't taken again, and Spark knows the size of what it joins.
+    per = cut(per.groupBy("anchor").agg(F.collect_list(F.struct("offset", "win", "items")).alias("wins")), "prefixes")
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.xxhash64(text).alias("text_hash"), F.col(doc_id).alias("doc_id"), tokens(text).alias("w"))
     base = base.withColumn("n_words", F.size("w").cast("long"))
-    listed = _listed(pre.select("anchor").distinct(), "anchor")
+    listed = _listed(per, "anchor")
     # The words around position i, from at most size - 1 before it to size - 1 after it.
     around = lambda i: F.struct(
         i.alias("pos"),

@@ -45,37 +45,58 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_
     return per.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.col("at")).alias("target"))
 
 
-def _key(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
+def plan(sized: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_EPOCHS, slices: int = SLICES) -> DataFrame:
+    """sized(source, size, slice) -> one row per source: s0, source_size, target, whole, rest, edge, edge_before.
 
-
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = SEED, slices: int = SLICES) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken.
-
-    Every document is taken floor(target / source_size) times. The rest of the target goes to a seeded prefix: documents in
-    the order of a hash, until their words reach it. The order is cut in slices; sums per (source, slice) find the slice that
-    holds the limit, and only that slice is sorted, so a source with a third of all rows costs no large window. The last
-    document is taken when that brings the source nearer to its target.
+    edge is the slice of the seeded order in which the rest of the target runs out (one past the last if it never does).
     """
-    sized = cut(sizes(docs), "mix-sizes")
-    goal = cut(targets(sized, weights, max_epochs), "mix-targets")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    goal = targets(sized, weights, max_epochs).withColumnRenamed("source", "s0")
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     goal = goal.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    keyed = sized.withColumn("key", _key(seed)).withColumn("slice", F.pmod(F.shiftright("key", 20), F.lit(slices)).cast("int"))
-    per = keyed.groupBy("source", "slice").agg(F.sum("size").alias("words"))
+    per = sized.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-    per = per.select(F.col("source").alias("s1"), F.col("slice").alias("s2"), "words", "before")
-    goal = goal.select(F.col("source").alias("s0"), "source_size", "target", "whole", "rest")
-    # One row per source and slice at most: small beside the documents.
-    cuts = per.join(goal, same("s1", "s0")).select("s1", "s2", "words", "before", "source_size", "target", "whole", "rest")
-    df = keyed.join(cuts, same("source", "s1") & (F.col("slice") == F.col("s2")))
-    inside = (F.col("rest") > F.col("before")) & (F.col("rest") < F.col("before") + F.col("words"))
-    plain = df.filter(~inside).withColumn("extra", (F.col("rest") >= F.col("before") + F.col("words")).cast("int"))
-    run = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = df.filter(inside).withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
-    edge = edge.withColumn("extra", (F.col("at") + F.col("size") / 2 <= F.col("rest")).cast("int")).drop("at")
-    df = plain.unionByName(edge)
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(F.col("whole"))
-    return df.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    at = per.join(goal.select("s0", "rest"), same("source", "s0")).filter(F.col("before") + F.col("words") > F.col("rest"))
+    edge = at.groupBy("s0").agg(F.min(F.struct("slice", "before")).alias("edge")).withColumnRenamed("s0", "s1")
+    out = goal.join(edge, same("s0", "s1"), "left")
+    return out.select("s0", "source_size", "target", "whole", "rest", F.coalesce("edge.slice", F.lit(slices)).alias("edge"), F.coalesce("edge.before", F.lit(0)).alias("edge_before"))
+
+
+def keyed(df: DataFrame, seed: int = SEED, slices: int = SLICES) -> DataFrame:
+    """df(doc_id, size, ...) with __key, its place in the seeded order, and slice, the part of the order it lies in."""
+    df = df.withColumn("__key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")))
+    return df.withColumn("slice", F.pmod(F.shiftright("__key", 20), F.lit(slices)).cast("int"))
+
+
+def copies(df: DataFrame, planned: DataFrame) -> DataFrame:
+    """keyed df with source_size, target, copies and taken.
+
+    Every document is taken floor(target / source_size) times. The rest of the target goes to the first documents in the
+    seeded order. Slices before the edge are taken and those after it aren't; only the edge slice is sorted, so a source with
+    a third of all rows costs no large window. The last document is taken when that brings the source nearer to its target.
+    """
+    df = df.join(planned, F.col("source").eqNullSafe(F.col("s0")))
+    plain = df.filter("slice <> edge").withColumn("extra", (F.col("slice") < F.col("edge")).cast("int"))
+    run = Window.partitionBy("source").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    last = df.filter("slice = edge").withColumn("__at", F.col("edge_before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
+    last = last.withColumn("extra", (F.col("__at") + F.col("size") / 2 <= F.col("rest")).cast("int")).drop("__at")
+    df = plain.unionByName(last)
+    df = df.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(F.col("whole")))
+    return df.withColumn("taken", F.col("copies") * F.col("size")).drop("s0", "whole", "rest", "edge", "edge_before", "slice", "extra", "__key")
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = SEED, slices: int = SLICES) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken."""
+    sized = cut(keyed(sizes(docs), seed, slices), "mix-sizes")
+    return copies(sized, cut(plan(sized, weights, max_epochs, slices), "mix-plan"))
+
+
+def mixture(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = SEED, slices: int = SLICES) -> DataFrame:
+    """The documents that the mix takes, with all their columns, their number of copies, and source_size, target and taken."""
+    own = list(docs.columns)
+    planned = cut(plan(keyed(sizes(docs), seed, slices), weights, max_epochs, slices), "mix-plan")
+    df = docs.select(F.struct(*own).alias("__doc"), "doc_id", "source", F.regexp_count(whole("text"), F.lit(WORD)).cast("long").alias("size"))
+    df = copies(keyed(df, seed, slices), planned).filter("copies > 0")
+    extra = [c for c in ("size", "source_size", "target", "copies", "taken") if c not in own]
+    return df.select(*(F.col("__doc").getField(c).alias(c) for c in own), *extra)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seamark.llm import chat, decontaminate, line_rules, mixing, secrets, simhash
+from seamark.llm import backoff_lm, chat, decontaminate, line_rules, mixing, secrets, simhash
 from seamark.llm.common import table
 from seamark.llm.sql import ORACLE
 
@@ -38,13 +38,23 @@ def op8_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_backoff_lm(spark, sf_dir):
+    return backoff_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark, sf_dir):
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return {"pipeline": pipeline} | {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql():
