@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seamark.llm import backoff_lm, chat, decontaminate, line_rules, mixing, secrets, simhash
+from seamark.llm import backoff_lm, chat, decontaminate, html_extract, line_rules, mixing, secrets, simhash
 from seamark.llm.common import table
 from seamark.llm.sql import ORACLE
 
 
+def op1_html_extract(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_secret_scan(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
