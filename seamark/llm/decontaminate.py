@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from seamark.llm.common import ascii_lower, cut, whole, words
 
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SIZE = 10
 #: Up to so many distinct words, the benchmark's words are literals of the plan; a larger benchmark is joined instead.
 LITERAL_WORDS = 50_000
@@ -25,7 +25,7 @@ LITERAL_WORDS = 50_000
 
 def tokens(text: Column | str) -> Column:
     """The words, before lower-casing (which changes no boundary)."""
-    return words(whole(text), WORD)
+    return words(whole(text), BETWEEN)
 
 
 def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size: int = SIZE) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.common import WORD, whole, words
+from seamark.llm.common import count, whole, words
 
 SYMBOLS = r"[#*$%&|<>]"
 #: A run of two or more of these within a word is noise, not punctuation ("word***", "WORD!!").
@@ -46,10 +46,9 @@ def _spots(s: Column) -> Column:
 
 def judged(text: Column) -> Column:
     """The lines of a text, each with its number of words, noise runs and separators."""
-    count = lambda x, pattern: F.regexp_count(x, F.lit(pattern))
     return F.transform(
         F.split(text, "\n", -1),
-        lambda x: F.struct(x.alias("line"), count(x, WORD).alias("n"), count(x, NOISE_RUN).alias("noise"), count(x, SEPARATOR).alias("marks")),
+        lambda x: F.struct(x.alias("line"), F.size(words(x)).alias("n"), count(x, NOISE_RUN).alias("noise"), count(x, SEPARATOR).alias("marks")),
     )
 
 
@@ -71,7 +70,7 @@ def with_rules(docs: DataFrame, text: str = "text", prefix: str = "__") -> DataF
         {
             f"{p}n_words": F.size(w).cast("long"),
             f"{p}word_chars": F.char_length(F.array_join(w, "")).cast("long"),
-            f"{p}n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
+            f"{p}n_symbols": count(t, SYMBOLS).cast("long"),
             f"{p}full": F.transform(F.filter(lines, lambda x: x["n"] > 0), lambda x: x["line"]),
             f"{p}good": F.transform(F.filter(lines, lambda x: ~line_fails(x)), lambda x: x["line"]),
             f"{p}h": F.when(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamark.llm.common import WORD, cut, whole
+from seamark.llm.common import cut, whole, words
 
 #: Weights by the order of the sources, repeating; most repetitions of a source; seed of the order of documents.
 WEIGHTS, MAX_EPOCHS, SEED = (1, 2, 3), 3, 20240607
@@ -18,7 +18,7 @@ SLICES = 4096
 
 
 def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(whole(text), F.lit(WORD)).cast("long").alias("size"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(words(whole(text))).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -96,7 +96,7 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_E
     """The documents that the mix takes, with all their columns, their number of copies, and source_size, target and taken."""
     own = list(docs.columns)
     planned = cut(plan(keyed(sizes(docs), seed, slices), weights, max_epochs, slices), "mix-plan")
-    df = docs.select(F.struct(*own).alias("__doc"), "doc_id", "source", F.regexp_count(whole("text"), F.lit(WORD)).cast("long").alias("size"))
+    df = docs.select(F.struct(*own).alias("__doc"), "doc_id", "source", F.size(words(whole("text"))).cast("long").alias("size"))
     df = copies(keyed(df, seed, slices), planned).filter("copies > 0")
     extra = [c for c in ("size", "source_size", "target", "copies", "taken") if c not in own]
     return df.select(*(F.col("__doc").getField(c).alias(c) for c in own), *extra)
