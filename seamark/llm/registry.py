@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seamark.llm import backoff_lm, chat, decontaminate, html_extract, line_rules, mixing, quality_model, secrets, simhash
+from seamark.llm import backoff_lm, chat, decontaminate, html_extract, licenses, line_rules, mixing, quality_model, secrets, simhash
 from seamark.llm.common import table
 from seamark.llm.sql import ORACLE
 
@@ -21,6 +21,10 @@ def op3_quality_model(spark, sf_dir):
     return quality_model.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark, sf_dir):
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.range(2).select(
