@@ -5,22 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-FLAGSHIP = "scan_region"
+from seamark.operators import relational
+from seamark.plans import lineage_queries
 
-
-def _scan_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", F.upper("r_name").alias("r_name"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"scan_region": _scan_region}
-ORACLE: dict[str, str] = {"scan_region": "SELECT r_regionkey, upper(r_name) AS r_name FROM region"}
+FLAGSHIP = "graph_impact"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+    return relational.QUERIES | lineage_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE
+    return relational.ORACLE | lineage_queries.ORACLE
