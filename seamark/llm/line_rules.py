@@ -109,7 +109,9 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns; text and n_chars are those of the kept lines."""
-    df = with_rules(docs, prefix="__q_").filter("__q_kept")
+    # A filter is moved below the columns it reads and repeats their nested expressions many times over, unless one of the
+    # columns can't be moved.
+    df = with_rules(docs, prefix="__q_").withColumn("__q_no", F.monotonically_increasing_id()).filter("__q_kept AND __q_no >= 0")
     new = {"text": F.col("__q_clean_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.char_length("__q_clean_text").cast("long")
