@@ -27,6 +27,7 @@ CHUNK_BYTES = 8_000_000
 
 _U = np.uint64
 _R1, _R2, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
+_NONE = np.zeros(1, dtype=_U)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -79,13 +80,20 @@ def grams(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _distinct(hashes: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, hash, count) of the distinct n-grams by bucket, then hash; the hash 0 stands for all words."""
-    every = np.concatenate([hashes[0], *(g[g != 0] for g in hashes[1:])])
+    """(bucket, hash, count) of the distinct n-grams in the order of hashes, of which each bucket has a range; 0 stands for all words."""
+    every = np.concatenate([_NONE, hashes[0], *(g[g != 0] for g in hashes[1:])])
     keys, counts = np.unique(every, return_counts=True)
-    keys, counts = np.append(keys, _U(0)), np.append(counts, len(hashes[0]))
-    bucket = (keys >> _U(33)) % _U(buckets)
-    by = np.lexsort((keys, bucket))
-    return bucket[by].astype(np.int64), keys[by], counts[by]
+    counts[0] = len(hashes[0])
+    return ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64), keys, counts
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers with all their first bytes, then all their second bytes, and so on: small ones compress well."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
 def _runs(x: np.ndarray) -> list[tuple[int, int]]:
@@ -116,23 +124,22 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
     def ask(g: pd.DataFrame) -> pd.DataFrame:
         _, _, hashes = grams(g["text"].tolist(), order)
         bucket, keys, counts = _distinct(hashes, n)
-        rows = [(int(bucket[a]), keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for a, b in _runs(bucket)]
+        rows = [(int(bucket[a]), pack(np.diff(keys[a:b], prepend=_U(0))), pack(counts[a:b])) for a, b in _runs(bucket)]
         return pd.DataFrame({"bucket": [r[0] for r in rows], "chunk": int(g["chunk"].iloc[0]), "keys": [r[1] for r in rows], "counts": [r[2] for r in rows]})
 
     def answer(g: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(k, dtype=_U) for k in g["keys"]])
-        counts = np.concatenate([np.frombuffer(c, dtype=np.uint32) for c in g["counts"]])
+        keys = np.concatenate([np.cumsum(unpack(k), dtype=_U) for k in g["keys"]])
+        counts = np.concatenate([unpack(c) for c in g["counts"]])
         _, at = np.unique(keys, return_inverse=True)
         total = np.bincount(at, weights=counts).astype(np.uint64)[at]
         ends = np.cumsum([len(k) // 8 for k in g["keys"]])
-        return pd.DataFrame({"chunk": g["chunk"], "bucket": g["bucket"], "totals": [t.tobytes() for t in np.split(total, ends[:-1])]})
+        return pd.DataFrame({"chunk": g["chunk"], "bucket": g["bucket"], "totals": [pack(t) for t in np.split(total, ends[:-1])]})
 
     def tell(g: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         doc, place, hashes = grams(g["text"].tolist(), order)
         _, keys, _ = _distinct(hashes, n)
-        total = np.concatenate([np.frombuffer(t, dtype=np.uint64) for t in answers.sort_values("bucket")["totals"]])
-        by = np.argsort(keys)
-        each = doc_scores(hashes, place, total[by], keys[by], alpha, least)
+        total = np.concatenate([unpack(t) for t in answers.sort_values("bucket")["totals"]])
+        each = doc_scores(hashes, place, total, keys, alpha, least)
         words = np.bincount(doc, minlength=len(g))
         logs = np.bincount(doc, weights=each, minlength=len(g))
         mean = [float(s / w) if w else None for s, w in zip(logs, words, strict=True)]

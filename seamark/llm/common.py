@@ -1,23 +1,20 @@
-"""What the operators of this subpackage share: table reading, word patterns, lineage cuts."""
+"""What the operators of this subpackage share: word patterns and small expressions."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seamark.frames import cut, table
+
+__all__ = ["LOWER", "SPACE", "UPPER", "ascii_lower", "count", "cut", "table", "whole", "words"]
+
 #: A word is a run of characters other than ASCII white space. Texts are split at what lies between words: Spark's split()
 #: takes an eighth of the time of regexp_extract_all() and regexp_count() here.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def whole(text: Column | str) -> Column:
     """The text, a null one as the empty string."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -35,19 +32,3 @@ def count(text: Column, pattern: str) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else (lower() would also change É)."""
     return F.translate(text, UPPER, LOWER)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"{tempfile.gettempdir()}/seamark-shared-{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: later jobs start from files that outlive an executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
