@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seamark.frames import cut, table
 
-__all__ = ["LOWER", "SPACE", "UPPER", "ascii_lower", "count", "cut", "table", "whole", "words"]
+__all__ = ["LOWER", "SPACE", "UPPER", "ascii_lower", "count", "cut", "held", "table", "whole", "words"]
 
 #: A word is a run of characters other than ASCII white space. Texts are split at what lies between words: Spark's split()
 #: takes an eighth of the time of regexp_extract_all() and regexp_count() here.
@@ -32,3 +32,12 @@ def count(text: Column, pattern: str) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else (lower() would also change É)."""
     return F.translate(text, UPPER, LOWER)
+
+
+def held(column: Column) -> Column:
+    """The same value, in a form that a later filter can't be moved below.
+
+    Spark moves a filter beneath the columns it reads by putting their expressions in the filter. Inside an array function's
+    lambda these would be worked out anew for each element.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.common import count, whole, words
+from seamark.llm.common import count, held, whole, words
 
 SYMBOLS = r"[#*$%&|<>]"
 #: A run of two or more of these within a word is noise, not punctuation ("word***", "WORD!!").
@@ -60,6 +60,10 @@ def line_fails(x: Column) -> Column:
     return (x["n"] > 0) & (noisy | menu | furniture)
 
 
+#: What with_rules adds.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text")
+
+
 def with_rules(docs: DataFrame, text: str = "text", prefix: str = "__") -> DataFrame:
     """docs with {prefix}n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, clean_text added."""
     p = prefix
@@ -94,13 +98,10 @@ def with_rules(docs: DataFrame, text: str = "text", prefix: str = "__") -> DataF
     )
     left = F.char_length(F.regexp_replace(F.col(f"{p}clean_text"), r"[\x20\x09-\x0D]+", ""))
     df = df.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (left >= MIN_KEPT * F.col(f"{p}word_chars")))
+    df = df.withColumns({f"{p}{c}": held(F.col(f"{p}{c}")) for c in ADDED})
     return df.drop(*(f"{p}{x}" for x in ("w", "lines", "full", "good", "h", "s")))
 
 
-#: What with_rules adds.
-ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text")
-
-
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: its id, counts, verdict and the text without the failing lines."""
     df = with_rules(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")), "__text")
@@ -109,9 +110,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns; text and n_chars are those of the kept lines."""
-    # A filter is moved below the columns it reads and repeats their nested expressions many times over, unless one of the
-    # columns can't be moved.
-    df = with_rules(docs, prefix="__q_").withColumn("__q_no", F.monotonically_increasing_id()).filter("__q_kept AND __q_no >= 0")
+    df = with_rules(docs, prefix="__q_").filter("__q_kept")
     new = {"text": F.col("__q_clean_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.char_length("__q_clean_text").cast("long")

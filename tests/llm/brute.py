@@ -46,14 +46,17 @@ def bench_words(text):
 
 def overlaps(text, items, size=10):
     w = bench_words(text)
-    hit, found = set(), set()
+    wins = {}
     for item_id, item in items:
         v = bench_words(item)
-        for win in {tuple(v[i : i + size]) for i in range(max(1, len(v) - size + 1))} if v else ():
-            for i in range(len(w) - len(win) + 1):
-                if tuple(w[i : i + len(win)]) == win:
-                    hit.update(range(i, i + len(win)))
-                    found.add(str(item_id))
+        for i in range(max(1, len(v) - size + 1)) if v else ():
+            wins.setdefault(tuple(v[i : i + size]), set()).add(str(item_id))
+    hit, found = set(), set()
+    for n in {len(x) for x in wins}:
+        for i in range(len(w) - n + 1):
+            if (win := tuple(w[i : i + n])) in wins:
+                hit.update(range(i, i + n))
+                found |= wins[win]
     return len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)
 
 
