@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 ORDER, ALPHA, LEAST = 2, 0.4, 2
 #: Bytes of text in a chunk, about; the number of chunks, and of buckets, follows the input.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 
 _U = np.uint64
 _R1, _R2, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
