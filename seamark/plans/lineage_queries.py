@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamark.frames import cut, table
-from seamark.operators import facts, graph, measure
+from seamark.functions import texts
+from seamark.operators import dataflow, facts, graph, ledger, measure
+from seamark.sources import facts_io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -270,3 +272,82 @@ def measure_metamorphic(spark, sf_dir):
 @query("""SELECT doc_id AS name, sha256(text) AS sha256, len(string_split(text, chr(10))) AS n_lines, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\\s*(--|#)'))) AS n_comment FROM documents""")
 def evidence_manifest(spark, sf_dir):
     return measure.manifest(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), "text"))
+
+
+# ---- ledgers and dataflow ----
+
+
+@query("""WITH f AS (SELECT event_id AS id, user_id, event_type, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to FROM events)
+SELECT id, user_id, event_type FROM f WHERE valid_from <= TIMESTAMP '2024-01-20' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-20')""")
+def ledger_as_of(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", F.col("ts").alias("valid_from"))
+    return ledger.as_of(ledger.supersede(ev, ["user_id"]), F.lit("2024-01-20").cast("timestamp_ntz")).select("id", "user_id", "event_type")
+
+
+@query("""WITH f AS (SELECT l_partkey AS source, l_suppkey AS target, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE CASE WHEN l_linestatus = 'F' THEN 2 ELSE 3 END END AS r FROM lineitem)
+SELECT source, target, list_extract(['identity', 'derived', 'conditional', 'aggregated'], max(r) + 1) AS transform FROM f GROUP BY 1, 2""")
+def ledger_hardest(spark, sf_dir):
+    hard = F.when(F.col("l_linestatus") == "F", "conditional").otherwise("aggregated")
+    kind = F.when(F.col("l_returnflag") == "A", "identity").when(F.col("l_returnflag") == "N", "derived").otherwise(hard)
+    return ledger.hardest(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), kind.alias("transform")), ["source", "target"])
+
+
+@query("""WITH s AS (SELECT o_orderstatus AS unit, o_orderkey * 10 AS line, o_orderkey * 10 + 4 AS end_line, o_orderpriority <> '5-LOW' AS valid FROM orders),
+e AS (SELECT unit, s.line, count(*) AS n FROM s JOIN lineitem ON l_orderkey * 10 + l_linenumber BETWEEN s.line AND end_line AND l_orderkey * 10 = s.line WHERE l_returnflag = 'R' GROUP BY 1, 2),
+r AS (SELECT DISTINCT unit, line FROM s JOIN lineitem ON l_orderkey * 10 + l_linenumber BETWEEN s.line AND end_line AND l_orderkey * 10 = s.line WHERE l_quantity > 45),
+b AS (SELECT DISTINCT unit, line FROM s JOIN lineitem ON l_orderkey * 10 + l_linenumber BETWEEN s.line AND end_line AND l_orderkey * 10 = s.line WHERE l_tax = 0)
+SELECT s.unit, s.line, CASE WHEN NOT valid THEN 'not_valid' WHEN e.n > 0 AND r.line IS NOT NULL THEN 'partial' WHEN e.n > 0 THEN 'column_level' WHEN r.line IS NOT NULL THEN 'refused' WHEN b.line IS NOT NULL THEN 'declared' ELSE 'nothing_to_trace' END AS status,
+coalesce(e.n, 0) AS n_edges FROM s LEFT JOIN e USING (unit, line) LEFT JOIN r USING (unit, line) LEFT JOIN b USING (unit, line)""")
+def ledger_statements(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    st = o.select(F.col("o_orderstatus").alias("unit"), (F.col("o_orderkey") * 10).alias("line"), (F.col("o_orderkey") * 10 + 4).alias("end_line"), (F.col("o_orderpriority") != "5-LOW").alias("valid"))
+    li = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    at = lambda p: li.filter(p).select(F.col("o_orderstatus").alias("unit"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"))
+    return ledger.statement_status(st, at("l_returnflag = 'R'"), at("l_quantity > 45"), at("l_tax = 0"))
+
+
+@query("""WITH w AS (SELECT DISTINCT l_partkey AS relation, l_suppkey AS unit FROM lineitem WHERE l_returnflag = 'R'), r AS (SELECT DISTINCT l_partkey AS relation, l_suppkey AS unit FROM lineitem WHERE l_returnflag <> 'R' AND l_quantity < 20)
+SELECT relation, nw AS n_writers, nr AS n_readers FROM (SELECT relation, count(*) AS nw FROM w GROUP BY 1) JOIN (SELECT relation, count(*) AS nr, count(*) FILTER ((relation, unit) NOT IN (SELECT (relation, unit) FROM w)) AS nf FROM r GROUP BY 1) USING (relation) WHERE nw >= 2 OR nf > 0""")
+def ledger_fusion_hazards(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    pair = lambda p: li.filter(p).select(F.col("l_partkey").alias("relation"), F.col("l_suppkey").alias("unit"))
+    return ledger.fusion_hazards(pair("l_returnflag = 'R'"), pair("l_returnflag <> 'R' AND l_quantity < 20"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT o_custkey AS unit, o_orderkey AS node, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS succ, o_orderpriority AS var FROM orders),
+f AS (SELECT unit, node, succ FROM n WHERE succ IS NOT NULL UNION SELECT unit, max(node), min(node) FROM n WHERE unit % 3 = 0 GROUP BY unit), g AS (SELECT unit, node, var FROM n),
+r(unit, node, var, def_node) AS (SELECT f.unit, f.succ, g.var, g.node FROM g JOIN f USING (unit, node)
+UNION SELECT r.unit, f.succ, r.var, r.def_node FROM r JOIN f ON f.unit = r.unit AND f.node = r.node WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.unit = r.unit AND g.node = r.node AND g.var = r.var))
+SELECT unit, node, var, def_node, true AS converged FROM r""")
+def dataflow_reaching(spark, sf_dir):
+    from pyspark.sql import Window
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("unit"), F.col("o_orderkey").alias("node"), F.col("o_orderpriority").alias("var"))
+    ahead = o.select("unit", "node", F.lead("node").over(Window.partitionBy("unit").orderBy("node")).alias("succ")).filter("succ IS NOT NULL")
+    back = o.filter("unit % 3 = 0").groupBy("unit").agg(F.max("node").alias("node"), F.min("node").alias("succ"))
+    return dataflow.reaching_definitions(ahead.unionByName(back), o)
+
+
+@query("""WITH RECURSIVE s AS (SELECT a AS source, b AS target, min(r) AS rank FROM (SELECT 'n' || c_nationkey AS a, 'c' || c_custkey % 7 AS b, CAST(c_custkey % 4 AS INT) AS r FROM customer UNION ALL
+SELECT 'c' || c_custkey % 7, 's' || c_nationkey % 5, CAST((c_custkey + 1) % 4 AS INT) FROM customer UNION ALL SELECT 's' || c_nationkey % 5, 'z' || c_custkey % 3, CAST(c_custkey % 3 AS INT) FROM customer) GROUP BY 1, 2),
+p(source, target, rank, hops) AS (SELECT source, target, rank, 1 FROM s UNION SELECT p.source, s.target, greatest(p.rank, s.rank), p.hops + 1 FROM p JOIN s ON s.source = p.target WHERE p.hops < 8) SELECT source, target, min(rank) AS rank FROM p GROUP BY 1, 2""")
+def dataflow_call_transforms(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    arm = lambda a, b, r: c.select(a.alias("source"), b.alias("target"), r.cast("int").alias("rank"))
+    at = lambda x, key: F.concat(F.lit(x), key)
+    steps = arm(at("n", n), at("c", k % 7), k % 4).unionByName(arm(at("c", k % 7), at("s", n % 5), (k + 1) % 4)).unionByName(arm(at("s", n % 5), at("z", k % 3), k % 3))
+    return dataflow.call_transforms(steps)
+
+
+@query(f"""WITH {_GRAPH}, u AS (SELECT source AS id, 0 AS i, 1 AS o FROM g UNION ALL SELECT target, 1, 0 FROM g)
+SELECT id, CASE WHEN contains(id, '.') THEN 'Column' ELSE 'Relation' END AS label, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM u GROUP BY 1""")
+def graph_nodes(spark, sf_dir):
+    return facts_io.nodes(facts.graph(spark, sf_dir))
+
+
+@query("""SELECT event_id, 'SELECT A FROM T WHERE K = ? AND TYPE = ? AND VALUE > ?' AS shape, CASE WHEN length(event_type) >= 8 THEN upper(event_type) END AS fragment FROM events""")
+def text_shapes(spark, sf_dir):
+    sql = F.format_string("select a -- event %d\nfrom t where k = %d and type = '%s' /* x */ and value > 1.5;", F.col("event_id"), F.col("user_id"), F.col("event_type"))
+    df = table(spark, sf_dir, "events").select("event_id", sql.alias("sql"))
+    return df.select("event_id", texts.statement_shape(F.col("sql")).alias("shape"), F.get(texts.literal_fragments(F.col("sql")), 0).alias("fragment"))
