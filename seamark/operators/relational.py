@@ -453,3 +453,78 @@ def predicates(t):
 @query("SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def time_windows(t):
     return t.events.groupBy("event_type", F.window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.col("w.start").alias("start"), "n", "total")
+
+
+@query("SELECT a.r_name AS a, b.r_name AS b FROM region a CROSS JOIN region b")
+def join_cross(t):
+    """Two tables of five rows; the only cross product here."""
+    return t.region.select(F.col("r_name").alias("a")).crossJoin(t.region.select(F.col("r_name").alias("b")))
+
+
+@query("SELECT n_name, kind FROM nation JOIN (VALUES (0, 'near'), (1, 'far'), (3, 'far')) v(k, kind) ON n_regionkey = k")
+def values_source(t):
+    v = t.spark.sql("SELECT k, kind FROM VALUES (0, 'near'), (1, 'far'), (3, 'far') v(k, kind)")
+    return t.nation.join(v, F.col("n_regionkey") == F.col("k")).select("n_name", "kind")
+
+
+@query("SELECT key AS k, count(*) AS n, sum(CAST(json_each.value AS BIGINT)) AS total FROM events, json_each(props) GROUP BY 1")
+def json_to_map(t):
+    df = t.events.select(F.explode(F.from_json("props", "map<string,bigint>")).alias("k", "v"))
+    return df.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query("SELECT p_partkey, md5(p_name) AS m, sha256(p_type) AS s, regexp_extract(p_type, '^(\\w+)', 1) AS w, regexp_replace(p_type, '[AEIOU]', '_', 'g') AS masked, len(string_split(p_type, ' ')) AS n FROM part")
+def scalar_regex_hash(t):
+    return t.part.select("p_partkey", F.md5("p_name").alias("m"), F.sha2("p_type", 256).alias("s"), F.regexp_extract("p_type", r"^(\w+)", 1).alias("w"), F.regexp_replace("p_type", "[AEIOU]", "_").alias("masked"), F.size(F.split("p_type", " ")).alias("n"))
+
+
+@query("SELECT w, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE length(w) > 12 GROUP BY 1")
+def explode_words(t):
+    df = t.documents.select("doc_id", F.explode(F.split("text", " ", -1)).alias("w")).filter("length(w) > 12")
+    # Words per document are counted first, so a word's documents need no distinct over all its rows.
+    return df.groupBy("w", "doc_id").agg(F.count("*").alias("c")).groupBy("w").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'large' WHEN o_orderstatus = 'F' THEN 'closed' WHEN o_orderpriority LIKE '1%' THEN 'urgent' END AS target FROM orders
+WHERE o_totalprice > 200000 OR o_orderstatus = 'F' OR o_orderpriority LIKE '1%'""")
+def insert_first(t):
+    """Rows to the first target whose condition holds, as one pass that names the target."""
+    target = F.when(F.col("o_totalprice") > 200000, "large").when(F.col("o_orderstatus") == "F", "closed").when(F.col("o_orderpriority").like("1%"), "urgent")
+    return t.orders.select("o_orderkey", target.alias("target")).filter("target IS NOT NULL")
+
+
+@query("""SELECT o_orderkey, 'large' AS target FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT o_orderkey, 'closed' FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'urgent' FROM orders WHERE o_orderpriority LIKE '1%'""")
+def insert_all(t):
+    """Rows to every target whose condition holds: the source is read once and each row is spread over its targets."""
+    arms = (F.when(F.col("o_totalprice") > 200000, "large"), F.when(F.col("o_orderstatus") == "F", "closed"), F.when(F.col("o_orderpriority").like("1%"), "urgent"))
+    return t.orders.select("o_orderkey", F.explode(F.array_compact(F.array(*arms))).alias("target"))
+
+
+@query("""SELECT o_orderkey, o_totalprice * CASE WHEN c_acctbal < 0 THEN 0.9 ELSE 1 END AS price FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
+def update_from(t):
+    factor = F.when(F.col("c_acctbal") < 0, 0.9).otherwise(1.0)
+    return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", (F.col("o_totalprice") * factor).alias("price"))
+
+
+@query("""SELECT o_orderkey, CAST(o_orderdate + INTERVAL 3 MONTH AS DATE) AS later, CAST(date_trunc('week', o_orderdate) AS DATE) AS week, isodow(o_orderdate) AS dow, hour(o_orderdate) AS h, make_date(year(o_orderdate), 1, 1) AS new_year,
+CASE WHEN o_orderdate >= TIMESTAMP '1995-01-01' THEN 'new' ELSE 'old' END AS age FROM orders""")
+def scalar_date_arithmetic(t):
+    d = F.col("o_orderdate")
+    return t.orders.select("o_orderkey", F.add_months(d, 3).alias("later"), F.trunc(d, "week").alias("week"), (F.weekday(d) + 1).alias("dow"), F.hour(d).alias("h"), F.make_date(F.year(d), F.lit(1), F.lit(1)).alias("new_year"), F.when(d >= F.lit("1995-01-01").cast("timestamp_ntz"), "new").otherwise("old").alias("age"))
+
+
+@query("""SELECT l_suppkey, histogram[1] AS low, histogram[2] AS mid, histogram[3] AS high FROM (SELECT l_suppkey, [count(*) FILTER (l_quantity <= 10), count(*) FILTER (l_quantity > 10 AND l_quantity <= 40), count(*) FILTER (l_quantity > 40)] AS histogram FROM lineitem GROUP BY 1)""")
+def agg_histogram(t):
+    q = F.col("l_quantity")
+    n = lambda p, name: F.count(F.when(p, 1)).alias(name)
+    return t.lineitem.groupBy("l_suppkey").agg(n(q <= 10, "low"), n((q > 10) & (q <= 40), "mid"), n(q > 40, "high"))
+
+
+@query("""SELECT n_nationkey, coalesce(o.n, 0) AS n_orders, coalesce(s.n, 0) AS n_suppliers FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) o ON n_nationkey = c_nationkey
+LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON n_nationkey = s_nationkey""")
+def join_pre_aggregated(t):
+    """Each side is summed to its key before it is joined, so no side multiplies the other."""
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.count("*").alias("no"))
+    s = t.supplier.groupBy("s_nationkey").agg(F.count("*").alias("ns"))
+    df = t.nation.join(o, F.col("n_nationkey") == F.col("c_nationkey"), "left").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    return df.select("n_nationkey", F.coalesce("no", F.lit(0)).alias("n_orders"), F.coalesce("ns", F.lit(0)).alias("n_suppliers"))
