@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamark.llm.common import cut
@@ -49,15 +49,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp), fp as a signed 64-bit integer."""
+    """(doc_id, text_hash, fp), fp as a signed 64-bit integer; text_hash with the id tells rows apart that share the id."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": fp.view(np.int64)})
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(each, f"doc_id {kind}, fp long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    return rows.mapInPandas(each, f"doc_id {kind}, text_hash long, fp long")
 
 
 # ---- keys: (level, segments that must be equal) ----
@@ -235,13 +236,17 @@ def connected(edges: DataFrame) -> DataFrame:
         e = new
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
-    """One row per row of docs: doc_id, fp, component_id."""
+def _components(docs: DataFrame, doc_id: str, text: str, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp) of each row; (fp, owner, root) of each fingerprint, root naming its component of fingerprints."""
     prints = cut(fingerprints(docs, doc_id, text), "simhash-prints")
     owners = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("owner")), "simhash-owners")
     found = connected(links(owners.select("fp"), crowd))
-    # Components are of fingerprints; their names are documents.
-    named = owners.join(found, owners["fp"] == found["id"], "left").select("fp", "owner", F.coalesce("root", "fp").alias("root"))
+    return prints, owners.join(found, owners["fp"] == found["id"], "left").select("fp", "owner", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
+    """One row per row of docs: doc_id, fp, component_id."""
+    prints, named = _components(docs, doc_id, text, crowd)
     least = named.groupBy("root").agg(F.min("owner").alias("component_id"))
     of_fp = named.join(least, "root").select(F.col("fp").alias("of"), "component_id")
     return prints.join(of_fp, prints["fp"] == of_fp["of"]).select("doc_id", "fp", "component_id")
@@ -252,12 +257,16 @@ def report(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all its columns: the one whose id names it. Rows without an id are kept as they
-    are (nothing names them); of rows that repeat that id, the first by text."""
-    from pyspark.sql import Window
+def representatives(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest doc_id, a row without id only where no other is.
 
-    kept = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    own = docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi")
-    once = own.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("__n = 1").drop("__n")
-    return once.unionByName(docs.filter("doc_id IS NULL"))
+    Rows of a component that share that id go by a hash of the text; of rows equal in both, one stays, by a hash of all columns.
+    """
+    prints, named = _components(docs, "doc_id", "text", crowd)
+    of_fp = named.select(F.col("fp").alias("of"), "root")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))).alias("best")
+    kept = prints.join(of_fp, prints["fp"] == of_fp["of"]).groupBy("root").agg(best).select(F.col("best.id").alias("__id"), F.col("best.h").alias("__h"))
+    own = docs.withColumn("__own", F.xxhash64("text"))
+    own = own.join(kept, own["doc_id"].eqNullSafe(kept["__id"]) & (own["__own"] == kept["__h"]), "left_semi")
+    first = Window.partitionBy("doc_id", "__own").orderBy(F.xxhash64(*docs.columns))
+    return own.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*docs.columns)
