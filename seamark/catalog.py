@@ -13,7 +13,7 @@ FLAGSHIP = "graph_impact"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return relational.QUERIES | lineage_queries.QUERIES
+    return relational.QUERIES | lineage_queries.QUERIES | lineage_queries.NO_SQL
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,6 +14,8 @@ from seamark.sources import facts_io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Queries over all rows whose recursive SQL is too slow to be an oracle; tests hold them against brute force.
+NO_SQL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(sql: str):
@@ -71,12 +73,26 @@ def graph_upstream(spark, sf_dir):
     return graph.upstream(cut(facts.graph(spark, sf_dir), "graph"), start, 3)
 
 
+@query(_walk_sql("SELECT 'region0.' || r_regionkey AS node FROM region", True, 3, _WALKED) + " SELECT depth, type, source, target, id, type IN ('MENTIONS_COL', 'OPAQUE') AS unverified FROM hops")
+def graph_upstream_all(spark, sf_dir):
+    """graph_upstream from every region."""
+    start = table(spark, sf_dir, "region").select(F.concat(F.lit("region0."), "r_regionkey").alias("node"))
+    return graph.upstream(cut(facts.graph(spark, sf_dir), "graph"), start, 3)
+
+
 @query(_walk_sql("SELECT 'orders' || o_orderkey % 30 || '.' || o_orderkey AS node FROM orders WHERE o_orderkey % 3 = 0", False, 5, _WALKED + ", 'KEYS'") + " SELECT depth, type, source, target, id, type IN ('MENTIONS_COL', 'OPAQUE') AS unverified FROM hops")
 def graph_downstream(spark, sf_dir):
     start = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(facts.name("orders", F.col("o_orderkey") % 30, F.col("o_orderkey")).alias("node"))
     return graph.downstream(cut(facts.graph(spark, sf_dir), "graph"), start, 5, join_keys=True)
 
 
+@query(_walk_sql("SELECT 'orders' || o_orderkey % 30 || '.' || o_orderkey AS node FROM orders", False, 5, _WALKED + ", 'KEYS'") + " SELECT depth, type, source, target, id, type IN ('MENTIONS_COL', 'OPAQUE') AS unverified FROM hops")
+def graph_downstream_all(spark, sf_dir):
+    """graph_downstream from every order."""
+    start = table(spark, sf_dir, "orders").select(facts.name("orders", F.col("o_orderkey") % 30, F.col("o_orderkey")).alias("node"))
+    return graph.downstream(cut(facts.graph(spark, sf_dir), "graph"), start, 5, join_keys=True)
+
+
 @query(
     _walk_sql("SELECT 'customer' || min(c_custkey) % 10 || '.' || min(c_custkey) AS node FROM customer", False, 15, _WALKED + ", 'KEYS'")
     + " SELECT target, min(depth) AS depth, string_agg(DISTINCT type, ',' ORDER BY type) AS flows, min(depth) = 1 AS direct FROM hops GROUP BY 1"
@@ -136,10 +152,20 @@ def graph_collapse(spark, sf_dir):
 @query("""WITH RECURSIVE e AS (SELECT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders WHERE o_orderkey % 40 = 0 UNION SELECT 'o' || o_orderkey, 'p' || o_orderpriority || o_orderkey % 60 FROM orders WHERE o_orderkey % 40 = 0),
 d AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(node, r) AS (SELECT a, a FROM d UNION SELECT d.b, w.r FROM w JOIN d ON d.a = w.node) SELECT node, min(r) AS component FROM w GROUP BY 1""")
 def graph_components(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 40 = 0")
+    return graph.components(_order_edges(table(spark, sf_dir, "orders").filter("o_orderkey % 40 = 0")))
+
+
+def _order_edges(o: DataFrame) -> DataFrame:
     s = F.concat(F.lit("o"), "o_orderkey").alias("source")
-    e = o.select(s, F.concat(F.lit("c"), "o_custkey").alias("target")).unionByName(o.select(s, F.concat(F.lit("p"), "o_orderpriority", F.col("o_orderkey") % 60).alias("target")))
-    return graph.components(e)
+    return o.select(s, F.concat(F.lit("c"), "o_custkey").alias("target")).unionByName(o.select(s, F.concat(F.lit("p"), "o_orderpriority", F.col("o_orderkey") % 60).alias("target")))
+
+
+def graph_components_all(spark, sf_dir):
+    """graph_components over every order."""
+    return graph.components(_order_edges(table(spark, sf_dir, "orders")))
+
+
+NO_SQL["graph_components_all"] = graph_components_all
 
 
 # ---- measurement ----
