@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ORDER, ALPHA, LEAST = 2, 0.4, 2
+ORDER, ALPHA, LEAST = 3, 0.4, 2
 #: Bytes of text in a chunk, about; the number of chunks, and of buckets, follows the input.
 CHUNK_BYTES = 4_000_000
 
