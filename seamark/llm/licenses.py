@@ -28,8 +28,9 @@ SPELLINGS = (
 )
 #: A line that only states a copyright.
 COPYRIGHT_LINE = r"(?m)^[\x20\t*#/;-]*(?:copyright\b[^\n]*(?:©|\d{4}|<year>|\[year\]|\{year\})|©)[^\n]*$|^[\x20\t*#/;-]*all rights reserved\.?[\x20\t]*$"
-#: Words by which a line speaks of a licence.
+#: Words by which a line speaks of a licence, as the SQL has them; SPOKEN, which the scan uses, takes "cc0" as well.
 SPEAKS = "licen[sc]e|public domain|spdx|creative commons|\\bcc[ -](?:by|0)"
+SPOKEN = SPEAKS.replace("[ -](?:by|0)", "[ -]?(?:by|0)")
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -102,7 +103,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: tup
     n_lines counts the lines that are a known notice, line_licenses their distinct ids, sorted and comma-joined.
     """
     t = whole(text)
-    lines = F.when(F.lower(t).rlike(SPEAKS), F.filter(F.split(t, "\n", -1), lambda x: F.lower(x).rlike(SPEAKS)))
+    lines = F.when(F.lower(t).rlike(SPOKEN), F.filter(F.split(t, "\n", -1), lambda x: F.lower(x).rlike(SPOKEN)))
     df = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), digest(t).alias("digest"), lines.alias("lines"))
     units = F.concat(F.array(F.struct(F.lit(True).alias("is_whole"), F.col("digest").alias("d"))), F.coalesce(F.transform("lines", lambda x: F.struct(F.lit(False).alias("is_whole"), digest(x).alias("d"))), F.array().cast("array<struct<is_whole:boolean,d:string>>")))
     df = df.select("rid", "doc_id", "digest", F.explode(units).alias("u"))
