@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamark.llm.common import whole
+from seamark.llm.license_digests import DIGESTS
 
 #: Spellings that count as equal (fixed values): each is replaced by the one beside it.
 SPELLINGS = (
@@ -91,10 +92,11 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, known: tuple = KNOWN) -> DataFrame:
-    """(known_digest, license_id): one row per digest."""
-    df = spark.createDataFrame(list(known), "license_id string, text string")
-    return df.groupBy(digest(F.col("text")).alias("known_digest")).agg(F.min("license_id").alias("license_id"))
+def known_digests(spark: SparkSession, known: tuple = KNOWN, digests: tuple = DIGESTS) -> DataFrame:
+    """(known_digest, license_id): one row per digest, of known texts and of those that only their digests are kept of."""
+    df = spark.createDataFrame(list(known), "license_id string, text string").select("license_id", digest(F.col("text")).alias("known_digest"))
+    df = df.unionByName(spark.createDataFrame([(i, d) for i, _, d in digests], "license_id string, known_digest string"))
+    return df.groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: tuple = KNOWN) -> DataFrame:
