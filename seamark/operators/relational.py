@@ -480,7 +480,16 @@ def scalar_regex_hash(t):
 
 @query("SELECT w, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE length(w) > 12 GROUP BY 1")
 def explode_words(t):
-    df = t.documents.select("doc_id", F.explode(F.split("text", " ", -1)).alias("w")).filter("length(w) > 12")
+    return _word_counts(t.documents.select("doc_id", F.explode(F.split("text", " ", -1)).alias("w")).filter("length(w) > 12"))
+
+
+@query("SELECT w, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY 1")
+def explode_words_all(t):
+    """explode_words without a least length."""
+    return _word_counts(t.documents.select("doc_id", F.explode(F.split("text", " ", -1)).alias("w")))
+
+
+def _word_counts(df):
     # Words per document are counted first, so a word's documents need no distinct over all its rows.
     return df.groupBy("w", "doc_id").agg(F.count("*").alias("c")).groupBy("w").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
 

@@ -42,3 +42,15 @@ def test_walks_from_all_starts(spark):
     down = {r.source for r in e.queries()["graph_downstream_all"](spark, SMALL).filter("depth = 1").collect()}
     keys = [r.o_orderkey for r in spark.read.parquet(f"{SMALL}/orders.parquet").collect()]
     assert {x for x in down if x.startswith("orders") and "." in x} == {f"orders{k % 30}.{k}" for k in keys if (k + 3) % 7 != 6}
+
+
+def test_words_of_any_length(spark):
+    from collections import Counter
+
+    n, docs = Counter(), Counter()
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        words = r.text.split(" ") if r.text is not None else []
+        n.update(words)
+        docs.update(set(words))
+    got = {r.w: (r.n, r.docs) for r in e.queries()["explode_words_all"](spark, SMALL).collect()}
+    assert got == {w: (n[w], docs[w]) for w in n} and any(len(w) < 4 for w in got)
