@@ -1,20 +1,29 @@
 """Stupid-backoff scores from n-gram count tables partitioned by hash.
 
-Documents are dealt to chunks by a hash. A chunk sends each of its distinct n-grams once, with its count, to the bucket of
-the n-gram's hash; a bucket adds the counts of all chunks up (the count table of that bucket) and joins them back to the
-chunks that asked; a chunk then sums the scores of its documents. Rows carry arrays of n-grams, so that the exchange holds
-8 bytes for each distinct n-gram of a chunk; a frequent n-gram costs a bucket one entry for each chunk.
+Documents are dealt to chunks by a hash. A chunk explodes its distinct n-grams, each once with its count, into the ranges of
+hash of the count table; a range adds the counts of all chunks up and joins them back to the chunks that asked; a chunk then sums
+the scores of its documents. Single words and pairs go first. Longer n-grams go order by order, and only those of which both
+parts (without the first word, without the last) were found `least` times: no other can have been found so often itself, and
+what was found less often is never scored.
+
+The n-grams that a chunk sends to one range travel in one row, as packed arrays: 8 bytes and a plain row's header for each would
+be several times the input. A row holds one n-gram at least, so rows never outnumber the exploded n-grams; while chunks and
+ranges are few, there are fewer. A frequent n-gram costs a range one entry for each chunk.
 
 score(w | context) = count(context w) / count(context) where that n-gram was found at least `least` times, else alpha times the
 score under the context without its first word; a single word scores its share of all words. Contexts don't cross documents.
 
 Words are runs of anything but ASCII white space, as written. Null and empty texts have no words, score 0 and mean null.
-Repeated rows count, and are scored, each time. An empty table gives no rows. N-grams are told apart by 64-bit hashes.
+Repeated rows count, and are scored, each time; they are dealt apart by where they are read, so docs should be read from files.
+Very long texts are a chunk of their own kind: a chunk holds whole texts. An empty table gives no rows. Columns but the two are
+left away. N-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -79,11 +88,12 @@ def grams(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray,
     return doc, place, out
 
 
-def _distinct(hashes: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _distinct(hashes: list[np.ndarray], buckets: int, words: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, hash, count) of the distinct n-grams in the order of hashes, of which each bucket has a range; 0 stands for all words."""
-    every = np.concatenate([_NONE, hashes[0], *(g[g != 0] for g in hashes[1:])])
+    every = np.concatenate([*([] if words is None else [_NONE]), *(g[g != 0] for g in hashes)])
     keys, counts = np.unique(every, return_counts=True)
-    counts[0] = len(hashes[0])
+    if words is not None:
+        counts[0] = words
     return ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64), keys, counts
 
 
@@ -101,14 +111,29 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(x)], strict=True))
 
 
+def looked_up(keys: np.ndarray, total: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The counts of hashes in the sorted keys; 0 of those that aren't there."""
+    if not len(keys):
+        return np.zeros(len(hashes))
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return np.where(keys[at] == hashes, total[at], 0).astype(float)
+
+
+def promising(hashes: list[np.ndarray], place: np.ndarray, keys: np.ndarray, total: np.ndarray, n: int, least: int) -> np.ndarray:
+    """Hashes of the n-grams of which both (n-1)-grams were found `least` times; 0 for the others."""
+    ok = (looked_up(keys, total, hashes[n - 2]) >= least) & (place >= n - 2)
+    both = ok & (place >= n - 1)
+    both[1:] &= ok[:-1]
+    return np.where(both, hashes[n - 1], _U(0))
+
+
 def doc_scores(hashes: list[np.ndarray], place: np.ndarray, total: np.ndarray, keys: np.ndarray, alpha: float, least: int) -> np.ndarray:
     """Log score of each word; keys are sorted, total their counts over the corpus."""
-    found = [total[np.searchsorted(keys, g)].astype(float) for g in hashes]
+    found = [looked_up(keys, total, g) for g in hashes]
     out = np.log(found[0]) - math.log(max(total[0], 1))  # keys[0] is 0: all words
     used = np.ones(len(place), dtype=int)
     for n in range(2, len(hashes) + 1):
-        ok = (place >= n - 1) & (found[n - 1] >= least)
-        at = np.flatnonzero(ok)
+        at = np.flatnonzero((place >= n - 1) & (found[n - 1] >= least))
         out[at] = np.log(found[n - 1][at]) - np.log(found[n - 2][at - 1])
         used[at] = n
     return out + (np.minimum(place + 1, len(hashes)) - used) * math.log(alpha)
@@ -117,35 +142,61 @@ def doc_scores(hashes: list[np.ndarray], place: np.ndarray, total: np.ndarray, k
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, n_words, log_score (summed over its words), mean_log_score (null without words)."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = max(1, math.ceil(size / chunk_bytes))
+    n, least = max(1, math.ceil(size / chunk_bytes)), max(least, 1)
     df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    df = df.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    df = df.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n)).cast("int"))
+
+    def message(chunk: int, bucket: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+        rows = [(int(bucket[a]), pack(np.diff(keys[a:b], prepend=_U(0))), zlib.compress(pack(counts[a:b]), 1)) for a, b in _runs(bucket)]
+        return pd.DataFrame({"bucket": [r[0] for r in rows], "chunk": chunk, "keys": [r[1] for r in rows], "counts": [r[2] for r in rows]})
 
-    def ask(g: pd.DataFrame) -> pd.DataFrame:
-        _, _, hashes = grams(g["text"].tolist(), order)
-        bucket, keys, counts = _distinct(hashes, n)
-        rows = [(int(bucket[a]), pack(np.diff(keys[a:b], prepend=_U(0))), pack(counts[a:b])) for a, b in _runs(bucket)]
-        return pd.DataFrame({"bucket": [r[0] for r in rows], "chunk": int(g["chunk"].iloc[0]), "keys": [r[1] for r in rows], "counts": [r[2] for r in rows]})
+    def told(g: pd.DataFrame, answers: pd.DataFrame, upto: int) -> tuple:
+        """What a chunk knows after the answers on orders up to `upto`: documents, places, hashes, and the counts of its n-grams."""
+        doc, place, hashes = grams(g["text"].tolist(), order)
+        keys, total = np.zeros(0, dtype=_U), np.zeros(0, dtype=_U)
+        for last in range(min(2, order), upto + 1):
+            asked = hashes[:last] if last <= 2 else [promising(hashes, place, keys, total, last, least)]
+            _, more, _ = _distinct(asked, n, len(doc) if last <= 2 else None)
+            own = answers[answers["last"] == last].sort_values("bucket")["totals"]
+            counts = np.concatenate([np.zeros(0, dtype=_U), *(unpack(zlib.decompress(t)) for t in own)])
+            keys, total = np.concatenate([keys, more]), np.concatenate([total, counts])
+            by = np.argsort(keys, kind="stable")
+            keys, total = keys[by], total[by]
+        return doc, place, hashes, keys, total
+
+    def first(g: pd.DataFrame) -> pd.DataFrame:
+        _, _, hashes = grams(g["text"].tolist(), min(2, order))
+        return message(g["chunk"].iloc[0], *_distinct(hashes, n, len(hashes[0])))
+
+    def further(last: int):
+        def ask(g: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+            _, place, hashes, keys, total = told(g, answers, last - 1)
+            return message(g["chunk"].iloc[0], *_distinct([promising(hashes, place, keys, total, last, least)], n))
+
+        return ask
 
     def answer(g: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([np.cumsum(unpack(k), dtype=_U) for k in g["keys"]])
-        counts = np.concatenate([unpack(c) for c in g["counts"]])
+        counts = np.concatenate([unpack(zlib.decompress(c)) for c in g["counts"]])
         _, at = np.unique(keys, return_inverse=True)
         total = np.bincount(at, weights=counts).astype(np.uint64)[at]
         ends = np.cumsum([len(k) // 8 for k in g["keys"]])
-        return pd.DataFrame({"chunk": g["chunk"], "bucket": g["bucket"], "totals": [pack(t) for t in np.split(total, ends[:-1])]})
+        return pd.DataFrame({"chunk": g["chunk"], "bucket": g["bucket"], "totals": [zlib.compress(pack(t), 1) for t in np.split(total, ends[:-1])]})
 
     def tell(g: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        doc, place, hashes = grams(g["text"].tolist(), order)
-        _, keys, _ = _distinct(hashes, n)
-        total = np.concatenate([unpack(t) for t in answers.sort_values("bucket")["totals"]])
+        doc, place, hashes, keys, total = told(g, answers, order)
         each = doc_scores(hashes, place, total, keys, alpha, least)
         words = np.bincount(doc, minlength=len(g))
         logs = np.bincount(doc, weights=each, minlength=len(g))
         mean = [float(s / w) if w else None for s, w in zip(logs, words, strict=True)]
         return pd.DataFrame({"doc_id": g["doc_id"], "n_words": words, "log_score": logs, "mean_log_score": pd.array(mean, dtype="Float64")})
 
-    asked = df.groupBy("chunk").applyInPandas(ask, "bucket int, chunk int, keys binary, counts binary")
-    answers = asked.groupBy("bucket").applyInPandas(answer, "chunk int, bucket int, totals binary")
+    asked_kind = "bucket int, chunk int, keys binary, counts binary"
+    found: list[DataFrame] = []
+    chunks = df.groupBy("chunk")
+    known = lambda: reduce(DataFrame.unionByName, found).groupBy("chunk")
+    for last in range(min(2, order), order + 1):
+        asked = chunks.cogroup(known()).applyInPandas(further(last), asked_kind) if found else chunks.applyInPandas(first, asked_kind)
+        found.append(asked.groupBy("bucket").applyInPandas(answer, "chunk int, bucket int, totals binary").withColumn("last", F.lit(last)))
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(tell, f"doc_id {kind}, n_words long, log_score double, mean_log_score double")
+    return chunks.cogroup(known()).applyInPandas(tell, f"doc_id {kind}, n_words long, log_score double, mean_log_score double")

@@ -4,6 +4,9 @@ A message is a list of parts: text, image, audio or document. A visitor flattens
 becomes a placeholder, with a reference to its attachment and the number of tokens it expands to. Turns go into a template
 whose control strings are escaped inside texts, so that the formatted string reads back exactly.
 
+A message's text is that of its text parts, joined; also a control string that only arises in the joint is escaped. Texts may
+be of any length; columns but conv_id, turn, role and parts are left away.
+
 Turns are ordered by turn, nulls first, then role, then text; repeated rows are repeated turns. A null role is "", a null
 text or null list of parts is empty, a null conv_id is a conversation of its own. Empty tables give no rows.
 """
@@ -12,7 +15,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamark.llm.common import whole
@@ -54,14 +57,23 @@ def part_tokens(part: Column) -> Column:
     return F.when(part["type"] == "text", F.lit(0)).otherwise(F.greatest(F.coalesce(size, F.lit(0)), F.lit(1))).cast("long")
 
 
+#: Marks of the parts while a message's texts are escaped as one string; no control string has such a character.
+_MARKS = {"image": "\x00i", "audio": "\x00a", "document": "\x00d"}
+
+
 def visit(parts: Column) -> dict[str, Column]:
     """What the visitor makes of a message: its escaped content, attachments in order, and their tokens.
 
-    An unknown type is treated like a document without pages. A null part is skipped.
+    Texts are escaped after all parts are joined, so that no control string arises where two of them meet. An unknown type is
+    treated like a document without pages. A null part is skipped.
     """
     parts = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
-    mark = lambda p: F.when(p["type"].isin("image", "audio"), F.concat(F.lit("<|"), p["type"], F.lit("|>"))).otherwise(F.lit("<|document|>"))
-    content = F.array_join(F.transform(parts, lambda p: F.when(p["type"] == "text", escape(whole(p["text"]))).otherwise(mark(p))), "")
+    mark = lambda p: F.when(p["type"] == "image", _MARKS["image"]).when(p["type"] == "audio", _MARKS["audio"]).otherwise(_MARKS["document"])
+    own = lambda t: F.replace(whole(t), F.lit("\x00"), F.lit("\x00t"))
+    content = escape(F.array_join(F.transform(parts, lambda p: F.when(p["type"] == "text", own(p["text"])).otherwise(mark(p))), ""))
+    for kind, m in _MARKS.items():
+        content = F.replace(content, F.lit(m), F.lit(f"<|{kind}|>"))
+    content = F.replace(content, F.lit("\x00t"), F.lit("\x00"))
     others = F.filter(parts, lambda p: ~p["type"].eqNullSafe(F.lit("text")))
     refs = F.transform(others, lambda p, i: F.struct(i.alias("no"), p["type"].alias("type"), p["uri"].alias("uri"), part_tokens(p).alias("tokens")))
     return {"content": content, "attachments": refs, "part_tokens": F.aggregate(refs, F.lit(0).cast("long"), lambda a, r: a + r["tokens"])}
@@ -71,25 +83,22 @@ def chat(messages: DataFrame) -> DataFrame:
     """messages(conv_id, turn, role, parts) -> one row per conversation: conv_id, n_turns, formatted, mask, attachments, part_tokens.
 
     mask is array<struct<start, end>>: code point offsets into formatted of the assistant's contents, end exclusive.
+    Offsets are running sums over the turns in order, taken before the turns are gathered.
     """
-    seen = visit(F.col("parts"))
-    rows = messages.select("conv_id", F.struct(F.col("turn").alias("turn"), whole("role").alias("role"), *(c.alias(k) for k, c in seen.items())).alias("m"))
-    df = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
     n = F.char_length
-    head = lambda m: F.concat(F.lit(OPEN), escape(m["role"]), F.lit(MID))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def step(acc, m):
-        begin = acc["at"] + n(head(m))
-        end = begin + n(m["content"])
-        own = F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct((end + len(CLOSE)).alias("at"), F.when(m["role"] == "assistant", own).otherwise(acc["out"]).alias("out"))
-
+    seen = visit(F.col("parts"))
+    rows = messages.select("conv_id", "turn", whole("role").alias("role"), *(c.alias(k) for k, c in seen.items()))
+    rows = rows.withColumn("head", F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MID)))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "content", "attachments").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(n("head") + n("content") + len(CLOSE)).over(order).cast("int") - len(CLOSE)
+    rows = rows.withColumn("end", end).withColumn("start", F.col("end") - n("content"))
+    # Every turn takes up characters, so `end` orders them.
+    df = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("end", "start", "role", "head", "content", "attachments", "part_tokens"))).alias("m"))
     return df.select(
         "conv_id",
         F.size("m").cast("long").alias("n_turns"),
-        F.array_join(F.transform("m", lambda m: F.concat(head(m), m["content"], F.lit(CLOSE))), "").alias("formatted"),
-        F.aggregate("m", start, step, lambda acc: acc["out"]).alias("mask"),
+        F.array_join(F.transform("m", lambda m: F.concat(m["head"], m["content"], F.lit(CLOSE))), "").alias("formatted"),
+        F.transform(F.filter("m", lambda m: m["role"] == "assistant"), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias("mask"),
         F.flatten(F.transform("m", lambda m, t: F.transform(m["attachments"], lambda a: F.struct(t.alias("turn_no"), a.alias("ref"))))).alias("attachments"),
         F.aggregate("m", F.lit(0).cast("long"), lambda a, m: a + m["part_tokens"]).alias("part_tokens"),
     )

@@ -1,7 +1,10 @@
 """Mixing sources to target weights by capped water-filling, then a seeded choice of whole repetitions.
 
 A null source is a source of its own, last in order; a null text has size 0. Repeated rows are chosen one by one.
-Ties in the seeded order fall to doc_id, then size: rows equal in all three are alike. Documents of size 0 take nothing.
+Ties in the seeded order fall to doc_id, then size: rows equal in all three are alike. Documents of size 0 take nothing. Very
+long texts count whole, and one that is longer than its source's target is taken if that is nearer to it than nothing. An empty
+table gives no rows. The sources are summed to a table of one row each before any window without partition sees them: that table
+has to fit one task, so there may be millions of sources, but not one for each document.
 """
 
 from __future__ import annotations
@@ -14,7 +17,9 @@ from seamark.llm.common import cut, whole, words
 #: Weights by the order of the sources, repeating; most repetitions of a source; seed of the order of documents.
 WEIGHTS, MAX_EPOCHS, SEED = (1, 2, 3), 3, 20240607
 #: Slices of the seeded order in each source; only the slice that holds the limit is sorted.
-SLICES = 4096
+SLICES = 65_536
+#: What the mix adds to documents.
+ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
 def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -93,10 +98,12 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_EPOCH
 
 
 def mixture(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = SEED, slices: int = SLICES) -> DataFrame:
-    """The documents that the mix takes, with all their columns, their number of copies, and source_size, target and taken."""
-    own = list(docs.columns)
+    """The documents that the mix takes, with all their columns, and the mix's size, source_size, target, copies and taken.
+
+    A column of the input with one of these five names is called own_<name>.
+    """
     planned = cut(plan(keyed(sizes(docs), seed, slices), weights, max_epochs, slices), "mix-plan")
-    df = docs.select(F.struct(*own).alias("__doc"), "doc_id", "source", F.size(words(whole("text"))).cast("long").alias("size"))
+    df = docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "source", F.size(words(whole("text"))).cast("long").alias("size"))
     df = copies(keyed(df, seed, slices), planned).filter("copies > 0")
-    extra = [c for c in ("size", "source_size", "target", "copies", "taken") if c not in own]
-    return df.select(*(F.col("__doc").getField(c).alias(c) for c in own), *extra)
+    own = (F.col("__doc").getField(c).alias(f"own_{c}" if c in ADDED else c) for c in docs.columns)
+    return df.select(*own, *ADDED)

@@ -4,8 +4,9 @@ Features are words, word pairs, the words' shapes (runs of lower, upper, digit o
 whether a word repeats the one before; each is hashed to one of 2^BITS weights and weighs its share of the text's n-grams of
 its kind. A score is the logistic of the bias and a sparse dot product.
 
-Training reads at most MAX_TRAIN labelled rows, the first in a seeded order, in SHARDS parts whose weights are averaged: the
-bound is a parameter, and all of what training sends to the driver is SHARDS * 2^BITS weights. Scoring reads every text whole.
+Training reads at most MAX_TRAIN labels, the first in a seeded order, and at most MAX_TRAIN / SHARDS rows in each of SHARDS
+parts whose weights are averaged, also where an id is repeated: the bound is a parameter, and all of what training sends to the
+driver is SHARDS * 2^BITS weights. Scoring reads every text whole.
 
 Null and empty texts score the bias. Labels without id or quality, or whose id no document has, are not used; rows that
 repeat an id are used, and scored, each. Without labels every score is 0.5. An empty table gives no rows.
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS, MAX_TRAIN, SHARDS, EPOCHS, SEED, FOLDS = 18, 20_000, 4, 3, 7, 5
@@ -130,6 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> np.nd
     # At most max_train ids: bounded, so it may be broadcast.
     sample = known.withColumn("o", order).orderBy("o", "doc_id", "quality").limit(max_train)
     rows = docs.join(F.broadcast(sample), "doc_id").select("text", "quality", "o", F.pmod("o", F.lit(SHARDS)).alias("shard"))
+    # Ids may be repeated, so the bound holds for joined rows too; each map task keeps no more than that before the exchange.
+    first = Window.partitionBy("shard").orderBy("o", F.xxhash64("text"))
+    rows = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= -(-max_train // SHARDS)).drop("n")
 
     def each(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["o", "text"])

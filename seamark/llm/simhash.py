@@ -263,9 +263,11 @@ def representatives(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     Rows of a component that share that id go by a hash of the text; of rows equal in both, one stays, by a hash of all columns.
     """
     prints, named = _components(docs, "doc_id", "text", crowd)
-    of_fp = named.select(F.col("fp").alias("of"), "root")
+    # The best row of each fingerprint first: then a fingerprint that a third of all rows share is one row in the join.
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))).alias("best")
-    kept = prints.join(of_fp, prints["fp"] == of_fp["of"]).groupBy("root").agg(best).select(F.col("best.id").alias("__id"), F.col("best.h").alias("__h"))
+    per = prints.groupBy(F.col("fp").alias("of")).agg(best)
+    kept = named.join(per, named["fp"] == per["of"]).groupBy("root").agg(F.min("best").alias("best"))
+    kept = kept.select(F.col("best.id").alias("__id"), F.col("best.h").alias("__h"))
     own = docs.withColumn("__own", F.xxhash64("text"))
     own = own.join(kept, own["doc_id"].eqNullSafe(kept["__id"]) & (own["__own"] == kept["__h"]), "left_semi")
     first = Window.partitionBy("doc_id", "__own").orderBy(F.xxhash64(*docs.columns))

@@ -31,7 +31,7 @@ def brute_scores(rows, order, alpha, least):
     return out
 
 
-@pytest.mark.parametrize("order,least,chunk", [(2, 2, 8_000_000), (3, 1, 20_000), (1, 2, 50_000)])
+@pytest.mark.parametrize("order,least,chunk", [(2, 2, 8_000_000), (3, 1, 20_000), (1, 2, 50_000), (3, 2, 100_000), (4, 2, 200_000)])
 def test_equal_brute_force(spark, order, least, chunk):
     odd = [(9001, None), (9002, ""), (9003, " \t\n"), (9004, "one"), (None, "one two é\U0001f600 two"), (9005, "a a a a"), (9005, "a a a a"), (9006, "w" * 5000)]
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string")).withColumn("chunk", F.lit("x"))
