@@ -1,23 +1,29 @@
 """Secret scans through a trigram index.
 
-From each rule's regular expression comes a Boolean query over trigrams that any match must contain. Postings
-(trigram, document) of the trigrams in some query are intersected by counting; only the candidates are matched against the
-rule. A rule without mandatory trigrams scans every text.
+From each rule's regular expression comes a Boolean query over trigrams that any match must contain. The index has a posting
+for each trigram of some query and each document that holds it; postings are intersected and united as the query says, and only
+the candidates are matched against the rule. A rule without mandatory trigrams scans every text.
 
-Spans are code point offsets into the text, end exclusive. Null text is the empty text. Documents that share an id (a null
-one included) share their candidates, a superset for each, and are verified one by one; repeated rows give repeated results.
+A document's postings all come from its own row, so they are intersected there, as flags beside the text: grouping them by
+document would give the same candidates after sending the texts, or their ids, through an exchange. Texts are lower-cased once.
+
+Spans are code point offsets into the text, end exclusive. Null text is the empty text. Rows are judged one by one: repeated
+and null ids and repeated rows give a result each, and further columns change nothing. Of spans that begin at one place, the
+earlier rule's comes first. Texts are read whole, however long. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import itertools
+from functools import reduce
+from operator import and_, or_
 from re import _constants as op
 from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.common import whole
+from seamark.llm.common import held, whole
 
 #: Rules (fixed values): kind, expression, whether letters match in either case, group and its least length.
 BASE_RULES = (
@@ -86,41 +92,15 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return clauses
 
 
-def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(trigram, doc_id) once for each row of docs(doc_id, text) whose lower-cased text holds the trigram."""
-    low = F.lower(whole("text"))
-    found = docs.select("doc_id", F.explode(F.filter(F.array(*map(F.lit, trigrams)), lambda g: F.contains(low, g))).alias("trigram"))
-    return found.select("trigram", "doc_id")
-
-
-def candidates(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """(doc_id, rules): once for each id that some indexed rule may match; rules is the array of their kinds.
+def postings(df: DataFrame, low: str, trigrams: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """df with a flag for each trigram, whether column low holds it, and the flags by trigram."""
+    names = {g: f"{low}_{i}" for i, g in enumerate(trigrams)}
+    return df.withColumns({c: F.contains(F.col(low), F.lit(g)) for g, c in names.items()}), {g: F.col(c) for g, c in names.items()}
 
-    The alternatives are few and fixed by the rules, so the intersection of postings is one conditional count for each of
-    them, summed within each map task before the shuffle. Rows that share an id are summed together: over-counts would
-    break equality, so each trigram counts once an id through max().
-    """
-    queries = {kind: q for kind, pattern, *_ in rules if (q := trigram_query(pattern))}
-    grams = sorted({g for q in queries.values() for clause in q for alt in clause for g in alt})
-    if not grams:
-        return docs.select("doc_id", F.array().cast("array<string>").alias("rules")).limit(0)
-    has = {g: f"g{i}" for i, g in enumerate(grams)}
-    per = postings(docs, grams).groupBy("doc_id").agg(*(F.max(F.col("trigram") == g).alias(c) for g, c in has.items()))
-
-    def holds(query) -> Column:
-        out = F.lit(True)
-        for clause in query:
-            any_of = F.lit(False)
-            for alt in clause:
-                all_of = F.lit(True)
-                for g in sorted(alt):
-                    all_of &= F.col(has[g])
-                any_of |= all_of
-            out &= any_of
-        return out
 
-    hit = F.array_compact(F.array(*(F.when(holds(q), F.lit(kind)) for kind, q in queries.items())))
-    return per.select("doc_id", hit.alias("rules")).filter(F.size("rules") > 0)
+def holds(query: list[list[frozenset[str]]], has: dict[str, Column]) -> Column:
+    """A trigram query over the postings of a document."""
+    return reduce(and_, (reduce(or_, (reduce(and_, (has[g] for g in sorted(alt))) for alt in clause)) for clause in query))
 
 
 def spans(text: Column, pattern: str, group: int, least: int) -> Column:
@@ -129,20 +109,16 @@ def spans(text: Column, pattern: str, group: int, least: int) -> Column:
     The pieces between the matches and the matches themselves, in turn, make up the text, so running lengths give the offsets.
     """
     n = F.char_length
-    rx = F.lit(pattern)
-    hits = F.arrays_zip(
-        F.regexp_extract_all(text, rx, F.lit(0)).alias("m"),
-        F.regexp_extract_all(text, rx, F.lit(group)).alias("g"),
-        F.slice(F.split(text, pattern, -1), 1, F.size(F.regexp_extract_all(text, rx, F.lit(0)))).alias("p"),
-    )
+    hits = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
     def step(acc, x):
         end = acc["at"] + n(x["p"]) + n(x["m"])
         one = F.struct((acc["at"] + n(x["p"])).alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(n(x["g"]) >= least, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        own = F.regexp_extract(x["m"], pattern, group) if group else x["m"]
+        return F.struct(end.alias("at"), F.when(n(own) >= least, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(hits, start, step, lambda acc: acc["out"])
+    return F.aggregate(F.filter(hits, lambda x: x["m"].isNotNull()), start, step, lambda acc: acc["out"])
 
 
 def _expression(pattern: str, any_case: bool, group: int, least: int) -> str:
@@ -156,19 +132,25 @@ def _labelled(no: int, kind: str):
     return lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("kind_no"), s["end"].alias("end"), F.lit(kind).alias("kind"))
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple = RULES) -> DataFrame:
-    """(doc_id, text, found): found is array<struct<start, kind_no, end, kind>> of all rules, by start, then by rule."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
-    may = candidates(docs, rules).select(F.col("doc_id").alias("__id"), F.col("rules").alias("__rules"))
-    df = docs.join(may, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+def with_found(df: DataFrame, text: str = "text", rules: tuple = RULES, name: str = "__found") -> DataFrame:
+    """df with array<struct<start, kind_no, end, kind>> of all rules' spans, by start, then by rule."""
+    queries = {kind: q for kind, pattern, *_ in rules if (q := trigram_query(pattern))}
+    grams = sorted({g for q in queries.values() for clause in q for alt in clause for g in alt})
+    own = df.columns
+    df, has = postings(df.withColumn(f"{name}_low", F.lower(whole(text))), f"{name}_low", grams)
+    t = whole(text)
     none = F.array().cast("array<struct<start:int,end:int>>")
     parts = []
     for no, (kind, pattern, any_case, group, least) in enumerate(rules):
-        found = spans(F.col("text"), rx := _expression(pattern, any_case, group, least), group, least)
-        tried = F.array_contains("__rules", kind) if trigram_query(pattern) else F.col("text").rlike(rx)
-        found = F.when(tried, found).otherwise(none)
-        parts.append(F.transform(found, _labelled(no, kind)))
-    return df.select("doc_id", "text", F.array_sort(F.concat(*parts)).alias("found"))
+        rx = _expression(pattern, any_case, group, least)
+        tried = holds(queries[kind], has) if kind in queries else t.rlike(rx)
+        parts.append(F.transform(F.when(tried, spans(t, rx, group, least)).otherwise(none), _labelled(no, kind)))
+    return df.withColumn(name, held(F.array_sort(F.concat(*parts)))).select(*own, name)
+
+
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple = RULES) -> DataFrame:
+    """(doc_id, text, found) of each row; found as in with_found."""
+    return with_found(docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text")), rules=rules, name="found")
 
 
 def listing(found: Column) -> Column:
@@ -190,34 +172,25 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 def masked(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
     """The text with each run of overlapping spans replaced by the mask."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    last = lambda acc: F.element_at(acc, -1)
 
     def step(acc, s):
-        ahead = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when((s["start"] >= acc["at"]), ahead).otherwise(acc["out"]).alias("out"),
-        )
+        own = F.array_append(acc, F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        longer = F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end")))
+        return F.when(F.size(acc) == 0, own).when(s["start"] < last(acc)["end"], longer).otherwise(own)
 
-    end = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return F.when(F.size(found) > 0, end).otherwise(text)
+    runs = F.aggregate(found, none, step)
+    # What lies before each run, and after the last one.
+    edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), runs)
+    kept = F.zip_with(edges, runs, lambda before, r: F.substring(text, before["end"] + 1, F.coalesce(r["start"], F.char_length(text)) - before["end"]))
+    return F.when(F.size(found) > 0, F.array_join(kept, mask)).otherwise(text)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """All documents with all their columns; secrets in the text are masked, n_chars follows."""
-    may = candidates(docs.select("doc_id", "text"))
-    may = may.select(F.col("doc_id").alias("__id"), F.col("rules").alias("__rules"))
-    df = docs.join(may, docs["doc_id"].eqNullSafe(may["__id"]), "left").drop("__id")
-    text = whole("text")
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    parts = []
-    for kind, pattern, any_case, group, least in RULES:
-        rx = _expression(pattern, any_case, group, least)
-        tried = F.array_contains("__rules", kind) if trigram_query(pattern) else text.rlike(rx)
-        parts.append(F.when(tried, spans(text, rx, group, least)).otherwise(none))
-    df = df.withColumn("__found", F.array_sort(F.concat(*parts)))
-    new = {"text": F.when(F.col("text").isNotNull(), masked(text, F.col("__found")))}
-    df = df.withColumns(new)
+    """All documents with all their columns; secrets in the text are masked, n_chars follows. A null text stays null."""
+    df = with_found(docs)
+    df = df.withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("__found"))))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.when(F.size("__found") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return df.select(*docs.columns)

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from seamark.llm import chat, licenses, line_rules, secrets
 from seamark.llm.common import LOWER, SPACE, UPPER
-from seamark.llm.decontaminate import BETWEEN, SIZE
+
+#: The contract's own words and windows, stated again.
+BETWEEN, SIZE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", 10
 
 
 def _q(text: str) -> str:
@@ -23,9 +25,14 @@ def _count(text: str, pattern: str) -> str:
 
 
 def _secrets() -> str:
+    base = (
+        ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+        ("access", "AKIA[A-Z0-9]+", 0, 18),
+        ("hex", "[0-9a-f]+", 0, 16),
+    )
     parts = []
-    for no, (kind, pattern, any_case, group, least) in enumerate(secrets.RULES):
-        rx = _q(("(?i)" if any_case else "") + pattern)
+    for no, (kind, pattern, group, least) in enumerate((*base, *((k, p, g, n) for k, p, _, g, n in secrets.MORE_RULES))):
+        rx = _q(pattern)
         parts.append(f"""
         SELECT doc_id, {no} AS no, {_q(kind)} AS kind, p, m, g, k FROM (
           SELECT doc_id, string_split_regex(t, {rx}) AS p, regexp_extract_all(t, {rx}) AS m, regexp_extract_all(t, {rx}, {group}) AS g,
@@ -38,7 +45,7 @@ def _secrets() -> str:
               list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS s FROM hits),
     told AS (SELECT doc_id, no, s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT) AS x FROM spans),
     per AS (SELECT doc_id, count(*) FILTER (no = 0) AS n0, count(*) FILTER (no = 1) AS n1, count(*) FILTER (no = 2) AS n2,
-            string_agg(x, ',' ORDER BY s, no) FILTER (no < {len(secrets.BASE_RULES)}) AS base, string_agg(x, ',' ORDER BY s, no) AS every FROM told GROUP BY doc_id)
+            string_agg(x, ',' ORDER BY s, no) FILTER (no < 3) AS base, string_agg(x, ',' ORDER BY s, no) AS every FROM told GROUP BY doc_id)
     SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
            sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM docs d LEFT JOIN per USING (doc_id)"""
 

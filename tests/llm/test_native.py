@@ -37,6 +37,18 @@ def test_secret_spans_and_masks(spark):
     assert out.text == "x [SECRET] y [SECRET] z" and out.n_chars == len(out.text)
 
 
+def test_masks_of_overlaps_nulls_and_repeats(spark):
+    key = "token=" + "AKIA" + "B" * 20  # an access key inside an assignment
+    rows = [(1, f"é{key}\U0001f600{key} x"), (1, f"é{key}\U0001f600{key} x"), (None, None), (None, f"{key}"), (2, ""), (3, "none"), (4, f"{key} " * 300)]
+    df = spark.createDataFrame([(i, t, 7, "clash") for i, t in rows], "doc_id long, text string, n_chars long, found string")
+    got = [tuple(r) for r in secrets.redact(df).collect()]
+    mask = lambda t: None if t is None else t.replace(key, "[SECRET]")
+    assert pairs(got) == pairs([(i, mask(t), 7 if mask(t) == t else len(mask(t)), "clash") for i, t in rows])
+    assert secrets.redact(df.limit(0)).count() == secrets.report(df.limit(0)).count() == 0
+    said = spark.createDataFrame([(1, "x" * 3_000_000 + key)], "doc_id long, text string")
+    assert secrets.report(said).first().n_access == 1
+
+
 def test_trigram_queries_hold_for_matches():
     for kind, pattern, *_ in secrets.RULES:
         q = secrets.trigram_query(pattern)
