@@ -1,13 +1,20 @@
 """Benchmark decontamination: a prefix-filtered set join on item-sized windows.
 
 Words are runs of anything but ASCII characters that aren't letters or digits, with A-Z lower-cased. A window is `size`
-consecutive words of an item (a shorter item is one window). To contain a window a document must contain its rarest word, so
-one word is the whole prefix that an exact containment needs; document words that are no window's prefix never leave the
-scan. A prefix word at position p of a document and offset o of a window fixes where the window would start; that start and
-its end must lie inside the document, and the words there are compared one by one.
-
-Null and empty texts have no words. Rows are told apart by where they are read, so repeated ids and rows keep a result each;
-items with equal texts all count, and a repeated item_id once. An empty benchmark leaves every document clean.
+consecutive words of an item (a shorter item is one window). Its tokens are its shingles of three words (of all its words, if it
+has fewer). To contain a window a document must contain its rarest shingle, so one shingle is the whole prefix that an exact
+containment needs; rarity is the count over all documents. A prefix at position p of a document and offset o of a window fixes
+where the window would start; that start and its end must lie inside the document, and the words there are compared one by one.
+
+Which shingles leave the scan is told by a table of SLOTS bytes, one for each remainder of the shingles' hashes: it has one size
+for any benchmark, and a shingle that only shares its remainder with a prefix finds no window in the join. Windows, items and
+hits are plain rows, joined by number; only what belongs to one document is ever gathered.
+
+Null and empty texts have no words. Rows are told apart by where they are read and written out once with that number, so repeated
+ids and rows keep a result each; items with equal texts all count, and a repeated item_id once, a null one not at all. Ties in
+rarity fall to the smaller hash, then to the first offset, and change no result. An empty benchmark leaves every document clean,
+an empty table of documents gives no rows. Texts are read whole, however long. Further columns are left away (report) or kept
+(clean), whatever their names.
 """
 
 from __future__ import annotations
@@ -18,9 +25,9 @@ from pyspark.sql import functions as F
 from seamark.llm.common import ascii_lower, cut, whole, words
 
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-SIZE = 10
-#: Up to so many distinct words, the benchmark's words are literals of the plan; a larger benchmark is joined instead.
-LITERAL_WORDS = 50_000
+SIZE, SHINGLE = 10, 3
+#: Size of the table of remainders in the plan, in bytes.
+SLOTS = 1 << 20
 
 
 def tokens(text: Column | str) -> Column:
@@ -31,96 +38,91 @@ def tokens(text: Column | str) -> Column:
 def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """(win, item_id): the distinct windows of each item, as arrays of lower-cased words."""
     w = F.col("w")
-    df = items.select(F.col(item_id).alias("item_id"), F.transform(tokens(text), ascii_lower).alias("w")).filter(F.size("w") > 0)
+    df = items.select(F.col(item_id).cast("string").alias("item_id"), F.transform(tokens(text), ascii_lower).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1)))
     return df.select("item_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.slice(w, i, F.lit(size))))).alias("win")).distinct()
 
 
-def _known(word: str, vocabulary: list[str]) -> str:
-    """SQL: whether lower(word) is one of the words. They hold no quote, backslash or other ASCII mark."""
-    return f"lower({word}) IN ({', '.join(f"'{v}'" for v in vocabulary)})"
+def shingles(w: Column, k: int) -> Column:
+    """The hash of the k words from each position of w, words in lower() form."""
+    n = F.size(w) - k + 1
+    each = F.transform(F.slice(w, F.lit(1), F.greatest(n, F.lit(0))), lambda x, i: F.xxhash64(F.lit(k), x, *(F.get(w, i + d) for d in range(1, k))))
+    return F.when(n > 0, each).otherwise(F.array().cast("array<bigint>"))
+
+
+def _slot(h: Column) -> Column:
+    return F.pmod(h, F.lit(SLOTS)).cast("int")
 
 
-def _places(vocabulary: list[str]) -> Column:
-    """Positions (from 0) of the words of w that are in the vocabulary."""
-    return F.expr(f"filter(transform(w, (x, i) -> IF({_known('x', vocabulary)}, i, -1)), i -> i >= 0)")
+def _table(hashes: DataFrame, column: str) -> Column:
+    """A byte for each remainder, 1 where some hash has it; SLOTS numbers at most come to the driver."""
+    out = bytearray(SLOTS)
+    for (i,) in hashes.select(_slot(F.col(column))).distinct().collect():
+        out[i] = 1
+    return F.lit(bytes(out))
 
 
-def _listed(df: DataFrame, column: str) -> list[str] | None:
-    """The distinct lower() forms of a column of words, or None if they are too many for the plan."""
-    found = [r[0] for r in df.select(F.lower(column)).distinct().limit(LITERAL_WORDS + 1).collect()]
-    return None if len(found) > LITERAL_WORDS else found
+def _listed(table: Column, h: Column) -> Column:
+    return F.substring(table, _slot(h) + 1, F.lit(1)) == F.lit(b"\x01")
 
 
-def prefixes(docs: DataFrame, wins: DataFrame, text: str = "text") -> DataFrame:
-    """wins with the rarest word (ties: the first in code point order) and its first offset; rarity is the count over docs."""
-    vocabulary = wins.select(F.explode("win").alias("word")).distinct()
-    df = docs.select(tokens(text).alias("w"))
-    listed = _listed(vocabulary, "word")
-    if listed == []:
-        return wins.select("win", "item_id", F.lit("").alias("anchor"), F.lit(0).alias("offset"))
-    if listed is not None:
-        seen = df.select(F.explode(F.expr(f"filter(w, x -> {_known('x', listed)})")).alias("word"))
+def prefixes(docs: DataFrame, wins: DataFrame, text: str = "text") -> tuple[DataFrame, list[int]]:
+    """wins(win_id, win) -> (win_id, win, k, sh, offset), sh being the rarest shingle, of k words; and all k there are."""
+    low = F.transform("win", F.lower)
+    k = F.least(F.size("win"), F.lit(SHINGLE))
+    own = F.when(k == 1, shingles(low, 1)).when(k == 2, shingles(low, 2)).otherwise(shingles(low, SHINGLE))
+    each = cut(wins.select("win_id", k.alias("k"), F.posexplode(own).alias("offset", "sh")), "window-shingles")
+    sizes = sorted(r.k for r in each.select("k").distinct().collect())
+    if sizes:
+        table = _table(each, "sh")
+        df = docs.select(words(F.lower(whole(text)), BETWEEN).alias("w"))
+        seen = df.select(F.explode(F.concat(*(F.filter(shingles(F.col("w"), n), lambda h: _listed(table, h)) for n in sizes))).alias("sh"))
+        counts = seen.groupBy("sh").agg(F.count("*").alias("n"))
+        each = each.join(counts.join(each.select("sh").distinct(), "sh", "left_semi"), "sh", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     else:
-        seen = df.select(F.explode("w").alias("word"))
-    counts = seen.groupBy("word").count().select(ascii_lower(F.col("word")).alias("word"), "count").groupBy("word").agg(F.sum("count").alias("n"))
-    each = wins.select("win").distinct().select("win", F.posexplode("win").alias("offset", "word"))
-    ranked = each.join(counts.join(vocabulary, "word", "left_semi"), "word", "left")
-    best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word").alias("word"), F.col("offset").alias("offset")))
-    chosen = ranked.groupBy("win").agg(best.alias("b")).select("win", F.col("b.word").alias("anchor"), F.col("b.offset").alias("offset"))
-    return wins.join(chosen, "win")
+        each = each.withColumn("n", F.lit(0).cast("long"))
+    chosen = each.groupBy("win_id", "k").agg(F.min(F.struct("n", "sh", "offset")).alias("b")).select("win_id", "k", "b.sh", "b.offset")
+    # Written once: the counts over all documents aren't taken again, and Spark knows the size of what it joins.
+    return cut(wins.join(chosen, "win_id"), "prefixes"), sizes
 
 
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, items (sorted array of item ids as strings), places (hit positions)."""
-    wins = windows(items, size=size)
-    per = prefixes(docs, wins, text).groupBy("anchor", "offset", "win").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    # Written once: the counts over all documents aren't taken again, and Spark knows the size of what it joins.
-    per = cut(per.groupBy("anchor").agg(F.collect_list(F.struct("offset", "win", "items")).alias("wins")), "prefixes")
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.xxhash64(text).alias("text_hash"), F.col(doc_id).alias("doc_id"), tokens(text).alias("w"))
-    base = base.withColumn("n_words", F.size("w").cast("long"))
-    listed = _listed(per, "anchor")
-    # The words around position i, from at most size - 1 before it to size - 1 after it.
-    around = lambda i: F.struct(
-        i.alias("pos"),
-        F.greatest(i - (size - 1), F.lit(0)).alias("from"),
-        F.transform(F.slice(F.col("w"), F.greatest(i - (size - 1), F.lit(0)) + 1, i - F.greatest(i - (size - 1), F.lit(0)) + size), ascii_lower).alias("ctx"),
-    )
-    if listed is not None:
-        spots = F.transform(_places(listed) if listed else F.array().cast("array<int>"), around)
-    else:
-        spots = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: around(i))
-        spots = F.when(F.size("w") > 0, spots)
-    df = base.select("rid", "text_hash", "doc_id", "n_words", F.explode_outer(spots).alias("s"))
-    df = df.withColumn("word", F.get(F.col("s.ctx"), F.col("s.pos") - F.col("s.from")))
-    df = df.join(per, df["word"] == per["anchor"], "left")
-
-    def occurs(x: Column) -> Column:
-        at = F.col("s.pos") - F.col("s.from") - x["offset"]
-        return (at >= 0) & (at + F.size(x["win"]) <= F.size("s.ctx")) & (F.slice(F.col("s.ctx"), F.greatest(at, F.lit(0)) + 1, F.size(x["win"])) == x["win"])
-
-    hits = F.transform(
-        F.filter(F.coalesce("wins", F.array().cast("array<struct<offset:int,win:array<string>,items:array<string>>>")), occurs),
-        lambda x: F.struct((F.col("s.pos") - x["offset"]).alias("at"), F.size(x["win"]).alias("n"), x["items"].alias("items")),
-    )
-    df = df.select("rid", "text_hash", "doc_id", "n_words", hits.alias("hits"))
-    df = df.select("rid", "text_hash", "doc_id", "n_words", F.when(F.size("hits") > 0, F.col("hits")).alias("hits"))
-    df = df.groupBy("rid", "text_hash", "doc_id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"))
-    cover = F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["n"] - 1)))
-    df = df.withColumn("places", F.array_distinct(cover))
-    return df.select(
-        "doc_id",
-        "n_words",
-        F.size("places").cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))).alias("items"),
-        "places",
-        "text_hash",
-    )
+    """One row per row of docs: doc_id, n_words, n_hit, items (sorted array of item ids as strings), places (hit positions), text_hash."""
+    every = cut(windows(items, size=size), "windows")
+    wins = cut(every.select("win").distinct().withColumn("win_id", F.monotonically_increasing_id()), "window-ids")
+    anchors, sizes = prefixes(docs, wins, text)
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.xxhash64(text).alias("text_hash"), F.col(doc_id).alias("doc_id"), tokens(text).alias("w"), words(F.lower(whole(text)), BETWEEN).alias("low"))
+    spots = F.array().cast("array<struct<pos:int,sh:bigint>>")
+    if sizes:
+        table = _table(anchors, "sh")
+        at = lambda h, i: F.struct(i.alias("pos"), h.alias("sh"))
+        spots = F.concat(*(F.filter(F.transform(shingles(F.col("low"), n), at), lambda x: _listed(table, x["sh"])) for n in sizes))
+    # The words from size - 1 before the shingle's first to size - 1 after it.
+    first = lambda x: F.greatest(x["pos"] - (size - 1), F.lit(0))
+    around = lambda x: F.struct(x["pos"].alias("pos"), x["sh"].alias("sh"), first(x).alias("from"), F.transform(F.slice("w", first(x) + 1, x["pos"] - first(x) + size), ascii_lower).alias("ctx"))
+    found = base.select("rid", "text_hash", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode_outer(F.transform(spots, around)).alias("no", "s"))
+    found = cut(found, "spots")
+    base = found.filter("no IS NULL OR no = 0").select("rid", "text_hash", "doc_id", "n_words")
+    near = found.filter("no IS NOT NULL").select("rid", "s.*").join(anchors, "sh")
+    start = F.col("pos") - F.col("from") - F.col("offset")
+    inside = (start >= 0) & (start + F.size("win") <= F.size("ctx"))
+    near = near.filter(inside & (F.slice("ctx", F.greatest(start, F.lit(0)) + 1, F.size("win")) == F.col("win")))
+    hits = cut(near.select("rid", (F.col("pos") - F.col("offset")).alias("at"), F.size("win").alias("n"), "win_id").distinct(), "hits")
+    spans = hits.select("rid", "at", "n").distinct().groupBy("rid").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    places = F.array_distinct(F.flatten(F.transform("spans", lambda h: F.sequence(h["at"], h["at"] + h["n"] - 1))))
+    of_win = every.filter("item_id IS NOT NULL").join(wins, "win").select("win_id", "item_id")
+    told = hits.select("rid", "win_id").distinct().join(of_win, "win_id").select("rid", "item_id").distinct()
+    told = told.groupBy("rid").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    out = base.join(spans.select("rid", places.alias("places")), "rid", "left").join(told, "rid", "left")
+    none = F.coalesce("places", F.array().cast("array<int>"))
+    return out.select("doc_id", "n_words", F.size(none).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), none.alias("places"), "text_hash")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
     hit = overlaps(docs, items).filter("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).distinct()
+    # Written once, so that Spark sends the documents through an exchange only if the hit ones are too many to broadcast.
+    hit = cut(hit, "contaminated")
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__id"]) & (F.xxhash64(docs["text"]) == hit["__h"]), "left_anti")
 
 
