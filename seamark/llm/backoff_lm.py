@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 ORDER, ALPHA, LEAST = 3, 0.4, 2
 #: Bytes of text in a chunk, about; the number of chunks, and of buckets, follows the input.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 5_000_000
 
 _U = np.uint64
 _R1, _R2, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -47,9 +48,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(document of each word, 64-bit hash of each word), words in order."""
-    raw = [(t or "").encode() for t in texts]
+def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(document of each word, 64-bit hash of each word), words of UTF-8 texts in order."""
     buf = np.frombuffer(b" ".join([*raw, b""]), dtype=np.uint8)
     if not len(buf):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=_U)
@@ -71,9 +71,9 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(ends, starts, side="right"), hashes
 
 
-def grams(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def grams(raw: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(document, place in it, hashes of the n-grams that end there for n = 1, 2, ...) of each word. Short ones hash as 0."""
-    doc, h = word_hashes(texts)
+    doc, h = word_hashes(raw)
     place = np.arange(len(doc))
     if len(doc):
         new = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
@@ -146,13 +146,24 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
     df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     df = df.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n)).cast("int"))
 
+    def zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["text"] = [zlib.compress((t or "").encode(), 1) for t in b["text"]]
+            yield b
+
+    def unzipped(g: pd.DataFrame) -> list[bytes]:
+        return [zlib.decompress(t) for t in g["text"]]
+
+    kind = df.schema["doc_id"].dataType.simpleString()
+    df = df.mapInPandas(zipped, f"doc_id {kind}, text binary, chunk int")
+
     def message(chunk: int, bucket: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
         rows = [(int(bucket[a]), pack(np.diff(keys[a:b], prepend=_U(0))), zlib.compress(pack(counts[a:b]), 1)) for a, b in _runs(bucket)]
         return pd.DataFrame({"bucket": [r[0] for r in rows], "chunk": chunk, "keys": [r[1] for r in rows], "counts": [r[2] for r in rows]})
 
     def told(g: pd.DataFrame, answers: pd.DataFrame, upto: int) -> tuple:
         """What a chunk knows after the answers on orders up to `upto`: documents, places, hashes, and the counts of its n-grams."""
-        doc, place, hashes = grams(g["text"].tolist(), order)
+        doc, place, hashes = grams(unzipped(g), order)
         keys, total = np.zeros(0, dtype=_U), np.zeros(0, dtype=_U)
         for last in range(min(2, order), upto + 1):
             asked = hashes[:last] if last <= 2 else [promising(hashes, place, keys, total, last, least)]
@@ -165,7 +176,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
         return doc, place, hashes, keys, total
 
     def first(g: pd.DataFrame) -> pd.DataFrame:
-        _, _, hashes = grams(g["text"].tolist(), min(2, order))
+        _, _, hashes = grams(unzipped(g), min(2, order))
         return message(g["chunk"].iloc[0], *_distinct(hashes, n, len(hashes[0])))
 
     def further(last: int):
@@ -198,5 +209,4 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
     for last in range(min(2, order), order + 1):
         asked = chunks.cogroup(known()).applyInPandas(further(last), asked_kind) if found else chunks.applyInPandas(first, asked_kind)
         found.append(asked.groupBy("bucket").applyInPandas(answer, "chunk int, bucket int, totals binary").withColumn("last", F.lit(last)))
-    kind = df.schema["doc_id"].dataType.simpleString()
     return chunks.cogroup(known()).applyInPandas(tell, f"doc_id {kind}, n_words long, log_score double, mean_log_score double")
