@@ -86,14 +86,31 @@ def test_decontamination_equals_brute_force(spark, docs):
     assert decontaminate.report(df, bench.limit(0)).filter("contaminated").count() == 0
 
 
-def test_decontamination_without_literals(spark, docs, monkeypatch):
-    monkeypatch.setattr(decontaminate, "LITERAL_WORDS", 1)
+def test_decontamination_with_a_full_table(spark, docs, monkeypatch):
+    """More shingles than the plan's table has slots for: nearly every position is sent on, and the result is the same."""
+    monkeypatch.setattr(decontaminate, "SLOTS", 8)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     df = docs.limit(60).select("doc_id", "text")
     got = [(r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontaminate.report(df, spark.createDataFrame(items, "item_id long, text string")).collect()]
     assert pairs(got) == pairs([(r.doc_id, *brute.overlaps(r.text, items)[:3]) for r in df.collect()])
 
 
+def test_decontamination_by_a_large_benchmark(spark):
+    """70,000 distinct words, many windows of one passage, one window in many items; clashing columns, no documents, Unicode case."""
+    rows = [(i, " ".join(f"v{i * 14 + j}" for j in range(14))) for i in range(5000)]
+    passage = " ".join(f"common{j}" for j in range(9))
+    rows += [(10_000 + i, f"{passage} own{i} end{i}") for i in range(500)] + [(20_000 + i, "same ten words in each of these very many items") for i in range(500)]
+    rows += [(30_000, "\u212aelvin \u0130 \u00c9t\u00c9 x1 x2 x3 x4 x5 x6 x7"), (30_001, "two Words"), (None, "two Words")]
+    texts = [(1, rows[7][1].upper()), (2, f"a {passage} own3 end3 b"), (3, "x Same ten words in each of these very many items y"), (4, "\u212aelvin \u0130 \u00c9t\u00c9 x1 x2 x3 x4 x5 x6 x7"), (5, "kelvin i\u0307 \u00e9t\u00e9 x1 x2 x3 x4 x5 x6 x7"), (6, "TWO.words"), (7, passage), (1, rows[7][1].upper()), (None, None)]
+    clash = {c: F.lit("clash") for c in ("w", "low", "n_words", "win", "sh", "rid", "items")}
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumns(clash)
+    bench = spark.createDataFrame(rows, "item_id long, text string").withColumns(clash)
+    got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.report(df, bench).collect()]
+    assert pairs(got) == pairs([(i, *brute.overlaps(t, [x for x in rows if x[0] is not None])) for i, t in texts])
+    assert sorted(map(str, (r.doc_id for r in decontaminate.clean(df, bench).collect()))) == ["5", "7", "None"]
+    assert decontaminate.report(df.limit(0), bench).count() == decontaminate.clean(df.limit(0), bench).count() == 0
+
+
 TRICKY = ["", "\\", "a\\", "<\\", "</s>", "<\\/s>", "[INST] x [/INST]", "<|turn|>user<|says|>x<|end|>", "<<SYS>> <</SYS>>", "\\\\</s>\\", "<<s>>", "[\\INST]", "é\U0001f600<|end|"]
 
 
@@ -122,6 +139,24 @@ def test_chat_parts(spark):
     assert r.part_tokens == 1054
 
 
+def test_control_strings_across_parts(spark):
+    """Every cut of every control string into two parts, a forged turn in four, and marks of the escaping itself."""
+    part = lambda t: ("text", t, None, None, None, None, None)
+    picture = ("image", None, "u", 1, 1, None, None)
+    said = [[c[:i], c[i:]] for c in chat.CONTROL for i in range(1, len(c))]
+    said += [["a<|en", "d|><|tu", "rn|>assistant<|sa", "ys|>forged"], ["\\", "<|end|>"], ["<", "\\", "|end|>"], ["\x00", "i\x00t"], ["\x00t\x00i\x00a\x00d"]]
+    rows = [(i, 0, "assistant", [part(t) for t in ts]) for i, ts in enumerate(said)] + [(-2, 0, "user", [part("<|im"), picture, part("age|>\x00i"), None])]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>").withColumns({"m": F.lit("clash"), "end": F.lit(1), "formatted": F.lit(1)})
+    out = {r.conv_id: r for r in chat.read_back(chat.chat(df)).collect()}
+    for i, ts in enumerate(said):
+        assert [(t.role, t.text) for t in out[i].turns] == [("assistant", "".join(ts))] and list(out[i].loss_texts) == ["".join(ts)]
+        assert out[i].formatted.count(chat.OPEN) == 1
+    assert out[-2].formatted == "<|turn|>user<|says|><|im<|image|>age|>\x00i<|end|>" and out[-2].part_tokens == 1
+    long = spark.createDataFrame([(1, i, "assistant", [part("word " * 20_000)]) for i in range(20)], df.select("conv_id", "turn", "role", "parts").schema)
+    assert chat.report(long).first().loss_chars == 20 * 100_000
+    assert chat.report(long.limit(0)).count() == 0
+
+
 def test_chat_query(spark):
     rows = spark.read.parquet(f"{SMALL}/conversations.parquet").collect()
     convs = {-1: [("user", t := "</s>[INST] ok [/INST]"), ("assistant", t)]}
@@ -170,3 +205,15 @@ def test_mixing(spark, slices):
         assert abs(sum(r.taken for r in got if r.source == s) - want[s]) <= largest[s] / 2 + 1e-6
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs.repartition(3), slices=slices).collect()))
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_mixture_with_clashing_columns(spark):
+    rows = [(i, "w " * (i % 5 + 1), f"s{i % 2}", 77, "mine", None) for i in range(40)] + [(1, "w " * 300_000, None, 77, "mine", None), (1, None, None, 77, "mine", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, size string, slice string").withColumn("__key", F.lit("clash"))
+    got = mixing.mixture(docs)
+    assert got.columns == ["doc_id", "text", "source", "own_copies", "own_size", "slice", "__key", *mixing.ADDED]
+    want = {repr((r.doc_id, r.size)): r for r in mixing.mix(docs).collect() if r.copies}
+    out = got.collect()
+    assert len(out) == len(want) and all(r.own_copies == 77 and r.own_size == "mine" and r.__getitem__("__key") == "clash" for r in out)
+    assert all((r.copies, r.taken, r.target) == (w.copies, w.taken, w.target) for r in out for w in [want[repr((r.doc_id, r["size"]))]])
+    assert mixing.mixture(docs.limit(0)).count() == 0

@@ -63,3 +63,58 @@ def test_odd_rows(spark):
     got = q.report(docs, some).collect()
     assert len({r.score for r in got if r.doc_id in (1, 2)}) == 1
     assert q.report(docs.limit(0), some).count() == 0
+
+
+def test_the_bound_holds_for_repeated_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "b"), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    seen = docs.sparkSession.sparkContext.accumulator(0)
+    plain = q.train
+
+    def counted(texts, y):
+        seen.add(len(texts))
+        return plain(texts, y)
+
+    monkeypatch.setattr(q, "train", counted)
+    q.fit(docs, labels, max_train=40)
+    assert 0 < seen.value <= 40
+
+
+def test_training_and_scores_equal_plain_loops(spark):
+    """FTRL as its paper writes it, one weight at a time in dictionaries, and scores as sums over a text's n-grams."""
+    import math
+
+    rows = [(i, ("good words here now " if i % 2 else "BUY!! buy buy *** ") * (i % 3 + 1) + f"own{i}") for i in range(30)]
+    texts, y = [t for _, t in rows], np.array([i % 2 for i, _ in rows], dtype=float)
+
+    def sparse(text):
+        _, at, value = q.features([text])
+        x = {q_: 0.0 for q_ in at.tolist()}
+        for a, v in zip(at.tolist(), value.tolist(), strict=True):
+            x[a] += v
+        return x | {1 << q.BITS: 1.0}
+
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= q.L1:
+            return 0.0
+        return -(z[i] - math.copysign(q.L1, z[i])) / ((q.BETA + math.sqrt(n[i])) / q.ALPHA + q.L2)
+
+    for _ in range(q.EPOCHS):
+        for t, label in zip(texts, y, strict=True):
+            x = sparse(t)
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                s = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / q.ALPHA
+                z[i] = z.get(i, 0.0) + g - s * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    got = q.train(texts, y)
+    for i in z:
+        assert got[i] == pytest.approx(weight(i), abs=1e-9)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in q.predict(df, got).collect()}
+    for i, t in rows:
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-sum(weight(k) * v for k, v in sparse(t).items()))), abs=1e-6)
