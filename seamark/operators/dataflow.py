@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamark.frames import cut
+from seamark.frames import Grown, cut
 
 CAP = 50
 
@@ -29,18 +29,44 @@ def reaching_definitions(flow: DataFrame, gen: DataFrame, cap: int = CAP) -> Dat
     return reached.withColumn("converged", F.lit(False))
 
 
-def call_transforms(steps: DataFrame, max_hops: int = 8) -> DataFrame:
+def call_transforms(steps: DataFrame) -> DataFrame:
     """steps(source, target, rank) -> (source, target, rank) over paths: the hardest step along a path, the mildest of all paths.
 
-    Ranks only fall as rounds go on, so a pair changes a few times at most; the loop ends when no pair changes.
+    Ranks only fall as rounds go on, so a pair changes a few times at most; the loop ends when no pair changes. A round joins
+    the best pairs to each other, so paths of twice the length are found in each.
     """
-    steps = cut(steps.groupBy("source", "target").agg(F.min("rank").alias("rank")), "calls-steps")
-    best = steps
-    for _ in range(max_hops - 1):
-        longer = best.alias("a").join(steps.alias("b"), F.col("a.target") == F.col("b.source")).select("a.source", "b.target", F.greatest("a.rank", "b.rank").alias("rank"))
-        grown = cut(best.unionByName(longer).groupBy("source", "target").agg(F.min("rank").alias("rank")), "calls-best")
-        told = lambda df: tuple(df.agg(F.count("*"), F.sum("rank")).first())
-        if told(grown) == told(best):
-            break
-        best = grown
-    return best
+    best = cut(steps.groupBy("source", "target").agg(F.min("rank").alias("rank")), "calls-steps")
+    told = lambda df: tuple(df.agg(F.count("*"), F.sum("rank")).first())
+    state = told(best)
+    while True:
+        longer = best.alias("a").join(best.alias("b"), F.col("a.target") == F.col("b.source")).select("a.source", "b.target", F.greatest("a.rank", "b.rank").alias("rank"))
+        best = cut(best.unionByName(longer).groupBy("source", "target").agg(F.min("rank").alias("rank")), "calls-best")
+        was, state = state, told(best)
+        if state == was:
+            return best
+
+
+def maybe_unassigned(flow: DataFrame, entry: DataFrame, gen: DataFrame) -> DataFrame:
+    """flow(unit, node, succ), entry(unit, node), gen(unit, node, var) -> (unit, node, var): variables that some way from the entry
+    to the node leaves unassigned. What isn't there is assigned on every way (or the node isn't reached at all).
+    """
+    flow, gen = flow.distinct(), cut(gen.distinct(), "dataflow-gen")
+    reached = Grown(flow.sparkSession, "dataflow-unassigned")
+    new = reached.add(entry.join(gen.select("unit", "var").distinct(), "unit").select("unit", "node", "var").distinct())
+    while True:
+        through = new.join(gen, ["unit", "node", "var"], "left_anti")
+        ahead = through.join(flow, ["unit", "node"]).select("unit", F.col("succ").alias("node"), "var").distinct()
+        new = reached.add(ahead.join(reached.all(), ["unit", "node", "var"], "left_anti"))
+        if new.isEmpty():
+            return reached.all()
+
+
+def uninitialised_uses(flow: DataFrame, entry: DataFrame, gen: DataFrame, uses: DataFrame, parameters: DataFrame) -> DataFrame:
+    """uses(unit, node, var), parameters(unit, var) -> (unit, node, var, partial): reads that no definition reaches, or, partial,
+    that some way reaches without one. Parameters are assigned by the caller.
+    """
+    reaching = reaching_definitions(flow, gen, cap=1 << 30).select("unit", "node", "var").distinct()
+    open_ = maybe_unassigned(flow, entry, gen)
+    uses = uses.distinct().join(parameters, ["unit", "var"], "left_anti").select("unit", "node", "var")
+    some = uses.join(reaching, ["unit", "node", "var"], "left_semi").join(open_, ["unit", "node", "var"], "left_semi").withColumn("partial", F.lit(True))
+    return uses.join(reaching, ["unit", "node", "var"], "left_anti").withColumn("partial", F.lit(False)).unionByName(some)

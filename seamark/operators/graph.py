@@ -7,12 +7,11 @@ with a fixed number of hops at most; each hop is written to the shared folder, s
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamark.frames import cut
+from seamark.frames import Grown, cut
+from seamark.functions.texts import transform_name, transform_rank
 
 MAX_DEPTH = 15
 WALKED = ("FEEDS", "INFLUENCES")
@@ -51,28 +50,27 @@ def walk(edges: DataFrame, start: DataFrame, upstream: bool, depth: int = 1, joi
 
     Walking stops at nodes seen before, but edges to them are told. Downstream, a FILTERS edge is told and not walked on. The
     depth is held to 1..15. Unknown start nodes reach nothing; null nodes and duplicate edges are ignored.
+
+    Seen nodes are one table that grows by a part a hop, so a hop is joined to it once, however many came before. Edges at a node
+    are new when the node is; those at a relation may be told again by a later node of it, and the first hop counts in the end.
     """
     depth = min(max(depth, 1), MAX_DEPTH)
-    edges = edges.select("id", "type", "source", "target").dropna().dropDuplicates(["id"])
+    spark = edges.sparkSession
+    edges = cut(edges.select("id", "type", "source", "target").dropna().dropDuplicates(["id"]), "walk-graph")
     types = _types(join_keys, fallback)
     step, ahead = (_incoming, "source") if upstream else (_outgoing, "target")
-    frontier = start.select("node").dropna().distinct()
-    visited, told = [frontier], []
+    visited, told = Grown(spark, "walk-nodes"), Grown(spark, "walk-edges")
+    frontier = visited.add(start.select("node").dropna().distinct())
     for hop in range(1, depth + 1):
-        found = step(edges, frontier, types, fallback)
-        for t in told:
-            found = found.join(t.select("id"), "id", "left_anti")
-        found = cut(found.withColumn("depth", F.lit(hop)), "walk-edges")
-        told.append(found)
-        nodes = found.filter("type <> 'FILTERS'") if not upstream else found
+        found = told.add(step(edges, frontier, types, fallback).withColumn("depth", F.lit(hop)))
+        if hop == depth:
+            break
+        nodes = found if upstream else found.filter("type <> 'FILTERS'")
         nodes = nodes.select(F.col(ahead).alias("node")).distinct()
-        for v in visited:
-            nodes = nodes.join(v, "node", "left_anti")
-        frontier = cut(nodes, "walk-nodes")
-        visited.append(frontier)
+        frontier = visited.add(nodes.join(visited.all(), "node", "left_anti"))
         if frontier.isEmpty():
             break
-    out = reduce(DataFrame.unionByName, told)
+    out = told.all().groupBy("id", "type", "source", "target").agg(F.min("depth").alias("depth"))
     return out.select("depth", "type", "source", "target", "id", F.col("type").isin(*UNVERIFIED).alias("unverified"))
 
 
@@ -153,44 +151,75 @@ def table_level(edges: DataFrame) -> DataFrame:
 PRECEDENCE = ("OPAQUE", "MENTIONS_COL", "FILTERS", "KEYS", "INFLUENCES", "FEEDS")
 
 
-def collapse(edges: DataFrame, hidden: DataFrame, max_hops: int = 8) -> DataFrame:
-    """hidden(relation) -> (source, target, type): edges between visible nodes, with paths through hidden relations contracted.
+def _through(edges: DataFrame, hidden: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges with hs, ht; states(start, node, p, r); ends(start, node, p, q, r)) of the ways through hidden relations.
 
-    A path through hidden nodes takes the type of highest precedence on it; a filtering path ends in the table of its end.
-    Paths of more than max_hops edges are not followed.
+    A state is a hidden node, reached from a visible one by a way of flow p and transform r. From a hidden column the way goes on
+    along its edges, from a hidden relation (reached by a filter) along the edges of all of its columns. States are finitely many
+    and each is walked on from once, so the rounds end when one brings no new state.
     """
-    level = F.array_position(F.array(*map(F.lit, PRECEDENCE)), F.col("type"))
-    e = edges.select("source", "target", level.alias("p")).filter("p > 0").distinct()
-    names = hidden.select("relation").distinct()
-    is_hidden = lambda df, c: df.join(names.withColumn("h", F.lit(True)).withColumnRenamed("relation", "hr"), relation(F.col(c)) == F.col("hr"), "left").drop("hr")
-    e = is_hidden(e, "source").withColumnRenamed("h", "hs")
-    e = cut(is_hidden(e, "target").withColumnRenamed("h", "ht"), "collapse-edges")
-    paths = e.filter("hs IS NULL").select("source", "target", "p", "ht")
-    steps = e.filter("hs").select(F.col("source").alias("via"), F.col("target").alias("to"), F.col("p").alias("q"), F.col("ht").alias("h2"))
-    done = [paths.filter("ht IS NULL")]
-    open_ = paths.filter("ht")
-    for _ in range(max_hops - 1):
-        grown = open_.join(steps, open_["target"] == steps["via"]).select("source", F.col("to").alias("target"), F.least("p", "q").alias("p"), F.col("h2").alias("ht"))
-        grown = cut(grown.distinct(), "collapse-paths")
-        done.append(grown.filter("ht IS NULL"))
-        open_ = grown.filter("ht")
-        if open_.isEmpty():
-            break
-    out = reduce(DataFrame.unionByName, done).groupBy("source", "target").agg(F.min("p").cast("int").alias("p"))
+    spark = edges.sparkSession
+    level = F.array_position(F.array(*map(F.lit, PRECEDENCE)), F.col("type")).cast("int")
+    rank = transform_rank(F.col("transform")) if "transform" in edges.columns else F.lit(None).cast("int")
+    feeds = PRECEDENCE.index("FEEDS") + 1
+    e = edges.select("source", "target", level.alias("p"), F.when(level == feeds, F.coalesce(rank, F.lit(0))).otherwise(0).alias("r")).filter("p > 0").distinct()
+    names = hidden.select(F.col("relation").alias("hr"), F.lit(True).alias("h")).distinct()
+    for end, flag in (("source", "hs"), ("target", "ht")):
+        e = e.join(names, relation(F.col(end)) == F.col("hr"), "left").drop("hr").withColumnRenamed("h", flag)
+    e = cut(e.fillna(False, ["hs", "ht"]), "collapse-edges")
+    out = e.filter("hs").select("source", F.col("target").alias("to"), F.col("p").alias("q"), F.col("r").alias("s"), F.col("ht").alias("on"))
+    steps = cut(out.withColumn("via", F.explode(F.array_distinct(F.array("source", relation(F.col("source")))))).drop("source"), "collapse-steps")
+    states, ends = Grown(spark, "collapse-states"), Grown(spark, "collapse-ends")
+    new = states.add(e.filter("ht AND NOT hs").select(F.col("source").alias("start"), F.col("target").alias("node"), "p", "r").distinct())
+    while True:
+        p = F.least("p", "q")
+        grown = new.join(steps, new["node"] == steps["via"]).select("start", F.col("to").alias("node"), p.alias("p"), "q", F.when(p == feeds, F.greatest("r", "s")).otherwise(0).alias("r"), "on")
+        grown = cut(grown.distinct(), "collapse-round")
+        ends.add(grown.filter("NOT on").drop("on"))
+        new = states.add(grown.filter("on").select("start", "node", "p", "r").distinct().join(states.all(), ["start", "node", "p", "r"], "left_anti"))
+        if new.isEmpty():
+            return e, states.all(), ends.all()
+
+
+def collapse(edges: DataFrame, hidden: DataFrame) -> DataFrame:
+    """hidden(relation) -> (source, target, type, transform, joined): visible edges, and ways through hidden relations as one edge.
+
+    A way takes the type of highest precedence on it; one of FEEDS alone, the hardest transform of all such ways, any other
+    identity. A way that filters before its end is a filter on the relation that it ends in. A way may pass an edge again, where
+    hidden columns feed each other in circles.
+    """
+    e, _, ends = _through(edges, hidden)
+    filters = PRECEDENCE.index("FILTERS") + 1
+    target = F.when((F.col("p") == filters) & (F.col("q") != filters), relation(F.col("node"))).otherwise(F.col("node"))
+    joined = ends.groupBy(F.col("start").alias("source"), target.alias("target"), "p").agg(F.max("r").alias("r")).withColumn("joined", F.lit(True))
+    kept = e.filter("NOT hs AND NOT ht").select("source", "target", "p", "r", F.lit(False).alias("joined"))
     kind = F.element_at(F.array(*map(F.lit, PRECEDENCE)), F.col("p"))
-    target = F.when(kind == "FILTERS", relation(F.col("target"))).otherwise(F.col("target"))
-    return out.select("source", target.alias("target"), kind.alias("type")).filter("source <> target").distinct()
+    return kept.unionByName(joined).select("source", "target", kind.alias("type"), transform_name(F.col("r")).alias("transform"), "joined")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that a node reaches in either direction.
+def collapse_notes(edges: DataFrame, hidden: DataFrame) -> DataFrame:
+    """(card, type, hidden, columns): edges out of hidden columns that no visible way reaches, told where they land.
 
-    Alternating large-star and small-star: a hub sends a row for each neighbour and is never gathered.
+    card is the relation an edge lands in, hidden the relation it comes from, columns their names, sorted and comma-joined.
     """
-    both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = edges.select(F.greatest("source", "target").alias("a"), F.least("source", "target").alias("b")).dropna()
-    alone = pairs.filter("a = b").select(F.col("a").alias("node"))
-    e = cut(pairs.filter("a <> b").distinct(), "components")
+    e, states, _ = _through(edges, hidden)
+    reached = states.select(F.col("node").alias("source")).distinct()
+    lost = e.filter("hs AND NOT ht").join(reached, "source", "left_anti")
+    kind = F.element_at(F.array(*map(F.lit, PRECEDENCE)), F.col("p"))
+    short = F.regexp_extract("source", r"([^.]*)$", 1)
+    out = lost.groupBy(relation(F.col("target")).alias("card"), kind.alias("type"), relation(F.col("source")).alias("hidden"))
+    return out.agg(F.array_join(F.array_sort(F.collect_set(short)), ",").alias("columns"))
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """edges(a, b), any orderable ids -> (id, root): root is the smallest id that id reaches. Only ids on some edge appear.
+
+    Alternating large-star and small-star: every node links its larger neighbours, then its smaller ones, to the smallest;
+    a hub sends one row for each neighbour and is never gathered. Each round is written and read back.
+    """
+    both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e = cut(e, "components")
 
     def star(pairs: DataFrame, larger: bool) -> DataFrame:
         low = pairs.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("n"), F.least("a", "low").alias("low"))
@@ -199,10 +228,22 @@ def components(edges: DataFrame) -> DataFrame:
         own = low.select(F.col("n").alias("a"), F.col("low").alias("b"))
         return (kept if larger else kept.unionByName(own)).filter("a <> b").distinct()
 
-    told = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    state = None
-    while state != (state := told(e)):
-        e = cut(star(star(both(e), True), False), "components")
-    named = e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")))
-    lone = alone.join(named, "node", "left_anti").select("node", F.col("node").alias("component"))
-    return named.unionByName(lone).distinct()
+    def told(e: DataFrame) -> tuple:
+        """Number of edges and a sum of their hashes: equal when a round changed nothing."""
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    state = told(e)
+    while True:
+        new = cut(star(star(both(e), True), False), "components")
+        was, state = state, told(new)
+        if state == was:
+            return new.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(new.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+        e = new
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges(source, target) -> (node, component): the smallest node that a node reaches in either direction. Nulls are ignored."""
+    pairs = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).dropna()
+    named = connected(pairs).select(F.col("id").alias("node"), F.col("root").alias("component"))
+    alone = pairs.filter("a = b").select(F.col("a").alias("node")).distinct().join(named, "node", "left_anti")
+    return named.unionByName(alone.select("node", F.col("node").alias("component")))

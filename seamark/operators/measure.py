@@ -148,3 +148,71 @@ def manifest(texts: DataFrame) -> DataFrame:
     lines = F.split("text", "\n", -1)
     comment = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*(--|#)")))
     return texts.select("name", F.sha2("text", 256).alias("sha256"), F.size(lines).cast("long").alias("n_lines"), comment.cast("long").alias("n_comment"))
+
+
+def boundary_score(expected: DataFrame, declared: DataFrame) -> DataFrame:
+    """expected, declared(kind, subject) -> (kind, declared_n, missing, unexpected), subjects compared in any case, once each."""
+    plain = lambda df, side: df.select("kind", F.upper("subject").alias("subject")).distinct().withColumn(side, F.lit(1))
+    both = plain(expected, "e").join(plain(declared, "d"), ["kind", "subject"], "full")
+    count = lambda c: F.count(F.when(c, 1))
+    e, d = F.col("e").isNotNull(), F.col("d").isNotNull()
+    return both.groupBy("kind").agg(count(e & d).alias("declared_n"), count(e & ~d).alias("missing"), count(~e & d).alias("unexpected"))
+
+
+#: Limits of the criteria, written down before measuring (fixed values).
+GATES = (("value precision", "least", 0.95), ("value recall", "least", 0.85), ("parse coverage", "least", 0.70), ("edges from refused statements", "most", 0.0))
+
+
+def kill_criteria(measured: DataFrame, gates: tuple = GATES) -> DataFrame:
+    """measured(criterion, value) -> (criterion, value, verdict) of each gate: PASS, TRIGGERED, or PENDING where nothing was measured."""
+    rules = measured.sparkSession.createDataFrame(list(gates), "criterion string, side string, bound double")
+    df = rules.join(measured.groupBy("criterion").agg(F.min("value").alias("lo"), F.max("value").alias("hi")), "criterion", "left")
+    value = F.when(F.col("side") == "least", F.col("lo")).otherwise(F.col("hi"))
+    ok = F.when(F.col("side") == "least", value >= F.col("bound")).otherwise(value <= F.col("bound"))
+    return df.select("criterion", value.alias("value"), F.when(value.isNull(), "PENDING").when(ok, "PASS").otherwise("TRIGGERED").alias("verdict"))
+
+
+def triage(spans: DataFrame, missed: DataFrame, spurious: DataFrame, broken: DataFrame) -> DataFrame:
+    """spans(unit, first, last), facts(unit, line) -> (unit, first, n_missed, n_spurious, n_forbidden) of statements with any.
+
+    Facts go to the statement whose lines hold theirs; lines are spread over a span, so that the join is by equality.
+    """
+    lines = spans.select("unit", "first", F.explode(F.sequence("first", F.greatest("first", "last"))).alias("line"))
+    facts = None
+    for df, name in ((missed, "missed"), (spurious, "spurious"), (broken, "forbidden")):
+        own = df.select("unit", "line", F.lit(name).alias("what"))
+        facts = own if facts is None else facts.unionByName(own)
+    per = facts.groupBy("unit", "line").pivot("what", ["missed", "spurious", "forbidden"]).count()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}")
+    return lines.join(per, ["unit", "line"]).groupBy("unit", "first").agg(total("missed"), total("spurious"), total("forbidden"))
+
+
+def holdout_recall(expected: DataFrame, reached: DataFrame) -> DataFrame:
+    """expected(target, heading, source), reached(target, source) -> (heading, n, n_found, recall), names in any case."""
+    low = lambda df, *more: df.select(F.lower("target").alias("target"), F.lower("source").alias("source"), *more).distinct()
+    both = low(expected, "heading").join(low(reached).withColumn("r", F.lit(1)), ["target", "source"], "left")
+    out = both.groupBy("heading").agg(F.count("*").alias("n"), F.count("r").alias("n_found"))
+    return out.withColumn("recall", F.col("n_found") / F.col("n"))
+
+
+def ungrounded(cited: DataFrame, seen: DataFrame) -> DataFrame:
+    """cited(question, id), seen(question, id) -> the citations that no tool of the question returned."""
+    return cited.dropna().distinct().join(seen, ["question", "id"], "left_anti")
+
+
+def ambiguous(names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """names(name) without a dot, nodes(node) -> (name, n, nodes): names that are the last part of several nodes."""
+    last = nodes.dropna().distinct().select(F.regexp_extract("node", r"([^.]*)$", 1).alias("name"), "node")
+    hit = last.join(names.filter(~F.contains("name", F.lit("."))).select("name").distinct(), "name", "left_semi")
+    return hit.groupBy("name").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("nodes")).filter("n > 1")
+
+
+def coverage_gate(cited: DataFrame, edges: DataFrame, partial: DataFrame) -> DataFrame:
+    """cited(question, id), edges(id, statement), partial(statement) -> questions whose citations rest on a statement analysed in part."""
+    weak = cited.join(edges, "id").join(partial.distinct(), "statement", "left_semi")
+    return weak.groupBy("question").agg(F.array_join(F.array_sort(F.collect_set("statement")), ",").alias("statements"))
+
+
+def emitters(units: DataFrame, fragments) -> DataFrame:
+    """units(unit, text), a column function of texts -> (unit, fragment): the literal fragments that each unit emits."""
+    return units.select("unit", F.explode(fragments(F.col("text"))).alias("fragment")).distinct()

@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seamark.frames import cut, table
 from seamark.functions import texts
-from seamark.operators import dataflow, facts, graph, ledger, measure
+from seamark.operators import dataflow, facts, graph, knowledge, ledger, measure
 from seamark.sources import facts_io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-#: Queries over all rows whose recursive SQL is too slow to be an oracle; tests hold them against brute force.
-NO_SQL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(sql: str):
@@ -67,30 +65,28 @@ def _walk_sql(start: str, up: bool, depth: int, types: str) -> str:
 _WALKED = "'FEEDS', 'INFLUENCES', 'MENTIONS_COL'"
 
 
-@query(_walk_sql("SELECT 'region0.' || r_regionkey AS node FROM region WHERE r_regionkey < 2", True, 3, _WALKED) + " SELECT depth, type, source, target, id, type IN ('MENTIONS_COL', 'OPAQUE') AS unverified FROM hops")
+@query(_walk_sql("SELECT 'region0.' || r_regionkey AS node FROM region", True, 3, _WALKED) + " SELECT depth, type, source, target, id, type IN ('MENTIONS_COL', 'OPAQUE') AS unverified FROM hops")
 def graph_upstream(spark, sf_dir):
-    start = table(spark, sf_dir, "region").filter("r_regionkey < 2").select(F.concat(F.lit("region0."), "r_regionkey").alias("node"))
+    start = table(spark, sf_dir, "region").select(F.concat(F.lit("region0."), "r_regionkey").alias("node"))
     return graph.upstream(cut(facts.graph(spark, sf_dir), "graph"), start, 3)
 
 
 @query(_walk_sql("SELECT 'region0.' || r_regionkey AS node FROM region", True, 3, _WALKED) + " SELECT depth, type, source, target, id, type IN ('MENTIONS_COL', 'OPAQUE') AS unverified FROM hops")
 def graph_upstream_all(spark, sf_dir):
-    """graph_upstream from every region."""
-    start = table(spark, sf_dir, "region").select(F.concat(F.lit("region0."), "r_regionkey").alias("node"))
-    return graph.upstream(cut(facts.graph(spark, sf_dir), "graph"), start, 3)
+    """graph_upstream, which starts from every region too; the name stays for its users."""
+    return graph_upstream(spark, sf_dir)
 
 
-@query(_walk_sql("SELECT 'orders' || o_orderkey % 30 || '.' || o_orderkey AS node FROM orders WHERE o_orderkey % 3 = 0", False, 5, _WALKED + ", 'KEYS'") + " SELECT depth, type, source, target, id, type IN ('MENTIONS_COL', 'OPAQUE') AS unverified FROM hops")
+@query(_walk_sql("SELECT 'orders' || o_orderkey % 30 || '.' || o_orderkey AS node FROM orders", False, 5, _WALKED + ", 'KEYS'") + " SELECT depth, type, source, target, id, type IN ('MENTIONS_COL', 'OPAQUE') AS unverified FROM hops")
 def graph_downstream(spark, sf_dir):
-    start = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(facts.name("orders", F.col("o_orderkey") % 30, F.col("o_orderkey")).alias("node"))
+    start = table(spark, sf_dir, "orders").select(facts.name("orders", F.col("o_orderkey") % 30, F.col("o_orderkey")).alias("node"))
     return graph.downstream(cut(facts.graph(spark, sf_dir), "graph"), start, 5, join_keys=True)
 
 
 @query(_walk_sql("SELECT 'orders' || o_orderkey % 30 || '.' || o_orderkey AS node FROM orders", False, 5, _WALKED + ", 'KEYS'") + " SELECT depth, type, source, target, id, type IN ('MENTIONS_COL', 'OPAQUE') AS unverified FROM hops")
 def graph_downstream_all(spark, sf_dir):
-    """graph_downstream from every order."""
-    start = table(spark, sf_dir, "orders").select(facts.name("orders", F.col("o_orderkey") % 30, F.col("o_orderkey")).alias("node"))
-    return graph.downstream(cut(facts.graph(spark, sf_dir), "graph"), start, 5, join_keys=True)
+    """graph_downstream, which starts from every order too; the name stays for its users."""
+    return graph_downstream(spark, sf_dir)
 
 
 @query(
@@ -137,22 +133,52 @@ def graph_table_level(spark, sf_dir):
 
 
 _HIDDEN = "('supplier0', 'supplier1', 'supplier2', 'customer3', 'nation2')"
+_LOST = "('orders0', 'orders7', 'supplier0', 'nation2')"
 _P = f"list_position({list(graph.PRECEDENCE)!r}, {{}})"
 
 
-@query(f"""WITH RECURSIVE {_GRAPH}, e AS (SELECT DISTINCT source, target, {_P.format("type")} AS p, {_REL.format("source")} IN {_HIDDEN} AS hs, {_REL.format("target")} IN {_HIDDEN} AS ht FROM g),
-w(source, target, p, ht) AS (SELECT source, target, p, ht FROM e WHERE NOT hs UNION SELECT w.source, e.target, least(w.p, e.p), e.ht FROM w JOIN e ON e.source = w.target AND e.hs WHERE w.ht),
-b AS (SELECT source, target, min(p) AS p FROM w WHERE NOT ht GROUP BY 1, 2), k AS (SELECT source, target, list_extract({list(graph.PRECEDENCE)!r}, CAST(p AS INT)) AS type FROM b)
-SELECT DISTINCT source, CASE WHEN type = 'FILTERS' THEN {_REL.format("target")} ELSE target END AS target, type FROM k WHERE source <> CASE WHEN type = 'FILTERS' THEN {_REL.format("target")} ELSE target END""")
+def _ways(hidden: str) -> str:
+    return f"""WITH RECURSIVE {_GRAPH}, e AS (SELECT DISTINCT source, target, {_P.format("type")} AS p, CASE WHEN type = 'FEEDS' THEN length(source) % 4 ELSE 0 END AS r,
+{_REL.format("source")} IN {hidden} AS hs, {_REL.format("target")} IN {hidden} AS ht FROM g),
+k AS (SELECT source AS via, target, p, r, ht FROM e WHERE hs UNION SELECT {_REL.format("source")}, target, p, r, ht FROM e WHERE hs),
+w(source, node, p, r, ht, q) AS (SELECT source, target, p, r, ht, p FROM e WHERE ht AND NOT hs
+UNION SELECT w.source, k.target, least(w.p, k.p), CASE WHEN least(w.p, k.p) = 6 THEN greatest(w.r, k.r) ELSE 0 END, k.ht, k.p FROM w JOIN k ON k.via = w.node WHERE w.ht)"""
+
+
+_LADDER = "['identity', 'derived', 'conditional', 'aggregated']"
+
+
+def _hidden(spark, names):
+    return spark.sql(f"SELECT relation FROM VALUES {names.replace(', ', '), (').replace('((', '(').replace('))', ')')} t(relation)")
+
+
+def _ranked(spark, sf_dir):
+    rank = F.element_at(F.array(*map(F.lit, texts.TRANSFORMS)), (F.length("source") % 4 + 1).cast("int"))
+    return facts.graph(spark, sf_dir).withColumn("transform", rank)
+
+
+@query(f"""{_ways(_HIDDEN)}, j AS (SELECT source, CASE WHEN p = 3 AND q <> 3 THEN {_REL.format("node")} ELSE node END AS target, p, max(r) AS r, true AS joined FROM w WHERE NOT ht GROUP BY 1, 2, 3
+UNION ALL SELECT source, target, p, r, false FROM e WHERE NOT hs AND NOT ht)
+SELECT source, target, list_extract({list(graph.PRECEDENCE)!r}, CAST(p AS INT)) AS type, list_extract({_LADDER}, CAST(r AS INT) + 1) AS transform, joined FROM j""")
 def graph_collapse(spark, sf_dir):
-    hidden = spark.sql(f"SELECT relation FROM VALUES {_HIDDEN.replace(', ', '), (').replace('((', '(').replace('))', ')')} t(relation)")
-    return graph.collapse(facts.graph(spark, sf_dir), hidden)
+    return graph.collapse(_ranked(spark, sf_dir), _hidden(spark, _HIDDEN))
+
+
+@query(f"""{_ways(_LOST)} SELECT {_REL.format("target")} AS card, list_extract({list(graph.PRECEDENCE)!r}, CAST(p AS INT)) AS type, {_REL.format("source")} AS hidden,
+string_agg(DISTINCT split_part(source, '.', 2), ',' ORDER BY split_part(source, '.', 2)) AS columns FROM e WHERE hs AND NOT ht AND source NOT IN (SELECT node FROM w WHERE ht) GROUP BY 1, 2, 3""")
+def graph_collapse_notes(spark, sf_dir):
+    return graph.collapse_notes(_ranked(spark, sf_dir), _hidden(spark, _LOST))
+
 
+_COMPONENTS = """WITH RECURSIVE e AS (SELECT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders UNION SELECT 'o' || o_orderkey, 'p' || o_orderpriority || o_orderkey % 60 FROM orders),
+d AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+w(node, r) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM d GROUP BY a
+UNION SELECT d.b, min(w.r) FROM w JOIN d ON d.a = w.node JOIN recurring.w AS o ON o.node = d.b WHERE w.r < o.r GROUP BY d.b) SELECT node, r AS component FROM w"""
 
-@query("""WITH RECURSIVE e AS (SELECT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders WHERE o_orderkey % 40 = 0 UNION SELECT 'o' || o_orderkey, 'p' || o_orderpriority || o_orderkey % 60 FROM orders WHERE o_orderkey % 40 = 0),
-d AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(node, r) AS (SELECT a, a FROM d UNION SELECT d.b, w.r FROM w JOIN d ON d.a = w.node) SELECT node, min(r) AS component FROM w GROUP BY 1""")
+
+@query(_COMPONENTS)
 def graph_components(spark, sf_dir):
-    return graph.components(_order_edges(table(spark, sf_dir, "orders").filter("o_orderkey % 40 = 0")))
+    return graph.components(_order_edges(table(spark, sf_dir, "orders")))
 
 
 def _order_edges(o: DataFrame) -> DataFrame:
@@ -160,12 +186,10 @@ def _order_edges(o: DataFrame) -> DataFrame:
     return o.select(s, F.concat(F.lit("c"), "o_custkey").alias("target")).unionByName(o.select(s, F.concat(F.lit("p"), "o_orderpriority", F.col("o_orderkey") % 60).alias("target")))
 
 
+@query(_COMPONENTS)
 def graph_components_all(spark, sf_dir):
-    """graph_components over every order."""
-    return graph.components(_order_edges(table(spark, sf_dir, "orders")))
-
-
-NO_SQL["graph_components_all"] = graph_components_all
+    """graph_components, which takes every order too; the name stays for its users."""
+    return graph_components(spark, sf_dir)
 
 
 # ---- measurement ----
@@ -346,8 +370,6 @@ r(unit, node, var, def_node) AS (SELECT f.unit, f.succ, g.var, g.node FROM g JOI
 UNION SELECT r.unit, f.succ, r.var, r.def_node FROM r JOIN f ON f.unit = r.unit AND f.node = r.node WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.unit = r.unit AND g.node = r.node AND g.var = r.var))
 SELECT unit, node, var, def_node, true AS converged FROM r""")
 def dataflow_reaching(spark, sf_dir):
-    from pyspark.sql import Window
-
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("unit"), F.col("o_orderkey").alias("node"), F.col("o_orderpriority").alias("var"))
     ahead = o.select("unit", "node", F.lead("node").over(Window.partitionBy("unit").orderBy("node")).alias("succ")).filter("succ IS NOT NULL")
     back = o.filter("unit % 3 = 0").groupBy("unit").agg(F.max("node").alias("node"), F.min("node").alias("succ"))
@@ -356,7 +378,7 @@ def dataflow_reaching(spark, sf_dir):
 
 @query("""WITH RECURSIVE s AS (SELECT a AS source, b AS target, min(r) AS rank FROM (SELECT 'n' || c_nationkey AS a, 'c' || c_custkey % 7 AS b, CAST(c_custkey % 4 AS INT) AS r FROM customer UNION ALL
 SELECT 'c' || c_custkey % 7, 's' || c_nationkey % 5, CAST((c_custkey + 1) % 4 AS INT) FROM customer UNION ALL SELECT 's' || c_nationkey % 5, 'z' || c_custkey % 3, CAST(c_custkey % 3 AS INT) FROM customer) GROUP BY 1, 2),
-p(source, target, rank, hops) AS (SELECT source, target, rank, 1 FROM s UNION SELECT p.source, s.target, greatest(p.rank, s.rank), p.hops + 1 FROM p JOIN s ON s.source = p.target WHERE p.hops < 8) SELECT source, target, min(rank) AS rank FROM p GROUP BY 1, 2""")
+p(source, target, rank) AS (SELECT source, target, rank FROM s UNION SELECT p.source, s.target, greatest(p.rank, s.rank) FROM p JOIN s ON s.source = p.target) SELECT source, target, min(rank) AS rank FROM p GROUP BY 1, 2""")
 def dataflow_call_transforms(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     k, n = F.col("c_custkey"), F.col("c_nationkey")
@@ -377,3 +399,232 @@ def text_shapes(spark, sf_dir):
     sql = F.format_string("select a -- event %d\nfrom t where k = %d and type = '%s' /* x */ and value > 1.5;", F.col("event_id"), F.col("user_id"), F.col("event_type"))
     df = table(spark, sf_dir, "events").select("event_id", sql.alias("sql"))
     return df.select("event_id", texts.statement_shape(F.col("sql")).alias("shape"), F.get(texts.literal_fragments(F.col("sql")), 0).alias("fragment"))
+
+
+# ---- statements and where knowledge stops ----
+
+_KNOWN = f"""st AS (SELECT 'st' || o_orderkey AS id, 'f' || o_custkey % 40 AS file, CAST(o_orderkey % 5 + 1 AS INT) AS line, CAST(o_orderkey % 5 + 3 AS INT) AS end_line, o_orderpriority AS kind,
+list_extract(['column_level', 'no_lineage', 'refused', 'partial', 'effect', NULL], CAST(o_orderkey % 6 AS INT) + 1) AS status, 'why' || o_orderkey % 3 AS reason, o_orderkey AS k FROM orders),
+touches AS (SELECT DISTINCT 'st' || l_orderkey AS statement, 'part' || l_partkey % 20 AS "table", CASE WHEN l_returnflag = 'R' THEN 'WRITES' ELSE 'READS' END AS mode FROM lineitem WHERE l_linenumber < 3 AND l_quantity < 40),
+acts AS (SELECT 'act' || l_orderkey || '-' || l_linenumber AS id, list_extract(['RESETS', 'DROPS', 'ALTERS'], CAST(l_partkey % 3 AS INT) + 1) AS type, 'part' || l_partkey % 20 AS "table", l_linestatus AS detail,
+'st' || l_orderkey AS statement FROM lineitem WHERE l_quantity > 49),
+refused AS (SELECT 'rf' || k AS id, 'E' || k % 4 AS code, file, line, reason, id AS statement FROM st WHERE status = 'refused'),
+mentions AS (SELECT DISTINCT 'rf' || l_orderkey AS refusal, 'st' || l_orderkey AS statement, 'part' || l_partkey % 20 AS "table" FROM lineitem WHERE l_quantity > 47),
+files AS (SELECT 'f' || c_custkey AS file, 'select a' || chr(10) || 'from part' || c_custkey || ' -- qty' || chr(10) || 'where Qty > 1;' || chr(10) || 'update t set x = "qty" + my_qty' || chr(10) || 'where qty = 3; ' || chr(10) || 'delete from u' AS text FROM customer WHERE c_custkey < 40),
+ed AS (SELECT g.*, 'st' || (length(source) * 7 + length(target)) AS statement, 'f' || length(source) % 40 AS file, CAST(length(target) % 5 + 1 AS INT) AS line FROM g)"""
+
+
+def _statements(spark, sf_dir):
+    k = F.col("o_orderkey")
+    status = F.get(F.array(*(F.lit(x) for x in ("column_level", "no_lineage", "refused", "partial", "effect", None))), (k % 6).cast("int"))
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("st"), k).alias("id"), F.concat(F.lit("f"), F.col("o_custkey") % 40).alias("file"), (k % 5 + 1).cast("int").alias("line"), (k % 5 + 3).cast("int").alias("end_line"),
+        F.col("o_orderpriority").alias("kind"), status.alias("status"), F.concat(F.lit("why"), k % 3).alias("reason"), k.alias("k"),
+    )
+
+
+def _part_table():
+    return F.concat(F.lit("part"), F.col("l_partkey") % 20).alias("table")
+
+
+def _of(prefix: str):
+    return F.concat(F.lit(prefix), "l_orderkey")
+
+
+def _touches(spark, sf_dir):
+    mode = F.when(F.col("l_returnflag") == "R", "WRITES").otherwise("READS")
+    return table(spark, sf_dir, "lineitem").filter("l_linenumber < 3 AND l_quantity < 40").select(_of("st").alias("statement"), _part_table(), mode.alias("mode")).distinct()
+
+
+def _acts(spark, sf_dir):
+    kind = F.get(F.array(F.lit("RESETS"), F.lit("DROPS"), F.lit("ALTERS")), (F.col("l_partkey") % 3).cast("int"))
+    li = table(spark, sf_dir, "lineitem").filter("l_quantity > 49")
+    return li.select(F.concat(F.lit("act"), "l_orderkey", F.lit("-"), "l_linenumber").alias("id"), kind.alias("type"), _part_table(), F.col("l_linestatus").alias("detail"), _of("st").alias("statement"))
+
+
+def _refused(spark, sf_dir):
+    st = _statements(spark, sf_dir).filter("status = 'refused'")
+    return st.select(F.concat(F.lit("rf"), "k").alias("id"), F.concat(F.lit("E"), F.col("k") % 4).alias("code"), "file", "line", "reason", F.col("id").alias("statement"))
+
+
+def _mentions(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").filter("l_quantity > 47").select(_of("rf").alias("refusal"), _of("st").alias("statement"), _part_table()).distinct()
+
+
+def _files(spark, sf_dir):
+    text = F.concat(F.lit("select a\nfrom part"), "c_custkey", F.lit(' -- qty\nwhere Qty > 1;\nupdate t set x = "qty" + my_qty\nwhere qty = 3; \ndelete from u'))
+    return table(spark, sf_dir, "customer").filter("c_custkey < 40").select(F.concat(F.lit("f"), "c_custkey").alias("file"), text.alias("text"))
+
+
+def _stated(spark, sf_dir):
+    n, m = F.length("source"), F.length("target")
+    return facts.graph(spark, sf_dir).withColumns({"statement": F.concat(F.lit("st"), n * 7 + m), "file": F.concat(F.lit("f"), n % 40), "line": (m % 5 + 1).cast("int")})
+
+
+def _names(spark, column, *values):
+    return spark.createDataFrame([(v,) for v in values], f"{column} string")
+
+
+@query(f"""WITH {_GRAPH}, {_KNOWN} SELECT id, type, "table", detail, statement FROM acts WHERE "table" IN ('part1', 'part7')""")
+def graph_effects(spark, sf_dir):
+    return knowledge.effects(_acts(spark, sf_dir), _names(spark, "table", "part1", "part7")).select("id", "type", "table", "detail", "statement")
+
+
+_LOUD = """SELECT id, file, line, end_line, kind, status, reason FROM st WHERE status NOT IN ('column_level', 'no_lineage') AND file IN {files} AND (
+id IN (SELECT statement FROM (SELECT statement, "table" FROM touches UNION ALL SELECT statement, "table" FROM acts UNION ALL SELECT statement, "table" FROM mentions) WHERE "table" IN {tables})
+OR id NOT IN (SELECT statement FROM touches UNION ALL SELECT statement FROM acts))"""
+_REFUSED = """SELECT id, code, file, line, reason, coalesce(tables, '') AS tables FROM refused LEFT JOIN
+(SELECT refusal, string_agg("table", ',' ORDER BY "table") AS tables, count(*) FILTER ("table" IN {tables}) AS n FROM mentions GROUP BY 1) ON refusal = id WHERE file IN {files} AND (n > 0 OR tables IS NULL)"""
+
+
+@query(f"WITH {_GRAPH}, {_KNOWN} " + _LOUD.format(files="('f1', 'f2', 'f3', 'f4')", tables="('part1', 'part7')"))
+def graph_statements(spark, sf_dir):
+    files, tables = _names(spark, "file", "f1", "f2", "f3", "f4"), _names(spark, "table", "part1", "part7")
+    return knowledge.statements(_statements(spark, sf_dir), _touches(spark, sf_dir), _acts(spark, sf_dir), _mentions(spark, sf_dir), files, tables)
+
+
+@query(f"WITH {_GRAPH}, {_KNOWN} " + _REFUSED.format(files="('f1', 'f2', 'f3', 'f4')", tables="('part1', 'part7')"))
+def graph_refusals(spark, sf_dir):
+    files, tables = _names(spark, "file", "f1", "f2", "f3", "f4"), _names(spark, "table", "part1", "part7")
+    return knowledge.refusals(_refused(spark, sf_dir), _mentions(spark, sf_dir), files, tables)
+
+
+@query(f"""WITH {_GRAPH}, {_KNOWN} SELECT id, type, source, target, ed.file, line, CASE WHEN text IS NOT NULL THEN array_to_string(list_slice(string_split(text, chr(10)), line, CASE WHEN line <= 3 THEN 3 WHEN line <= 5 THEN 5 ELSE 6 END), chr(10)) END AS sql
+FROM ed LEFT JOIN files ON files.file = ed.file WHERE type = 'FEEDS'""")
+def graph_explain_edge(spark, sf_dir):
+    e = cut(_stated(spark, sf_dir), "graph-stated")
+    return knowledge.explain_edges(e, _files(spark, sf_dir), e.filter("type = 'FEEDS'").select("id"))
+
+
+_CHANGED = "nation1.1"
+
+
+@query(f"""WITH {_GRAPH}, {_KNOWN}, ch AS (SELECT '{_CHANGED}' AS node), f AS (
+SELECT statement, 'reads' AS why FROM ed WHERE type IN ('FEEDS', 'INFLUENCES', 'FILTERS') AND source IN (SELECT node FROM ch) UNION SELECT statement, 'writes' FROM ed WHERE type IN ('FEEDS', 'INFLUENCES') AND target IN (SELECT node FROM ch)
+UNION SELECT statement, 'keys' FROM ed WHERE type = 'KEYS' AND source IN (SELECT node FROM ch) UNION SELECT statement, 'mentions' FROM ed WHERE type = 'MENTIONS_COL' AND source IN (SELECT node FROM ch) UNION SELECT statement, 'touches' FROM touches WHERE "table" = 'part1'),
+p AS (SELECT statement, max(why = 'reads') AS a, max(why = 'writes') AS b, max(why = 'keys') AS c, max(why = 'mentions') AS d FROM f GROUP BY 1),
+sh AS (SELECT statement, string_agg(DISTINCT "table", ',' ORDER BY "table") AS tables FROM touches WHERE mode = 'READS' AND "table" IN ('part3', 'part4') GROUP BY 1),
+x AS (SELECT p.*, st.file, st.line, CASE WHEN text IS NULL THEN '' WHEN st.line <= 3 THEN '3' ELSE CASE st.line WHEN 4 THEN '4,5' ELSE '5' END END AS lines, tables FROM p JOIN st ON st.id = p.statement LEFT JOIN files ON files.file = st.file LEFT JOIN sh ON sh.statement = p.statement),
+y AS (SELECT *, concat_ws(', ', CASE WHEN a THEN 'reads it' END, CASE WHEN b THEN 'writes it' END, CASE WHEN c THEN 'joins on it' END) AS told FROM x)
+SELECT statement, file, line, CASE WHEN told <> '' THEN told WHEN d THEN 'mentioned by refused SQL' ELSE 'names it, without lineage' || coalesce('; the name is also a column of ' || tables, '') END AS reason, told = '' AS possible, lines
+FROM y WHERE told <> '' OR d OR lines <> ''""")
+def graph_edit_list(spark, sf_dir):
+    changed = spark.createDataFrame([(_CHANGED, "qty")], "node string, name string")
+    columns = spark.createDataFrame([("part1", "qty"), ("part3", "QTY"), ("part4", "qty"), ("part5", "other")], "table string, name string")
+    return knowledge.edit_list(cut(_stated(spark, sf_dir), "graph-stated"), _touches(spark, sf_dir), columns, _statements(spark, sf_dir), _files(spark, sf_dir), changed, "part1")
+
+
+@query(f"""WITH {_GRAPH}, {_KNOWN} SELECT statement, string_agg(DISTINCT "table", ',' ORDER BY "table") AS tables FROM touches WHERE mode = 'READS' AND "table" IN ('part3', 'part4') GROUP BY 1""")
+def graph_shared_names(spark, sf_dir):
+    columns = spark.createDataFrame([("part1", "qty"), ("part3", "QTY"), ("part4", "qty"), ("part5", "other")], "table string, name string")
+    return knowledge.shared_names(_touches(spark, sf_dir), columns, _names(spark, "name", "Qty"), "part1")
+
+
+_BOUNDS = """bounds AS (SELECT 'b' || n_nationkey AS id, 'remote' AS kind, n_name AS subject, 'st' || (n_nationkey * 11 + 100) AS statement, 'nation' || n_nationkey % 5 || '.' || n_nationkey AS node FROM nation)"""
+
+
+@query(
+    _walk_sql("SELECT 'region0.1' AS node", True, 15, _WALKED)
+    + f""", {_KNOWN}, {_BOUNDS}, own AS (SELECT h.*, 'st' || (length(h.source) * 7 + length(h.target)) AS statement, 'f' || length(h.source) % 40 AS file FROM hops h),
+nodes AS (SELECT 'region0.1' AS node UNION SELECT source FROM own), tables AS (SELECT DISTINCT {_REL.format("node")} AS t FROM (SELECT node FROM nodes UNION SELECT target FROM own))
+SELECT 'boundary' AS what, id, statement AS about FROM bounds WHERE statement IN (SELECT statement FROM own) UNION SELECT 'boundary', id, NULL FROM bounds WHERE node IN (SELECT node FROM nodes)
+UNION SELECT 'unverified', id, target FROM own WHERE type IN ('MENTIONS_COL', 'OPAQUE') UNION SELECT 'effect', id, "table" FROM acts WHERE "table" IN (SELECT t FROM tables)
+UNION SELECT 'refusal', id, file FROM ("""
+    + _REFUSED.format(files="(SELECT file FROM own)", tables="(SELECT t FROM tables)")
+    + ") UNION SELECT 'statement', id, status FROM ("
+    + _LOUD.format(files="(SELECT file FROM own)", tables="(SELECT t FROM tables)")
+    + ")"
+)
+def graph_gaps(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    bounds = n.select(F.concat(F.lit("b"), k).alias("id"), F.lit("remote").alias("kind"), F.col("n_name").alias("subject"), F.concat(F.lit("st"), k * 11 + 100).alias("statement"), facts.name("nation", k % 5, k).alias("node"))
+    mentions = _mentions(spark, sf_dir)
+    return knowledge.gaps(cut(_stated(spark, sf_dir), "graph-stated"), "region0.1", bounds, _refused(spark, sf_dir), mentions, _acts(spark, sf_dir), _statements(spark, sf_dir), _touches(spark, sf_dir), mentions)
+
+
+# ---- more measurement ----
+
+
+@query("""WITH e AS (SELECT DISTINCT p_brand AS kind, upper(p_type) AS s FROM part WHERE p_size < 30), d AS (SELECT DISTINCT p_brand AS kind, upper(p_type) AS s FROM part WHERE p_size > 20)
+SELECT coalesce(e.kind, d.kind) AS kind, count(*) FILTER (e.s IS NOT NULL AND d.s IS NOT NULL) AS declared_n, count(*) FILTER (d.s IS NULL) AS missing, count(*) FILTER (e.s IS NULL) AS unexpected FROM e FULL JOIN d ON e.kind = d.kind AND e.s = d.s GROUP BY 1""")
+def measure_boundaries(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return measure.boundary_score(p.filter("p_size < 30").select(F.col("p_brand").alias("kind"), F.lower("p_type").alias("subject")), p.filter("p_size > 20").select(F.col("p_brand").alias("kind"), F.col("p_type").alias("subject")))
+
+
+@query("""WITH m AS (SELECT 'value precision' AS c, count(*) FILTER (l_discount < 0.1) / count(*) AS v FROM lineitem UNION ALL SELECT 'value recall', count(*) FILTER (l_tax > 0) / count(*) FROM lineitem UNION ALL SELECT 'edges from refused statements', count(*) FILTER (l_quantity > 1e6) FROM lineitem)
+SELECT g.c AS criterion, m.v AS value, CASE WHEN m.v IS NULL THEN 'PENDING' WHEN (g.least AND m.v >= g.b) OR (NOT g.least AND m.v <= g.b) THEN 'PASS' ELSE 'TRIGGERED' END AS verdict
+FROM (VALUES ('value precision', true, 0.95), ('value recall', true, 0.85), ('parse coverage', true, 0.7), ('edges from refused statements', false, 0)) g(c, least, b) LEFT JOIN m ON m.c = g.c""")
+def measure_kill_criteria(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    share = lambda name, p: li.agg((F.count(F.when(F.expr(p), 1)) / F.count("*")).alias("value")).select(F.lit(name).alias("criterion"), "value")
+    none = li.agg(F.count(F.when(F.col("l_quantity") > 1e6, 1)).cast("double").alias("value")).select(F.lit("edges from refused statements").alias("criterion"), "value")
+    return measure.kill_criteria(share("value precision", "l_discount < 0.1").unionByName(share("value recall", "l_tax > 0")).unionByName(none))
+
+
+@query("""WITH s AS (SELECT o_orderstatus AS unit, o_orderkey * 10 AS first FROM orders), f AS (SELECT o_orderstatus AS unit, l_orderkey * 10 AS first, l_linenumber AS n, l_returnflag AS r, l_quantity AS q FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber <= 4)
+SELECT unit, first, count(*) FILTER (r = 'A') AS n_missed, count(*) FILTER (r = 'R') AS n_spurious, count(*) FILTER (q > 45) AS n_forbidden FROM s JOIN f USING (unit, first) WHERE r IN ('A', 'R') OR q > 45 GROUP BY 1, 2""")
+def measure_triage(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    spans = o.select(F.col("o_orderstatus").alias("unit"), (F.col("o_orderkey") * 10).alias("first"), (F.col("o_orderkey") * 10 + 4).alias("last"))
+    li = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    at = lambda p: li.filter(p).select(F.col("o_orderstatus").alias("unit"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"))
+    return measure.triage(spans, at("l_returnflag = 'A'"), at("l_returnflag = 'R'"), at("l_quantity > 45"))
+
+
+@query("""WITH e AS (SELECT DISTINCT lower(l_returnflag) AS heading, l_partkey AS t, l_suppkey AS s FROM lineitem), r AS (SELECT DISTINCT l_partkey AS t, l_suppkey AS s FROM lineitem WHERE l_linestatus = 'F')
+SELECT heading, count(*) AS n, count(r.t) AS n_found, count(r.t) / count(*) AS recall FROM e LEFT JOIN r ON e.t = r.t AND e.s = r.s GROUP BY 1""")
+def measure_holdout(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    t, s = F.concat(F.lit("T.p"), "l_partkey").alias("target"), F.concat(F.lit("s"), "l_suppkey").alias("source")
+    return measure.holdout_recall(li.select(t, s, F.lower("l_returnflag").alias("heading")), li.filter("l_linestatus = 'F'").select(F.lower(t).alias("target"), F.upper(s).alias("source")))
+
+
+@query("""SELECT DISTINCT o_custkey AS question, o_orderpriority AS id FROM orders WHERE (o_custkey, o_orderpriority) NOT IN (SELECT (o_custkey, o_orderpriority) FROM orders WHERE o_orderstatus = 'F')""")
+def measure_ungrounded(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("question"), F.col("o_orderpriority").alias("id"), "o_orderstatus")
+    return measure.ungrounded(o.drop("o_orderstatus"), o.filter("o_orderstatus = 'F'"))
+
+
+@query("""WITH n AS (SELECT DISTINCT 't' || p_size || '.' || p_type AS node, p_type AS name FROM part WHERE NOT contains(p_type, '.')) SELECT name, count(*) AS n, string_agg(node, ',' ORDER BY node) AS nodes FROM n GROUP BY 1 HAVING count(*) > 1""")
+def measure_ambiguous(spark, sf_dir):
+    p = table(spark, sf_dir, "part").filter(~F.contains("p_type", F.lit(".")))
+    return measure.ambiguous(p.select(F.col("p_type").alias("name")), p.select(F.concat(F.lit("t"), "p_size", F.lit("."), "p_type").alias("node")))
+
+
+@query("""SELECT o_custkey AS question, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS statements FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 1000) GROUP BY 1""")
+def measure_coverage_gate(spark, sf_dir):
+    cited = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("question"), F.col("o_orderkey").alias("id"))
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").cast("string").alias("statement"))
+    return measure.coverage_gate(cited, edges, table(spark, sf_dir, "supplier").filter("s_acctbal < 1000").select(F.col("s_suppkey").cast("string").alias("statement")))
+
+
+_FLOW = """n AS (SELECT o_custkey AS unit, o_orderkey AS node, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS succ, lead(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS skip, o_orderpriority AS var, o_orderstatus AS st FROM orders),
+f AS (SELECT unit, node, succ FROM n WHERE succ IS NOT NULL UNION SELECT unit, node, skip FROM n WHERE skip IS NOT NULL AND node % 4 = 0), g AS (SELECT unit, node, var FROM n WHERE st <> 'O'),
+u(unit, node, var) AS (SELECT unit, e, var FROM g JOIN (SELECT unit, min(node) AS e FROM n GROUP BY 1) USING (unit)
+UNION SELECT u.unit, f.succ, u.var FROM u JOIN f ON f.unit = u.unit AND f.node = u.node WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.unit = u.unit AND g.node = u.node AND g.var = u.var))"""
+
+
+def _flow(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("unit"), F.col("o_orderkey").alias("node"), F.col("o_orderpriority").alias("var"), "o_orderstatus")
+    by = Window.partitionBy("unit").orderBy("node")
+    flow = o.select("unit", "node", F.lead("node").over(by).alias("succ"), F.lead("node", 2).over(by).alias("skip"))
+    flow = flow.filter("succ IS NOT NULL").select("unit", "node", "succ").unionByName(flow.filter("skip IS NOT NULL AND node % 4 = 0").select("unit", "node", F.col("skip").alias("succ"))).distinct()
+    return o, cut(flow, "flow"), o.groupBy("unit").agg(F.min("node").alias("node")), o.filter("o_orderstatus <> 'O'").select("unit", "node", "var")
+
+
+@query(f"WITH RECURSIVE {_FLOW} SELECT * FROM u")
+def dataflow_maybe_unassigned(spark, sf_dir):
+    _, flow, entry, gen = _flow(spark, sf_dir)
+    return dataflow.maybe_unassigned(flow, entry, gen)
+
+
+@query(f"""WITH RECURSIVE {_FLOW}, r(unit, node, var, d) AS (SELECT f.unit, f.succ, g.var, g.node FROM g JOIN f USING (unit, node)
+UNION SELECT r.unit, f.succ, r.var, r.d FROM r JOIN f ON f.unit = r.unit AND f.node = r.node WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.unit = r.unit AND g.node = r.node AND g.var = r.var)),
+x AS (SELECT unit, node, var, (unit, node, var) IN (SELECT (unit, node, var) FROM r) AS found, (unit, node, var) IN (SELECT (unit, node, var) FROM u) AS open FROM n WHERE var <> '5-LOW')
+SELECT unit, node, var, found AS partial FROM x WHERE NOT found OR open""")
+def dataflow_uninitialised(spark, sf_dir):
+    o, flow, entry, gen = _flow(spark, sf_dir)
+    parameters = o.select("unit").distinct().withColumn("var", F.lit("5-LOW"))
+    return dataflow.uninitialised_uses(flow, entry, gen, o.select("unit", "node", "var"), parameters)

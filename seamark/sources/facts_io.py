@@ -47,3 +47,29 @@ def nodes(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("source").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))
     label = F.when(F.contains("id", F.lit(".")), "Column").otherwise("Relation")
     return ends.groupBy("id").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out")).select("id", label.alias("label"), "n_in", "n_out")
+
+
+LABELS = "package STRING, source_sha256 STRING, source STRING, target STRING, flow STRING, transform STRING, phase STRING, band INT, guard STRING, unit STRING, line INT"
+
+
+def read_labels(spark: SparkSession, path: str, texts: DataFrame) -> DataFrame:
+    """Labels with pinned: whether texts(name, text) still has the package's text of the digest that they were made for."""
+    now = texts.select(F.col("name").alias("package"), F.sha2("text", 256).alias("now"))
+    df = read_json(spark, path, LABELS).join(now, "package", "left")
+    return df.withColumn("pinned", F.coalesce(F.col("source_sha256") == F.col("now"), F.lit(False))).drop("now")
+
+
+def write_csv(facts: DataFrame, path: str) -> None:
+    """A report with a header; arrays and maps as JSON, as CSV has no such values."""
+    plain = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name) for f in facts.schema.fields]
+    facts.select(*plain).write.option("header", "true").option("nullValue", "").csv(path)
+
+
+def write_markdown(facts: DataFrame, path: str) -> None:
+    """A report as rows of a Markdown table, bars and line feeds inside values escaped; each part file repeats the head."""
+    names = facts.columns
+    head = f"| {' | '.join(names)} |\n|{'---|' * len(names)}\n"
+    cell = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(c) for c in names)), F.lit(" |"))
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    facts.select(F.when(first, F.concat(F.lit(head), row)).otherwise(row).alias("value")).write.text(path)
