@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamark.llm.common import cut
+from seamark.operators.graph import connected
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 CROWD = 512
@@ -205,37 +206,6 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return out
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """edges(a, b), any orderable ids -> (id, root): root is the smallest id that id reaches. Only ids on some edge appear.
-
-    Alternating large-star and small-star: every node links its larger neighbours, then its smaller ones, to the smallest;
-    a hub sends one row for each neighbour and is never gathered. Each round is written and read back.
-    """
-    both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = cut(e, "components")
-
-    def star(pairs: DataFrame, larger: bool) -> DataFrame:
-        low = pairs.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("n"), F.least("a", "low").alias("low"))
-        out = pairs.join(low, F.col("a") == F.col("n"))
-        kept = out.filter("b > a" if larger else "b <= a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        own = low.select(F.col("n").alias("a"), F.col("low").alias("b"))
-        return (kept if larger else kept.unionByName(own)).filter("a <> b").distinct()
-
-    def told(e: DataFrame) -> tuple:
-        """Number of edges and a sum of their hashes: equal when a round changed nothing."""
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    state = told(e)
-    while True:
-        big = star(both(e), True)
-        new = cut(star(big, False), "components")
-        was, state = state, told(new)
-        if state == was:
-            return new.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(new.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
-        e = new
-
-
 def _components(docs: DataFrame, doc_id: str, text: str, crowd: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, fp) of each row; (fp, owner, root) of each fingerprint, root naming its component of fingerprints."""
     prints = cut(fingerprints(docs, doc_id, text), "simhash-prints")
