@@ -77,8 +77,9 @@ def prefixes(docs: DataFrame, wins: DataFrame, text: str = "text") -> tuple[Data
         table = _table(each, "sh")
         df = docs.select(words(F.lower(whole(text)), BETWEEN).alias("w"))
         seen = df.select(F.explode(F.concat(*(F.filter(shingles(F.col("w"), n), lambda h: _listed(table, h)) for n in sizes))).alias("sh"))
-        counts = seen.groupBy("sh").agg(F.count("*").alias("n"))
-        each = each.join(counts.join(each.select("sh").distinct(), "sh", "left_semi"), "sh", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        # A table of its own: it is broadcast if small, and else a plain exchange, so that a shingle of very many windows is split.
+        counts = cut(seen.groupBy("sh").agg(F.count("*").alias("n")).join(each.select("sh").distinct(), "sh", "left_semi"), "shingle-counts")
+        each = each.join(counts, "sh", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     else:
         each = each.withColumn("n", F.lit(0).cast("long"))
     chosen = each.groupBy("win_id", "k").agg(F.min(F.struct("n", "sh", "offset")).alias("b")).select("win_id", "k", "b.sh", "b.offset")
@@ -91,7 +92,7 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     every = cut(windows(items, size=size), "windows")
     wins = cut(every.select("win").distinct().withColumn("win_id", F.monotonically_increasing_id()), "window-ids")
     anchors, sizes = prefixes(docs, wins, text)
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.xxhash64(text).alias("text_hash"), F.col(doc_id).alias("doc_id"), tokens(text).alias("w"), words(F.lower(whole(text)), BETWEEN).alias("low"))
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.xxhash64(text).alias("text_hash"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), words(F.lower(whole(text)), BETWEEN).alias("low"))
     spots = F.array().cast("array<struct<pos:int,sh:bigint>>")
     if sizes:
         table = _table(anchors, "sh")
@@ -100,7 +101,9 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     # The words from size - 1 before the shingle's first to size - 1 after it.
     first = lambda x: F.greatest(x["pos"] - (size - 1), F.lit(0))
     around = lambda x: F.struct(x["pos"].alias("pos"), x["sh"].alias("sh"), first(x).alias("from"), F.transform(F.slice("w", first(x) + 1, x["pos"] - first(x) + size), ascii_lower).alias("ctx"))
-    found = base.select("rid", "text_hash", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode_outer(F.transform(spots, around)).alias("no", "s"))
+    # Most texts have no spot, and aren't split a second time for their words as written.
+    base = base.withColumn("spots", spots).withColumn("w", F.when(F.size("spots") > 0, tokens("text")))
+    found = base.select("rid", "text_hash", "doc_id", F.size("low").cast("long").alias("n_words"), F.posexplode_outer(F.transform("spots", around)).alias("no", "s"))
     found = cut(found, "spots")
     base = found.filter("no IS NULL OR no = 0").select("rid", "text_hash", "doc_id", "n_words")
     near = found.filter("no IS NOT NULL").select("rid", "s.*").join(anchors, "sh")
