@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamark.frames import cut, table
 
-__all__ = ["LOWER", "SPACE", "UPPER", "ascii_lower", "count", "cut", "held", "table", "whole", "words"]
+__all__ = ["LOWER", "SPACE", "UPPER", "ascii_lower", "count", "cut", "held", "table", "unwrapped", "whole", "words", "wrapped"]
 
 #: A word is a run of characters other than ASCII white space. Texts are split at what lies between words: Spark's split()
 #: takes an eighth of the time of regexp_extract_all() and regexp_count() here.
@@ -41,3 +41,14 @@ def held(column: Column) -> Column:
     lambda these would be worked out anew for each element.
     """
     return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
+def wrapped(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """docs as one struct column `doc` beside copies of some columns: names given later can't clash with the document's own."""
+    return docs.select(F.struct(*docs.columns).alias("doc"), *columns)
+
+
+def unwrapped(df: DataFrame, columns: list[str], new: dict[str, Column] | None = None) -> DataFrame:
+    """The document's columns again, some of them with new values."""
+    new = new or {}
+    return df.select(*(new[c].alias(c) if c in new else F.col("doc").getField(c).alias(c) for c in columns))

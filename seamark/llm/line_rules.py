@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.common import count, held, whole, words
+from seamark.llm.common import count, held, unwrapped, whole, words, wrapped
 
 SYMBOLS = r"[#*$%&|<>]"
 #: A run of two or more of these within a word is noise, not punctuation ("word***", "WORD!!").
@@ -110,8 +110,8 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns; text and n_chars are those of the kept lines."""
-    df = with_rules(docs, prefix="__q_").filter("__q_kept")
-    new = {"text": F.col("__q_clean_text")}
+    df = with_rules(wrapped(docs, "text"), prefix="q_").filter("q_kept")
+    new = {"text": F.col("q_clean_text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.char_length("__q_clean_text").cast("long")
-    return df.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.char_length("q_clean_text").cast("long")
+    return unwrapped(df, docs.columns, new)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamark.llm.common import cut, whole, words
+from seamark.llm.common import cut, whole, words, wrapped
 
 #: Weights by the order of the sources, repeating; most repetitions of a source; seed of the order of documents.
 WEIGHTS, MAX_EPOCHS, SEED = (1, 2, 3), 3, 20240607
@@ -103,7 +103,7 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_E
     A column of the input with one of these five names is called own_<name>.
     """
     planned = cut(plan(keyed(sizes(docs), seed, slices), weights, max_epochs, slices), "mix-plan")
-    df = docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "source", F.size(words(whole("text"))).cast("long").alias("size"))
+    df = wrapped(docs, "doc_id", "source", F.size(words(whole("text"))).cast("long").alias("size"))
     df = copies(keyed(df, seed, slices), planned).filter("copies > 0")
-    own = (F.col("__doc").getField(c).alias(f"own_{c}" if c in ADDED else c) for c in docs.columns)
+    own = (F.col("doc").getField(c).alias(f"own_{c}" if c in ADDED else c) for c in docs.columns)
     return df.select(*own, *ADDED)

@@ -23,7 +23,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.common import held, whole
+from seamark.llm.common import held, unwrapped, whole, wrapped
 
 #: Rules (fixed values): kind, expression, whether letters match in either case, group and its least length.
 BASE_RULES = (
@@ -189,8 +189,9 @@ def masked(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """All documents with all their columns; secrets in the text are masked, n_chars follows. A null text stays null."""
-    df = with_found(docs)
-    df = df.withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("__found"))))
+    df = with_found(wrapped(docs, "text"), name="found")
+    new = {"text": F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("found")))}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.size("__found") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return df.select(*docs.columns)
+        df = df.withColumn("clean", new["text"])
+        new = {"text": F.col("clean"), "n_chars": F.when(F.size("found") > 0, F.char_length("clean").cast("long")).otherwise(F.col("doc.n_chars"))}
+    return unwrapped(df, docs.columns, new)

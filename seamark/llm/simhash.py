@@ -7,7 +7,15 @@ third: ten keys of two segments find every pair, and the rest of the chain is ch
 
 A key shared by more than `crowd` fingerprints is not compared pair by pair: its members get finer keys, with m = 8 (chains
 begin with two equal segments, and two of the next three), then with all choices of 13 among 16 segments. The last leave 12
-bits free, so no group there exceeds 4096 fingerprints, whatever the input. Groups yield the edges of a forest, not pairs.
+bits free, so no group there exceeds 4096 fingerprints, whatever the input. Groups yield the edges of a forest, not pairs. LEVELS
+has the segments of each budget; tests hold them against all pairs.
+
+near_duplicates() links by one fingerprint of three-word shingles and 3 bits. representatives(), for a corpus, is to find texts
+of which five-word shingles agree to 0.8 or more. Such texts differ in about one word of 45, so in about 6 of 64 bits where
+the shingles are pairs of words, and in 10 where they are fives: a budget that finds most of them in one fingerprint would have
+keys too short for any index. So it takes PRINTS independent fingerprints of the set of word pairs, linked at PAIR_BITS bits, and
+texts are one group if any of their fingerprints are linked. A link is an estimate (4 bits say that nine in ten fives agree), and
+the recall is measured in the README; nothing is dropped to reach it.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated ids and rows keep a row each; a component's
 name is its smallest doc_id, a null id counting only where there is no other. An empty table gives no rows.
@@ -16,6 +24,7 @@ name is its smallest doc_id, a null id counting only where there is no other. An
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +33,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamark.llm.common import cut
+from seamark.llm.common import cut, unwrapped, wrapped
 from seamark.operators.graph import connected
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 CROWD = 512
+#: Fingerprints of word pairs for a corpus, and the bits in which linked ones may differ.
+PRINTS, PAIR_WORDS, PAIR_BITS = 4, 2, 4
+#: For each budget of bits, by level: segments; those, from the first of a chain, that must be equal; how many must be of which others.
+LEVELS = {
+    3: ((5, (0,), 1, (1, 2)), (8, (0, 1), 2, (2, 3, 4)), (16, (), 13, tuple(range(16)))),
+    4: ((7, (0,), 1, (1, 2)), (12, (0, 1), 4, (2, 3, 4, 5, 6, 7)), (16, (), 12, tuple(range(16)))),
+}
 
 
 def fingerprint(text: str | None) -> int:
@@ -49,6 +65,24 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def pair_prints(text: str | None, n: int = PRINTS, k: int = PAIR_WORDS) -> np.ndarray:
+    """n fingerprints of the set of a text's k-word shingles, each bit set if it is in over half of their hashes; no words: zeros."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(n, dtype=np.uint64)
+    k = min(k, len(words))
+    shingles = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
+    h = xxhash.xxh128_digest
+    ones = np.zeros((n + n % 2) * 64, dtype=np.int64)
+    part: list[bytes] = []
+    for i, x in enumerate(shingles, 1):
+        part += [h(x, SEED + s) for s in range((n + 1) // 2)]
+        if len(part) > 1 << 16 or i == len(shingles):
+            ones += np.unpackbits(np.frombuffer(b"".join(part), dtype=np.uint8).reshape(-1, len(ones) // 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            part.clear()
+    return np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)[:n]
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, fp), fp as a signed 64-bit integer; text_hash with the id tells rows apart that share the id."""
 
@@ -71,16 +105,12 @@ def _cuts(m: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
 
 
-def _masks(level: int) -> list[int]:
+def _masks(level: int, bits: int = MOST_BITS) -> list[int]:
     """The bits that a pair must share, for each key of a level."""
-    m = (5, 8, 16)[level]
+    m, first, n, others = LEVELS[bits][level]
     whole = [((1 << w) - 1) << s for s, w in _cuts(m)]
-    if level == 0:
-        kept = [(i, j) for i in range(m) for j in ((i + 1) % m, (i + 2) % m)]
-    elif level == 1:
-        kept = [(i, i + 1, *(i + d for d in pair)) for i in range(m) for pair in itertools.combinations((2, 3, 4), 2)]
-    else:
-        kept = [tuple(set(range(m)) - set(out)) for out in itertools.combinations(range(m), MOST_BITS)]
+    starts = range(m) if first else (0,)
+    kept = [(*(i + d for d in first), *(i + d for d in some)) for i in starts for some in itertools.combinations(others, n)]
     return [sum(whole[i % m] for i in segments) for segments in kept]
 
 
@@ -88,10 +118,11 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _keyed(prints: DataFrame, level: int) -> DataFrame:
-    """(no, key, fp): a row for each key of each fingerprint."""
-    masks = F.array(*(F.lit(_signed(m)).cast("long") for m in _masks(level)))
-    return prints.select("fp", F.posexplode(masks).alias("no", "mask")).select("no", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+def _keyed(prints: DataFrame, level: int, bits: int) -> DataFrame:
+    """(no, key, fp): a row for each key of each fingerprint; no counts the keys of all kinds of fingerprints."""
+    masks = F.array(*(F.lit(_signed(m)).cast("long") for m in _masks(level, bits)))
+    each = prints.select("kind", "fp", F.posexplode(masks).alias("no", "mask"))
+    return each.select((F.col("kind") * len(_masks(level, bits)) + F.col("no")).alias("no"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
 
 
 # ---- groups ----
@@ -101,28 +132,29 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def _chained(diff: np.ndarray, no: int, level: int) -> np.ndarray:
+def _chained(diff: np.ndarray, no: int, level: int, bits: int) -> np.ndarray:
     """Whether the pairs keep to the pigeonring's budgets along the chain of their key, then to the full distance."""
     ok = np.ones(diff.shape, dtype=bool)
-    if level < 2:
-        m, per = ((5, 2), (8, 3))[level]
-        start, total = no // per, np.zeros(diff.shape, dtype=np.int64)
+    m, first, n, others = LEVELS[bits][level]
+    if first:
+        per = math.comb(len(others), n)
+        start, total = no % (m * per) // per, np.zeros(diff.shape, dtype=np.int64)
         cuts = _cuts(m)
-        for n in range(1, m + 1):
-            s, w = cuts[(start + n - 1) % m]
+        for i in range(1, m + 1):
+            s, w = cuts[(start + i - 1) % m]
             total += _bits((diff >> np.uint64(s)) & np.uint64((1 << w) - 1))
-            ok &= total <= n * MOST_BITS // m
+            ok &= total <= i * bits // m
         return ok
-    return _bits(diff) <= MOST_BITS
+    return _bits(diff) <= bits
 
 
-def _forest(fps: np.ndarray, no: int, level: int) -> list[tuple[int, int]]:
+def _forest(fps: np.ndarray, no: int, level: int, bits: int) -> list[tuple[int, int]]:
     """Edges that join the fingerprints of one group as far as they are linked: one fewer than members at most."""
     n = len(fps)
     label = np.arange(n)
     edges = []
     for i in range(1, n):
-        near = np.flatnonzero(_chained(fps[:i] ^ fps[i], no, level))
+        near = np.flatnonzero(_chained(fps[:i] ^ fps[i], no, level, bits))
         for root in np.unique(label[near]):
             edges.append((i, int(near[np.argmax(label[near] == root)])))
         if len(near):
@@ -130,13 +162,18 @@ def _forest(fps: np.ndarray, no: int, level: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _edges(keyed: DataFrame, level: int, crowd: int) -> DataFrame:
-    """(a, b): links inside the groups of one key; b is null for the members of a crowd, which are to be keyed anew.
+def _edges(keyed: DataFrame, level: int, crowd: int, bits: int) -> DataFrame:
+    """(kind, a, b): links inside the groups of one key; b is null for the members of a crowd, which are to be keyed anew.
 
     Rows arrive sorted by key, so a group is a run of rows, which may go on in the next batch. A crowd is told apart as it
     passes and never gathered.
     """
 
+    per_kind = len(_masks(level, bits))
+
+    def told(no, a, b) -> pd.DataFrame:
+        return pd.DataFrame({"kind": np.asarray(no, dtype=np.int32) // per_kind, "a": a, "b": b})
+
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple | None = None  # (no, key)
         run: list[np.ndarray] = []
@@ -146,7 +183,8 @@ def _edges(keyed: DataFrame, level: int, crowd: int) -> DataFrame:
             if held is None or size < 2 or not run:
                 return []
             fps = np.concatenate(run)
-            return [np.array([(fps[i], fps[j]) for i, j in _forest(fps.view(np.uint64), held[0], level)], dtype=np.int64).reshape(-1, 2)]
+            found = np.array([(held[0], fps[i], fps[j]) for i, j in _forest(fps.view(np.uint64), held[0], level, bits)], dtype=np.int64)
+            return [found.reshape(-1, 3)]
 
         for b in batches:
             if not len(b):
@@ -160,8 +198,8 @@ def _edges(keyed: DataFrame, level: int, crowd: int) -> DataFrame:
             twos = starts[(ends - starts == 2) & (ends < len(b)) & ((starts > 0) | (not first))]
             for n in np.unique(no[twos]):
                 at = twos[no[twos] == n]
-                ok = _chained(fp[at].view(np.uint64) ^ fp[at + 1].view(np.uint64), int(n), level)
-                pairs.append(np.column_stack((fp[at][ok], fp[at + 1][ok])))
+                ok = _chained(fp[at].view(np.uint64) ^ fp[at + 1].view(np.uint64), int(n), level, bits)
+                pairs.append(np.column_stack((np.full(int(ok.sum()), n), fp[at][ok], fp[at + 1][ok])))
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 last = e == len(b)
                 if not (s == 0 and first):
@@ -175,32 +213,32 @@ def _edges(keyed: DataFrame, level: int, crowd: int) -> DataFrame:
                 size += e - s
                 run.append(fp[s:e])
                 if crowd and size > crowd:  # hand on what is held and all that follows
-                    members += run
+                    members += [(held[0], r) for r in run]
                     run = []
                 if not last:
                     pairs += close()
                     held, run, size = None, [], 0
             for p in pairs:
                 if len(p):
-                    yield pd.DataFrame({"a": p[:, 0], "b": pd.array(p[:, 1], dtype="Int64")})
-            for m in members:
-                yield pd.DataFrame({"a": m, "b": pd.array([None] * len(m), dtype="Int64")})
+                    yield told(p[:, 0], p[:, 1], pd.array(p[:, 2], dtype="Int64"))
+            for n, m in members:
+                yield told(np.full(len(m), n), m, pd.array([None] * len(m), dtype="Int64"))
         for p in close():
             if len(p):
-                yield pd.DataFrame({"a": p[:, 0], "b": pd.array(p[:, 1], dtype="Int64")})
+                yield told(p[:, 0], p[:, 1], pd.array(p[:, 2], dtype="Int64"))
 
     n = keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return keyed.repartition(int(n), "no", "key").sortWithinPartitions("no", "key", "fp").mapInPandas(each, "a long, b long")
+    return keyed.repartition(int(n), "no", "key").sortWithinPartitions("no", "key", "fp").mapInPandas(each, "kind int, a long, b long")
 
 
-def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """prints(fp), distinct -> (a, b): enough links between different fingerprints to connect all that are linked."""
+def links(prints: DataFrame, crowd: int = CROWD, bits: int = MOST_BITS) -> DataFrame:
+    """prints(kind, fp), distinct -> (kind, a, b): enough links between fingerprints of a kind to connect all that are linked."""
     out = None
     for level in range(3):
-        found = cut(_edges(_keyed(prints, level), level, crowd if level < 2 else 0), f"simhash-links-{level}")
+        found = cut(_edges(_keyed(prints, level, bits), level, crowd if level < 2 else 0, bits), f"simhash-links-{level}")
         own = found.filter("b IS NOT NULL")
         out = own if out is None else out.unionByName(own)
-        prints = found.filter("b IS NULL").select(F.col("a").alias("fp")).distinct()
+        prints = found.filter("b IS NULL").select("kind", F.col("a").alias("fp")).distinct()
         if prints.isEmpty():
             break
     return out
@@ -210,7 +248,7 @@ def _components(docs: DataFrame, doc_id: str, text: str, crowd: int) -> tuple[Da
     """(doc_id, text_hash, fp) of each row; (fp, owner, root) of each fingerprint, root naming its component of fingerprints."""
     prints = cut(fingerprints(docs, doc_id, text), "simhash-prints")
     owners = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("owner")), "simhash-owners")
-    found = connected(links(owners.select("fp"), crowd))
+    found = connected(links(owners.select(F.lit(0).alias("kind"), "fp"), crowd))
     return prints, owners.join(found, owners["fp"] == found["id"], "left").select("fp", "owner", F.coalesce("root", "fp").alias("root"))
 
 
@@ -227,18 +265,54 @@ def report(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def pair_groups(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text) -> (rows(doc_id, text_hash, unit), groups(unit, root)): unit stands for all fingerprints of a row.
+
+    Units and fingerprints are the nodes of one graph: a fingerprint is tied to those it is linked to, a unit to those of its
+    fingerprints that are linked or that other units have too. Units on no edge are groups of their own and not in groups.
+    """
+    fps = [f"f{i}" for i in range(PRINTS)]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = np.array([pair_prints(t) for t in b["text"]], dtype=np.uint64).reshape(-1, PRINTS).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], **{c: found[:, i] for i, c in enumerate(fps)}})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    rows = rows.mapInPandas(each, f"doc_id {kind}, text_hash long, {', '.join(f'{c} long' for c in fps)}")
+    rows = cut(rows.withColumn("unit", F.xxhash64(F.lit("unit"), *fps)), "pair-prints")
+    units = rows.groupBy("unit").agg(*(F.first(c).alias(c) for c in fps))
+    nodes = units.select("unit", F.posexplode(F.array(*fps)).alias("kind", "fp"))
+    nodes = cut(nodes.withColumn("node", F.xxhash64("kind", "fp")), "pair-nodes")
+    found = cut(links(nodes.select("kind", "fp").distinct(), crowd, PAIR_BITS).select(F.xxhash64("kind", "a").alias("a"), F.xxhash64("kind", "b").alias("b")), "pair-links")
+    linked = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node")))
+    shared = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
+    active = linked.unionByName(shared).distinct()
+    ties = nodes.join(active, "node", "left_semi").select(F.col("unit").alias("a"), F.col("node").alias("b"))
+    roots = connected(found.unionByName(ties)).withColumnRenamed("id", "unit")
+    return rows, roots.join(units.select("unit"), "unit", "left_semi")
+
+
 def representatives(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest doc_id, a row without id only where no other is.
+    """One row of each group of near duplicates, with all its columns: that of the smallest doc_id, a row without id only where no
+    other is. Rows of a group that share that id go by a hash of the text; of rows equal in both, one stays, by a hash of all columns.
 
-    Rows of a component that share that id go by a hash of the text; of rows equal in both, one stays, by a hash of all columns.
+    Texts without words are one group. An empty table gives no rows.
     """
-    prints, named = _components(docs, "doc_id", "text", crowd)
-    # The best row of each fingerprint first: then a fingerprint that a third of all rows share is one row in the join.
+    rows, groups = pair_groups(docs, crowd)
+    # The best row of each unit first: then texts that a third of all rows share are one row in the join.
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))).alias("best")
-    per = prints.groupBy(F.col("fp").alias("of")).agg(best)
-    kept = named.join(per, named["fp"] == per["of"]).groupBy("root").agg(F.min("best").alias("best"))
+    per = rows.groupBy("unit").agg(best)
+    kept = per.join(groups, "unit", "left").groupBy(F.coalesce("root", "unit").alias("root")).agg(F.min("best").alias("best"))
     kept = kept.select(F.col("best.id").alias("__id"), F.col("best.h").alias("__h"))
-    own = docs.withColumn("__own", F.xxhash64("text"))
-    own = own.join(kept, own["doc_id"].eqNullSafe(kept["__id"]) & (own["__own"] == kept["__h"]), "left_semi")
-    first = Window.partitionBy("doc_id", "__own").orderBy(F.xxhash64(*docs.columns))
-    return own.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*docs.columns)
+    often = rows.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).agg(F.count("*").alias("__n"))
+    kept = kept.join(often, kept["__id"].eqNullSafe(often["id"]) & (kept["__h"] == often["h"])).select("__id", "__h", "__n")
+    # Written once, so that Spark sends the documents through an exchange only where the kept ids are too many to broadcast.
+    kept = cut(kept, "representatives")
+    own = wrapped(docs, "doc_id", "text").withColumn("own", F.xxhash64("text"))
+    own = own.join(kept, own["doc_id"].eqNullSafe(kept["__id"]) & (own["own"] == kept["__h"]))
+    # Only rows with an id and a text that others have too are sorted.
+    first = Window.partitionBy("doc_id", "own").orderBy(F.xxhash64("doc"))
+    some = own.filter("__n > 1").withColumn("row", F.row_number().over(first)).filter("row = 1")
+    return unwrapped(own.filter("__n = 1"), docs.columns).unionByName(unwrapped(some, docs.columns))

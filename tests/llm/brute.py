@@ -74,8 +74,29 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * ones[b] > len(shingles))
 
 
-def components(prints):
-    """prints: {doc_id: fingerprint} -> {doc_id: smallest reachable}."""
+def pair_prints(text, n=4, k=2):
+    w = WORD.findall(ascii_lower(text))
+    if not w:
+        return (0,) * n
+    k = min(k, len(w))
+    shingles = {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)}
+    ones = [0] * (64 * n)
+    for s in shingles:
+        data = b"".join(xxhash.xxh128(s.encode(), seed=42 + j).digest() for j in range((n + 1) // 2))
+        for b in range(64 * n):
+            ones[b] += data[b // 8] >> b % 8 & 1
+    return tuple(sum(1 << b for b in range(64) if 2 * ones[64 * i + b] > len(shingles)) for i in range(n))
+
+
+def near(a, b, bits=3):
+    """Whether fingerprints, or any of several in turn, differ in so few bits."""
+    if isinstance(a, tuple):
+        return any((x ^ y).bit_count() <= bits for x, y in zip(a, b, strict=True))
+    return (a ^ b).bit_count() <= bits
+
+
+def components(prints, bits=3):
+    """prints: {doc_id: fingerprint, or several} -> {doc_id: smallest reachable}."""
     ids, own = sorted(prints), {}
     for i in ids:
         if i in own:
@@ -84,7 +105,7 @@ def components(prints):
         while todo:
             a = todo.pop()
             for b in ids:
-                if b not in own and (prints[a] ^ prints[b]).bit_count() <= 3:
+                if b not in own and near(prints[a], prints[b], bits):
                     own[b] = i
                     todo.append(b)
     return own

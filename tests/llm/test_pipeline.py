@@ -36,8 +36,8 @@ def test_quality_stage(stages):
 
 
 def test_dedup_stage(stages):
-    prints = {r.doc_id: brute.fingerprint(r.text) for r in stages[1].collect() if r.doc_id is not None}
-    assert {r.doc_id for r in stages[2].collect()} == {*brute.components(prints).values(), None}
+    prints = {r.doc_id: brute.pair_prints(r.text) for r in stages[1].collect() if r.doc_id is not None}
+    assert {r.doc_id for r in stages[2].collect()} == {*brute.components(prints, 4).values(), None}
     assert 90010 in prints and not {90011, 90012} & {r.doc_id for r in stages[2].collect()}
 
 
@@ -72,3 +72,16 @@ def test_mixing_stage(stages):
 def test_run(spark):
     out = registry.queries()["pipeline"](spark, SMALL)
     assert out.count() > 20 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_empty_tables_clashing_columns_and_repeats(spark, stages):
+    few = stages[0].limit(30)
+    odd = few.unionByName(few).withColumns({"size": F.lit("own"), "__n": F.lit("own"), "__own": F.lit(1), "win": F.lit(None).cast("string"), "unit": F.lit("own"), "doc": F.lit("own"), "found": F.lit("own"), "q_kept": F.lit("own")})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, stages[0].limit(0), SMALL).count() == 0, name
+        out = stage(spark, odd, SMALL)
+        own = [("own_size" if c == "size" and name == "mixing sources" else c) for c in odd.columns]
+        assert out.columns[: len(own)] == own
+        plain = stage(spark, few.unionByName(few), SMALL)
+        assert out.count() == plain.count() > 0, name
+        assert all(r["__n"] == r.unit == r.doc == r.found == r.q_kept == "own" for r in out.collect())

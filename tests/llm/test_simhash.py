@@ -17,38 +17,75 @@ def test_fingerprints(spark):
     assert got == {i: brute.fingerprint(t) for i, t in rows}
 
 
-@pytest.mark.parametrize("crowd", [2, 8, 512])
-def test_components_of_crowds(spark, crowd):
-    rnd = random.Random(crowd)
-    prints = {0}
-    for _ in range(6):
-        base = rnd.getrandbits(64)
-        for _ in range(40):
-            prints.add(base ^ sum(1 << b for b in set(rnd.choices(range(64), k=rnd.randint(0, 6)))))
-    byid = dict(enumerate(sorted(prints, key=lambda x: rnd.random())))
-    want = brute.components(byid)
-    ids = {p: i for i, p in byid.items()}
+@pytest.mark.parametrize("crowd,bits", [(2, 3), (8, 3), (512, 3), (2, 4), (8, 4), (512, 4)])
+def test_components_of_crowds(spark, crowd, bits):
+    """Two kinds of fingerprints at once, in crowds that reach each level of keys; links never cross kinds."""
+    rnd = random.Random(crowd * 10 + bits)
+    prints = [(0, 0), (1, 0)]
+    for kind in (0, 1):
+        for _ in range(4):
+            base = rnd.getrandbits(64)
+            for _ in range(30):
+                prints.append((kind, base ^ sum(1 << b for b in set(rnd.choices(range(64), k=rnd.randint(0, 7))))))
+    prints = sorted(set(prints))
+    byid = {kind: {i: fp for i, (k, fp) in enumerate(prints) if k == kind} for kind in (0, 1)}
+    want = brute.components(byid[0], bits) | brute.components(byid[1], bits)
+    ids = {p: i for i, p in enumerate(prints)}
     signed = lambda x: x - 2**64 if x >> 63 else x
-    df = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
-    found = simhash.links(df, crowd)
-    own = {i: i for i in byid}
+    df = spark.createDataFrame([(k, signed(p)) for k, p in prints], "kind int, fp long")
+    own = {i: i for i in want}
 
     def root(x):
         while own[x] != x:
             x = own[x]
         return x
 
-    n = 0
-    for r in found.collect():
+    for r in simhash.links(df, crowd, bits).collect():
         a, b = r.a & (2**64 - 1), r.b & (2**64 - 1)
-        assert (a ^ b).bit_count() <= 3
-        x, y = sorted((root(ids[a]), root(ids[b])))
+        assert (a ^ b).bit_count() <= bits
+        x, y = sorted((root(ids[r.kind, a]), root(ids[r.kind, b])))
         own[y] = x
-        n += 1
-    assert {i: root(i) for i in byid} == want
+    assert {i: root(i) for i in want} == want
     assert len(set(want.values())) < len(want)
 
 
+@pytest.mark.parametrize("bits", [3, 4])
+def test_every_pair_in_the_budget_shares_a_key(bits):
+    rnd = random.Random(1)
+    for level in range(3):
+        masks = simhash._masks(level, bits)
+        for _ in range(3000):
+            diff = sum(1 << b for b in rnd.sample(range(64), bits))
+            assert any(diff & m == 0 for m in masks)
+
+
+def test_pair_prints():
+    texts = [None, "", " \t", "One", "one two", "Élan\x0bB C d e", "a b c a b c a b c", "w " * 50_000, " ".join(f"v{i}" for i in range(40_000))]
+    assert [tuple(int(x) for x in simhash.pair_prints(t)) for t in texts[:-1]] == [brute.pair_prints(t) for t in texts[:-1]]
+    assert tuple(int(x) for x in simhash.pair_prints(texts[-1])) == brute.pair_prints(texts[-1])
+
+
+def test_near_copies_of_a_corpus(spark):
+    """Texts with a word in 60 changed are one group, also through each other; texts of other words, and reordered ones, aren't."""
+    rnd = random.Random(2)
+    rows, groups = [], {}
+    for g in range(12):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(240)]
+        for c in range(5):
+            w = list(base)
+            for at in rnd.sample(range(240), 2):
+                w[at] = f"x{g}y{c}z{at}"
+            rows.append((100 * g + c, " ".join(w)))
+            groups[100 * g + c] = 100 * g
+        w = list(base)
+        rnd.shuffle(w)
+        rows.append((100 * g + 50, " ".join(w)))
+    kept = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute.components({i: brute.pair_prints(t) for i, t in rows}, 4)
+    assert kept == set(want.values())
+    assert all(100 * g + 50 in kept for g in range(12)) and sum(want[i] == g for i, g in groups.items()) >= 0.9 * len(groups)
+
+
 def test_connected(spark):
     rnd = random.Random(5)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(1, 50)]
@@ -75,5 +112,8 @@ def test_near_duplicates(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, exp))
     kept = simhash.representatives(df)
     assert kept.columns == df.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(i) for i in set(want.values())] + ["None"])
-    assert simhash.report(df.limit(0)).count() == 0
+    groups = brute.components({r.doc_id: brute.pair_prints(r.text) for r in rows if r.doc_id is not None}, simhash.PAIR_BITS)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(i) for i in set(groups.values())] + ["None"])
+    again = simhash.representatives(df.unionByName(df), crowd=2)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, kept.collect()))
+    assert simhash.report(df.limit(0)).count() == simhash.representatives(df.limit(0)).count() == 0
