@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seamark.frames import cut
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -79,9 +81,8 @@ def join_anti(t):
 
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT CASE WHEN l_quantity > 10 THEN l_partkey ELSE 0 END FROM lineitem)")
 def join_null_aware_anti(t):
-    t.part.createOrReplaceTempView("seamark_part")
-    t.lineitem.createOrReplaceTempView("seamark_lineitem")
-    return t.spark.sql("SELECT p_partkey FROM seamark_part WHERE p_partkey NOT IN (SELECT CASE WHEN l_quantity > 10 THEN l_partkey ELSE 0 END FROM seamark_lineitem)")
+    """NOT IN is null-aware only in SQL; the tables are named for this statement alone."""
+    return t.spark.sql("SELECT p_partkey FROM {p} WHERE p_partkey NOT IN (SELECT CASE WHEN l_quantity > 10 THEN l_partkey ELSE 0 END FROM {li})", p=t.part, li=t.lineitem)
 
 
 @query("SELECT r_name, count(*) AS n FROM region, nation WHERE n_nationkey > r_regionkey * 4 GROUP BY 1")
@@ -537,3 +538,142 @@ def join_pre_aggregated(t):
     s = t.supplier.groupBy("s_nationkey").agg(F.count("*").alias("ns"))
     df = t.nation.join(o, F.col("n_nationkey") == F.col("c_nationkey"), "left").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left")
     return df.select("n_nationkey", F.coalesce("no", F.lit(0)).alias("n_orders"), F.coalesce("ns", F.lit(0)).alias("n_suppliers"))
+
+
+# ---- samples, casts, structs, named parts of a statement ----
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 4) AS INT) < 6554")
+def sample_rows(t):
+    """A tenth of the rows by a digest of their key: the same rows whatever the partitions, which sample() doesn't promise."""
+    share = F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 4), 16, 10).cast("int")
+    return t.orders.filter(share < 6554).select("o_orderkey", "o_totalprice")
+
+
+@query("""SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INT) AS k, CAST(value AS VARCHAR) = CAST(CAST(CAST(value AS VARCHAR) AS DOUBLE) AS VARCHAR) AS same, CAST(value AS DECIMAL(12, 2)) AS amount, CAST(ts AS DATE) AS day, try_cast(event_type AS INT) AS no_number FROM events""")
+def casts(t):
+    k = F.expr("try_cast(get_json_object(props, '$.k') AS INT)")
+    text = F.col("value").cast("string")
+    return t.events.select("event_id", k.alias("k"), (text == text.cast("double").cast("string")).alias("same"), F.col("value").cast("decimal(12,2)").alias("amount"), F.col("ts").cast("date").alias("day"), F.expr("try_cast(event_type AS INT)").alias("no_number"))
+
+
+@query("SELECT c_custkey, c_name AS name, c_acctbal AS balance, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0")
+def whole_row(t):
+    """A row as one value that is joined, filtered by a field, and taken apart again."""
+    c = t.customer.select(F.struct("*").alias("c")).join(t.nation.select(F.struct("*").alias("n")), F.col("c.c_nationkey") == F.col("n.n_nationkey"))
+    return c.filter("c.c_acctbal > 0").select("c.c_custkey", F.col("c.c_name").alias("name"), F.col("c.c_acctbal").alias("balance"), F.col("n.n_name").alias("nation"))
+
+
+@query("SELECT s.*, n_name FROM supplier s JOIN nation ON s_nationkey = n_nationkey")
+def select_star(t):
+    return t.supplier.alias("s").join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s.*", "n_name")
+
+
+@query("""SELECT o_orderkey, sum(o_totalprice) OVER w AS running, count(*) OVER w AS n, row_number() OVER v AS place FROM orders
+WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), v AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)""")
+def window_named(t):
+    """Two windows, each defined once and used where it is needed."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    v = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return t.orders.select("o_orderkey", F.sum("o_totalprice").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("running"), F.count("*").over(w).alias("n"), F.row_number().over(v).alias("place"))
+
+
+@query("""WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY 1), mean AS (SELECT avg(total) AS m FROM spent)
+SELECT o_custkey, round(total, 2) AS total FROM spent, mean WHERE total > m""")
+def with_tables(t):
+    """A named table that two others use; the mean is one row."""
+    spent = t.orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"))
+    mean = spent.agg(F.avg("total").alias("m"))
+    return spent.join(F.broadcast(mean), F.col("total") > F.col("m")).select("o_custkey", F.round("total", 2).alias("total"))
+
+
+@query("""SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) ON o_custkey = c_custkey AND r <= 2""")
+def join_ranked(t):
+    """A rank that cuts inside the join's condition: customers without orders stay."""
+    r = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    return t.customer.join(t.orders.withColumn("r", r).filter("r <= 2"), F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT o_custkey, count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
+def create_table_as(t):
+    """A query's result, written as a table and read again."""
+    made = cut(t.orders.filter("o_orderstatus = 'F'").select("o_custkey", "o_orderpriority").distinct(), "created")
+    return made.groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
+@query("""(SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT (SELECT c_custkey FROM customer WHERE c_acctbal < 0 UNION SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')) UNION ALL (SELECT * FROM (VALUES (-1), (-2)) v(k) INTERSECT SELECT -1)""")
+def set_nested(t):
+    """Arms of set operations that are set operations, and VALUES."""
+    c = t.customer
+    poor = c.filter("c_acctbal < 0").select("c_custkey").union(c.filter("c_mktsegment = 'BUILDING'").select("c_custkey")).distinct()
+    values = t.spark.createDataFrame([(-1,), (-2,)], "k long")
+    return t.orders.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")).subtract(poor).union(values.intersect(values.filter("k = -1")))
+
+
+@query("SELECT s_suppkey, s_name AS name, CAST(s_nationkey AS BIGINT) AS nation, 2 AS n FROM supplier")
+def xml_paths(t):
+    doc = F.concat(F.lit("<s><name>"), "s_name", F.lit("</name><at nation='"), "s_nationkey", F.lit("'/><at/></s>"))
+    x = t.supplier.select("s_suppkey", doc.alias("x"))
+    return x.select("s_suppkey", F.xpath_string("x", F.lit("s/name")).alias("name"), F.xpath_long("x", F.lit("s/at[1]/@nation")).alias("nation"), F.xpath_int("x", F.lit("count(s/at)")).alias("n"))
+
+
+@query("""SELECT p_partkey, coalesce(nullif(p_brand, 'Brand#1'), 'none') AS brand, greatest(p_size, 10) AS at_least, CASE WHEN p_size % 2 = 0 THEN 'even' WHEN p_size > 25 THEN 'large' END AS kind,
+p_size BETWEEN 10 AND 20 AS mid, p_type LIKE '%A%' AS has_a, p_size IN (1, 5, 9) AS listed, p_name IS DISTINCT FROM p_type AS differs FROM part""")
+def conditionals(t):
+    p = F.col
+    kind = F.when(p("p_size") % 2 == 0, "even").when(p("p_size") > 25, "large")
+    return t.part.select("p_partkey", F.coalesce(F.nullif("p_brand", F.lit("Brand#1")), F.lit("none")).alias("brand"), F.greatest("p_size", F.lit(10)).alias("at_least"), kind.alias("kind"), p("p_size").between(10, 20).alias("mid"), p("p_type").like("%A%").alias("has_a"), p("p_size").isin(1, 5, 9).alias("listed"), (~p("p_name").eqNullSafe(p("p_type"))).alias("differs"))
+
+
+@query("""SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS any_p, NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice <= 1000) AS all_dear,
+(SELECT string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) FROM orders WHERE o_custkey = c_custkey) AS priorities FROM customer""")
+def subquery_quantified(t):
+    """ANY, ALL and ARRAY over a customer's orders: one grouping and one join."""
+    o = t.orders.groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "P").alias("p"), F.bool_and(F.col("o_totalprice") > 1000).alias("d"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("priorities"))
+    return t.customer.join(o, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", F.coalesce("p", F.lit(False)).alias("any_p"), F.coalesce("d", F.lit(True)).alias("all_dear"), "priorities")
+
+
+@query("""SELECT o_orderpriority, quantile_cont(o_totalprice, 0.25) AS q1, median(o_totalprice) AS med, min(o_orderstatus) AS least, count(DISTINCT o_custkey) AS customers, stddev_samp(o_totalprice) AS sd, corr(o_totalprice, o_custkey) AS c, bool_or(o_totalprice > 400000) AS any_dear FROM orders GROUP BY 1""")
+def agg_statistics(t):
+    o = F.col("o_totalprice")
+    return t.orders.groupBy("o_orderpriority").agg(F.percentile(o, F.lit(0.25)).alias("q1"), F.median(o).alias("med"), F.min("o_orderstatus").alias("least"), F.countDistinct("o_custkey").alias("customers"), F.stddev_samp(o).alias("sd"), F.corr("o_totalprice", "o_custkey").alias("c"), F.bool_or(o > 400000).alias("any_dear"))
+
+
+@query("""SELECT p_partkey, (p_partkey * 7) % 13 AS m, round(sqrt(p_retailprice), 6) AS root, floor(p_retailprice / 3) AS f, ceil(p_retailprice / 3) AS c, sign(p_size - 25) AS s, bit_count(p_partkey) AS bits, p_partkey & 6 AS masked, round(ln(p_retailprice), 6) AS l, round(pi() * p_size, 4) AS area FROM part""")
+def scalar_math(t):
+    p = F.col
+    return t.part.select("p_partkey", ((p("p_partkey") * 7) % 13).alias("m"), F.round(F.sqrt("p_retailprice"), 6).alias("root"), F.floor(p("p_retailprice") / 3).cast("double").alias("f"), F.ceil(p("p_retailprice") / 3).cast("double").alias("c"), F.signum(p("p_size") - 25).alias("s"), F.bit_count("p_partkey").alias("bits"), p("p_partkey").bitwiseAND(6).alias("masked"), F.round(F.log("p_retailprice"), 6).alias("l"), F.round(F.pi() * p("p_size"), 4).alias("area"))
+
+
+@query("""SELECT p_partkey, reverse(p_name) AS r, left(p_name, 3) AS l, right(p_name, 2) AS e, lpad(CAST(p_size AS VARCHAR), 5, '0') AS padded, position('a' IN p_name) AS at, upper(p_name) AS u, length(p_name) AS n, repeat('x', p_size % 4) AS x, translate(p_name, 'abc', 'xyz') AS t, split_part(p_type, ' ', 1) AS head, starts_with(p_name, 'a') AS a, md5(p_name) AS digest, concat_ws('-', p_brand, p_size) AS joined FROM part""")
+def scalar_strings(t):
+    p = F.col
+    return t.part.select(
+        "p_partkey", F.reverse("p_name").alias("r"), F.left("p_name", F.lit(3)).alias("l"), F.right("p_name", F.lit(2)).alias("e"), F.lpad(p("p_size").cast("string"), 5, "0").alias("padded"), F.instr("p_name", "a").alias("at"), F.upper("p_name").alias("u"),
+        F.length("p_name").alias("n"), F.repeat(F.lit("x"), p("p_size") % 4).alias("x"), F.translate("p_name", "abc", "xyz").alias("t"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("head"), p("p_name").startswith("a").alias("a"), F.md5("p_name").alias("digest"), F.concat_ws("-", "p_brand", "p_size").alias("joined"),
+    )
+
+
+@query("""SELECT event_id, date_trunc('month', ts) AS month, extract(dow FROM ts) AS dow, extract(quarter FROM ts) AS quarter, CAST(ts AS DATE) + INTERVAL 10 DAY AS later, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS days, last_day(CAST(ts AS DATE)) AS month_end, strftime(ts, '%Y/%m/%d %H:%M') AS told FROM events""")
+def scalar_times(t):
+    day = F.to_date("ts")
+    return t.events.select(
+        "event_id", F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month"), (F.dayofweek("ts") - 1).alias("dow"), F.quarter("ts").alias("quarter"), F.date_add(day, 10).cast("timestamp_ntz").alias("later"),
+        F.datediff(day, F.lit("2024-01-01").cast("date")).alias("days"), F.last_day(day).alias("month_end"), F.date_format("ts", "yyyy/MM/dd HH:mm").alias("told"),
+    )
+
+
+@query("""WITH a AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS k FROM orders GROUP BY 1) SELECT o_custkey, len(k) AS n, k[1] AS first, list_contains(k, 7) AS has_7, list_sum(list_filter(k, lambda x: x % 2 = 0)) AS evens, list_sum(list_transform(k, lambda x: x * 2)) AS doubled, k[2:3] AS part, list_max(k) AS top FROM a""")
+def array_lambdas(t):
+    a = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))
+    even = F.filter("k", lambda x: x % 2 == 0)
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
+    return a.select("o_custkey", F.size("k").alias("n"), F.get("k", 0).alias("first"), F.array_contains("k", 7).alias("has_7"), F.when(F.size(even) > 0, total(even)).alias("evens"), total(F.transform("k", lambda x: x * 2)).alias("doubled"), F.slice("k", 2, 2).alias("part"), F.array_max("k").alias("top"))
+
+
+@query("""WITH w AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 4 > 0), e AS (SELECT o_orderkey, o_custkey FROM orders)
+SELECT o_custkey, o_orderkey, count(l_linenumber) AS n FROM e LEFT JOIN w ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING count(l_linenumber) = 0""")
+def exchange_partition(t):
+    """A table of orders' lines whose partition of every fourth order was exchanged for an empty one: orders that lost all lines."""
+    left = t.lineitem.withColumn("part", F.col("l_orderkey") % 4).filter("part <> 0")
+    return t.orders.join(left, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_custkey", "o_orderkey", F.lit(0).cast("long").alias("n"))

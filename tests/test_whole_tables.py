@@ -1,4 +1,4 @@
-"""Queries over all rows of their tables: brute force where there is no SQL."""
+"""Queries over all rows of their tables, against brute force too."""
 
 import __spark_entry__ as e
 from pyspark.sql import functions as F
