@@ -1,11 +1,14 @@
 """Quality rules, line first: judge each line, drop the failing ones, then reject documents that lose too much.
 
 Null text counts as the empty text (no words: rejected). Rows are judged one by one, so repeated rows, null or
-repeated ids and further columns of any name change nothing; an empty table gives an empty result.
+repeated ids and further columns of any name change nothing; an empty table gives an empty result. Texts are read whole; a
+text is as many lines as it has line feeds and one more, and of equal lines each is judged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +19,24 @@ SYMBOLS = r"[#*$%&|<>]"
 NOISE_RUN = r"[#*$%&!?=~^_]{2,}"
 #: Marks between the entries of a menu.
 SEPARATOR = "[|»«•·›‹→]"
-#: Phrases of page furniture, in lower case (fixed values).
+#: Marks that end a sentence or a clause; a long line without any is a list of words, not prose.
+SENTENCE = "[.!?…。;:]"
+#: Phrases of page furniture, in lower case (fixed values): English, French, German, Spanish.
 BOILERPLATE = (
     "all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|we use cookies|accept (?:all )?cookies"
     "|subscribe to our|sign up for our|click here to|skip to (?:main )?content|follow us on|share this (?:article|page|post)"
     "|powered by|log ?in to|javascript is (?:disabled|required)"
+    "|tous droits réservés|politique de confidentialité|mentions légales|conditions d'utilisation|nous utilisons des cookies|abonnez-vous à|cliquez ici pour|suivez-nous sur"
+    "|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|wir verwenden cookies|zum inhalt springen|newsletter abonnieren|hier klicken|folgen sie uns"
+    "|todos los derechos reservados|política de privacidad|aviso legal|condiciones de uso|utilizamos cookies|suscríbete a|haz clic aquí|síguenos en"
 )
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A line fails with more than this share of noisy words, or of separators to words.
 MAX_NOISY, MAX_SEPARATORS = 0.3, 0.2
 #: A boilerplate phrase condemns lines of so many words at most; longer ones are prose that mentions it.
 BOILERPLATE_WORDS = 25
+#: A line of so many words is prose and has to have a mark of SENTENCE.
+PROSE_WORDS = 20
 #: A document is rejected when its kept lines hold less than this share of its word characters.
 MIN_KEPT = 0.5
 
@@ -52,20 +62,24 @@ def judged(text: Column) -> Column:
     )
 
 
-def line_fails(x: Column) -> Column:
-    """Whether a judged line is noise, a menu or page furniture. Lines without a word never fail."""
-    noisy = x["noise"] > MAX_NOISY * x["n"]
-    menu = (x["marks"] >= 3) & (x["marks"] > MAX_SEPARATORS * x["n"])
-    furniture = (x["n"] <= BOILERPLATE_WORDS) & F.lower(x["line"]).rlike(BOILERPLATE)
-    return (x["n"] > 0) & (noisy | menu | furniture)
+def line_fails(x: Column, phrases: str = BOILERPLATE, max_noisy: float = MAX_NOISY, max_separators: float = MAX_SEPARATORS, prose_words: int = PROSE_WORDS) -> Column:
+    """Whether a judged line fails for its punctuation (noise, or none at all), as a menu, or as page furniture.
+
+    Lines without a word never fail.
+    """
+    noisy = x["noise"] > max_noisy * x["n"]
+    unmarked = (x["n"] >= prose_words) & ~x["line"].rlike(SENTENCE)
+    menu = (x["marks"] >= 3) & (x["marks"] > max_separators * x["n"])
+    furniture = (x["n"] <= BOILERPLATE_WORDS) & F.lower(x["line"]).rlike(phrases)
+    return (x["n"] > 0) & (noisy | unmarked | menu | furniture)
 
 
 #: What with_rules adds.
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text")
 
 
-def with_rules(docs: DataFrame, text: str = "text", prefix: str = "__") -> DataFrame:
-    """docs with {prefix}n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, clean_text added."""
+def with_rules(docs: DataFrame, text: str = "text", prefix: str = "__", fails: Callable[[Column], Column] = line_fails, min_kept: float = MIN_KEPT) -> DataFrame:
+    """`fails` judges a line of judged(). docs with {prefix}n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, clean_text added."""
     p = prefix
     t = whole(text)
     df = docs.withColumns({f"{p}w": words(t), f"{p}lines": judged(t)})
@@ -76,7 +90,7 @@ def with_rules(docs: DataFrame, text: str = "text", prefix: str = "__") -> DataF
             f"{p}word_chars": F.char_length(F.array_join(w, "")).cast("long"),
             f"{p}n_symbols": count(t, SYMBOLS).cast("long"),
             f"{p}full": F.transform(F.filter(lines, lambda x: x["n"] > 0), lambda x: x["line"]),
-            f"{p}good": F.transform(F.filter(lines, lambda x: ~line_fails(x)), lambda x: x["line"]),
+            f"{p}good": F.transform(F.filter(lines, lambda x: ~fails(x)), lambda x: x["line"]),
             f"{p}h": F.when(
                 F.size(w) >= 3,
                 F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))),
@@ -97,14 +111,14 @@ def with_rules(docs: DataFrame, text: str = "text", prefix: str = "__") -> DataF
         (F.col(f"{p}n_words") < MIN_WORDS) | (100 * F.col(f"{p}n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{p}n_words")),
     )
     left = F.char_length(F.regexp_replace(F.col(f"{p}clean_text"), r"[\x20\x09-\x0D]+", ""))
-    df = df.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (left >= MIN_KEPT * F.col(f"{p}word_chars")))
+    df = df.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (left >= min_kept * F.col(f"{p}word_chars")))
     df = df.withColumns({f"{p}{c}": held(F.col(f"{p}{c}")) for c in ADDED})
     return df.drop(*(f"{p}{x}" for x in ("w", "lines", "full", "good", "h", "s")))
 
 
-def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fails: Callable[[Column], Column] = line_fails, min_kept: float = MIN_KEPT) -> DataFrame:
     """One row per row of docs: its id, counts, verdict and the text without the failing lines."""
-    df = with_rules(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")), "__text")
+    df = with_rules(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")), "__text", fails=fails, min_kept=min_kept)
     return df.select("doc_id", *(F.col(f"__{x}").alias(x) for x in ADDED))
 
 

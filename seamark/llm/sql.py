@@ -110,7 +110,7 @@ def _quality_rules() -> str:
     again AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM windows JOIN often USING (doc_id, win), (SELECT unnest([0, 1, 2]) AS d) GROUP BY doc_id),
     lines AS (SELECT doc_id, x, len({_words("x")}) AS n, {_count("x", r.NOISE_RUN)} AS noise, {_count("x", r.SEPARATOR)} AS marks
               FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM docs)),
-    judged AS (SELECT *, n > 0 AND (noise > {r.MAX_NOISY} * n OR (marks >= 3 AND marks > {r.MAX_SEPARATORS} * n)
+    judged AS (SELECT *, n > 0 AND (noise > {r.MAX_NOISY} * n OR (n >= {r.PROSE_WORDS} AND NOT regexp_matches(x, {_q(r.SENTENCE)})) OR (marks >= 3 AND marks > {r.MAX_SEPARATORS} * n)
                OR (n <= {r.BOILERPLATE_WORDS} AND regexp_matches(lower(x), {_q(r.BOILERPLATE)}))) AS fails FROM lines),
     per AS (SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT x) FILTER (n > 0) AS dup,
             coalesce(sum(length(regexp_replace(x, {_q(SPACE)}, '', 'g'))) FILTER (NOT fails), 0) AS left_chars FROM judged GROUP BY doc_id),

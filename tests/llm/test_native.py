@@ -71,6 +71,11 @@ def test_quality_rules_verdict(spark):
     rows = {r.doc_id: r for r in line_rules.quality_rules(spark.createDataFrame([(1, good), (2, menu), (3, noise), (4, good + "\nHome | About | News | Contact")], "doc_id long, text string")).collect()}
     assert [rows[i].kept for i in (1, 2, 3, 4)] == [True, False, False, True]
     assert rows[4].clean_text == good
+    foreign = ["Alle Rechte vorbehalten", "Nous utilisons des cookies", "Síguenos en la red", "word " * 25, "a short heading"]
+    df = spark.createDataFrame([(1, "\n".join([good, *foreign]))], "doc_id long, text string")
+    assert line_rules.quality_rules(df).first().clean_text == f"{good}\na short heading"
+    own = line_rules.quality_rules(df, fails=lambda x: line_rules.line_fails(x, phrases="heading", prose_words=1000), min_kept=0.99).first()
+    assert own.clean_text == "\n".join([good, *foreign[:4]]) and not own.kept
 
 
 def test_decontamination_equals_brute_force(spark, docs):
