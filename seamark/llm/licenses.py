@@ -4,8 +4,9 @@ The canonical form drops copyright lines, lowers case, takes equivalent spelling
 or digit to single spaces. Whole texts are looked up; so is each line that speaks of a licence, as a text of its own, since
 notices are single lines.
 
-Null and empty texts have the empty canonical form, which matches nothing. Rows are told apart by where they are read, so
-repeated ids and rows keep a result each. Of known licences with one digest the first id in code point order is reported.
+Null and empty texts have the empty canonical form, which matches nothing. Rows are judged one by one, so repeated ids and rows
+keep a result each. Of known licences with one digest the first id in code point order is reported. Texts and lines of any
+length are taken whole. Further columns, of any name, are left away; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -105,13 +106,14 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: tup
     n_lines counts the lines that are a known notice, line_licenses their distinct ids, sorted and comma-joined.
     """
     t = whole(text)
-    lines = F.when(F.lower(t).rlike(SPOKEN), F.filter(F.split(t, "\n", -1), lambda x: F.lower(x).rlike(SPOKEN)))
-    df = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), digest(t).alias("digest"), lines.alias("lines"))
-    units = F.concat(F.array(F.struct(F.lit(True).alias("is_whole"), F.col("digest").alias("d"))), F.coalesce(F.transform("lines", lambda x: F.struct(F.lit(False).alias("is_whole"), digest(x).alias("d"))), F.array().cast("array<struct<is_whole:boolean,d:string>>")))
-    df = df.select("rid", "doc_id", "digest", F.explode(units).alias("u"))
-    # The known digests are a fixed list, a few dozen rows.
-    df = df.join(F.broadcast(known_digests(docs.sparkSession, known)), F.col("u.d") == F.col("known_digest"), "left")
-    own = F.when(F.col("u.is_whole"), F.col("license_id"))
-    line = F.when(~F.col("u.is_whole"), F.col("license_id"))
-    out = df.groupBy("rid", "doc_id", "digest").agg(F.max(own).alias("license_id"), F.count(line).alias("n_lines"), F.array_join(F.array_sort(F.collect_set(line)), ",").alias("line_licenses"))
-    return out.drop("rid")
+    table = known_digests(docs.sparkSession, known)
+    # The known digests are a fixed list, a few dozen rows: texts are joined to it, lines look it up where they stand.
+    listed = table.collect()
+    ids = F.map_from_arrays(F.array(*(F.lit(r.known_digest) for r in listed)), F.array(*(F.lit(r.license_id) for r in listed)))
+    spoken = F.when(F.lower(t).rlike(SPOKEN), F.filter(F.split(t, "\n", -1), lambda x: F.lower(x).rlike(SPOKEN))).otherwise(F.array().cast("array<string>"))
+    df = docs.select(F.col(doc_id).alias("doc_id"), digest(t).alias("digest"), spoken.alias("lines"))
+    found = F.array_compact(F.transform("lines", lambda x: F.element_at(ids, digest(x))))
+    df = df.withColumn("found", F.when(F.size("lines") > 0, found).otherwise(F.col("lines")))
+    df = df.join(F.broadcast(table), F.col("digest") == F.col("known_digest"), "left")
+    n_lines, names = F.size("found").cast("long"), F.array_join(F.array_sort(F.array_distinct("found")), ",")
+    return df.select("doc_id", "digest", "license_id", n_lines.alias("n_lines"), names.alias("line_licenses"))

@@ -24,3 +24,11 @@ def test_query(spark):
         found = [notices[x] for x in d.text.split("\n") if x in notices]
         assert got[d.doc_id] == (len(found), ",".join(sorted(set(found))))
     assert sum(n for n, _ in got.values()) > 5
+
+
+def test_edges(spark):
+    rows = [(1, None), (1, None), (None, ""), (2, "word " * 600_000), (3, "Released under the MIT License.\nx\nreleased UNDER the mit licence\nSPDX-License-Identifier: Apache-2.0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("digest", "lines", "license_id", "known_digest")})
+    got = licenses.scan(df).collect()
+    assert [(r.doc_id, r.license_id, r.n_lines, r.line_licenses) for r in got] == [(1, None, 0, ""), (1, None, 0, ""), (None, None, 0, ""), (2, None, 0, ""), (3, None, 3, "Apache-2.0,MIT")]
+    assert licenses.scan(df.limit(0)).count() == 0
