@@ -1,6 +1,9 @@
 """Training-data pipeline over documents: STAGES, each (name, function of (spark, docs, sf_dir)), and run().
 
-Every stage takes all that the one before kept. Clean documents pass all filters.
+Every stage takes all that the one before kept. Clean documents pass all filters. What holds for all stages: a null text is the
+empty one; rows are judged one by one, also with null or repeated ids, but that near-dedup keeps one row of a group; texts are
+read whole, however long; an empty table gives an empty one; columns of any name are kept as they are, but for text and n_chars
+where a stage changes the text, and own_<name> where the mix has a column of that name itself. Ties are told by each operator.
 """
 
 from __future__ import annotations
@@ -17,17 +20,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: the smallest id's, a null id only where there is no other."""
     return simhash.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
+    """Documents with a window of a benchmark item go; all rows of one id and text, or none."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are masked; no document goes."""
+    """Secrets in texts are masked; no document goes, and a null text stays null."""
     return secrets.redact(docs)
 
 
