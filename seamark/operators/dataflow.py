@@ -16,17 +16,16 @@ def reaching_definitions(flow: DataFrame, gen: DataFrame, cap: int = CAP) -> Dat
     A definition leaves its node and goes on until a node defines the variable again. Each round moves only what the last
     one found new, and is written out; after `cap` rounds converged is false.
     """
-    flow, gen = flow.distinct(), cut(gen.distinct(), "dataflow-gen")
-    own = gen.select("unit", "node", "var", F.col("node").alias("def_node"))
+    flow, gen = cut(flow.distinct(), "dataflow-flow"), cut(gen.distinct(), "dataflow-gen")
+    reached = Grown(flow.sparkSession, "dataflow-reached")
     step = lambda out: out.join(flow, ["unit", "node"]).select("unit", F.col("succ").alias("node"), "var", "def_node").distinct()
-    reached = new = cut(step(own), "dataflow-reached")
+    new = reached.add(step(gen.select("unit", "node", "var", F.col("node").alias("def_node"))))
     for _ in range(cap):
         through = new.join(gen, ["unit", "node", "var"], "left_anti")
-        new = cut(step(through).join(reached, ["unit", "node", "var", "def_node"], "left_anti"), "dataflow-new")
+        new = reached.add(step(through).join(reached.all(), ["unit", "node", "var", "def_node"], "left_anti"))
         if new.isEmpty():
-            return reached.withColumn("converged", F.lit(True))
-        reached = cut(reached.unionByName(new), "dataflow-reached")
-    return reached.withColumn("converged", F.lit(False))
+            return reached.all().withColumn("converged", F.lit(True))
+    return reached.all().withColumn("converged", F.lit(False))
 
 
 def call_transforms(steps: DataFrame) -> DataFrame:

@@ -247,3 +247,36 @@ def components(edges: DataFrame) -> DataFrame:
     named = connected(pairs).select(F.col("id").alias("node"), F.col("root").alias("component"))
     alone = pairs.filter("a = b").select(F.col("a").alias("node")).distinct().join(named, "node", "left_anti")
     return named.unionByName(alone.select("node", F.col("node").alias("component")))
+
+
+def reachable(edges: DataFrame, pairs: DataFrame, types: tuple = WALKED) -> DataFrame:
+    """pairs(source, target) -> (source, target, hops): the fewest hops of the types from one to the other, null where there are none.
+
+    All sources walk at once; a source goes on from a node once.
+    """
+    spark = edges.sparkSession
+    steps = cut(edges.filter(F.col("type").isin(*types)).select(F.col("source").alias("node"), F.col("target").alias("to")).dropna().distinct(), "reach-steps")
+    pairs = cut(pairs.select("source", "target").dropna().distinct(), "reach-pairs")
+    seen = Grown(spark, "reach-seen")
+    new = seen.add(pairs.select("source", F.col("source").alias("node")).distinct().withColumn("hops", F.lit(0)))
+    hop = 0
+    while not new.isEmpty():
+        hop += 1
+        ahead = new.join(steps, "node").select("source", F.col("to").alias("node")).distinct()
+        new = seen.add(ahead.join(seen.all().select("source", "node"), ["source", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+    return pairs.join(seen.all().withColumnRenamed("node", "target"), ["source", "target"], "left")
+
+
+def renamed(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """edges with both ends of a renamed relation under its new name; names(old, new), one new name for each old one."""
+    for end in ("source", "target"):
+        to = names.select(F.col("old").alias("__old"), F.col("new").alias("__new"))
+        edges = edges.join(to, relation(F.col(end)) == F.col("__old"), "left")
+        rest = F.substring(F.col(end), F.length("__old") + 1, F.length(end))
+        edges = edges.withColumn(end, F.when(F.col("__new").isNotNull(), F.concat(F.col("__new"), rest)).otherwise(F.col(end))).drop("__old", "__new")
+    return edges
+
+
+def snapshot(edges: DataFrame) -> DataFrame:
+    """(type, n, n_sources, n_targets, first, last) of each type of edge: what two builds of one graph are compared by."""
+    return edges.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"), F.countDistinct("target").alias("n_targets"), F.min("id").alias("first"), F.max("id").alias("last"))

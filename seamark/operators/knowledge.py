@@ -92,6 +92,20 @@ def shared_names(touches: DataFrame, columns: DataFrame, names: DataFrame, subje
     return read.groupBy("statement").agg(F.array_join(F.array_sort(F.collect_set("table")), ",").alias("tables"))
 
 
+def statement_tables(touches: DataFrame) -> DataFrame:
+    """(statement, reads, writes): the tables of each statement, sorted and comma-joined."""
+    names = lambda mode: F.array_join(F.array_sort(F.collect_set(F.when(F.col("mode") == mode, F.col("table")))), ",")
+    return touches.groupBy("statement").agg(names("READS").alias("reads"), names("WRITES").alias("writes"))
+
+
+def edge_context(edges: DataFrame, files: DataFrame, around: int = 1) -> DataFrame:
+    """edges(id, file, line) -> (id, first, lines): the line of each edge with so many before and after it, as far as the file goes."""
+    out = edges.join(files.select("file", F.split("text", r"\r?\n", -1).alias("all")), "file")
+    first = F.greatest(F.col("line") - around, F.lit(1))
+    lines = F.array_join(F.slice("all", first, F.col("line") + around - first + 1), "\n")
+    return out.filter("line BETWEEN 1 AND size(all)").select("id", first.alias("first"), lines.alias("lines"))
+
+
 #: What a statement has to do with a column that changes (fixed values), in the order in which they are told.
 REASONS = {"reads": "reads it", "writes": "writes it", "keys": "joins on it"}
 

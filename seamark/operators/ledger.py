@@ -58,3 +58,9 @@ def fusion_hazards(writes: DataFrame, reads: DataFrame) -> DataFrame:
     df = w.groupBy("relation").agg(F.count("*").alias("n_writers")).join(r.groupBy("relation").agg(F.count("*").alias("n_readers")), "relation")
     df = df.join(foreign, "relation", "left").filter("n_writers >= 2 OR n_foreign > 0")
     return df.select("relation", "n_writers", "n_readers")
+
+
+def summary(ledger: DataFrame) -> DataFrame:
+    """ledger(file, status) -> (file, status, n, share): statements of each status, a null one as unclassified, and their share of the file."""
+    per = ledger.groupBy("file", F.coalesce("status", F.lit("unclassified")).alias("status")).agg(F.count("*").alias("n"))
+    return per.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("file")))

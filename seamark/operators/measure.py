@@ -216,3 +216,16 @@ def coverage_gate(cited: DataFrame, edges: DataFrame, partial: DataFrame) -> Dat
 def emitters(units: DataFrame, fragments) -> DataFrame:
     """units(unit, text), a column function of texts -> (unit, fragment): the literal fragments that each unit emits."""
     return units.select("unit", F.explode(fragments(F.col("text"))).alias("fragment")).distinct()
+
+
+def met_targets(scores: DataFrame, targets: DataFrame) -> DataFrame:
+    """scores(band, flow, precision, recall), targets(band, flow, precision, recall) -> (band, flow, met): null where nothing was scored."""
+    t = targets.select("band", "flow", F.col("precision").alias("p"), F.col("recall").alias("r"))
+    met = (F.col("precision") >= F.col("p")) & (F.col("recall") >= F.col("r"))
+    return t.join(scores.select("band", "flow", "precision", "recall"), ["band", "flow"], "left").select("band", "flow", met.alias("met"))
+
+
+def equal_spellings(statements: DataFrame, shape) -> DataFrame:
+    """statements(id, text), a column function of texts -> (shape, n, first, last) of shapes that several statements have."""
+    per = statements.select("id", shape(F.col("text")).alias("shape")).filter("shape IS NOT NULL")
+    return per.groupBy("shape").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last")).filter("n > 1")

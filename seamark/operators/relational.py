@@ -6,12 +6,13 @@ hash like equal keys; as-of picks come from one sort of the union of both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seamark.frames import cut
+from seamark.frames import cut, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -677,3 +678,19 @@ def exchange_partition(t):
     """A table of orders' lines whose partition of every fourth order was exchanged for an empty one: orders that lost all lines."""
     left = t.lineitem.withColumn("part", F.col("l_orderkey") % 4).filter("part <> 0")
     return t.orders.join(left, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_custkey", "o_orderkey", F.lit(0).cast("long").alias("n"))
+
+
+@query("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def copy_file(t):
+    """Rows copied to CSV files in the shared folder and from there, with their types."""
+    path = f"{shared_dir(t.spark)}/copied-{uuid.uuid4().hex}"
+    o = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice")
+    o.write.option("header", "true").csv(path)
+    back = t.spark.read.schema(o.schema).option("header", "true").option("mode", "FAILFAST").csv(path)
+    return back.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT 'nation.parquet' AS file, count(*) AS n, min(n_name) AS first FROM nation")
+def system_columns(t):
+    """The file that each row was read from."""
+    return t.nation.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"), F.min("n_name").alias("first"))

@@ -628,3 +628,63 @@ def dataflow_uninitialised(spark, sf_dir):
     o, flow, entry, gen = _flow(spark, sf_dir)
     parameters = o.select("unit").distinct().withColumn("var", F.lit("5-LOW"))
     return dataflow.uninitialised_uses(flow, entry, gen, o.select("unit", "node", "var"), parameters)
+
+
+@query(f"""WITH RECURSIVE {_GRAPH}, p AS (SELECT DISTINCT source FROM g WHERE type = 'FEEDS' AND source LIKE 'customer%'), q AS (SELECT p.source, 'region0.' || r_regionkey AS target FROM p, region),
+w(source, node, hops) AS (SELECT source, source, 0 FROM p UNION SELECT w.source, g.target, w.hops + 1 FROM w JOIN g ON g.source = w.node AND g.type IN ('FEEDS', 'INFLUENCES') WHERE w.hops < 20)
+SELECT q.source, q.target, min(w.hops) AS hops FROM q LEFT JOIN w ON w.source = q.source AND w.node = q.target GROUP BY 1, 2""")
+def graph_reachable(spark, sf_dir):
+    g = cut(facts.graph(spark, sf_dir), "graph")
+    ends = table(spark, sf_dir, "region").select(F.concat(F.lit("region0."), "r_regionkey").alias("target"))
+    pairs = g.filter("type = 'FEEDS' AND source LIKE 'customer%'").select("source").distinct().join(F.broadcast(ends), F.lit(True))  # each customer to the regions
+    return graph.reachable(g, pairs)
+
+
+@query(f"""WITH {_GRAPH}, n(o, w) AS (VALUES ('supplier0', 'vendor'), ('nation2', 'country.x')), r AS (SELECT type,
+CASE WHEN a.w IS NOT NULL THEN a.w || substr(source, length(a.o) + 1) ELSE source END AS source, CASE WHEN b.w IS NOT NULL THEN b.w || substr(target, length(b.o) + 1) ELSE target END AS target
+FROM g LEFT JOIN n a ON a.o = {_REL.format("source")} LEFT JOIN n b ON b.o = {_REL.format("target")}) SELECT * FROM r""")
+def graph_renamed(spark, sf_dir):
+    names = spark.createDataFrame([("supplier0", "vendor"), ("nation2", "country.x")], "old string, new string")
+    return graph.renamed(facts.graph(spark, sf_dir), names).select("type", "source", "target")
+
+
+@query(f"WITH {_GRAPH} SELECT type, count(*) AS n, count(DISTINCT source) AS n_sources, count(DISTINCT target) AS n_targets, min(id) AS first, max(id) AS last FROM g GROUP BY 1")
+def graph_snapshot(spark, sf_dir):
+    return graph.snapshot(facts.graph(spark, sf_dir))
+
+
+@query(f"""WITH {_GRAPH}, {_KNOWN} SELECT id, type, source, target FROM ed WHERE file IN ('f3', 'f12')""")
+def graph_file_edges(spark, sf_dir):
+    return _stated(spark, sf_dir).join(_names(spark, "file", "f3", "f12"), "file", "left_semi").select("id", "type", "source", "target")
+
+
+@query(f"""WITH {_GRAPH}, {_KNOWN} SELECT statement, coalesce(string_agg(DISTINCT "table", ',' ORDER BY "table") FILTER (mode = 'READS'), '') AS reads, coalesce(string_agg(DISTINCT "table", ',' ORDER BY "table") FILTER (mode = 'WRITES'), '') AS writes FROM touches GROUP BY 1""")
+def graph_statement_tables(spark, sf_dir):
+    return knowledge.statement_tables(_touches(spark, sf_dir))
+
+
+@query(f"""WITH {_GRAPH}, {_KNOWN} SELECT id, CAST(greatest(line - 1, 1) AS INT) AS first, array_to_string(list_slice(string_split(text, chr(10)), greatest(line - 1, 1), line + 1), chr(10)) AS lines FROM ed JOIN files ON files.file = ed.file""")
+def graph_edge_context(spark, sf_dir):
+    return knowledge.edge_context(_stated(spark, sf_dir), _files(spark, sf_dir))
+
+
+@query(f"""WITH {_GRAPH}, {_KNOWN}, p AS (SELECT file, coalesce(status, 'unclassified') AS status, count(*) AS n FROM st GROUP BY 1, 2) SELECT *, n / sum(n) OVER (PARTITION BY file) AS share FROM p""")
+def ledger_summary(spark, sf_dir):
+    return ledger.summary(_statements(spark, sf_dir))
+
+
+@query("""WITH s AS (SELECT CAST(o_orderkey % 3 AS INT) AS band, o_orderstatus AS flow, avg(CASE WHEN o_totalprice > 20000 THEN 1.0 ELSE 0.0 END) AS p, avg(CASE WHEN o_custkey % 10 > 0 THEN 1.0 ELSE 0.0 END) AS r FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2),
+t(band, flow) AS (SELECT * FROM (VALUES (0), (1), (2)), (VALUES ('F'), ('O'), ('P')))
+SELECT t.band, t.flow, s.p >= 0.9 AND s.r >= 0.91 AS met FROM t LEFT JOIN s ON s.band = t.band AND s.flow = t.flow""")
+def measure_targets(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'")
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    s = o.groupBy((F.col("o_orderkey") % 3).cast("int").alias("band"), F.col("o_orderstatus").alias("flow")).agg(share(F.col("o_totalprice") > 20000).alias("precision"), share(F.col("o_custkey") % 10 > 0).alias("recall"))
+    t = spark.createDataFrame([(b, f, 0.9, 0.91) for b in range(3) for f in "FOP"], "band int, flow string, precision double, recall double")
+    return measure.met_targets(s, t)
+
+
+@query("""SELECT 'SELECT * FROM ' || upper(event_type) || ' WHERE K = ?' AS shape, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events WHERE length('SELECT * FROM ' || event_type || ' WHERE K = ?') >= 24 GROUP BY event_type HAVING count(*) > 1""")
+def measure_spellings(spark, sf_dir):
+    sql = F.format_string("select *  from %s -- %d\nwhere k = %d;", F.col("event_type"), F.col("event_id"), F.col("user_id"))
+    return measure.equal_spellings(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), sql.alias("text")), texts.statement_shape)
