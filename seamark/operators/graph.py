@@ -222,7 +222,8 @@ def connected(edges: DataFrame) -> DataFrame:
     e = cut(e, "components")
 
     def star(pairs: DataFrame, larger: bool) -> DataFrame:
-        low = pairs.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("n"), F.least("a", "low").alias("low"))
+        # A table of its own: so both sides of the join are plain exchanges (or the small one is broadcast), and a hub's rows are split.
+        low = cut(pairs.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("n"), F.least("a", "low").alias("low")), "components-low")
         out = pairs.join(low, F.col("a") == F.col("n"))
         kept = out.filter("b > a" if larger else "b <= a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         own = low.select(F.col("n").alias("a"), F.col("low").alias("b"))
@@ -234,7 +235,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
     state = told(e)
     while True:
-        new = cut(star(star(both(e), True), False), "components")
+        new = cut(star(cut(star(both(e), True), "components-large"), False), "components")
         was, state = state, told(new)
         if state == was:
             return new.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(new.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
