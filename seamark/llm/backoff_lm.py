@@ -31,21 +31,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seamark.llm.hashing import SPACES, mixed
+from seamark.llm.hashing import U as _U
+
 ORDER, ALPHA, LEAST = 3, 0.4, 2
 #: Bytes of text in a chunk, about; the number of chunks, and of buckets, follows the input.
 CHUNK_BYTES = 5_000_000
 
-_U = np.uint64
-_R1, _R2, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
+_R1, _R2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _NONE = np.zeros(1, dtype=_U)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, *range(9, 14)]] = True
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(30))) * _M1
-    h = (h ^ (h >> _U(27))) * _M2
-    return h ^ (h >> _U(31))
 
 
 def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +47,7 @@ def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buf = np.frombuffer(b" ".join([*raw, b""]), dtype=np.uint8)
     if not len(buf):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=_U)
-    space = _SPACE[buf]
+    space = SPACES[buf]
     first = ~space
     first[1:] &= space[:-1]
     starts = np.flatnonzero(first)
@@ -66,7 +60,7 @@ def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         powers = np.cumprod(np.concatenate(([_U(1)], np.full(int(place.max()) + 1, _R1))), dtype=_U)
         value = (buf.astype(_U) + _U(1)) * powers[place]
         value[space] = 0
-        hashes = _mixed(np.add.reduceat(value, starts))
+        hashes = mixed(np.add.reduceat(value, starts))
     ends = np.cumsum([len(r) + 1 for r in raw])
     return np.searchsorted(ends, starts, side="right"), hashes
 
@@ -82,7 +76,7 @@ def grams(raw: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, list[np
     with np.errstate(over="ignore"):
         for n in range(2, order + 1):
             g = np.zeros(len(h), dtype=_U)
-            g[1:] = _mixed((out[-1][:-1] * _R2) ^ (h[1:] + _U(n)))
+            g[1:] = mixed((out[-1][:-1] * _R2) ^ (h[1:] + _U(n)))
             g[place < n - 1] = 0
             out.append(g)
     return doc, place, out

@@ -6,7 +6,7 @@ has fewer). To contain a window a document must contain its rarest shingle, so o
 containment needs; rarity is the count over all documents. A prefix at position p of a document and offset o of a window fixes
 where the window would start; that start and its end must lie inside the document, and the words there are compared one by one.
 
-Which shingles leave the scan is told by a table of SLOTS bytes, one for each remainder of the shingles' hashes: it has one size
+Which shingles leave the scan is told by a table of SLOTS bits, one for each remainder of the shingles' hashes: it has one size
 for any benchmark, and a shingle that only shares its remainder with a prefix finds no window in the join. Windows, items and
 hits are plain rows, joined by number; only what belongs to one document is ever gathered.
 
@@ -19,6 +19,7 @@ an empty table of documents gives no rows. Texts are read whole, however long. F
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from seamark.llm.common import ascii_lower, cut, whole, words
 
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SIZE, SHINGLE = 10, 3
-#: Size of the table of remainders in the plan, in bytes.
+#: Size of the table of remainders in the plan, in bits (a multiple of 64).
 SLOTS = 1 << 20
 
 
@@ -55,15 +56,17 @@ def _slot(h: Column) -> Column:
 
 
 def _table(hashes: DataFrame, column: str) -> Column:
-    """A byte for each remainder, 1 where some hash has it; SLOTS numbers at most come to the driver."""
-    out = bytearray(SLOTS)
-    for (i,) in hashes.select(_slot(F.col(column))).distinct().collect():
-        out[i] = 1
-    return F.lit(bytes(out))
+    """A bit for each remainder, 1 where some hash has it, as an array of 64-bit numbers; SLOTS remainders at most come to the driver."""
+    out = np.zeros(SLOTS, dtype=np.uint8)
+    out[[r[0] for r in hashes.select(_slot(F.col(column))).distinct().collect()]] = 1
+    numbers = np.packbits(out, bitorder="little").view("<i8").tolist()
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")  # folded to one literal
 
 
 def _listed(table: Column, h: Column) -> Column:
-    return F.substring(table, _slot(h) + 1, F.lit(1)) == F.lit(b"\x01")
+    slot = _slot(h)
+    word = F.get(table, F.shiftright(slot, 6))
+    return F.call_function("getbit", word, slot.bitwiseAND(F.lit(63))) == 1
 
 
 def prefixes(docs: DataFrame, wins: DataFrame, text: str = "text") -> tuple[DataFrame, list[int]]:

@@ -21,6 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seamark.llm.hashing import M1, SPACES, mixed
+from seamark.llm.hashing import U as _U
+
 BITS, MAX_TRAIN, SHARDS, EPOCHS, SEED, FOLDS = 18, 20_000, 4, 3, 7, 5
 #: Learning rate and its offset, L1 and L2 weights of the leader; scale of the features.
 ALPHA, BETA, L1, L2, SCALE = 0.3, 1.0, 0.002, 0.002, 12.0
@@ -28,20 +31,11 @@ CUT = 0.3
 #: Bytes of text that are hashed at once.
 AT_ONCE = 1_000_000
 
-_U = np.uint64
-_R, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
+_R = _U(0x9E3779B97F4A7C15)
 _KIND = np.arange(256, dtype=np.uint8)
 _KIND[ord("a") : ord("z") + 1] = _KIND[128:] = ord("a")
 _KIND[ord("A") : ord("Z") + 1] = ord("A")
 _KIND[ord("0") : ord("9") + 1] = ord("0")
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, *range(9, 14)]] = True
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(30))) * _M1
-    h = (h ^ (h >> _U(27))) * _M2
-    return h ^ (h >> _U(31))
 
 
 def _hashed(value: np.ndarray, kept: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -52,7 +46,7 @@ def _hashed(value: np.ndarray, kept: np.ndarray, first: np.ndarray) -> np.ndarra
     powers = np.cumprod(np.concatenate(([_U(1)], np.full(max(int(place.max()), 0) + 1, _R))), dtype=_U)
     out = (value.astype(_U) + _U(1)) * powers[np.maximum(place, 0)]
     out[~kept] = 0
-    return _mixed(np.add.reduceat(out, starts))
+    return mixed(np.add.reduceat(out, starts))
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +54,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     raw = [(t or "").encode() for t in texts]
     buf = np.frombuffer(b" " + b" ".join([*raw, b""]), dtype=np.uint8)
     none = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
-    word = ~_SPACE[buf]
+    word = ~SPACES[buf]
     first = word.copy()
     first[1:] &= ~word[:-1]
     starts = np.flatnonzero(first)
@@ -76,10 +70,10 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         shapes = _hashed(kind[a:], turn[a:], first[a:])
         doc = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]) + 1, starts, side="right")
         after = doc[1:] == doc[:-1]
-        pair = lambda h: _mixed(h[:-1] * _R + h[1:])[after]
+        pair = lambda h: mixed(h[:-1] * _R + h[1:])[after]
         again = (words[1:] == words[:-1])[after].astype(_U)
         groups = [(doc, words), (doc[1:][after], pair(words)), (doc, shapes), (doc[1:][after], pair(shapes)), (doc[1:][after], again)]
-        hashed = [_mixed(h + _U(n) * _M1) >> _U(64 - BITS) for n, (_, h) in enumerate(groups)]
+        hashed = [mixed(h + _U(n) * M1) >> _U(64 - BITS) for n, (_, h) in enumerate(groups)]
     values = []
     for d, _ in groups:
         n = np.bincount(d, minlength=len(raw))

@@ -37,7 +37,7 @@ from seamark.llm.common import cut, unwrapped, wrapped
 from seamark.operators.graph import connected
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
-CROWD = 512
+CROWD, HELD = 512, 1 << 20
 #: Fingerprints of word pairs for a corpus, and the bits in which linked ones may differ.
 PRINTS, PAIR_WORDS, PAIR_BITS = 4, 2, 4
 #: For each budget of bits, by level: segments; those, from the first of a chain, that must be equal; how many must be of which others.
@@ -119,10 +119,10 @@ def _signed(mask: int) -> int:
 
 
 def _keyed(prints: DataFrame, level: int, bits: int) -> DataFrame:
-    """(no, key, fp): a row for each key of each fingerprint; no counts the keys of all kinds of fingerprints."""
+    """(no, key, fp, known): a row for each key of each fingerprint; no counts the keys of all kinds of fingerprints."""
     masks = F.array(*(F.lit(_signed(m)).cast("long") for m in _masks(level, bits)))
-    each = prints.select("kind", "fp", F.posexplode(masks).alias("no", "mask"))
-    return each.select((F.col("kind") * len(_masks(level, bits)) + F.col("no")).alias("no"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    each = prints.select("kind", "fp", "known", F.posexplode(masks).alias("no", "mask"))
+    return each.select((F.col("kind") * len(_masks(level, bits)) + F.col("no")).alias("no"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "known")
 
 
 # ---- groups ----
@@ -148,17 +148,25 @@ def _chained(diff: np.ndarray, no: int, level: int, bits: int) -> np.ndarray:
     return _bits(diff) <= bits
 
 
-def _forest(fps: np.ndarray, no: int, level: int, bits: int) -> list[tuple[int, int]]:
-    """Edges that join the fingerprints of one group as far as they are linked: one fewer than members at most."""
+def _forest(fps: np.ndarray, known: np.ndarray, no: int, level: int, bits: int) -> list[tuple[int, int]]:
+    """Edges that join the fingerprints of one group as far as they are linked: one fewer than members at most.
+
+    Members with one known group, other than 0, are joined already.
+    """
     n = len(fps)
     label = np.arange(n)
+    if known.any():
+        _, first, at = np.unique(known, return_index=True, return_inverse=True)
+        label = np.where(known != 0, first[at], label)
     edges = []
     for i in range(1, n):
         near = np.flatnonzero(_chained(fps[:i] ^ fps[i], no, level, bits))
-        for root in np.unique(label[near]):
+        roots = np.unique(label[near])
+        roots = roots[roots != label[i]]
+        for root in roots:
             edges.append((i, int(near[np.argmax(label[near] == root)])))
-        if len(near):
-            label[: i + 1][np.isin(label[: i + 1], np.append(label[near], i))] = i
+        if len(roots):
+            label[np.isin(label, roots)] = label[i]
     return edges
 
 
@@ -166,7 +174,7 @@ def _edges(keyed: DataFrame, level: int, crowd: int, bits: int) -> DataFrame:
     """(kind, a, b): links inside the groups of one key; b is null for the members of a crowd, which are to be keyed anew.
 
     Rows arrive sorted by key, so a group is a run of rows, which may go on in the next batch. A crowd is told apart as it
-    passes and never gathered.
+    passes and never gathered; one whose members are of one known group says nothing, if it has at most HELD of them.
     """
 
     per_kind = len(_masks(level, bits))
@@ -176,20 +184,21 @@ def _edges(keyed: DataFrame, level: int, crowd: int, bits: int) -> DataFrame:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple | None = None  # (no, key)
-        run: list[np.ndarray] = []
+        run: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
+        one: int | None = None  # the known group of all members so far, 0 if there is none such
 
         def close() -> list[np.ndarray]:
-            if held is None or size < 2 or not run:
+            if held is None or size < 2 or not run or one:
                 return []
-            fps = np.concatenate(run)
-            found = np.array([(held[0], fps[i], fps[j]) for i, j in _forest(fps.view(np.uint64), held[0], level, bits)], dtype=np.int64)
+            fps, groups = (np.concatenate(x) for x in zip(*run, strict=True))
+            found = np.array([(held[0], fps[i], fps[j]) for i, j in _forest(fps.view(np.uint64), groups, held[0], level, bits)], dtype=np.int64)
             return [found.reshape(-1, 3)]
 
         for b in batches:
             if not len(b):
                 continue
-            no, key, fp = b["no"].to_numpy(), b["key"].to_numpy(), b["fp"].to_numpy()
+            no, key, fp, known = (b[c].to_numpy() for c in ("no", "key", "fp", "known"))
             starts = np.flatnonzero(np.concatenate(([True], (no[1:] != no[:-1]) | (key[1:] != key[:-1]))))
             ends = np.append(starts[1:], len(b))
             first = held == (no[0], key[0])
@@ -198,7 +207,7 @@ def _edges(keyed: DataFrame, level: int, crowd: int, bits: int) -> DataFrame:
             twos = starts[(ends - starts == 2) & (ends < len(b)) & ((starts > 0) | (not first))]
             for n in np.unique(no[twos]):
                 at = twos[no[twos] == n]
-                ok = _chained(fp[at].view(np.uint64) ^ fp[at + 1].view(np.uint64), int(n), level, bits)
+                ok = _chained(fp[at].view(np.uint64) ^ fp[at + 1].view(np.uint64), int(n), level, bits) & ((known[at] == 0) | (known[at] != known[at + 1]))
                 pairs.append(np.column_stack((np.full(int(ok.sum()), n), fp[at][ok], fp[at + 1][ok])))
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 last = e == len(b)
@@ -206,18 +215,19 @@ def _edges(keyed: DataFrame, level: int, crowd: int, bits: int) -> DataFrame:
                     if not last and e - s <= 2:
                         if s == 0 or held is not None:
                             pairs += close()
-                        held, run, size = None, [], 0
+                        held, run, size, one = None, [], 0, None
                         continue
                     pairs += close()
-                    held, run, size = (no[s], key[s]), [], 0
+                    held, run, size, one = (no[s], key[s]), [], 0, None
                 size += e - s
-                run.append(fp[s:e])
-                if crowd and size > crowd:  # hand on what is held and all that follows
-                    members += [(held[0], r) for r in run]
-                    run = []
+                run.append((fp[s:e], known[s:e]))
+                one = int(known[s]) if one in (None, known[s]) and (known[s:e] == known[s]).all() else 0
+                if crowd and size > crowd and (not one or size > HELD):  # hand on what is held and all that follows
+                    members += [(held[0], r) for r, _ in run]
+                    run, one = [], 0
                 if not last:
                     pairs += close()
-                    held, run, size = None, [], 0
+                    held, run, size, one = None, [], 0, None
             for p in pairs:
                 if len(p):
                     yield told(p[:, 0], p[:, 1], pd.array(p[:, 2], dtype="Int64"))
@@ -232,14 +242,18 @@ def _edges(keyed: DataFrame, level: int, crowd: int, bits: int) -> DataFrame:
 
 
 def links(prints: DataFrame, crowd: int = CROWD, bits: int = MOST_BITS) -> DataFrame:
-    """prints(kind, fp), distinct -> (kind, a, b): enough links between fingerprints of a kind to connect all that are linked."""
-    out = None
+    """prints(kind, fp, known), distinct -> (kind, a, b): enough links between fingerprints of a kind to connect all that are linked.
+
+    Fingerprints with one known group, other than 0, count as connected.
+    """
+    out, every = None, prints
     for level in range(3):
         found = cut(_edges(_keyed(prints, level, bits), level, crowd if level < 2 else 0, bits), f"simhash-links-{level}")
         own = found.filter("b IS NOT NULL")
         out = own if out is None else out.unionByName(own)
-        prints = found.filter("b IS NULL").select("kind", F.col("a").alias("fp")).distinct()
-        if prints.isEmpty():
+        crowds = found.filter("b IS NULL").select("kind", F.col("a").alias("fp")).distinct()
+        prints = every.join(crowds, ["kind", "fp"], "left_semi")
+        if crowds.isEmpty():
             break
     return out
 
@@ -248,7 +262,7 @@ def _components(docs: DataFrame, doc_id: str, text: str, crowd: int) -> tuple[Da
     """(doc_id, text_hash, fp) of each row; (fp, owner, root) of each fingerprint, root naming its component of fingerprints."""
     prints = cut(fingerprints(docs, doc_id, text), "simhash-prints")
     owners = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("owner")), "simhash-owners")
-    found = connected(links(owners.select(F.lit(0).alias("kind"), "fp"), crowd))
+    found = connected(links(owners.select(F.lit(0).alias("kind"), "fp", F.lit(0).cast("long").alias("known")), crowd))
     return prints, owners.join(found, owners["fp"] == found["id"], "left").select("fp", "owner", F.coalesce("root", "fp").alias("root"))
 
 
@@ -285,13 +299,23 @@ def pair_groups(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFra
     units = rows.groupBy("unit").agg(*(F.first(c).alias(c) for c in fps))
     nodes = units.select("unit", F.posexplode(F.array(*fps)).alias("kind", "fp"))
     nodes = cut(nodes.withColumn("node", F.xxhash64("kind", "fp")), "pair-nodes")
-    found = cut(links(nodes.select("kind", "fp").distinct(), crowd, PAIR_BITS).select(F.xxhash64("kind", "a").alias("a"), F.xxhash64("kind", "b").alias("b")), "pair-links")
-    linked = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node")))
-    shared = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
-    active = linked.unionByName(shared).distinct()
-    ties = nodes.join(active, "node", "left_semi").select(F.col("unit").alias("a"), F.col("node").alias("b"))
-    roots = connected(found.unionByName(ties)).withColumnRenamed("id", "unit")
-    return rows, roots.join(units.select("unit"), "unit", "left_semi")
+
+    def linked(prints: DataFrame) -> DataFrame:
+        return cut(links(prints, crowd, PAIR_BITS).select(F.xxhash64("kind", "a").alias("a"), F.xxhash64("kind", "b").alias("b")), "pair-links")
+
+    def grouped(found: DataFrame, own: DataFrame) -> DataFrame:
+        """(unit, root) by the links of fingerprints and what units share of own."""
+        ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node")))
+        shared = own.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
+        ties = own.join(ends.unionByName(shared).distinct(), "node", "left_semi").select(F.col("unit").alias("a"), F.col("node").alias("b"))
+        return connected(found.unionByName(ties)).withColumnRenamed("id", "unit")
+
+    # The first kind alone joins most of a large group of copies, which then says nothing under the keys of the others.
+    first = linked(nodes.filter("kind = 0").select("kind", "fp", F.lit(0).cast("long").alias("known")).distinct())
+    roots = grouped(first, nodes.filter("kind = 0"))
+    known = nodes.filter("kind > 0").join(roots, "unit", "left").groupBy("kind", "fp").agg(F.coalesce(F.min("root"), F.lit(0).cast("long")).alias("known"))
+    found = first.unionByName(linked(cut(known, "pair-known")))
+    return rows, grouped(found, nodes).join(units.select("unit"), "unit", "left_semi")
 
 
 def representatives(docs: DataFrame, crowd: int = CROWD) -> DataFrame:

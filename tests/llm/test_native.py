@@ -93,7 +93,7 @@ def test_decontamination_equals_brute_force(spark, docs):
 
 def test_decontamination_with_a_full_table(spark, docs, monkeypatch):
     """More shingles than the plan's table has slots for: nearly every position is sent on, and the result is the same."""
-    monkeypatch.setattr(decontaminate, "SLOTS", 8)
+    monkeypatch.setattr(decontaminate, "SLOTS", 64)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     df = docs.limit(60).select("doc_id", "text")
     got = [(r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontaminate.report(df, spark.createDataFrame(items, "item_id long, text string")).collect()]

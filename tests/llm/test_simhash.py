@@ -32,7 +32,7 @@ def test_components_of_crowds(spark, crowd, bits):
     want = brute.components(byid[0], bits) | brute.components(byid[1], bits)
     ids = {p: i for i, p in enumerate(prints)}
     signed = lambda x: x - 2**64 if x >> 63 else x
-    df = spark.createDataFrame([(k, signed(p)) for k, p in prints], "kind int, fp long")
+    df = spark.createDataFrame([(k, signed(p), 0) for k, p in prints], "kind int, fp long, known long")
     own = {i: i for i in want}
 
     def root(x):
@@ -47,6 +47,22 @@ def test_components_of_crowds(spark, crowd, bits):
         own[y] = x
     assert {i: root(i) for i in want} == want
     assert len(set(want.values())) < len(want)
+    # With half of the fingerprints known to be of their group, the links still connect all, and are fewer.
+    known = {i: want[i] + 1 if rnd.random() < 0.5 else 0 for i in want}
+    half = spark.createDataFrame([(k, signed(p), known[i]) for i, (k, p) in enumerate(prints)], "kind int, fp long, known long")
+    own = {i: i for i in want}
+    joined = {}
+    for i, g in known.items():
+        if g:
+            own[root(i)] = root(joined.setdefault(g, i))
+    rows = simhash.links(half, crowd, bits).collect()
+    for r in rows:
+        x, y = sorted((root(ids[r.kind, r.a & (2**64 - 1)]), root(ids[r.kind, r.b & (2**64 - 1)])))
+        own[y] = x
+    same = {}
+    for i, g in want.items():
+        same.setdefault(g, set()).add(root(i))
+    assert all(len(x) == 1 for x in same.values()) and len({root(i) for i in want}) == len(set(want.values()))
 
 
 @pytest.mark.parametrize("bits", [3, 4])
