@@ -19,8 +19,8 @@ SYMBOLS = r"[#*$%&|<>]"
 NOISE_RUN = r"[#*$%&!?=~^_]{2,}"
 #: Marks between the entries of a menu.
 SEPARATOR = "[|»«•·›‹→]"
-#: Marks that end a sentence or a clause; a long line without any is a list of words, not prose.
-SENTENCE = "[.!?…。;:]"
+#: Marks that end a sentence or a clause, in the scripts that have their own (fixed values).
+SENTENCE = "[.!?…;:。．！？；：؟؛۔।॥։፡።᠃᠉។៕၊။]"
 #: Phrases of page furniture, in lower case (fixed values): English, French, German, Spanish.
 BOILERPLATE = (
     "all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|we use cookies|accept (?:all )?cookies"
@@ -35,8 +35,9 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_NOISY, MAX_SEPARATORS = 0.3, 0.2
 #: A boilerplate phrase condemns lines of so many words at most; longer ones are prose that mentions it.
 BOILERPLATE_WORDS = 25
-#: A line of so many words is prose and has to have a mark of SENTENCE.
-PROSE_WORDS = 20
+#: A line of so many words without any mark of SENTENCE is no prose if each of its words occurs more than MAX_AGAIN times on average:
+#: verse, tables, code and languages without such marks repeat their words less within a line.
+PROSE_WORDS, MAX_AGAIN = 20, 2
 #: A document is rejected when its kept lines hold less than this share of its word characters.
 MIN_KEPT = 0.5
 
@@ -62,13 +63,13 @@ def judged(text: Column) -> Column:
     )
 
 
-def line_fails(x: Column, phrases: str = BOILERPLATE, max_noisy: float = MAX_NOISY, max_separators: float = MAX_SEPARATORS, prose_words: int = PROSE_WORDS) -> Column:
-    """Whether a judged line fails for its punctuation (noise, or none at all), as a menu, or as page furniture.
+def line_fails(x: Column, phrases: str = BOILERPLATE, max_noisy: float = MAX_NOISY, max_separators: float = MAX_SEPARATORS, prose_words: int = PROSE_WORDS, max_again: float = MAX_AGAIN) -> Column:
+    """Whether a judged line fails for its punctuation (noise, or none at all beside repeated words), as a menu, or as page furniture.
 
     Lines without a word never fail.
     """
     noisy = x["noise"] > max_noisy * x["n"]
-    unmarked = (x["n"] >= prose_words) & ~x["line"].rlike(SENTENCE)
+    unmarked = (x["n"] >= prose_words) & ~x["line"].rlike(SENTENCE) & (x["n"] > max_again * F.size(F.array_distinct(words(x["line"]))))
     menu = (x["marks"] >= 3) & (x["marks"] > max_separators * x["n"])
     furniture = (x["n"] <= BOILERPLATE_WORDS) & F.lower(x["line"]).rlike(phrases)
     return (x["n"] > 0) & (noisy | unmarked | menu | furniture)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seamark.llm import backoff_lm, chat, decontaminate, html_extract, licenses, line_rules, mixing, quality_model, secrets, simhash
+from seamark.llm import backoff_lm, chat, decontaminate, hard_negatives, html_extract, licenses, line_rules, mixing, quality_model, secrets, simhash
 from seamark.llm.common import table
 from seamark.llm.sql import ORACLE
 
@@ -59,6 +59,12 @@ def op10_mixing(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_hard_negatives(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    df = df.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(hard_negatives.usable(df), F.col("id") % 100 == 0)
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 

@@ -28,26 +28,26 @@ def _secrets() -> str:
     base = (
         ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
         ("access", "AKIA[A-Z0-9]+", 0, 18),
-        ("hex", "[0-9a-f]+", 0, 16),
+        ("hex", "[0-9a-f]{16,}", 0, 16),
     )
     parts = []
     for no, (kind, pattern, group, least) in enumerate((*base, *((k, p, g, n) for k, p, _, g, n in secrets.MORE_RULES))):
         rx = _q(pattern)
         parts.append(f"""
-        SELECT doc_id, {no} AS no, {_q(kind)} AS kind, p, m, g, k FROM (
-          SELECT doc_id, string_split_regex(t, {rx}) AS p, regexp_extract_all(t, {rx}) AS m, regexp_extract_all(t, {rx}, {group}) AS g,
-                 unnest(range(1, len(regexp_extract_all(t, {rx})) + 1)) AS k FROM docs)
-        WHERE length(g[k]) >= {least}""")
+        SELECT n_doc, {no} AS no, {_q(kind)} AS kind, length(g) >= {least} AS kept, length(m) AS n,
+               sum(length(p)) OVER w + sum(length(m)) OVER w - length(m) AS s FROM (
+          SELECT n_doc, unnest(p) AS p, unnest(m) AS m, unnest(g) AS g, unnest(range(1, len(m) + 2)) AS k FROM (
+            SELECT n_doc, string_split_regex(t, {rx}) AS p, regexp_extract_all(t, {rx}) AS m, regexp_extract_all(t, {rx}, {group}) AS g
+            FROM docs WHERE regexp_matches(t, {rx})))
+        WHERE m IS NOT NULL WINDOW w AS (PARTITION BY n_doc ORDER BY k)""")
     return f"""
-    WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS n_doc, doc_id, coalesce(text, '') AS t FROM documents),
     hits AS ({" UNION ALL ".join(parts)}),
-    spans AS (SELECT doc_id, no, kind, length(m[k]) AS n,
-              list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS s FROM hits),
-    told AS (SELECT doc_id, no, s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT) AS x FROM spans),
-    per AS (SELECT doc_id, count(*) FILTER (no = 0) AS n0, count(*) FILTER (no = 1) AS n1, count(*) FILTER (no = 2) AS n2,
-            string_agg(x, ',' ORDER BY s, no) FILTER (no < 3) AS base, string_agg(x, ',' ORDER BY s, no) AS every FROM told GROUP BY doc_id)
+    told AS (SELECT n_doc, no, s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT) AS x FROM hits WHERE kept),
+    per AS (SELECT n_doc, count(*) FILTER (no = 0) AS n0, count(*) FILTER (no = 1) AS n1, count(*) FILTER (no = 2) AS n2,
+            string_agg(x, ',' ORDER BY s, no) FILTER (no < 3) AS base, string_agg(x, ',' ORDER BY s, no) AS every FROM told GROUP BY n_doc)
     SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
-           sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM docs d LEFT JOIN per USING (doc_id)"""
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM docs d LEFT JOIN per USING (n_doc)"""
 
 
 def _licenses() -> str:
@@ -110,7 +110,7 @@ def _quality_rules() -> str:
     again AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM windows JOIN often USING (doc_id, win), (SELECT unnest([0, 1, 2]) AS d) GROUP BY doc_id),
     lines AS (SELECT doc_id, x, len({_words("x")}) AS n, {_count("x", r.NOISE_RUN)} AS noise, {_count("x", r.SEPARATOR)} AS marks
               FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM docs)),
-    judged AS (SELECT *, n > 0 AND (noise > {r.MAX_NOISY} * n OR (n >= {r.PROSE_WORDS} AND NOT regexp_matches(x, {_q(r.SENTENCE)})) OR (marks >= 3 AND marks > {r.MAX_SEPARATORS} * n)
+    judged AS (SELECT *, n > 0 AND (noise > {r.MAX_NOISY} * n OR (n >= {r.PROSE_WORDS} AND NOT regexp_matches(x, {_q(r.SENTENCE)}) AND n > {r.MAX_AGAIN} * len(list_distinct({_words("x")}))) OR (marks >= 3 AND marks > {r.MAX_SEPARATORS} * n)
                OR (n <= {r.BOILERPLATE_WORDS} AND regexp_matches(lower(x), {_q(r.BOILERPLATE)}))) AS fails FROM lines),
     per AS (SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT x) FILTER (n > 0) AS dup,
             coalesce(sum(length(regexp_replace(x, {_q(SPACE)}, '', 'g'))) FILTER (NOT fails), 0) AS left_chars FROM judged GROUP BY doc_id),
@@ -121,10 +121,26 @@ def _quality_rules() -> str:
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND left_chars >= {r.MIN_KEPT} * word_chars AS kept FROM failed"""
 
 
+def _hard_negatives() -> str:
+    return """
+    WITH given AS (SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding AS e FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL),
+    v AS (SELECT n, vec_id, label, list_transform(e, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM given
+          WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.n AS an, a.vec_id AS anchor_id, b.n AS bn, b.vec_id AS id, a.label = b.label AS same, CAST(coalesce(list_dot_product(a.x, b.x), 0) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.n <> b.n AND len(a.x) = len(b.x) WHERE a.vec_id % 100 = 0),
+    p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY an ORDER BY score DESC, id NULLS LAST, bn) <= 5)
+    SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.an = p.an AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+    WINDOW w AS (PARTITION BY p.an, p.bn ORDER BY s.score DESC, s.id NULLS LAST, s.bn)
+    QUALIFY row_number() OVER w <= 5"""
+
+
 ORACLE: dict[str, str] = {
     "op2_secret_scan": _secrets(),
     "op4_license_scan": _licenses(),
     "op5_chat_format": _chat(),
     "op7_decontamination": _decontamination(),
     "op8_quality_rules": _quality_rules(),
+    "op11_hard_negatives": _hard_negatives(),
 }
