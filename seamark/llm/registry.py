@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seamark.llm import backoff_lm, chat, decontaminate, hard_negatives, html_extract, language_id, licenses, line_rules, mixing, quality_model, secrets, simhash
+from seamark.llm import backoff_lm, chat, decontaminate, hard_negatives, html_extract, language_id, licenses, line_rules, mixing, quality_model, secrets, simhash, token_alignment
 from seamark.llm.common import table
 from seamark.llm.sql import ORACLE
 
@@ -69,6 +69,10 @@ def op12_language_id(spark, sf_dir):
     return language_id.report(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark, sf_dir):
+    return token_alignment.align(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
