@@ -9,9 +9,10 @@ that ends a text). `separable` verifies from the two vocabularies that no token
 that its words don't either; then the tokens of a text are those of its segments one after another. Otherwise a text is
 one segment, which is slower and gives the same.
 
-Texts are packed into chunks of a bounded size, and only what a chunk holds of distinct segments, with counts, leaves it. Spark
-adds these up, every distinct segment is tokenised and aligned once, its links are exploded, counted with the segments'
-counts, and summed again by segment. Alignments are joined back by chunk and segment, and each chunk composes its documents.
+Texts are packed into chunks of a bounded size, and only what a chunk holds of distinct segments, numbered as they come and with
+counts, leaves it. Equal segments meet in the order of their text, are tokenised and aligned once, and keep the chunks and numbers
+they came from. Their links are exploded, counted with the segments' counts, and summed again by segment. Then each chunk is
+sent its segments' alignments, packed, numbers its segments again and composes its documents.
 
 A text that is null or empty, or that either tokenizer doesn't give back byte by byte, has no tokens: its numbers are 0, its digest
 is empty, and it adds to no count. Repeated rows and ids count each and get a row each. Texts are read whole; a chunk holds one
@@ -22,12 +23,13 @@ no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -40,13 +42,19 @@ from seamark.llm.common import cut
 
 FOLDER, BYTE_BPE, PIECE_BPE = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a chunk's texts, and of a part of a text that is split at once.
-CHUNK, AT_ONCE = 1 << 23, 1 << 20
+CHUNK, AT_ONCE = 1 << 24, 1 << 20
+#: Segments that are tokenised at once, places of a segment in one row, and rows that are packed for the chunks at once.
+SEGMENTS, PLACES, ROWS = 10_000, 4096, 500_000
 #: Leading white space, what follows up to the next space, and the white space that ends the text.
 SEGMENT = re.compile(r"\s*+\S++(?:[^\S ]\s*+\S*+)*+(?:\s++\Z)?|\s++")
 #: A place where a text may be split, with more than white space behind it.
 PLACE = re.compile(r"(?<=\S) (?=\s*\S)")
 
+#: What is summed for a document.
+NUMBERS = ["n_a", "n_b", "n_best", "count_sum"]
+
 _models: dict[str, Models] = {}
+_ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
 class Models:
@@ -119,29 +127,39 @@ def segments(text: str, split: bool) -> Iterator[list[str]]:
 
 
 def aligned(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[str, list[int]]:
-    """The groups as text, and for each the last id of A and of B, which are linked, as one number."""
-    end_a, end_b = ([*accumulate(len(of[i]) for i in ids)] for ids, of in ((a, a_bytes), (b, b_bytes)))
-    both = set(end_a) & set(end_b)
-    cut_a, cut_b = ([n for n, e in enumerate(ends) if e in both and (n + 1 == len(ends) or ends[n + 1] != e)] for ends in (end_a, end_b))
-    said, links, i, j = [], [], 0, 0
-    for x, y in zip(cut_a, cut_b, strict=True):
-        said.append(f"{','.join(map(str, a[i : x + 1]))}|{','.join(map(str, b[j : y + 1]))}")
-        links.append(a[x] << 32 | b[y])
-        i, j = x + 1, y + 1
+    """The groups as text, and for each the last id of A and of B, which are linked, as one number. Both spell the same bytes."""
+    said, links, i, j, last_b, end_a, end_b = [], [], 0, 0, -1, 0, 0
+    for m, token in enumerate(a):
+        end_a += len(a_bytes[token])
+        while end_b < end_a:
+            last_b += 1
+            end_b += len(b_bytes[b[last_b]])
+        if end_a == end_b:
+            said.append(f"{','.join(map(str, a[i : m + 1]))}|{','.join(map(str, b[j : last_b + 1]))}")
+            links.append(token << 32 | b[last_b])
+            i, j = m + 1, last_b + 1
     return ";".join(said), links
 
 
+def _blob(**columns) -> bytes:
+    table = pa.table(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=_ZSTD) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _table(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Chunks of documents, each compressed into one row."""
-    part, no = TaskContext.get().partitionId() << 32, 0
+    part, no = TaskContext.get().partitionId() << 16, 0
     ids, texts, size = [], [], 0
 
     def told() -> pd.DataFrame:
-        table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_string())})
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_table(table)
-        return pd.DataFrame({"chunk": [part + no], "docs": [sink.getvalue().to_pybytes()]})
+        return pd.DataFrame({"chunk": [part + no], "docs": [_blob(doc_id=pa.array(ids, pa.int64()), text=pa.array(texts, pa.large_string()))]})
 
     for batch in batches:
         for i, t in zip(batch["doc_id"], batch["text"], strict=True):
@@ -155,27 +173,63 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield told()
 
 
-def _docs(packed: bytes) -> tuple[list[int | None], list[str]]:
-    table = pa.ipc.open_stream(packed).read_all()
-    return table["doc_id"].to_pylist(), table["text"].to_pylist()
+def _numbered(packed: bytes, split: bool) -> Iterator[tuple[int | None, Iterator[np.ndarray], dict[str, int]]]:
+    """Each document of a chunk: its id and the numbers of its segments, in parts; and the numbers given so far, as segments come."""
+    number: dict[str, int] = defaultdict(count().__next__)
+    docs = _table(packed)
+    for doc_id, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
+        yield doc_id, (np.fromiter((number[s] for s in part), np.int64, len(part)) for part in (segments(text, split) if text else ())), number
 
 
-def dictionary(found: DataFrame, shared) -> DataFrame:
-    """found(segment, n) -> with ok (both give the segment back), n_a, n_b, groups and links."""
+def _held(shared):
+    """chunks(chunk, docs) -> (segment, place, n): distinct segments of each chunk; a place is the chunk and the segment's number there."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = models(shared)
+        split = models(shared).split
         for batch in batches:
-            out = []
-            for s, (a, b) in zip(batch["segment"], m.encode(batch["segment"].tolist()), strict=True):
+            for chunk, packed in zip(batch["chunk"], batch["docs"], strict=True):
+                total, number = np.zeros(0, dtype=np.int64), {}
+                for _, parts, number in _numbered(packed, split):
+                    for at in parts:
+                        if len(number) > len(total):
+                            total = np.concatenate((total, np.zeros(2 * len(number) - len(total), dtype=np.int64)))
+                        np.add.at(total, at, 1)
+                yield pd.DataFrame({"segment": list(number), "place": (chunk << 32) + np.arange(len(number)), "n": total[: len(number)]})
+
+    return each
+
+
+def _dictionary(shared):
+    """(segment, place, n), equal segments one after another -> a row for each segment, tokenised and aligned, with its places.
+
+    Of more than PLACES places, the rest come in rows of their own, which have no count and no links.
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, task, no = models(shared), TaskContext.get().partitionId() << 40, 0
+        last, known = None, None
+        for batch in batches:
+            found = batch["segment"].to_numpy(dtype=object)
+            starts = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+            ends = np.append(starts[1:], len(found))
+            sums = np.add.reduceat(batch["n"].to_numpy(), starts)
+            places = batch["place"].to_numpy()
+            names = found[starts].tolist()
+            fresh = names[1:] if names[0] == last else names
+            rows = [known] if names[0] == last else []
+            for s, (a, b) in zip(fresh, m.encode(fresh), strict=True):
                 want = s.encode()
-                if b"".join(m.a_bytes[i] for i in a) == want == b"".join(m.b_bytes[i] for i in b):
-                    out.append((True, len(a), len(b), *aligned(a, b, m.a_bytes, m.b_bytes)))
-                else:
-                    out.append((False, 0, 0, "", []))
-            yield pd.DataFrame(out, columns=["ok", "n_a", "n_b", "groups", "links"]).assign(segment=batch["segment"].to_numpy(), n=batch["n"].to_numpy())[["segment", "n", "ok", "n_a", "n_b", "groups", "links"]]
+                fine = b"".join([m.a_bytes[i] for i in a]) == want == b"".join([m.b_bytes[i] for i in b])
+                rows.append((len(a), len(b), *aligned(a, b, m.a_bytes, m.b_bytes)) if fine else (0, 0, "", []))
+            out = []
+            for name, known, i, j, n in zip(names, rows, starts, ends, sums, strict=True):
+                first = name != last
+                no, last = no + first, name
+                for k in range(i, j, PLACES):
+                    out.append((task + no, name, int(n) if k == i else 0, bool(known[2]), known[0], known[1], known[2], known[3] if first and k == i else [], places[k : min(k + PLACES, j)]))
+            yield pd.DataFrame(out, columns=["id", "segment", "n", "ok", "n_a", "n_b", "groups", "links", "places"])
 
-    return found.mapInPandas(each, "segment string, n long, ok boolean, n_a long, n_b long, groups string, links array<long>")
+    return each
 
 
 def link_counts(known: DataFrame) -> DataFrame:
@@ -186,6 +240,33 @@ def link_counts(known: DataFrame) -> DataFrame:
     return counts.withColumn("b", b).join(highest, "b").select("link", "count", (F.col("count") == F.col("highest")).alias("best"))
 
 
+def _by_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Alignments with their places -> (chunk, told): for each chunk and so many rows, what its segments need, packed."""
+
+    def packed(rows: list[pd.DataFrame]) -> pd.DataFrame:
+        df = pd.concat(rows, ignore_index=True)
+        place, of = np.concatenate(df["places"].to_list()), np.repeat(np.arange(len(df)), df["places"].map(len))
+        at = np.argsort(place)
+        chunk, number, of = place[at] >> 32, place[at] & 0xFFFFFFFF, of[at]
+        groups = pa.array(df["groups"], pa.large_string())
+        numbers = {c: df[c].to_numpy(dtype=np.int64) for c in NUMBERS}
+        out = []
+        for i, j in itertools.pairwise([*np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1]))), len(chunk)]):
+            own = of[i:j]
+            out.append((chunk[i], _blob(number=pa.array(number[i:j]), groups=groups.take(pa.array(own)), **{c: pa.array(v[own]) for c, v in numbers.items()})))
+        return pd.DataFrame(out, columns=["chunk", "told"])
+
+    rows, size = [], 0
+    for batch in batches:
+        rows.append(batch)
+        size += int(batch["places"].map(len).sum())
+        if size >= ROWS:
+            yield packed(rows)
+            rows, size = [], 0
+    if size:
+        yield packed(rows)
+
+
 def align(docs: DataFrame, byte_bpe: str = f"{FOLDER}/{BYTE_BPE}", piece_bpe: str = f"{FOLDER}/{PIECE_BPE}") -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row.
 
@@ -193,61 +274,59 @@ def align(docs: DataFrame, byte_bpe: str = f"{FOLDER}/{BYTE_BPE}", piece_bpe: st
     """
     with open(byte_bpe, encoding="utf-8") as f, open(piece_bpe, "rb") as g:
         shared = docs.sparkSession.sparkContext.broadcast((f.read(), g.read()))  # two files, whatever the input
-    chunks = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_packed, "chunk long, docs binary"), "alignment-chunks")
-
-    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split = models(shared).split
-        for batch in batches:
-            for no, packed in zip(batch["chunk"], batch["docs"], strict=True):
-                n: Counter = Counter()
-                for text in filter(None, _docs(packed)[1]):
-                    for part in segments(text, split):
-                        n.update(part)
-                yield pd.DataFrame({"chunk": no, "segment": list(n), "n": np.fromiter(n.values(), dtype=np.int64, count=len(n))})
-
-    found = cut(chunks.mapInPandas(held, "chunk long, segment string, n long"), "alignment-segments")
-    known = cut(dictionary(found.groupBy("segment").agg(F.sum("n").alias("n")), shared), "alignment-dictionary")
+    chunks = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_packed, "chunk long, docs binary"), "alignment-chunks", "none")
+    found = chunks.mapInPandas(_held(shared), "segment string, place long, n long").repartition("segment").sortWithinPartitions("segment")
+    schema = "id long, segment string, n long, ok boolean, n_a long, n_b long, groups string, links array<long>, places array<long>"
+    known = cut(found.mapInPandas(_dictionary(shared), schema), "alignment-dictionary", "zstd")
 
     def without_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """What the documents hold that have one of the segments `bad`."""
+        """What the documents hold that have one of the chunk's segments `bad`."""
         split = models(shared).split
         for batch in batches:
             for packed, bad in zip(batch["docs"], batch["bad"], strict=True):
-                n, bad = Counter(), set(bad)
-                for text in filter(None, _docs(packed)[1]):
-                    if any(s in bad for part in segments(text, split) for s in part):
-                        for part in segments(text, split):
-                            n.update(part)
-                yield pd.DataFrame({"segment": list(n), "less": np.fromiter(n.values(), dtype=np.int64, count=len(n))})
+                less, number = Counter(), {}
+                for _, parts, number in _numbered(packed, split):
+                    at = np.concatenate([*parts, np.zeros(0, dtype=np.int64)])
+                    if np.isin(at, bad).any():
+                        less.update(at.tolist())
+                names = list(number)
+                yield pd.DataFrame({"segment": [names[i] for i in less], "less": np.fromiter(less.values(), np.int64, len(less))})
 
     # A chunk's segments that don't come back: no more than the chunk holds.
-    bad = found.join(known.filter("NOT ok").select("segment"), "segment").groupBy("chunk").agg(F.collect_list("segment").alias("bad"))
+    places = known.filter("NOT ok").select(F.explode("places").alias("place"))
+    bad = places.groupBy(F.shiftright("place", 32).alias("chunk")).agg(F.collect_list(F.col("place").bitwiseAND((1 << 32) - 1)).alias("bad"))
     less = chunks.join(bad, "chunk").select("docs", "bad").mapInPandas(without_tokens, "segment string, less long").groupBy("segment").agg(F.sum("less").alias("less"))
-    counted = known.filter("ok").select("segment", "n", "links").join(cut(less, "alignment-less"), "segment", "left").select("segment", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n"), "links")
-    links = known.filter("ok").select("segment", F.explode("links").alias("link"))
-    worth = links.join(link_counts(counted), "link").groupBy("segment").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    worth = cut(worth, "alignment-worth")
-    told = found.select("chunk", "segment").join(known.select("segment", "ok", "n_a", "n_b", F.size("links").cast("long").alias("n_groups"), "groups"), "segment").join(worth, "segment", "left")
+    # Counts are at a segment's first rows, links at its very first: sums by id bring them together where there are several.
+    fine = known.filter("ok")
+    several = fine.filter("size(links) = 0").groupBy("id").agg(F.sum("n").alias("more"))
+    counted = fine.filter("size(links) > 0").select("id", "segment", "n", "links").join(several, "id", "left").join(cut(less, "alignment-less"), "segment", "left")
+    counted = counted.select("id", (F.col("n") + F.coalesce("more", F.lit(0)) - F.coalesce("less", F.lit(0))).alias("n"), "links")
+    links = fine.select("id", F.explode("links").alias("link"))
+    worth = links.join(link_counts(counted), "link").groupBy("id").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    told = known.select("id", "places", "groups", "n_a", "n_b").join(worth, "id", "left").fillna(0, ["n_best", "count_sum"])
+    told = told.select("places", "groups", *NUMBERS).mapInPandas(_by_chunk, "chunk long, told binary")
 
     def composed(chunk: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         split = models(shared).split
-        place = {s: i for i, s in enumerate(told["segment"])}
-        said = told["groups"].tolist()
-        numbers = told[["n_a", "n_b", "n_groups", "n_best", "count_sum"]].fillna(0).to_numpy(dtype=np.int64)
-        ok = told["ok"].to_numpy(dtype=bool)
+        tables = [_table(t) for t in told["told"]]
+        column = lambda c, kind: np.concatenate([np.asarray(t[c], dtype=kind) for t in tables]) if tables else np.zeros(0, dtype=kind)
+        order = np.argsort(column("number", np.int64))
+        numbers = np.stack([column(c, np.int64)[order] for c in NUMBERS], axis=1)
+        said = column("groups", object)[order]
+        del tables
         out = []
         for packed in chunk["docs"]:
-            for doc_id, text in zip(*_docs(packed), strict=True):
-                total, digest, fine = np.zeros(5, dtype=np.int64), hashlib.sha256(), bool(text)
-                for n, part in enumerate(segments(text, split) if text else ()):
-                    at = [place[s] for s in part]
-                    if not ok[at].all():
-                        fine = False
-                        break
+            for doc_id, parts, _ in _numbered(packed, split):
+                total, n_groups, digest, fine, n = np.zeros(len(NUMBERS), dtype=np.int64), 0, hashlib.sha256(), False, 0
+                for n, at in enumerate(parts):
+                    groups = said[at]
+                    fine = all(groups) and (fine or n == 0)
                     total += numbers[at].sum(axis=0)
-                    digest.update((";" * (n > 0) + ";".join([said[i] for i in at])).encode())
-                out.append((doc_id, *(total if fine else [0] * 5), digest.hexdigest() if fine else ""))
-        df = pd.DataFrame(out, columns=["doc_id", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups_sha256"]).astype({"doc_id": "Int64"})
+                    whole = ";" * (n > 0) + ";".join(groups)
+                    n_groups += whole.count("|")
+                    digest.update(whole.encode())
+                out.append((doc_id, *(total if fine else [0] * len(NUMBERS)), n_groups if fine else 0, digest.hexdigest() if fine else ""))
+        df = pd.DataFrame(out, columns=["doc_id", *NUMBERS, "n_groups", "groups_sha256"]).astype({"doc_id": "Int64"})
         return df.assign(n_links=df["n_groups"])[["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]]
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"

@@ -100,3 +100,10 @@ def test_vocabulary_that_reaches_over_spaces(both):
 def test_files_are_a_parameter_and_empty_table(spark, tmp_path):
     a, b = (shutil.copy(f, tmp_path) for f in FILES)
     assert ta.align(spark.createDataFrame([], "doc_id long, text string"), a, b).collect() == []
+
+
+def test_segments_of_many_chunks(spark, both, monkeypatch):
+    monkeypatch.setattr(ta, "PLACES", 3)
+    docs = [(i, f"the same words {i % 5} in all of them, and ▁" if i % 10 == 9 else f"the same words {i % 5} in all of them") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(20)
+    assert rows(ta.align(df)) == brute(docs, both)
