@@ -125,20 +125,26 @@ def impact(edges: DataFrame, node: str, depth: int = MAX_DEPTH) -> DataFrame:
     return per.withColumn("direct", F.col("depth") == 1)
 
 
-def coverage(edges: DataFrame) -> DataFrame:
-    """(relation, n_columns, n_fed, n_writers, n_filters, n_weak) for each relation on some edge."""
-    ends = edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).dropna().distinct()
-    columns = ends.filter(F.contains("node", F.lit("."))).groupBy(relation(F.col("node")).alias("relation")).agg(F.count("*").alias("n_columns"))
-    into = edges.withColumn("relation", relation(F.col("target")))
-    per = into.groupBy("relation").agg(
-        F.countDistinct(F.when(F.col("type") == "FEEDS", F.col("target"))).alias("n_fed"),
-        F.countDistinct(F.when(F.col("type") == "FEEDS", relation(F.col("source")))).alias("n_writers"),
-        F.count(F.when(F.col("type") == "FILTERS", 1)).alias("n_filters"),
-        F.count(F.when(F.col("type").isin(*UNVERIFIED), 1)).alias("n_weak"),
-    )
-    relations = ends.select(relation(F.col("node")).alias("relation")).distinct()
-    zero = ("n_columns", "n_fed", "n_writers", "n_filters", "n_weak")
-    return relations.join(columns, "relation", "left").join(per, "relation", "left").fillna(0, zero).select("relation", *zero)
+def coverage(edges: DataFrame, columns: DataFrame | None = None, writes: DataFrame | None = None) -> DataFrame:
+    """(relation, n_columns, n_fed, n_unfed, n_writers, n_filters, n_weak) for each relation that has columns or edges.
+
+    columns(node): the known columns, also those on no edge; columns on edges count in any case. A column is fed if a FEEDS or
+    INFLUENCES edge comes in. writes(statement, table): n_writers counts the statements that write the relation. Null nodes count
+    for nothing.
+    """
+    ends = edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node")))
+    ends = (ends.unionByName(columns.select("node")) if columns is not None else ends).dropna().distinct()
+    fed = edges.filter(F.col("type").isin("FEEDS", "INFLUENCES")).select(F.col("target").alias("node")).distinct().withColumn("fed", F.lit(True))
+    each = ends.join(fed, "node", "left").withColumn("column", F.contains("node", F.lit(".")))
+    per = each.groupBy(relation(F.col("node")).alias("relation")).agg(F.count_if("column").alias("n_columns"), F.count_if(F.col("column") & F.col("fed")).alias("n_fed"))
+    into = edges.groupBy(relation(F.col("target")).alias("relation")).agg(F.count_if(F.col("type") == "FILTERS").alias("n_filters"), F.count_if(F.col("type").isin(*UNVERIFIED)).alias("n_weak"))
+    df = per.join(into, "relation", "left")
+    if writes is None:
+        df = df.withColumn("n_writers", F.lit(0).cast("long"))
+    else:
+        df = df.join(writes.groupBy(F.col("table").alias("relation")).agg(F.countDistinct("statement").alias("n_writers")), "relation", "left")
+    df = df.fillna(0, ["n_filters", "n_weak", "n_writers"])
+    return df.select("relation", "n_columns", "n_fed", (F.col("n_columns") - F.col("n_fed")).alias("n_unfed"), "n_writers", "n_filters", "n_weak")
 
 
 def table_level(edges: DataFrame) -> DataFrame:

@@ -59,21 +59,23 @@ def discriminating_fragments(emitters: DataFrame) -> DataFrame:
 def attribute_log(log: DataFrame, emitters: DataFrame) -> DataFrame:
     """log(sql_id, action, shape), emitters(unit, action, shape) -> (sql_id, unit, signal, n_candidates).
 
-    An action names its unit exactly; else the shape gives candidates, which is exact only where there is one; else none.
+    An action, in any case, names its unit, the first by name where several have it. A shape gives candidates and never a
+    unit, also where there is one candidate: texts that two units can emit are common. log_recovery.attributed reads whole texts.
     """
-    action = emitters.groupBy(F.col("action").alias("a")).agg(F.min("unit").alias("unit_a"))
-    shape = emitters.groupBy(F.col("shape").alias("s")).agg(F.countDistinct("unit").alias("n_s"), F.min("unit").alias("unit_s"))
-    df = log.join(action, F.col("action") == F.col("a"), "left").join(shape, F.col("shape") == F.col("s"), "left")
+    action = emitters.groupBy(F.upper("action").alias("a")).agg(F.min("unit").alias("unit_a"))
+    shape = emitters.groupBy(F.col("shape").alias("s")).agg(F.countDistinct("unit").alias("n_s"))
+    df = log.join(action, F.upper("action") == F.col("a"), "left").join(shape, F.col("shape") == F.col("s"), "left")
     signal = F.when(F.col("unit_a").isNotNull(), "action").when(F.col("n_s").isNotNull(), "shape").otherwise("none")
-    unit = F.when(F.col("unit_a").isNotNull(), F.col("unit_a")).when(F.col("n_s") == 1, F.col("unit_s"))
     n = F.when(F.col("unit_a").isNotNull(), 1).otherwise(F.coalesce("n_s", F.lit(0))).cast("long")
-    return df.select("sql_id", unit.alias("unit"), signal.alias("signal"), n.alias("n_candidates"))
+    return df.select("sql_id", F.col("unit_a").alias("unit"), signal.alias("signal"), n.alias("n_candidates"))
 
 
 def recovery_report(attributed: DataFrame) -> DataFrame:
-    """(signal, n, n_exact, rate): how many rows each signal attributes, and its share of all rows."""
+    """(signal, n, n_exact, rate): rows of each signal, those with a unit, and, the same in each row, the share of all rows that an action names."""
     per = attributed.groupBy("signal").agg(F.count("*").alias("n"), F.count("unit").alias("n_exact"))
-    return per.withColumn("rate", F.col("n_exact") / F.sum("n").over(Window.partitionBy()))
+    total = Window.partitionBy()  # a row for each signal
+    high = F.coalesce(F.sum(F.when(F.col("signal") == "action", F.col("n"))).over(total), F.lit(0))
+    return per.withColumn("rate", high / F.sum("n").over(total))
 
 
 def witness(edges: DataFrame, units: DataFrame, sightings: DataFrame, unobservable: DataFrame) -> DataFrame:

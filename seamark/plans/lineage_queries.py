@@ -117,13 +117,22 @@ def graph_find(spark, sf_dir):
     return graph.find(g.select(F.col("source").alias("node")).unionByName(g.select(F.col("target").alias("node"))), "Nation1")
 
 
-@query(f"""WITH {_GRAPH}, n AS (SELECT source AS node FROM g UNION SELECT target FROM g),
-r AS (SELECT {_REL.format("node")} AS relation, count(*) FILTER (contains(node, '.')) AS n_columns FROM n GROUP BY 1),
-i AS (SELECT {_REL.format("target")} AS relation, count(DISTINCT target) FILTER (type = 'FEEDS') AS f, count(DISTINCT {_REL.format("source")}) FILTER (type = 'FEEDS') AS w,
-count(*) FILTER (type = 'FILTERS') AS x, count(*) FILTER (type IN ('MENTIONS_COL', 'OPAQUE')) AS o FROM g GROUP BY 1)
-SELECT relation, n_columns, coalesce(f, 0) AS n_fed, coalesce(w, 0) AS n_writers, coalesce(x, 0) AS n_filters, coalesce(o, 0) AS n_weak FROM r LEFT JOIN i USING (relation)""")
+_COVERAGE = f"""known AS (SELECT 'part' || p_partkey % 20 || '.' || p_partkey AS node FROM part UNION SELECT 'part' || p_partkey % 20 || '.c' || p_partkey FROM part UNION SELECT 'empty' || s_suppkey % 9 || '.' || s_suppkey FROM supplier),
+n AS (SELECT source AS node FROM g UNION SELECT target FROM g UNION SELECT node FROM known),
+wr AS (SELECT DISTINCT 'st' || l_orderkey AS statement, 'part' || l_partkey % 20 AS "table" FROM lineitem WHERE l_returnflag = 'R'),
+r AS (SELECT {_REL.format("node")} AS relation, count(*) FILTER (contains(node, '.')) AS n_columns, count(*) FILTER (contains(node, '.') AND node IN (SELECT target FROM g WHERE type IN ('FEEDS', 'INFLUENCES'))) AS n_fed FROM n GROUP BY 1),
+i AS (SELECT {_REL.format("target")} AS relation, count(*) FILTER (type = 'FILTERS') AS x, count(*) FILTER (type IN ('MENTIONS_COL', 'OPAQUE')) AS o FROM g GROUP BY 1),
+w AS (SELECT "table" AS relation, count(DISTINCT statement) AS n FROM wr GROUP BY 1)"""
+
+
+@query(f"""WITH {_GRAPH}, {_COVERAGE} SELECT relation, n_columns, n_fed, n_columns - n_fed AS n_unfed, coalesce(n, 0) AS n_writers, coalesce(x, 0) AS n_filters, coalesce(o, 0) AS n_weak FROM r LEFT JOIN i USING (relation) LEFT JOIN w USING (relation)""")
 def graph_coverage(spark, sf_dir):
-    return graph.coverage(facts.graph(spark, sf_dir))
+    p, s, li = (table(spark, sf_dir, t) for t in ("part", "supplier", "lineitem"))
+    k = F.col("p_partkey")
+    columns = p.select(facts.name("part", k % 20, k).alias("node")).unionByName(p.select(F.concat(F.lit("part"), k % 20, F.lit(".c"), k).alias("node")))
+    columns = columns.unionByName(s.select(facts.name("empty", F.col("s_suppkey") % 9, F.col("s_suppkey")).alias("node")))
+    writes = li.filter("l_returnflag = 'R'").select(_of("st").alias("statement"), _part_table())
+    return graph.coverage(cut(facts.graph(spark, sf_dir), "graph"), columns, writes)
 
 
 @query(f"""WITH {_GRAPH} SELECT {_REL.format("source")} AS source, {_REL.format("target")} AS target, string_agg(DISTINCT type, ',' ORDER BY type) AS flows, count(*) AS n_edges
@@ -238,16 +247,16 @@ def measure_fragments(spark, sf_dir):
     return measure.discriminating_fragments(table(spark, sf_dir, "part").select(F.concat(F.lit("u"), "p_size").alias("unit"), F.col("p_name").alias("fragment")))
 
 
-_LOG = """log AS (SELECT event_id AS sql_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS action, 'shape' || user_id % 50 AS shape FROM events),
+_LOG = """log AS (SELECT event_id AS sql_id, CASE WHEN event_id % 3 = 0 THEN upper(event_type) END AS action, 'shape' || user_id % 50 AS shape FROM events),
 em AS (SELECT DISTINCT 'unit_' || event_type AS unit, event_type AS action, 'shape' || CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS shape FROM events WHERE event_type < 's'),
-a AS (SELECT action AS k, min(unit) AS ua FROM em GROUP BY 1), s AS (SELECT shape AS k, count(DISTINCT unit) AS n, min(unit) AS us FROM em GROUP BY 1),
-att AS (SELECT sql_id, CASE WHEN ua IS NOT NULL THEN ua WHEN n = 1 THEN us END AS unit, CASE WHEN ua IS NOT NULL THEN 'action' WHEN n IS NOT NULL THEN 'shape' ELSE 'none' END AS signal,
-CASE WHEN ua IS NOT NULL THEN 1 ELSE coalesce(n, 0) END AS n_candidates FROM log LEFT JOIN a ON a.k = action LEFT JOIN s ON s.k = shape)"""
+a AS (SELECT upper(action) AS k, min(unit) AS ua FROM em GROUP BY 1), s AS (SELECT shape AS k, count(DISTINCT unit) AS n FROM em GROUP BY 1),
+att AS (SELECT sql_id, ua AS unit, CASE WHEN ua IS NOT NULL THEN 'action' WHEN n IS NOT NULL THEN 'shape' ELSE 'none' END AS signal,
+CASE WHEN ua IS NOT NULL THEN 1 ELSE coalesce(n, 0) END AS n_candidates FROM log LEFT JOIN a ON a.k = upper(action) LEFT JOIN s ON s.k = shape)"""
 
 
 def _attributed(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
-    log = ev.select(F.col("event_id").alias("sql_id"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("action"), F.concat(F.lit("shape"), F.col("user_id") % 50).alias("shape"))
+    log = ev.select(F.col("event_id").alias("sql_id"), F.when(F.col("event_id") % 3 == 0, F.upper("event_type")).alias("action"), F.concat(F.lit("shape"), F.col("user_id") % 50).alias("shape"))
     no = F.when(F.col("event_type") == "click", "1").when(F.col("event_type") == "view", "2").otherwise("3")
     em = ev.filter("event_type < 's'").select(F.concat(F.lit("unit_"), "event_type").alias("unit"), F.col("event_type").alias("action"), F.concat(F.lit("shape"), no).alias("shape")).distinct()
     return measure.attribute_log(log, em)
@@ -258,7 +267,7 @@ def measure_log_attribution(spark, sf_dir):
     return _attributed(spark, sf_dir)
 
 
-@query(f"WITH {_LOG} SELECT signal, count(*) AS n, count(unit) AS n_exact, count(unit) / (SELECT count(*) FROM att) AS rate FROM att GROUP BY 1")
+@query(f"WITH {_LOG} SELECT signal, count(*) AS n, count(unit) AS n_exact, (SELECT count(*) FILTER (signal = 'action') / count(*) FROM att) AS rate FROM att GROUP BY 1")
 def measure_recovery(spark, sf_dir):
     return measure.recovery_report(_attributed(spark, sf_dir))
 
