@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamark.frames import Grown, cut
 
-CAP = 50
-
-
-def reaching_definitions(flow: DataFrame, gen: DataFrame, cap: int = CAP) -> DataFrame:
+def reaching_definitions(flow: DataFrame, gen: DataFrame, cap: int | None = None) -> DataFrame:
     """flow(unit, node, succ), gen(unit, node, var) -> (unit, node, var, def_node, converged): what reaches each node's entry.
 
     A definition leaves its node and goes on until a node defines the variable again. Each round moves only what the last
-    one found new, and is written out; after `cap` rounds converged is false.
+    one found new, and is written out. With a cap, converged is false where that many rounds weren't enough.
     """
     flow, gen = cut(flow.distinct(), "dataflow-flow"), cut(gen.distinct(), "dataflow-gen")
     reached = Grown(flow.sparkSession, "dataflow-reached")
     step = lambda out: out.join(flow, ["unit", "node"]).select("unit", F.col("succ").alias("node"), "var", "def_node").distinct()
     new = reached.add(step(gen.select("unit", "node", "var", F.col("node").alias("def_node"))))
-    for _ in range(cap):
+    for _ in itertools.count() if cap is None else range(cap):
         through = new.join(gen, ["unit", "node", "var"], "left_anti")
         new = reached.add(step(through).join(reached.all(), ["unit", "node", "var", "def_node"], "left_anti"))
         if new.isEmpty():
@@ -64,7 +63,7 @@ def uninitialised_uses(flow: DataFrame, entry: DataFrame, gen: DataFrame, uses:
     """uses(unit, node, var), parameters(unit, var) -> (unit, node, var, partial): reads that no definition reaches, or, partial,
     that some way reaches without one. Parameters are assigned by the caller.
     """
-    reaching = reaching_definitions(flow, gen, cap=1 << 30).select("unit", "node", "var").distinct()
+    reaching = reaching_definitions(flow, gen).select("unit", "node", "var").distinct()
     open_ = maybe_unassigned(flow, entry, gen)
     uses = uses.distinct().join(parameters, ["unit", "var"], "left_anti").select("unit", "node", "var")
     some = uses.join(reaching, ["unit", "node", "var"], "left_semi").join(open_, ["unit", "node", "var"], "left_semi").withColumn("partial", F.lit(True))

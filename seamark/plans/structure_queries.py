@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seamark.frames import table
-from seamark.operators import intervals, log_recovery
+from seamark.frames import cut, table
+from seamark.operators import calls, control_flow, facts, intervals, log_recovery, views
+from seamark.plans import lineage_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -150,3 +151,100 @@ def range_intersected(spark, sf_dir):
 @query(_ranges_sql("a AND NOT b", "a0 AND NOT b0"))
 def range_subtracted(spark, sf_dir):
     return intervals.subtracted(*_days(spark, sf_dir))
+
+
+# ---- control flow and calls ----
+
+_BRANCHES = """o AS (SELECT o_custkey AS unit, o_orderkey AS node, o_orderpriority AS label, row_number() OVER w AS n, lead(o_orderkey) OVER w AS succ, lead(o_orderkey, 3) OVER w AS far, lag(o_orderkey, 2) OVER w AS back FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+f AS (SELECT DISTINCT * FROM (SELECT unit, node, succ, CASE WHEN n % 4 = 1 THEN label END AS label FROM o WHERE succ IS NOT NULL UNION ALL SELECT unit, node, far, 'NOT ' || label FROM o WHERE far IS NOT NULL AND n % 4 = 1 UNION ALL SELECT unit, node, back, 'again' FROM o WHERE back IS NOT NULL AND n % 5 = 0)),
+e AS (SELECT unit, min(node) AS node FROM o GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {_BRANCHES}, x AS (SELECT DISTINCT unit, label FROM f WHERE label IS NOT NULL),
+r(unit, node) AS (SELECT unit, node FROM e UNION SELECT f.unit, f.succ FROM r JOIN f ON f.unit = r.unit AND f.node = r.node),
+w(unit, node, label) AS (SELECT unit, node, label FROM e JOIN x USING (unit) UNION SELECT f.unit, f.succ, w.label FROM w JOIN f ON f.unit = w.unit AND f.node = w.node AND f.label IS DISTINCT FROM w.label)
+SELECT unit, node, label FROM r JOIN x USING (unit) EXCEPT SELECT unit, node, label FROM w""")
+def dataflow_guards(spark, sf_dir):
+    """A graph for each customer: branches at every fourth order, loops back at every fifth."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("unit"), F.col("o_orderkey").alias("node"), F.col("o_orderpriority").alias("label"))
+    w = Window.partitionBy("unit").orderBy("node")
+    o = cut(o.withColumns({"n": F.row_number().over(w), "succ": F.lead("node").over(w), "far": F.lead("node", 3).over(w), "back": F.lag("node", 2).over(w)}), "branches")
+    flow = o.select("unit", "node", "succ", F.when(F.col("n") % 4 == 1, F.col("label")).alias("label"))
+    flow = flow.unionByName(o.filter("n % 4 = 1").select("unit", "node", F.col("far").alias("succ"), F.concat(F.lit("NOT "), "label").alias("label")))
+    flow = flow.unionByName(o.filter("n % 5 = 0").select("unit", "node", F.col("back").alias("succ"), F.lit("again").alias("label")))
+    return control_flow.guards(flow, o.groupBy("unit").agg(F.min("node").alias("node")))
+
+
+_CALLS = """u AS (SELECT p_partkey AS unit FROM part), own AS (SELECT p_partkey AS unit, 's' || p_size AS "column", CAST(p_partkey % 4 AS INT) AS rank FROM part WHERE p_partkey % 3 > 0),
+c AS (SELECT DISTINCT caller, callee, CAST((caller + callee) % 4 AS INT) AS rank FROM (SELECT p_partkey AS caller, p_partkey // 3 AS callee FROM part WHERE p_partkey > 2 UNION ALL SELECT p_partkey, 3 * p_partkey + 1 FROM part WHERE p_partkey % 16 = 1
+  UNION ALL SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 90 = 0 UNION ALL SELECT p_partkey, -1 FROM part WHERE p_partkey % 50 = 0))"""
+
+
+def _calls(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    arm = lambda on, callee: p.filter(on).select(k.alias("caller"), callee.cast("long").alias("callee"))
+    c = arm(k > 2, F.floor(k / 3)).unionByName(arm(k % 16 == 1, 3 * k + 1)).unionByName(arm(k % 90 == 0, k)).unionByName(arm(k % 50 == 0, F.lit(-1)))
+    c = c.distinct().withColumn("rank", F.pmod(F.col("caller") + F.col("callee"), F.lit(4)).cast("int"))
+    own = p.filter(k % 3 > 0).select(k.alias("unit"), F.concat(F.lit("s"), "p_size").alias("column"), (k % 4).cast("int").alias("rank"))
+    return p.select(k.alias("unit")), own, c
+
+
+@query(f"""WITH RECURSIVE {_CALLS}, r(unit, "column", rank, hops) AS (SELECT unit, "column", rank, 0 FROM own UNION SELECT caller, "column", greatest(r.rank, c.rank), hops + 1 FROM r JOIN c ON callee = unit WHERE hops < 5)
+SELECT unit, "column", min(rank) AS rank FROM r GROUP BY 1, 2""")
+def dataflow_summaries(spark, sf_dir):
+    _, own, c = _calls(spark, sf_dir)
+    return calls.summaries(own, c)
+
+
+@query(f"""WITH RECURSIVE {_CALLS}, w(unit, k) AS (SELECT unit, 0 FROM u UNION SELECT caller, k + 1 FROM w JOIN c ON callee = unit WHERE k < 6),
+l(unit, k) AS (SELECT DISTINCT callee, 0 FROM c WHERE callee NOT IN (SELECT unit FROM u) UNION SELECT caller, k + 1 FROM l JOIN c ON callee = unit WHERE k < 6),
+t(a, b) AS (SELECT caller, callee FROM c UNION SELECT t.a, c.callee FROM t JOIN c ON c.caller = t.b),
+g AS (SELECT x.a AS unit, min(x.b) AS component, count(DISTINCT x.b) AS size FROM t x JOIN t y ON y.a = x.b AND y.b = x.a GROUP BY 1)
+SELECT u.unit, u.unit IN (SELECT unit FROM w WHERE k = 6) OR u.unit IN (SELECT unit FROM l WHERE k > 0) AS truncated, component, size FROM u LEFT JOIN g USING (unit)""")
+def dataflow_recursion(spark, sf_dir):
+    """Which summaries aren't whole, and the groups of units that call each other."""
+    units, _, c = _calls(spark, sf_dir)
+    return calls.told(units, c).drop("level")
+
+
+# ---- views ----
+
+_VIEWS = f"""d AS (SELECT 'customer' || r || '.' || k AS name, CASE r WHEN 2 THEN CASE WHEN k % 20 = 2 THEN NULL ELSE 'supplier0.' || k END WHEN 3 THEN 'customer4.' || k + 1 WHEN 4 THEN 'customer5.' || k + 1
+  WHEN 6 THEN CASE WHEN k + 10 > m THEN 'customer7.' || k ELSE 'customer6.' || k + 10 END WHEN 8 THEN 'customer9.' || k + 1 WHEN 9 THEN 'customer8.' || k - 1 END AS base
+  FROM (SELECT c_custkey AS k, c_custkey % 10 AS r, max(c_custkey) OVER () AS m FROM customer) WHERE r IN (2, 3, 4, 6, 8, 9)),
+walk(name, base, hops, open) AS (SELECT name, base, 1, base IN (SELECT name FROM d) FROM d UNION ALL SELECT w.name, d.base, w.hops + 1, d.base IN (SELECT name FROM d) FROM walk w JOIN d ON d.name = w.base WHERE w.hops < (SELECT count(*) / 5 + 20 FROM d)),
+fin AS (SELECT name, base, hops FROM walk WHERE NOT coalesce(open, false)),
+b AS (SELECT d.name, CASE WHEN fin.hops <= 10 THEN fin.base END AS base, hops, CASE WHEN fin.name IS NULL THEN 'cycle' WHEN hops > 10 THEN 'deep' WHEN fin.base IS NULL THEN 'unknown' ELSE 'base' END AS state FROM d LEFT JOIN fin ON fin.name = d.name)"""
+
+
+def _views(spark, sf_dir):
+    k, r = F.col("c_custkey"), F.col("c_custkey") % 10
+    c = table(spark, sf_dir, "customer").select(k)
+    c = c.join(c.agg(F.max(k).alias("m")), F.lit(True))  # one row
+    at = lambda n, key: F.concat(F.lit(f"customer{n}."), key)
+    base = F.when((r == 2) & (k % 20 != 2), F.concat(F.lit("supplier0."), k)).when(r == 3, at(4, k + 1)).when(r == 4, at(5, k + 1)).when((r == 6) & (k + 10 > F.col("m")), at(7, k)).when(r == 6, at(6, k + 10)).when(r == 8, at(9, k + 1)).when(r == 9, at(8, k - 1))
+    return c.filter(r.isin(2, 3, 4, 6, 8, 9)).select(F.concat(F.lit("customer"), r, F.lit("."), k).alias("name"), base.alias("base"))
+
+
+@query(f"WITH RECURSIVE {_VIEWS} SELECT name, base, CAST(hops AS BIGINT) AS hops, state FROM b")
+def view_bases(spark, sf_dir):
+    return views.bases(_views(spark, sf_dir))
+
+
+_REWRITTEN = f"""WITH RECURSIVE {lineage_queries._GRAPH}, {_VIEWS}, v AS (SELECT split_part(name, '.', 1) AS view, CASE WHEN count(DISTINCT split_part(base, '.', 1)) = 1 THEN min(split_part(base, '.', 1)) END AS only, CASE WHEN count(base) = 0 THEN 'no base' ELSE 'several bases' END AS why FROM b GROUP BY 1),
+x AS (SELECT g.id, g.type, g.source, g.target, s.base AS sb, s.state AS ss, t.base AS tb, t.state AS ts, vs.view AS sv, vs.only AS so, vs.why AS sw, vt.view AS tv, vt.only AS t_o, vt.why AS tw,
+CASE WHEN s.state = 'base' THEN s.base WHEN vs.view IS NOT NULL AND t.state = 'base' AND split_part(g.target, '.', 1) = g.source THEN split_part(t.base, '.', 1) WHEN vs.view IS NOT NULL THEN vs.only END AS s_to,
+CASE WHEN t.state = 'base' THEN t.base WHEN vt.view IS NOT NULL AND s.state = 'base' AND split_part(g.source, '.', 1) = g.target THEN split_part(s.base, '.', 1) WHEN vt.view IS NOT NULL THEN vt.only END AS t_to
+FROM g LEFT JOIN b s ON s.name = g.source LEFT JOIN b t ON t.name = g.target LEFT JOIN v vs ON vs.view = g.source LEFT JOIN v vt ON vt.view = g.target)"""
+
+
+@query(f"{_REWRITTEN} SELECT id, type, coalesce(s_to, source) AS source, coalesce(t_to, target) AS target FROM x")
+def view_rewritten(spark, sf_dir):
+    """The edges of the graph, some of whose customer relations are views of others."""
+    return views.rewritten(facts.graph(spark, sf_dir), _views(spark, sf_dir))[0]
+
+
+@query(f"""{_REWRITTEN} SELECT id, 'source' AS side, source AS name, coalesce(CASE WHEN ss <> 'base' THEN ss END, sw) AS reason FROM x WHERE ss <> 'base' OR (sv IS NOT NULL AND s_to IS NULL)
+UNION ALL SELECT id, 'target', target, coalesce(CASE WHEN ts <> 'base' THEN ts END, tw) FROM x WHERE ts <> 'base' OR (tv IS NOT NULL AND t_to IS NULL)""")
+def view_boundaries(spark, sf_dir):
+    return views.rewritten(facts.graph(spark, sf_dir), _views(spark, sf_dir))[1]
