@@ -42,7 +42,7 @@ from seamark.llm.common import cut
 
 FOLDER, BYTE_BPE, PIECE_BPE = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a chunk's texts, and of a part of a text that is split at once.
-CHUNK, AT_ONCE = 1 << 24, 1 << 20
+CHUNK, AT_ONCE = 12_000_000, 1 << 20
 #: Segments that are tokenised at once, places of a segment in one row, and rows that are packed for the chunks at once.
 SEGMENTS, PLACES, ROWS = 10_000, 4096, 500_000
 #: Leading white space, what follows up to the next space, and the white space that ends the text.
@@ -54,7 +54,7 @@ PLACE = re.compile(r"(?<=\S) (?=\s*\S)")
 NUMBERS = ["n_a", "n_b", "n_best", "count_sum"]
 
 _models: dict[str, Models] = {}
-_ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
+_ZSTD = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))
 
 
 class Models:
