@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from seamark.frames import Grown, cut
 from seamark.functions.texts import transform_name, transform_rank
+from seamark.operators import builds
 
 MAX_DEPTH = 15
 WALKED = ("FEEDS", "INFLUENCES")
@@ -285,5 +286,10 @@ def renamed(edges: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def snapshot(edges: DataFrame) -> DataFrame:
-    """(type, n, n_sources, n_targets, first, last) of each type of edge: what two builds of one graph are compared by."""
-    return edges.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"), F.countDistinct("target").alias("n_targets"), F.min("id").alias("first"), F.max("id").alias("last"))
+    """(type, n, n_sources, n_targets, first, last, digest) of each type of edge: what two builds of one graph are compared by.
+
+    The digest, of all edges of the type, is the same for any order and partitioning. A null type is a type.
+    """
+    per = edges.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"), F.countDistinct("target").alias("n_targets"), F.min("id").alias("first"), F.max("id").alias("last"))
+    d = builds.digest(edges.select("id", "type", "source", "target"), ["type"]).select(F.col("type").alias("t"), "digest")
+    return per.join(d, F.col("type").eqNullSafe(F.col("t"))).drop("t")

@@ -12,6 +12,8 @@ from seamark.functions import texts
 from seamark.operators import dataflow, facts, graph, knowledge, ledger, measure
 from seamark.sources import facts_io
 
+_EDGE_TEXT = " || ".join(f"length({c}) || ':' || {c}" for c in ("id", "source", "target"))
+_DIGEST = "sha256(count(*) || ':' || " + " || ':' || ".join(f"CAST(CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS HUGEINT) AS VARCHAR)" for i in range(4)) + ")"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -657,7 +659,7 @@ def graph_renamed(spark, sf_dir):
     return graph.renamed(facts.graph(spark, sf_dir), names).select("type", "source", "target")
 
 
-@query(f"WITH {_GRAPH} SELECT type, count(*) AS n, count(DISTINCT source) AS n_sources, count(DISTINCT target) AS n_targets, min(id) AS first, max(id) AS last FROM g GROUP BY 1")
+@query(f"WITH {_GRAPH} SELECT type, count(*) AS n, count(DISTINCT source) AS n_sources, count(DISTINCT target) AS n_targets, min(id) AS first, max(id) AS last, {_DIGEST} AS digest FROM (SELECT *, md5({_EDGE_TEXT}) AS h FROM g) GROUP BY 1")
 def graph_snapshot(spark, sf_dir):
     return graph.snapshot(facts.graph(spark, sf_dir))
 

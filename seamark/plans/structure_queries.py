@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seamark.frames import cut, table
-from seamark.operators import calls, control_flow, facts, intervals, log_recovery, views
+from seamark.operators import builds, calls, control_flow, facts, hierarchy, intervals, log_recovery, peers, search, views
 from seamark.plans import lineage_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,3 +248,116 @@ def view_rewritten(spark, sf_dir):
 UNION ALL SELECT id, 'target', target, coalesce(CASE WHEN ts <> 'base' THEN ts END, tw) FROM x WHERE ts <> 'base' OR (tv IS NOT NULL AND t_to IS NULL)""")
 def view_boundaries(spark, sf_dir):
     return views.rewritten(facts.graph(spark, sf_dir), _views(spark, sf_dir))[1]
+
+
+# ---- hierarchies ----
+
+_TREE = """tree AS (SELECT p_partkey // 3 AS parent, p_partkey AS child FROM part WHERE p_partkey > 2 UNION ALL SELECT p_partkey, p_partkey // 9 FROM part WHERE p_partkey % 27 = 0),
+t(id, level, path, is_cycle) AS (SELECT p_partkey, 0, [p_partkey], false FROM part WHERE p_partkey < 3 UNION ALL SELECT child, level + 1, list_append(path, child), list_contains(path, child) FROM t JOIN tree ON parent = id WHERE NOT is_cycle)"""
+
+
+def _traversed(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    links = p.filter(k > 2).select(F.floor(k / 3).cast("long").alias("parent"), k.alias("child")).unionByName(p.filter(k % 27 == 0).select(k.alias("parent"), F.floor(k / 9).cast("long").alias("child")))
+    return hierarchy.traverse(links, p.filter(k < 3).select(k.alias("id")))
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT id, level, array_to_string(path, '>') AS path, is_cycle FROM t")
+def hierarchy_traversed(spark, sf_dir):
+    """Parts below parts, with links back up that are cycles."""
+    return _traversed(spark, sf_dir).select("id", "level", F.concat_ws(">", F.col("path").cast("array<string>")).alias("path"), "is_cycle")
+
+
+@query(f"""WITH RECURSIVE {_TREE}, s AS (SELECT unnest(path) AS id, p_size FROM t JOIN part ON p_partkey = t.id WHERE NOT is_cycle) SELECT id, CAST(sum(p_size) AS BIGINT) AS total FROM s GROUP BY 1""")
+def hierarchy_rolled_up(spark, sf_dir):
+    sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    return hierarchy.rolled_up(_traversed(spark, sf_dir).join(sizes, "id"), F.col("p_size"))
+
+
+# ---- frames of peer groups ----
+
+
+def _frames_sql(exclude: str) -> str:
+    over = f"(PARTITION BY l_suppkey ORDER BY l_quantity GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING EXCLUDE {exclude})"
+    each = ", ".join(f"{f} OVER {over} AS {name}" for f, name in (("count(v)", "n"), ("CAST(sum(v)", "total"), ("avg(v)", "mean"), ("min(v)", "least"), ("max(v)", "most"))).replace(f"CAST(sum(v) OVER {over}", f"CAST(sum(v) OVER {over} AS BIGINT)")
+    return f"SELECT l_orderkey, l_linenumber, {each} FROM (SELECT *, CASE WHEN l_partkey % 17 > 0 THEN l_partkey END AS v FROM lineitem)"
+
+
+def _framed(spark, sf_dir, exclude):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", F.when(F.col("l_partkey") % 17 > 0, F.col("l_partkey")).alias("v"))
+    return peers.over_groups(li, ["l_suppkey"], "l_quantity", "v", 2, 1, exclude).select("l_orderkey", "l_linenumber", "n", "total", "mean", "least", "most")
+
+
+@query(_frames_sql("NO OTHERS"))
+def frame_groups(spark, sf_dir):
+    return _framed(spark, sf_dir, "NO OTHERS")
+
+
+@query(_frames_sql("CURRENT ROW"))
+def frame_exclude_row(spark, sf_dir):
+    return _framed(spark, sf_dir, "CURRENT ROW")
+
+
+@query(_frames_sql("GROUP"))
+def frame_exclude_group(spark, sf_dir):
+    return _framed(spark, sf_dir, "GROUP")
+
+
+@query(_frames_sql("TIES"))
+def frame_exclude_ties(spark, sf_dir):
+    return _framed(spark, sf_dir, "TIES")
+
+
+# ---- search: three words of each benchmark item, as a phrase or not, in all documents ----
+
+_TERMS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda x: x <> '')"
+_SEARCH = f"""post AS (SELECT doc_id, term, pos FROM (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT doc_id, {_TERMS.format("text")} AS w FROM documents WHERE text IS NOT NULL))),
+size AS (SELECT doc_id, count(*) AS n_terms FROM post GROUP BY 1),
+item AS (SELECT item_id AS query, CASE item_id % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'any' ELSE 'phrase' END AS kind, {_TERMS.format("text")} AS w FROM benchmark),
+asked AS (SELECT query, kind, CASE WHEN kind = 'phrase' THEN w[4:6] ELSE list_distinct(w[1:3]) END AS t, CASE WHEN query % 5 = 0 THEN w[9] END AS bad FROM item),
+want AS (SELECT query, kind, len(t) AS n, unnest(t) AS term, unnest(range(len(t))) AS no FROM asked),
+hit AS (SELECT query, kind, n, doc_id, no, pos FROM want JOIN post USING (term) WHERE NOT EXISTS (SELECT 1 FROM asked a JOIN post p ON p.term = a.bad WHERE a.query = want.query AND p.doc_id = post.doc_id)),
+phr AS (SELECT query, doc_id, count(*) AS k FROM (SELECT query, doc_id, pos - no AS s FROM hit WHERE kind = 'phrase' GROUP BY query, doc_id, n, s HAVING count(*) = n) GROUP BY 1, 2),
+cov AS (SELECT query, doc_id, min(e - s + 1) AS cover FROM (SELECT query, doc_id, e, min(s) AS s FROM (SELECT a.query, a.doc_id, a.n, a.pos AS e, b.no, max(b.pos) AS s FROM hit a JOIN hit b ON a.query = b.query AND a.doc_id = b.doc_id AND b.pos <= a.pos WHERE a.kind = 'all' GROUP BY a.query, a.doc_id, a.n, a.pos, b.no)
+  GROUP BY query, doc_id, n, e HAVING count(*) = n) GROUP BY 1, 2),
+per AS (SELECT query, kind, n, doc_id, count(*) AS terms_, CAST(sum(c) AS BIGINT) AS places, sum(1 + ln(c)) AS weight FROM (SELECT query, kind, n, doc_id, no, count(*) AS c FROM hit GROUP BY ALL) GROUP BY ALL),
+found AS (SELECT *, 1 + ln(n_terms) AS l FROM per JOIN size USING (doc_id) LEFT JOIN phr USING (query, doc_id) LEFT JOIN cov USING (query, doc_id) WHERE kind = 'any' OR (kind = 'all' AND terms_ = n) OR (kind = 'phrase' AND k > 0))"""
+
+
+@query(f"""WITH {_SEARCH} SELECT query, doc_id, CASE WHEN kind = 'phrase' THEN n ELSE terms_ END AS n_found, coalesce(k, places) AS n_hits, CASE kind WHEN 'all' THEN cover WHEN 'phrase' THEN n END AS cover,
+round(CASE kind WHEN 'phrase' THEN (1 + ln(k)) / l WHEN 'all' THEN weight / l / (cover / n) ELSE weight / l END, 6) AS rank FROM found""")
+def search_ranked(spark, sf_dir):
+    w = search.terms(F.col("text"))
+    kind = F.when(F.col("item_id") % 3 == 0, "all").when(F.col("item_id") % 3 == 1, "any").otherwise("phrase")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), kind.alias("kind"), w.alias("w"))
+    asked = asked.select("query", "kind", F.array_join(F.when(F.col("kind") == "phrase", F.slice("w", 4, 3)).otherwise(F.slice("w", 1, 3)), " ").alias("words"), F.when(F.col("query") % 5 == 0, F.get("w", 8)).alias("without"))
+    found = search.search(search.index(table(spark, sf_dir, "documents")), search.queries(asked))
+    return found.withColumn("rank", F.round("rank", 6))
+
+
+# ---- builds ----
+
+
+def _text_sql(*columns: str) -> str:
+    return " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in sorted(columns))
+
+
+_DIGEST = "sha256(count(*) || ':' || " + " || ':' || ".join(f"CAST(CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS HUGEINT) AS VARCHAR)" for i in range(builds.PARTS)) + ")"
+
+
+@query(f"WITH {lineage_queries._GRAPH} SELECT type, count(*) AS n, {_DIGEST} AS digest FROM (SELECT type, md5({_text_sql('id', 'source', 'target')}) AS h FROM g) GROUP BY 1")
+def build_digest(spark, sf_dir):
+    return builds.digest(facts.graph(spark, sf_dir), ["type"])
+
+
+_NEXT = """nx AS (SELECT id, type, source, CASE WHEN length(target) % 3 = 0 THEN target || 'x' ELSE target END AS target FROM g WHERE length(source) % 7 > 0 UNION ALL SELECT 'new|' || id, type, source, target FROM g WHERE type = 'KEYS')"""
+
+
+@query(f"""WITH {lineage_queries._GRAPH}, {_NEXT} SELECT coalesce(g.id, nx.id) AS id, CASE WHEN g.id IS NULL THEN 'added' WHEN nx.id IS NULL THEN 'gone' ELSE 'changed' END AS change, CASE WHEN g.target <> nx.target THEN 'target' ELSE '' END AS columns
+FROM g FULL JOIN nx ON g.id = nx.id WHERE g.id IS NULL OR nx.id IS NULL OR g.target <> nx.target""")
+def build_diff(spark, sf_dir):
+    """The graph against a build of it in which some edges are gone, some end elsewhere and some are new."""
+    g = cut(facts.graph(spark, sf_dir), "graph")
+    new = g.filter(F.length("source") % 7 > 0).withColumn("target", F.when(F.length("target") % 3 == 0, F.concat("target", F.lit("x"))).otherwise(F.col("target")))
+    new = new.unionByName(g.filter("type = 'KEYS'").withColumn("id", F.concat(F.lit("new|"), "id")))
+    return builds.diff(g, new).withColumn("columns", F.array_join("columns", ","))
