@@ -204,6 +204,49 @@ def collapse(edges: DataFrame, hidden: DataFrame) -> DataFrame:
     return kept.unionByName(joined).select("source", "target", kind.alias("type"), transform_name(F.col("r")).alias("transform"), "joined")
 
 
+def collapse_passed(edges: DataFrame, hidden: DataFrame) -> DataFrame:
+    """edges(id, type, source, target, transform, file, line) -> (source, target, type, what, item): what each joined edge of
+    collapse() passed. what is via, for each hidden node on one of its ways, or where, for each file:line of an edge on one.
+
+    The rounds that find the ways write every step they took. From a joined edge's end the steps are walked back, state by state,
+    each once, so no way is listed; a node or place is told once however many ways pass it.
+    """
+    spark = edges.sparkSession
+    filters, feeds = PRECEDENCE.index("FILTERS") + 1, PRECEDENCE.index("FEEDS") + 1
+    level = F.array_position(F.array(*map(F.lit, PRECEDENCE)), F.col("type")).cast("int")
+    names = hidden.select(F.col("relation").alias("hr"), F.lit(True).alias("h")).distinct()
+    e = edges.select("source", "target", level.alias("p"), F.concat_ws(":", "file", "line").alias("place")).filter("p > 0").distinct()
+    for end, flag in (("source", "hs"), ("target", "ht")):
+        e = e.join(names, relation(F.col(end)) == F.col("hr"), "left").drop("hr").withColumnRenamed("h", flag)
+    e = cut(e.fillna(False, ["hs", "ht"]), "passed-edges")
+    out = e.filter("hs").select("source", F.col("target").alias("to"), F.col("p").alias("q"), F.col("ht").alias("on"), F.col("place").alias("at"))
+    hops = cut(out.withColumn("via", F.explode(F.array_distinct(F.array("source", relation(F.col("source")))))).drop("source"), "passed-steps")
+    states, taken = Grown(spark, "passed-states"), Grown(spark, "passed-taken")
+    starts = cut(e.filter("ht AND NOT hs").select(F.col("source").alias("start"), F.col("target").alias("node"), "p", "place").distinct(), "passed-starts")
+    new = states.add(starts.select("start", "node", "p").distinct())
+    while not new.isEmpty():
+        step = new.join(hops, new["node"] == hops["via"]).select("start", "node", "p", F.col("to"), F.least("p", "q").alias("p2"), "q", "on", "at").distinct()
+        step = taken.add(step)
+        new = states.add(step.filter("on").select("start", F.col("to").alias("node"), F.col("p2").alias("p")).distinct().join(states.all(), ["start", "node", "p"], "left_anti"))
+    if not taken.parts:
+        return spark.createDataFrame([], "source string, target string, type string, what string, item string")
+    # The same step with another kind q leads to the same state; ends differ by what q makes of their target.
+    target = F.when((F.col("p2") == filters) & (F.col("q") != filters), relation(F.col("to"))).otherwise(F.col("to"))
+    last = taken.all().filter("NOT on").select("start", target.alias("target"), F.col("p2").alias("kind"), "node", "p", "at")
+    back, places = Grown(spark, "passed-back"), Grown(spark, "passed-places")
+    places.add(last.select("start", "target", "kind", F.col("at").alias("item")).distinct())
+    new = back.add(last.select("start", "target", "kind", "node", "p").distinct())
+    inner = cut(taken.all().filter("on").select("start", F.col("node").alias("n0"), F.col("p").alias("p0"), F.col("to").alias("node"), F.col("p2").alias("p"), "at").distinct(), "passed-inner")
+    while not new.isEmpty():
+        before = cut(new.join(inner, ["start", "node", "p"]).select("start", "target", "kind", F.col("n0").alias("node"), F.col("p0").alias("p"), "at").distinct(), "passed-before")
+        places.add(before.select("start", "target", "kind", F.col("at").alias("item")).distinct())
+        new = back.add(before.drop("at").distinct().join(back.all(), ["start", "target", "kind", "node", "p"], "left_anti"))
+    first = back.all().join(starts, ["start", "node", "p"]).select("start", "target", "kind", F.col("place").alias("item"))
+    told = back.all().select("start", "target", "kind", F.lit("via").alias("what"), F.col("node").alias("item"))
+    told = told.unionByName(places.all().unionByName(first).withColumn("what", F.lit("where"))).distinct()
+    return told.select(F.col("start").alias("source"), "target", F.element_at(F.array(*map(F.lit, PRECEDENCE)), F.col("kind")).alias("type"), "what", "item")
+
+
 def collapse_notes(edges: DataFrame, hidden: DataFrame) -> DataFrame:
     """(card, type, hidden, columns): edges out of hidden columns that no visible way reaches, told where they land.
 
@@ -249,6 +292,27 @@ def connected(edges: DataFrame) -> DataFrame:
         e = new
 
 
+def off_path(evidence: DataFrame, anchors: DataFrame) -> DataFrame:
+    """evidence(question, type, source, target), anchors(question, anchor) -> the evidence that isn't connected to its question.
+
+    A question's edges are joined into groups through shared ends; a group is on the path if one of its nodes is an anchor,
+    the table of one, or a column of one. Without an anchor all of a question's edges are off. Null ends connect nothing.
+    """
+    tell = lambda q, n: F.to_json(F.struct(F.col(q).cast("string").alias("q"), F.col(n).alias("n")))
+    edges = cut(evidence.select("question", "type", "source", "target").distinct(), "evidence")
+    pairs = edges.select(tell("question", "source").alias("a"), tell("question", "target").alias("b"))
+    nodes = edges.select("question", F.col("source").alias("node")).unionByName(edges.select("question", F.col("target").alias("node"))).dropna().distinct().withColumn("id", tell("question", "node"))
+    roots = cut(nodes.join(connected(pairs), "id", "left").select("question", "node", F.coalesce("root", "id").alias("root")), "evidence-groups")
+    # A node's own name and all tables it may belong to, beside the anchor's.
+    ahead = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, r"\.", -1))), lambda i: F.array_join(F.slice(F.split(c, r"\.", -1), 1, i), "."))
+    a = anchors.dropna().distinct()
+    below = roots.select("question", "root", F.explode(ahead("node")).alias("anchor")).join(a, ["question", "anchor"], "left_semi")
+    above = roots.join(a.select("question", F.explode(ahead("anchor")).alias("node")).distinct(), ["question", "node"], "left_semi")
+    on = below.select("root").unionByName(above.select("root")).distinct()
+    of = roots.select("question", F.col("node").alias("source"), "root")
+    return edges.join(of, ["question", "source"], "left").join(on, "root", "left_anti").select("question", "type", "source", "target")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(source, target) -> (node, component): the smallest node that a node reaches in either direction. Nulls are ignored."""
     pairs = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).dropna()

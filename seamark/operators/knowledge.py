@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seamark.frames import cut
 from seamark.functions.texts import mention_lines, snippet
-from seamark.operators.graph import MAX_DEPTH, relation, upstream
+from seamark.operators.graph import MAX_DEPTH, downstream, relation, upstream
 
 #: Statuses of statements that are plain lineage, or have none to tell (fixed values).
 QUIET = ("column_level", "no_lineage")
@@ -130,3 +130,45 @@ def edit_list(edges: DataFrame, touches: DataFrame, columns: DataFrame, ledger:
     reason = F.when(F.size(told) > 0, F.array_join(told, ", ")).when(F.array_contains("whys", "mentions"), "mentioned by refused SQL").when(F.size("lines") > 0, named)
     out = out.select("statement", "file", "line", reason.alias("reason"), (F.size(told) == 0).alias("possible"), F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
     return out.filter("reason IS NOT NULL")
+
+
+def impact_report(edges: DataFrame, changed: DataFrame, subject: str, touches: DataFrame, columns: DataFrame, ledger: DataFrame, files: DataFrame, boundaries: DataFrame, refused: DataFrame, mentions: DataFrame, acts: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """What a change of columns of one table means, whole: (section, item, about, depth), a row for each thing to tell.
+
+    edges(id, type, source, target, file, statement), changed(node, name), subject: their table.
+    affected: every node downstream, at its nearest hop, about all flows that reach it there. edit: statements to edit, with the
+    reason. unverified: affected nodes that only refused or opaque SQL leads to at that hop. boundary: on a statement that made an affected
+    edge or is to be edited. refusal: one that mentions a table reached. statement: one in the files concerned that isn't plain
+    lineage and concerns those tables. effect: what empties, drops or alters them. note: the subject is on no edge. summary: the number of
+    rows of each other section. depth is null outside of affected. Nodes and statements are told once in a section.
+    """
+    walked = cut(downstream(edges, changed.select("node").distinct(), depth, join_keys=True), "impact-walk")
+    near = walked.groupBy("target").agg(F.min("depth").alias("near"))
+    own = cut(walked.join(near.withColumnRenamed("target", "t"), (F.col("target") == F.col("t")) & (F.col("depth") == F.col("near"))).join(edges.select("id", "file", "statement"), "id", "left"), "impact-edges")
+    affected = own.groupBy("target").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("about"), F.min("depth").alias("depth"), F.bool_and(F.col("type").isin("MENTIONS_COL", "OPAQUE")).alias("weak"))
+    affected = cut(affected, "impact-affected")
+    edit = cut(edit_list(edges, touches, columns, ledger, files, changed, subject), "impact-edit")
+    tables = affected.select(relation(F.col("target")).alias("table")).unionByName(edges.sparkSession.range(1).select(F.lit(subject).alias("table"))).distinct()
+    tables = cut(tables, "impact-tables")
+    made = own.select("statement").unionByName(edit.select("statement")).dropna().distinct()
+    where = own.select("file").unionByName(edit.select("file")).dropna().distinct()
+    hit = mentions.join(tables, "table", "left_semi").select(F.col("refusal").alias("id")).distinct()
+    loud = statements(ledger, touches, acts, mentions.select("statement", "table"), where, tables)
+    row = lambda df, section, item, about: df.select(F.lit(section).alias("section"), F.col(item).cast("string").alias("item"), about.cast("string").alias("about"), F.lit(None).cast("int").alias("depth"))
+    on_edge = edges.join(changed, (edges["source"] == changed["node"]) | (edges["target"] == changed["node"])).select("node").distinct()
+    parts = [
+        affected.select(F.lit("affected").alias("section"), F.col("target").alias("item"), "about", F.col("depth").cast("int").alias("depth")),
+        row(edit, "edit", "statement", F.col("reason")),
+        row(affected.filter("weak"), "unverified", "target", F.col("about")),
+        row(boundaries.join(made, "statement", "left_semi"), "boundary", "id", F.col("statement")),
+        row(refused.join(hit, "id", "left_semi"), "refusal", "id", F.col("code")),
+        row(loud, "statement", "id", F.col("status")),
+        row(effects(acts, tables), "effect", "id", F.concat_ws(" ", "type", "table")),
+        row(changed.select("node").distinct().join(on_edge, "node", "left_anti"), "note", "node", F.lit("in no lineage edge: only SQL that names it can break")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = cut(out.distinct(), "impact-report")
+    per = out.groupBy("section").agg(F.count("*").alias("n"))
+    return out.unionByName(per.select(F.lit("summary").alias("section"), F.col("section").alias("item"), F.col("n").cast("string").alias("about"), F.lit(None).cast("int").alias("depth")))

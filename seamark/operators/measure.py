@@ -162,7 +162,8 @@ def boundary_score(expected: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 #: Limits of the criteria, written down before measuring (fixed values).
-GATES = (("value precision", "least", 0.95), ("value recall", "least", 0.85), ("parse coverage", "least", 0.70), ("edges from refused statements", "most", 0.0))
+GATES = (("value precision", "least", 0.95), ("value recall", "least", 0.85), ("parse coverage", "least", 0.70), ("edges from refused statements", "most", 0.0),
+    ("weak evidence", "most", 0.70), ("dynamic statements", "most", 0.30), ("summaries without end", "most", 0.0))
 
 
 def kill_criteria(measured: DataFrame, gates: tuple = GATES) -> DataFrame:
@@ -227,6 +228,23 @@ def met_targets(scores: DataFrame, targets: DataFrame) -> DataFrame:
     return t.join(scores.select("band", "flow", "precision", "recall"), ["band", "flow"], "left").select("band", "flow", met.alias("met"))
 
 
+def spelling_pairs(marks: DataFrame, facts: DataFrame) -> DataFrame:
+    """marks(pair, side, statement) with side A or B, facts(statement, fact) -> (pair, verdict, n_a, n_b, only_a, only_b).
+
+    The two statements of a pair say the same in other words, so their facts should be equal as sets: EQUAL or DIFFER, with the
+    numbers of facts that one side alone has; a pair without one of its sides is incomplete, and so has null numbers. Of several
+    statements of a side all facts count. Facts are joined to pairs and counted; no set is gathered.
+    """
+    marks = marks.filter(F.col("side").isin("A", "B")).select("pair", "side", "statement").dropna().distinct()
+    sides = marks.groupBy("pair").agg(F.countDistinct("side").alias("sides"))
+    has = lambda x: F.max(F.when(F.col("side") == x, 1).otherwise(0))
+    each = marks.join(facts.select("statement", "fact").dropna().distinct(), "statement").groupBy("pair", "fact").agg(has("A").alias("a"), has("B").alias("b"))
+    per = each.groupBy("pair").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.count_if(F.col("a") > F.col("b")).alias("only_a"), F.count_if(F.col("b") > F.col("a")).alias("only_b"))
+    df = sides.join(per, "pair", "left").fillna(0, ["n_a", "n_b", "only_a", "only_b"])
+    verdict = F.when(F.col("sides") < 2, "incomplete").when(F.col("only_a") + F.col("only_b") == 0, "EQUAL").otherwise("DIFFER")
+    return df.select("pair", verdict.alias("verdict"), *(F.when(F.col("sides") == 2, F.col(c)).cast("long").alias(c) for c in ("n_a", "n_b", "only_a", "only_b")))
+
+
 def equal_spellings(statements: DataFrame, shape) -> DataFrame:
     """statements(id, text), a column function of texts -> (shape, n, first, last) of shapes that several statements have."""
     per = statements.select("id", shape(F.col("text")).alias("shape")).filter("shape IS NOT NULL")

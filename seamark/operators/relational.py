@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seamark.frames import cut, shared_dir
+from seamark.operators import hierarchy
+from seamark.sources import facts_io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -196,10 +198,10 @@ def agg_percentile(t):
     return t.part.groupBy("p_brand").agg(F.round(F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY p_retailprice)"), 4).alias("med"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY p_size)").cast("int").alias("p90"))
 
 
-@query("SELECT c_nationkey, arg_max(c_custkey, c_acctbal) AS richest, arg_min(c_custkey, c_acctbal) AS poorest, bool_or(c_acctbal < 0) AS any_debt, bool_and(c_acctbal > -1000) AS all_ok, round(stddev_samp(c_acctbal), 4) AS sd FROM customer GROUP BY 1")
+@query("SELECT c_nationkey, arg_max(c_custkey, (c_acctbal, c_custkey)) AS richest, arg_min(c_custkey, (c_acctbal, c_custkey)) AS poorest, bool_or(c_acctbal < 0) AS any_debt, bool_and(c_acctbal > -1000) AS all_ok, round(stddev_samp(c_acctbal), 4) AS sd FROM customer GROUP BY 1")
 def agg_by_extremes(t):
     return t.customer.groupBy("c_nationkey").agg(
-        F.max_by("c_custkey", "c_acctbal").alias("richest"), F.min_by("c_custkey", "c_acctbal").alias("poorest"), F.bool_or(F.col("c_acctbal") < 0).alias("any_debt"),
+        F.max_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("richest"), F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("poorest"), F.bool_or(F.col("c_acctbal") < 0).alias("any_debt"),
         F.bool_and(F.col("c_acctbal") > -1000).alias("all_ok"), F.round(F.stddev_samp("c_acctbal"), 4).alias("sd"))
 
 
@@ -368,9 +370,12 @@ def subquery_all(t):
     return t.part.join(best, (F.col("p_brand") == F.col("b")) & (F.col("p_retailprice") >= F.col("m"))).select("p_partkey")
 
 
-@query("WITH RECURSIVE r(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 15) SELECT n, f FROM r")
+@query("WITH RECURSIVE r(k, n, steps) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT k, n // 2, steps + 1 FROM r WHERE n > 1) SELECT k, n, steps FROM r")
 def recursive_numbers(t):
-    return t.spark.sql("WITH RECURSIVE r(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 15) SELECT n, f FROM r")
+    """Each part's number halved until it is one: a recursion from all rows of a table, by the traversal that cuts each level."""
+    p = t.part.select(F.col("p_partkey").alias("k"))
+    links = p.filter("k > 1").select(F.col("k").alias("parent"), F.floor(F.col("k") / 2).cast("long").alias("child"))
+    return hierarchy.traverse(links, p.withColumnRenamed("k", "id")).select(F.get("path", 0).alias("k"), F.col("id").alias("n"), F.col("level").alias("steps"))
 
 
 # ---- writes, as the rows they leave ----
@@ -385,7 +390,7 @@ def merge_result(t):
     return df.select(F.coalesce("c_custkey", "k0").alias("k"), F.coalesce("v0", "c_acctbal").alias("v"), act.alias("act"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_acctbal < 0 AND c_custkey = o_custkey)")
 def delete_survivors(t):
     return t.orders.join(t.customer.filter("c_acctbal < 0"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("o_orderkey")
 
@@ -672,12 +677,18 @@ def array_lambdas(t):
     return a.select("o_custkey", F.size("k").alias("n"), F.get("k", 0).alias("first"), F.array_contains("k", 7).alias("has_7"), F.when(F.size(even) > 0, total(even)).alias("evens"), total(F.transform("k", lambda x: x * 2)).alias("doubled"), F.slice("k", 2, 2).alias("part"), F.array_max("k").alias("top"))
 
 
-@query("""WITH w AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 4 > 0), e AS (SELECT o_orderkey, o_custkey FROM orders)
-SELECT o_custkey, o_orderkey, count(l_linenumber) AS n FROM e LEFT JOIN w ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING count(l_linenumber) = 0""")
+@query("""SELECT 'kept' AS side, o_orderstatus AS part, count(*) AS n, sum(o_orderkey) AS keys FROM (SELECT o_orderstatus, o_orderkey FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'F', o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 2 = 0) GROUP BY 2
+UNION ALL SELECT 'staged', 'F', count(*), sum(o_orderkey) FROM orders WHERE o_orderstatus = 'F'""")
 def exchange_partition(t):
-    """A table of orders' lines whose partition of every fourth order was exchanged for an empty one: orders that lost all lines."""
-    left = t.lineitem.withColumn("part", F.col("l_orderkey") % 4).filter("part <> 0")
-    return t.orders.join(left, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_custkey", "o_orderkey", F.lit(0).cast("long").alias("n"))
+    """A table in partitions by status, of which F is exchanged for a staging table; both as they are read back from their folders."""
+    top = f"{shared_dir(t.spark)}/exchange-{uuid.uuid4().hex}"
+    kept, staged = f"{top}/kept", f"{top}/staged"
+    o = t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("part"))
+    o.write.partitionBy("part").parquet(kept)
+    o.filter("part = 'O' AND k % 2 = 0").select("k", F.lit("F").alias("part")).write.partitionBy("part").parquet(staged)
+    facts_io.exchange_partition(t.spark, kept, staged, "part", "F")
+    read = lambda side, path: t.spark.read.schema("k long, part string").parquet(path).groupBy(F.lit(side).alias("side"), "part").agg(F.count("*").alias("n"), F.sum("k").alias("keys"))
+    return read("kept", kept).unionByName(read("staged", staged))
 
 
 @query("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")

@@ -564,14 +564,14 @@ def measure_boundaries(spark, sf_dir):
     return measure.boundary_score(p.filter("p_size < 30").select(F.col("p_brand").alias("kind"), F.lower("p_type").alias("subject")), p.filter("p_size > 20").select(F.col("p_brand").alias("kind"), F.col("p_type").alias("subject")))
 
 
-@query("""WITH m AS (SELECT 'value precision' AS c, count(*) FILTER (l_discount < 0.1) / count(*) AS v FROM lineitem UNION ALL SELECT 'value recall', count(*) FILTER (l_tax > 0) / count(*) FROM lineitem UNION ALL SELECT 'edges from refused statements', count(*) FILTER (l_quantity > 1e6) FROM lineitem)
+@query("""WITH m AS (SELECT 'value precision' AS c, count(*) FILTER (l_discount < 0.1) / count(*) AS v FROM lineitem UNION ALL SELECT 'value recall', count(*) FILTER (l_tax > 0) / count(*) FROM lineitem UNION ALL SELECT 'weak evidence', count(*) FILTER (l_returnflag = 'R') / count(*) FROM lineitem UNION ALL SELECT 'dynamic statements', count(*) FILTER (l_linenumber = 1) / count(*) FROM lineitem UNION ALL SELECT 'edges from refused statements', count(*) FILTER (l_quantity > 1e6) FROM lineitem)
 SELECT g.c AS criterion, m.v AS value, CASE WHEN m.v IS NULL THEN 'PENDING' WHEN (g.least AND m.v >= g.b) OR (NOT g.least AND m.v <= g.b) THEN 'PASS' ELSE 'TRIGGERED' END AS verdict
-FROM (VALUES ('value precision', true, 0.95), ('value recall', true, 0.85), ('parse coverage', true, 0.7), ('edges from refused statements', false, 0)) g(c, least, b) LEFT JOIN m ON m.c = g.c""")
+FROM (VALUES ('value precision', true, 0.95), ('value recall', true, 0.85), ('parse coverage', true, 0.7), ('edges from refused statements', false, 0), ('weak evidence', false, 0.7), ('dynamic statements', false, 0.3), ('summaries without end', false, 0)) g(c, least, b) LEFT JOIN m ON m.c = g.c""")
 def measure_kill_criteria(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     share = lambda name, p: li.agg((F.count(F.when(F.expr(p), 1)) / F.count("*")).alias("value")).select(F.lit(name).alias("criterion"), "value")
     none = li.agg(F.count(F.when(F.col("l_quantity") > 1e6, 1)).cast("double").alias("value")).select(F.lit("edges from refused statements").alias("criterion"), "value")
-    return measure.kill_criteria(share("value precision", "l_discount < 0.1").unionByName(share("value recall", "l_tax > 0")).unionByName(none))
+    return measure.kill_criteria(share("value precision", "l_discount < 0.1").unionByName(share("value recall", "l_tax > 0")).unionByName(share("weak evidence", "l_returnflag = 'R'")).unionByName(share("dynamic statements", "l_linenumber = 1")).unionByName(none))
 
 
 @query("""WITH s AS (SELECT o_orderstatus AS unit, o_orderkey * 10 AS first FROM orders), f AS (SELECT o_orderstatus AS unit, l_orderkey * 10 AS first, l_linenumber AS n, l_returnflag AS r, l_quantity AS q FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber <= 4)

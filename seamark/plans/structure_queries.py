@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seamark.frames import cut, table
-from seamark.operators import builds, calls, control_flow, facts, hierarchy, intervals, log_recovery, peers, search, views
+from seamark.operators import builds, calls, control_flow, facts, graph, hierarchy, intervals, knowledge, log_recovery, measure, peers, search, views
 from seamark.plans import lineage_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -361,3 +361,85 @@ def build_diff(spark, sf_dir):
     new = g.filter(F.length("source") % 7 > 0).withColumn("target", F.when(F.length("target") % 3 == 0, F.concat("target", F.lit("x"))).otherwise(F.col("target")))
     new = new.unionByName(g.filter("type = 'KEYS'").withColumn("id", F.concat(F.lit("new|"), "id")))
     return builds.diff(g, new).withColumn("columns", F.array_join("columns", ","))
+
+
+# ---- collapse with what it passes, impact as one report, evidence off the path, spellings, holdout ----
+
+_Q = lineage_queries
+
+
+@query("""WITH m AS (SELECT o_custkey AS pair, CASE WHEN o_orderkey % 3 = 0 THEN 'A' ELSE 'B' END AS side, o_orderkey AS statement FROM orders), f AS (SELECT DISTINCT l_orderkey AS statement, l_returnflag || l_linenumber % 2 AS fact FROM lineitem),
+p AS (SELECT pair, fact, max(side = 'A') AS a, max(side = 'B') AS b FROM m JOIN f USING (statement) GROUP BY 1, 2),
+n AS (SELECT pair, count(*) FILTER (a) AS n_a, count(*) FILTER (b) AS n_b, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (b AND NOT a) AS only_b FROM p GROUP BY 1),
+s AS (SELECT pair, count(DISTINCT side) AS k FROM m GROUP BY 1)
+SELECT pair, CASE WHEN k < 2 THEN 'incomplete' WHEN coalesce(only_a + only_b, 0) = 0 THEN 'EQUAL' ELSE 'DIFFER' END AS verdict, CASE WHEN k = 2 THEN coalesce(n_a, 0) END AS n_a, CASE WHEN k = 2 THEN coalesce(n_b, 0) END AS n_b,
+CASE WHEN k = 2 THEN coalesce(only_a, 0) END AS only_a, CASE WHEN k = 2 THEN coalesce(only_b, 0) END AS only_b FROM s LEFT JOIN n USING (pair)""")
+def measure_spelling_pairs(spark, sf_dir):
+    """Each customer's orders as two spellings whose facts should be equal."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    marks = o.select(F.col("o_custkey").alias("pair"), F.when(F.col("o_orderkey") % 3 == 0, "A").otherwise("B").alias("side"), F.col("o_orderkey").alias("statement"))
+    return measure.spelling_pairs(marks, li.select(F.col("l_orderkey").alias("statement"), F.concat("l_returnflag", F.col("l_linenumber") % 2).alias("fact")))
+
+
+@query(f"""WITH RECURSIVE {_Q._GRAPH}, ev AS (SELECT DISTINCT length(source) * 3 + length(target) % 5 AS question, type, source, target FROM g WHERE type <> 'FILTERS' AND source < 'p'),
+an AS (SELECT DISTINCT question, CASE WHEN question % 2 = 0 THEN 'region0' ELSE 'nation1.6' END AS anchor FROM ev WHERE question % 5 > 0),
+n AS (SELECT question, source AS node, target AS other FROM ev UNION SELECT question, target, source FROM ev),
+on_(question, node) AS (SELECT n.question, node FROM n JOIN an ON an.question = n.question AND (node = anchor OR starts_with(node, anchor || '.') OR starts_with(anchor, node || '.')) UNION SELECT o.question, n.other FROM on_ o JOIN n ON n.question = o.question AND n.node = o.node)
+SELECT question, type, source, target FROM ev WHERE (question, source) NOT IN (SELECT (question, node) FROM on_)""")
+def measure_off_path(spark, sf_dir):
+    g = facts.graph(spark, sf_dir).filter("type <> 'FILTERS' AND source < 'p'")
+    ev = cut(g.select((F.length("source") * 3 + F.length("target") % 5).cast("long").alias("question"), "type", "source", "target"), "graph-evidence")
+    anchors = ev.filter("question % 5 > 0").select("question", F.when(F.col("question") % 2 == 0, "region0").otherwise("nation1.6").alias("anchor"))
+    return graph.off_path(ev, anchors)
+
+
+@query(f"""WITH RECURSIVE {_Q._GRAPH}, e AS (SELECT DISTINCT 'supplier' || s_suppkey % 3 || '.' || s_suppkey AS source, 'region0.' || r_regionkey AS target, 'h' || s_suppkey % 3 AS heading FROM supplier, region WHERE s_suppkey % 5 = r_regionkey OR r_regionkey = 1),
+w(source, node, hops) AS (SELECT DISTINCT source, source, 0 FROM e UNION SELECT w.source, g.target, w.hops + 1 FROM w JOIN g ON g.source = w.node AND g.type IN ('FEEDS', 'INFLUENCES') WHERE w.hops < 15)
+SELECT heading, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM w WHERE w.source = e.source AND w.node = e.target)) AS n_found, count(*) FILTER (EXISTS (SELECT 1 FROM w WHERE w.source = e.source AND w.node = e.target)) / count(*) AS recall FROM e GROUP BY 1""")
+def measure_holdout_closure(spark, sf_dir):
+    """Expected pairs of suppliers and regions, found if at most fifteen hops lead from one to the other."""
+    s, r = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "region")
+    k = F.col("s_suppkey")
+    pair = lambda df, region: df.select(facts.name("supplier", k % 3, k).alias("source"), F.concat(F.lit("region0."), region).alias("target"), F.concat(F.lit("h"), k % 3).alias("heading"))
+    expected = pair(s.join(r, k % 5 == F.col("r_regionkey")), F.col("r_regionkey")).unionByName(pair(s.join(r, F.col("r_regionkey") == 1), F.lit(1))).distinct()
+    expected = cut(expected, "holdout")
+    found = graph.reachable(cut(facts.graph(spark, sf_dir), "graph"), expected.select("source", "target")).filter("hops <= 15")
+    return measure.holdout_recall(expected, found.select("target", "source"))
+
+
+@query(f"""WITH RECURSIVE {_Q._GRAPH}, {_Q._KNOWN}, e AS (SELECT DISTINCT source, target, {_Q._P.format("type")} AS p, file || ':' || line AS place, {_Q._REL.format("source")} IN {_Q._HIDDEN} AS hs, {_Q._REL.format("target")} IN {_Q._HIDDEN} AS ht FROM ed),
+k AS (SELECT source AS via, target, p AS q, ht, place FROM e WHERE hs UNION SELECT {_Q._REL.format("source")}, target, p, ht, place FROM e WHERE hs),
+st_(start, node, p) AS (SELECT source, target, p FROM e WHERE ht AND NOT hs UNION SELECT st_.start, k.target, least(p, q) FROM st_ JOIN k ON via = node WHERE ht),
+tr AS (SELECT DISTINCT st_.start, node, p, k.target AS ahead, least(p, q) AS p2, q, ht, place FROM st_ JOIN k ON via = node),
+la AS (SELECT start, CASE WHEN p2 = 3 AND q <> 3 THEN {_Q._REL.format("ahead")} ELSE ahead END AS target, p2 AS kind, node, p, place FROM tr WHERE NOT ht),
+bk(start, target, kind, node, p) AS (SELECT DISTINCT start, target, kind, node, p FROM la UNION SELECT b.start, b.target, b.kind, t.node, t.p FROM bk b JOIN tr t ON t.ht AND t.start = b.start AND t.ahead = b.node AND t.p2 = b.p),
+x AS (SELECT start, target, kind, 'via' AS what, node AS item FROM bk UNION SELECT start, target, kind, 'where', place FROM la
+  UNION SELECT b.start, b.target, b.kind, 'where', t.place FROM bk b JOIN tr t ON t.ht AND t.start = b.start AND t.ahead = b.node AND t.p2 = b.p UNION SELECT b.start, b.target, b.kind, 'where', e.place FROM bk b JOIN e ON e.source = b.start AND e.target = b.node AND e.p = b.p AND e.ht AND NOT e.hs)
+SELECT start AS source, target, list_extract({list(graph.PRECEDENCE)!r}, CAST(kind AS INT)) AS type, what, item FROM x""")
+def graph_collapse_passed(spark, sf_dir):
+    return graph.collapse_passed(cut(_Q._stated(spark, sf_dir), "graph-stated"), _Q._hidden(spark, _Q._HIDDEN))
+
+
+_IMPACT = (
+    _Q._walk_sql(f"SELECT '{_Q._CHANGED}' AS node", False, 15, _Q._WALKED + ", 'KEYS'")
+    + f""", {_Q._KNOWN}, {_Q._BOUNDS}, nr AS (SELECT target, min(depth) AS d FROM hops GROUP BY 1),
+own AS (SELECT h.*, ed.statement, ed.file FROM hops h JOIN nr ON nr.target = h.target AND nr.d = h.depth JOIN ed ON ed.id = h.id),
+af AS (SELECT target, string_agg(DISTINCT type, ',' ORDER BY type) AS about, min(depth) AS depth, bool_and(type IN ('MENTIONS_COL', 'OPAQUE')) AS weak FROM own GROUP BY 1),
+edt AS (SELECT * FROM ({_Q.ORACLE['graph_edit_list']})), tb AS (SELECT {_Q._REL.format("target")} AS t FROM af UNION SELECT 'part1'),
+made AS (SELECT statement FROM own UNION SELECT statement FROM edt), wh AS (SELECT file FROM own UNION SELECT file FROM edt),
+rep AS (SELECT 'affected' AS section, target AS item, about, CAST(depth AS INT) AS depth FROM af UNION SELECT 'edit', statement, reason, NULL FROM edt UNION SELECT 'unverified', target, about, NULL FROM af WHERE weak
+UNION SELECT 'boundary', id, statement, NULL FROM bounds WHERE statement IN (SELECT statement FROM made) UNION SELECT 'refusal', id, code, NULL FROM refused WHERE id IN (SELECT refusal FROM mentions WHERE "table" IN (SELECT t FROM tb))
+UNION SELECT 'statement', id, status, NULL FROM ({_Q._LOUD.format(files="(SELECT file FROM wh)", tables="(SELECT t FROM tb)")}) UNION SELECT 'effect', id, type || ' ' || "table", NULL FROM acts WHERE "table" IN (SELECT t FROM tb)
+UNION SELECT 'note', '{_Q._CHANGED}', 'in no lineage edge: only SQL that names it can break', NULL WHERE NOT EXISTS (SELECT 1 FROM g WHERE '{_Q._CHANGED}' IN (source, target)))
+SELECT * FROM rep UNION ALL SELECT 'summary', section, CAST(count(*) AS VARCHAR), NULL FROM rep GROUP BY 2"""
+)
+
+
+@query(_IMPACT)
+def graph_impact_report(spark, sf_dir):
+    """All that a change of one column means, in one report."""
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    bounds = n.select(F.concat(F.lit("b"), k).alias("id"), F.lit("remote").alias("kind"), F.col("n_name").alias("subject"), F.concat(F.lit("st"), k * 11 + 100).alias("statement"), facts.name("nation", k % 5, k).alias("node"))
+    changed = spark.createDataFrame([(_Q._CHANGED, "qty")], "node string, name string")
+    columns = spark.createDataFrame([("part1", "qty"), ("part3", "QTY"), ("part4", "qty"), ("part5", "other")], "table string, name string")
+    return knowledge.impact_report(cut(_Q._stated(spark, sf_dir), "graph-stated"), changed, "part1", _Q._touches(spark, sf_dir), columns, _Q._statements(spark, sf_dir), _Q._files(spark, sf_dir), bounds, _Q._refused(spark, sf_dir), _Q._mentions(spark, sf_dir), _Q._acts(spark, sf_dir))

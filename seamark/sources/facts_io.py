@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seamark.frames import shared_dir
+
 EDGES = "id STRING, type STRING, source STRING, target STRING, transform STRING, phase STRING, band INT, guard STRING, unit STRING, line INT"
 LOG = "sql_id STRING, sql_text STRING, module STRING, action STRING, executions INT, first_load_time TIMESTAMP, parsing_schema STRING"
 SIGHTINGS = "unit STRING, line INT"
@@ -42,6 +46,26 @@ def upsert(stored: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return stored.join(new, key, "left_anti").unionByName(new.select(*stored.columns))
 
 
+def exchange_partition(spark: SparkSession, table: str, staging: str, column: str, value: str) -> None:
+    """Exchanges the partition column = value of two folders of Parquet that are partitioned by it; all other partitions stay as they are.
+
+    The table's rows of the partition are written aside first and read back, as a folder can't be overwritten while it is read.
+    A side without the partition gives none, and then the other side's goes.
+    """
+    aside = f"{shared_dir(spark)}/exchange-{uuid.uuid4().hex}"
+    rows = lambda path: spark.read.parquet(path).filter(F.col(column).cast("string") == value)
+    kinds = {path: spark.read.parquet(path).schema for path in (table, staging)}
+    for n, path in enumerate((table, staging)):
+        rows(path).write.parquet(f"{aside}/{n}")
+    for n, path in ((1, table), (0, staging)):
+        new = spark.read.schema(kinds[staging if n else table]).parquet(f"{aside}/{n}")
+        if new.isEmpty():  # nothing to overwrite with: the partition is left without a file
+            root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
+            root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+        else:
+            new.write.partitionBy(column).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
 def nodes(edges: DataFrame) -> DataFrame:
     """(id, label, n_in, n_out) of the ends of edges: a name with a dot is a Column, any other a Relation."""
     ends = edges.select(F.col("source").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))
