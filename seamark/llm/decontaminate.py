@@ -41,7 +41,7 @@ def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size
     w = F.col("w")
     df = items.select(F.col(item_id).cast("string").alias("item_id"), F.transform(tokens(text), ascii_lower).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1)))
-    return df.select("item_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.slice(w, i, F.lit(size))))).alias("win")).distinct()
+    return df.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(w, i, F.lit(size)))).alias("win")).distinct()
 
 
 def shingles(w: Column, k: int) -> Column:

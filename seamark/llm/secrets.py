@@ -103,6 +103,25 @@ def holds(query: list[list[frozenset[str]]], has: dict[str, Column]) -> Column:
     return reduce(and_, (reduce(or_, (reduce(and_, (has[g] for g in sorted(alt))) for alt in clause)) for clause in query))
 
 
+#: Elements that one step of a running sum takes together: arrays grow one by one only so far, as each growth copies them.
+TOGETHER = 128
+
+
+def _groups(items: Column) -> Column:
+    """The items in groups of TOGETHER."""
+    n = F.ceil(F.size(items) / F.lit(TOGETHER)).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(items, k * TOGETHER + 1, F.lit(TOGETHER)))).otherwise(F.slice(F.array(items), 1, 0))
+
+
+def _before(values: Column, join, kind: str = "int") -> Column:
+    """For each value, what join makes of all values before it, from 0: within groups, and over what the groups come to."""
+    none = lambda: F.struct(F.lit(0).cast(kind).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    step = lambda acc, x: F.struct(join(acc["at"], x).cast(kind).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+    inner = F.transform(_groups(values), lambda g: F.aggregate(g, none(), step))
+    outer = F.aggregate(F.transform(inner, lambda x: x["at"]), none(), step, lambda acc: acc["out"])
+    return F.flatten(F.zip_with(inner, outer, lambda x, o: F.transform(x["out"], lambda v: join(o, v).cast(kind))))
+
+
 def spans(text: Column, pattern: str, group: int, least: int) -> Column:
     """array<struct<start, end>>: the leftmost non-overlapping matches whose group has at least so many code points.
 
@@ -110,15 +129,15 @@ def spans(text: Column, pattern: str, group: int, least: int) -> Column:
     """
     n = F.char_length
     hits = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
-    def step(acc, x):
-        end = acc["at"] + n(x["p"]) + n(x["m"])
-        one = F.struct((acc["at"] + n(x["p"])).alias("start"), end.alias("end"))
+    def sized(x: Column) -> Column:
         own = F.regexp_extract(x["m"], pattern, group) if group else x["m"]
-        return F.struct(end.alias("at"), F.when(n(own) >= least, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        return F.struct(n(x["p"]).alias("p"), n(x["m"]).alias("m"), (n(own) >= least).alias("kept"))
 
-    return F.aggregate(F.filter(hits, lambda x: x["m"].isNotNull()), start, step, lambda acc: acc["out"])
+    sizes = F.transform(F.filter(hits, lambda x: x["m"].isNotNull()), sized)
+    # As one value, so that it isn't worked out anew for each group.
+    both = F.transform(F.array(sizes), lambda s: F.zip_with(s, _before(F.transform(s, lambda x: x["p"] + x["m"]), lambda a, b: a + b), lambda x, at: F.struct((at + x["p"]).alias("start"), (at + x["p"] + x["m"]).alias("end"), x["kept"].alias("kept"))))
+    return F.transform(F.filter(F.get(both, F.lit(0)), lambda x: x["kept"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
 
 def _expression(pattern: str, any_case: bool, group: int, least: int) -> str:
@@ -171,20 +190,28 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def masked(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
-    """The text with each run of overlapping spans replaced by the mask."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    last = lambda acc: F.element_at(acc, -1)
-
-    def step(acc, s):
-        own = F.array_append(acc, F.struct(s["start"].alias("start"), s["end"].alias("end")))
-        longer = F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end")))
-        return F.when(F.size(acc) == 0, own).when(s["start"] < last(acc)["end"], longer).otherwise(own)
-
-    runs = F.aggregate(found, none, step)
-    # What lies before each run, and after the last one.
-    edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), runs)
-    kept = F.zip_with(edges, runs, lambda before, r: F.substring(text, before["end"] + 1, F.coalesce(r["start"], F.char_length(text)) - before["end"]))
-    return F.when(F.size(found) > 0, F.array_join(kept, mask)).otherwise(text)
+    """The text with each run of overlapping spans replaced by the mask.
+
+    A run begins where no span before reaches. Pieces are taken out of parts of the text, as taking one costs what stands before it.
+    """
+
+    def runs(f: Column) -> Column:
+        """array<struct<start, end>> of the runs, from spans in the order of their starts."""
+        reach = _before(F.transform(f, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        first = F.filter(F.zip_with(f, reach, lambda s, r: F.struct(s["start"].alias("start"), r.alias("reach"))), lambda x: x["start"] >= x["reach"])
+        # A run ends where all before the next one end.
+        ends = F.concat(F.transform(F.slice(first, F.lit(2), F.greatest(F.size(first) - 1, F.lit(0))), lambda x: x["reach"]), F.array(F.array_max(F.transform(f, lambda s: s["end"]))))
+        return F.zip_with(first, ends, lambda x, e: F.struct(x["start"].alias("start"), e.alias("end")))
+
+    def pieces(r: Column) -> Column:
+        """What lies before each run, and after the last one."""
+        edge = lambda n: F.array(F.struct(n.cast("int").alias("start"), n.cast("int").alias("end")))
+        return F.zip_with(F.concat(edge(F.lit(0)), r), F.concat(r, edge(F.char_length(text))), lambda before, after: F.struct(before["end"].alias("a"), after["start"].alias("b")))
+
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  a value that is worked out once
+    parts = once(runs(found), lambda r: F.transform(_groups(pieces(r)), lambda g: F.struct(F.substring(text, F.get(g, F.lit(0))["a"] + 1, F.element_at(g, -1)["b"] - F.get(g, F.lit(0))["a"]).alias("text"), F.get(g, F.lit(0))["a"].alias("at"), g.alias("g"))))
+    joined = F.transform(parts, lambda p: F.array_join(F.transform(p["g"], lambda x: F.substring(p["text"], x["a"] - p["at"] + 1, x["b"] - x["a"])), mask))
+    return F.when(F.size(found) > 0, F.array_join(joined, mask)).otherwise(text)
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -222,3 +222,41 @@ def test_mixture_with_clashing_columns(spark):
     assert len(out) == len(want) and all(r.own_copies == 77 and r.own_size == "mine" and r.__getitem__("__key") == "clash" for r in out)
     assert all((r.copies, r.taken, r.target) == (w.copies, w.taken, w.target) for r in out for w in [want[repr((r.doc_id, r["size"]))]])
     assert mixing.mixture(docs.limit(0)).count() == 0
+
+
+def test_very_many_secrets_in_one_text(spark):
+    """Offsets and masks of 40,000 hits, in time that grows about as they do."""
+    import time
+
+    df = spark.createDataFrame([(1, " ".join(f"AKIA{i:020d} x" for i in range(40_000))), (2, "")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.report(df).collect()}
+    took = time.perf_counter() - began
+    assert got[1].n_access == 40_000 and got[2].n_access == 0 and took < 20
+    want = ",".join(f"access:{27 * i}:{27 * i + 24}" for i in range(40_000))
+    assert [x for x in got[1].spans.split(",") if x.startswith("access")] == want.split(",")
+    assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {1: " ".join(["[SECRET] x"] * 40_000), 2: ""}
+
+
+def test_masks_of_overlapping_spans(spark):
+    import random
+
+    r = random.Random(2)
+    rows = []
+    for i in range(40):
+        n = r.choice([0, 1, 2, 127, 128, 129, 300])
+        at = sorted((a := r.randrange(900), a + r.randrange(1, 9)) for _ in range(n))
+        rows.append((i, "".join(r.choice("abc𝒜") for _ in range(910)), [{"start": a, "end": b} for a, b in at]))
+    df = spark.createDataFrame(rows, "id int, text string, found array<struct<start:int,end:int>>")
+    got = {x.id: x.m for x in df.select("id", secrets.masked(F.col("text"), F.col("found"), "#").alias("m")).collect()}
+    for i, text, found in rows:
+        out, at, open_ = "", 0, None
+        runs = []
+        for f in found:
+            if runs and f["start"] < runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], f["end"])
+            else:
+                runs.append([f["start"], f["end"]])
+        for a, b in runs:
+            out, at = out + text[at:a] + "#", b
+        assert got[i] == out + text[at:], i
