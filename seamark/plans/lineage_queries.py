@@ -571,7 +571,7 @@ def measure_kill_criteria(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     share = lambda name, p: li.agg((F.count(F.when(F.expr(p), 1)) / F.count("*")).alias("value")).select(F.lit(name).alias("criterion"), "value")
     none = li.agg(F.count(F.when(F.col("l_quantity") > 1e6, 1)).cast("double").alias("value")).select(F.lit("edges from refused statements").alias("criterion"), "value")
-    return measure.kill_criteria(share("value precision", "l_discount < 0.1").unionByName(share("value recall", "l_tax > 0")).unionByName(share("weak evidence", "l_returnflag = 'R'")).unionByName(share("dynamic statements", "l_linenumber = 1")).unionByName(none))
+    return measure.kill_criteria(share("value precision", "l_discount < 0.1").unionByName(share("value recall", "l_tax > 0")).unionByName(share("weak evidence", "l_returnflag = 'R'")).unionByName(share("dynamic statements", "l_linenumber = 1")).unionByName(none), (*measure.GATES, *measure.MORE_GATES))
 
 
 @query("""WITH s AS (SELECT o_orderstatus AS unit, o_orderkey * 10 AS first FROM orders), f AS (SELECT o_orderstatus AS unit, l_orderkey * 10 AS first, l_linenumber AS n, l_returnflag AS r, l_quantity AS q FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber <= 4)
