@@ -10,9 +10,10 @@ and meets only itself. Equal spans and points are rows each.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from heapq import heappop, heappush
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,25 +103,35 @@ def innermost(sites: DataFrame, spans: DataFrame, group: str = "unit", at: str =
         over = up.join(covers, on).groupBy(F.col("__ug").alias(group), F.col("__ub").alias("block")).agg(F.max_by("s", F.struct("s.start", -F.col("s.stop"))).alias("s"))
         near = near.unionByName(over.select(group, "block", "s.start", "s.stop"))
     kind = given.schema[group].dataType.simpleString()
+    # Block by block, in the order of positions, a span's start ahead of a site there.
+    at_start = near.select(F.col(group).alias("g"), "block", F.col("start").alias("pos"), F.lit(0).alias("site"), "stop")
+    events = at_start.unionByName(asked.select(F.col(group).alias("g"), "block", F.col("__at").alias("pos"), F.lit(1).alias("site"), F.lit(None).cast("long").alias("stop")))
+    events = events.repartition("g", "block").sortWithinPartitions("g", "block", "pos", "site")
+    swept = events.mapInArrow(_swept, f"__h {kind}, __x long, start long, stop long")
+    named = swept.join(given.withColumnsRenamed({group: "__g", "start": "__a", "stop": "__b"}), F.col("__h").eqNullSafe(F.col("__g")) & (F.col("start") == F.col("__a")) & (F.col("stop") == F.col("__b")))
+    named = named.select("__h", "__x", "start", "stop", "span", "n_equal")
+    return sites.join(named, F.col(group).eqNullSafe(F.col("__h")) & (F.col("__at") == F.col("__x")), "left").drop("__h", "__x", "__at")
+
 
-    def sweep(a: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        out, open_, i = [], [], 0
-        spans = sorted(zip(s["start"].tolist(), s["stop"].tolist(), strict=True))
-        for x in sorted(a["__at"].tolist()):
-            while i < len(spans) and spans[i][0] <= x:
-                heappush(open_, (-spans[i][0], spans[i][1]))
-                i += 1
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events in order -> each site that some open span holds, with the span. What is open is carried from batch to batch."""
+    block, open_ = None, []
+    for batch in batches:
+        out: list[tuple] = []
+        for g, no, pos, site, stop in zip(*(batch.column(c).to_pylist() for c in ("g", "block", "pos", "site", "stop")), strict=True):
+            if (g, no) != block:
+                block, open_ = (g, no), []
+            if not site:
+                heappush(open_, (-pos, stop))
+                continue
             # The last start is on top; a span that has ended is gone for all sites to come.
-            while open_ and open_[0][1] < x:
+            while open_ and open_[0][1] < pos:
                 heappop(open_)
             if open_:
-                out.append((a[group].iloc[0], x, -open_[0][0], open_[0][1]))
-        return pd.DataFrame(out, columns=["__h", "__x", "start", "stop"]).astype({"__h": a[group].dtype} if len(a) else {})
-
-    swept = asked.groupBy(group, "block").cogroup(near.groupBy(group, "block")).applyInPandas(sweep, f"__h {kind}, __x long, start long, stop long")
-    named = swept.join(given.withColumnsRenamed({group: "__g", "start": "__a", "stop": "__b"}), F.col("__h").eqNullSafe(F.col("__g")) & (F.col("start") == F.col("__a")) & (F.col("stop") == F.col("__b")))
-    named = named.select("__h", "__x", "start", "stop", "span", "n_equal")
-    return sites.join(named, F.col(group).eqNullSafe(F.col("__h")) & (F.col("__at") == F.col("__x")), "left").drop("__h", "__x", "__at")
+                out.append((g, pos, -open_[0][0], open_[0][1]))
+        kinds = (batch.schema.field("g").type, *[pa.int64()] * 3)
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["__h", "__x", "start", "stop"])
 
 
 # ---- range sets ----
