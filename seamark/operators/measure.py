@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seamark.operators import builds
+
 KEY = ("source", "target", "flow", "transform", "phase")
 
 
@@ -140,9 +142,14 @@ def answer_score(expected: DataFrame, given: DataFrame) -> DataFrame:
 
 
 def metamorphic(facts: DataFrame) -> DataFrame:
-    """facts(grp, relation, fact) -> (grp, n_relations, agrees): whether the relations of a group have the same set of facts."""
-    per = facts.groupBy("grp", "relation").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("fact")), "\n"), 256).alias("d"))
-    return per.groupBy("grp").agg(F.count("*").alias("n_relations"), (F.countDistinct("d") == 1).alias("agrees"))
+    """facts(grp, relation, fact) -> (grp, n_relations, agrees): whether the relations of a group have the same set of facts.
+
+    Sets are compared by digests that are summed, so none is gathered. A relation whose facts are all null has the empty set.
+    """
+    sets = facts.select("grp", "relation", "fact").distinct()
+    empty = sets.select("grp", "relation").distinct()
+    per = empty.alias("e").join(builds.digest(sets.filter("fact IS NOT NULL"), ["grp", "relation"]).alias("d"), F.col("e.grp").eqNullSafe(F.col("d.grp")) & F.col("e.relation").eqNullSafe(F.col("d.relation")), "left")
+    return per.groupBy("e.grp").agg(F.count("*").alias("n_relations"), (F.countDistinct(F.coalesce("digest", F.lit(""))) == 1).alias("agrees"))
 
 
 def manifest(texts: DataFrame) -> DataFrame:

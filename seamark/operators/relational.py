@@ -221,9 +221,9 @@ def pivot(t):
     return df.select("l_suppkey", F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r"))
 
 
-@query("SELECT l_orderkey, l_linenumber, 'tax' AS kind, l_tax AS value FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT l_orderkey, l_linenumber, 'discount', l_discount FROM lineitem WHERE l_quantity > 45")
+@query("SELECT l_orderkey, l_linenumber, 'tax' AS kind, l_tax AS value FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'discount', l_discount FROM lineitem")
 def unpivot(t):
-    df = t.lineitem.filter("l_quantity > 45").select("l_orderkey", "l_linenumber", F.col("l_tax").alias("tax"), F.col("l_discount").alias("discount"))
+    df = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_tax").alias("tax"), F.col("l_discount").alias("discount"))
     return df.unpivot(["l_orderkey", "l_linenumber"], ["tax", "discount"], "kind", "value")
 
 
@@ -303,11 +303,13 @@ def distinct_on(t):
     return t.lineitem.groupBy("l_orderkey").agg(best.alias("b")).select("l_orderkey", "b.*")
 
 
-_A, _B = "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000", "SELECT s_nationkey AS k FROM supplier"
+_A, _B = (f"SELECT {x}_nationkey * 100 + CAST(floor({x}_acctbal / 1000) AS BIGINT) AS k FROM {table}" for x, table in (("c", "customer"), ("s", "supplier")))
 
 
 def _arms(t):
-    return t.customer.filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k"))
+    """Nation and thousands of the balance, of customers and of suppliers."""
+    key = lambda df, x: df.select((F.col(f"{x}_nationkey") * 100 + F.floor(F.col(f"{x}_acctbal") / 1000)).alias("k"))
+    return key(t.customer, "c"), key(t.supplier, "s")
 
 
 @query(f"{_A} UNION ALL {_B}")
@@ -600,10 +602,10 @@ def join_ranked(t):
     return t.customer.join(t.orders.withColumn("r", r).filter("r <= 2"), F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "o_orderkey")
 
 
-@query("SELECT o_custkey, count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
+@query("SELECT o_custkey, count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) GROUP BY 1")
 def create_table_as(t):
     """A query's result, written as a table and read again."""
-    made = cut(t.orders.filter("o_orderstatus = 'F'").select("o_custkey", "o_orderpriority").distinct(), "created")
+    made = cut(t.orders.select("o_custkey", "o_orderpriority").distinct(), "created")
     return made.groupBy("o_custkey").agg(F.count("*").alias("n"))
 
 
@@ -616,9 +618,11 @@ def set_nested(t):
     return t.orders.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")).subtract(poor).union(values.intersect(values.filter("k = -1")))
 
 
-@query("SELECT s_suppkey, s_name AS name, CAST(s_nationkey AS BIGINT) AS nation, 2 AS n FROM supplier")
+@query("""WITH x AS (SELECT s_suppkey, '<s><name>' || s_name || '</name><at nation="' || s_nationkey || '"/>' || repeat('<at/>', CAST(s_suppkey % 3 AS INT)) || '</s>' AS x FROM supplier)
+SELECT s_suppkey, regexp_extract(x, '<name>([^<]*)</name>', 1) AS name, CAST(regexp_extract(x, 'nation="([0-9]+)"', 1) AS BIGINT) AS nation, CAST(len(regexp_extract_all(x, '<at')) AS INTEGER) AS n FROM x""")
 def xml_paths(t):
-    doc = F.concat(F.lit("<s><name>"), "s_name", F.lit("</name><at nation='"), "s_nationkey", F.lit("'/><at/></s>"))
+    """Texts, attributes and counts read from XML by path."""
+    doc = F.concat(F.lit("<s><name>"), "s_name", F.lit('</name><at nation="'), "s_nationkey", F.lit('"/>'), F.repeat(F.lit("<at/>"), (F.col("s_suppkey") % 3).cast("int")), F.lit("</s>"))
     x = t.supplier.select("s_suppkey", doc.alias("x"))
     return x.select("s_suppkey", F.xpath_string("x", F.lit("s/name")).alias("name"), F.xpath_long("x", F.lit("s/at[1]/@nation")).alias("nation"), F.xpath_int("x", F.lit("count(s/at)")).alias("n"))
 

@@ -323,11 +323,11 @@ def measure_answers(spark, sf_dir):
     return measure.answer_score(o.filter("o_orderkey % 3 > 0").drop("o_orderkey"), o.filter("o_orderkey % 3 < 2").drop("o_orderkey"))
 
 
-@query("""WITH f AS (SELECT l_linenumber AS grp, l_returnflag AS relation, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS s FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01' OR l_linenumber > 5 GROUP BY 1, 2)
+@query("""WITH f AS (SELECT l_partkey AS grp, l_returnflag AS relation, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS s FROM lineitem GROUP BY 1, 2)
 SELECT grp, count(*) AS n_relations, count(DISTINCT s) = 1 AS agrees FROM f GROUP BY 1""")
 def measure_metamorphic(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_shipdate < TIMESTAMP '1995-06-01' OR l_linenumber > 5")
-    return measure.metamorphic(li.select(F.col("l_linenumber").alias("grp"), F.col("l_returnflag").alias("relation"), F.col("l_linestatus").alias("fact")))
+    li = table(spark, sf_dir, "lineitem")
+    return measure.metamorphic(li.select(F.col("l_partkey").alias("grp"), F.col("l_returnflag").alias("relation"), F.col("l_linestatus").alias("fact")))
 
 
 @query("""SELECT doc_id AS name, sha256(text) AS sha256, len(string_split(text, chr(10))) AS n_lines, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\\s*(--|#)'))) AS n_comment FROM documents""")
