@@ -709,3 +709,28 @@ def copy_file(t):
 def system_columns(t):
     """The file that each row was read from."""
     return t.nation.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"), F.min("n_name").alias("first"))
+
+
+@query("""WITH n AS (SELECT l_suppkey, l_quantity AS v, count(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT l_suppkey, arg_max(v, (n, -v)) AS mode, max(n) AS n FROM n GROUP BY 1""")
+def agg_mode(t):
+    """The most frequent value in its order, as mode() WITHIN GROUP (ORDER BY ...): of equally frequent ones the first."""
+    per = t.lineitem.groupBy("l_suppkey", F.col("l_quantity").alias("v")).agg(F.count("*").alias("n"))
+    return per.groupBy("l_suppkey").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("mode"), F.max("n").alias("n"))
+
+
+@query("""WITH n AS (SELECT c_nationkey, c_mktsegment AS k, count(*) AS n FROM customer GROUP BY 1, 2)
+SELECT c_nationkey, '{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '}' AS object, string_agg('<s n="' || n || '">' || k || '</s>', '' ORDER BY k) AS xml FROM n GROUP BY 1""")
+def agg_objects(t):
+    """A JSON object and an XML fragment of each nation's segments, which are a few: counted before they are gathered."""
+    per = t.customer.groupBy("c_nationkey", F.col("c_mktsegment").alias("k")).agg(F.count("*").alias("n"))
+    every = F.array_sort(F.collect_list(F.struct("k", "n")))
+    xml = F.transform("e", lambda x: F.concat(F.lit('<s n="'), x["n"], F.lit('">'), x["k"], F.lit("</s>")))
+    return per.groupBy("c_nationkey").agg(every.alias("e")).select("c_nationkey", F.to_json(F.map_from_entries("e")).alias("object"), F.array_join(xml, "").alias("xml"))
+
+
+@query("""SELECT doc_id, unnest(range(1, len(s) + 1)) AS no, length(unnest(s)) AS n_chars FROM (SELECT doc_id, string_split_regex(text, '[.!?]+[ \\n]*') AS s FROM documents WHERE text IS NOT NULL)""")
+def explode_regexp(t):
+    """Each text split at an expression, a row for each part with its subscript; null texts have none."""
+    parts = t.documents.filter("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", r"[.!?]+[ \n]*", -1)).alias("i", "s"))
+    return parts.select("doc_id", (F.col("i") + 1).cast("long").alias("no"), F.char_length("s").cast("long").alias("n_chars"))
