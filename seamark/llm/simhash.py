@@ -19,6 +19,7 @@ the recall is measured in the README; nothing is dropped to reach it.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated ids and rows keep a row each; a component's
 name is its smallest doc_id, a null id counting only where there is no other. An empty table gives no rows.
+Texts are read whole, however long; further columns change nothing in report() and stay in representatives().
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 """DuckDB SQL of the operators' queries that SQL can express; each says anew what the contract asks for.
 
-Left out: op1 (HTML), op3 (training), op6 and op10 (XXH64 in the order and the fingerprints), op9 (tested against brute force).
+Left out: op1 (HTML), op3 (training), op6 and op10 (XXH64 in the order and the fingerprints), op9 and
+op13 (tested against brute force), op12 (CRC-32, and profiles, tested likewise).
 """
 
 from __future__ import annotations
