@@ -2,9 +2,9 @@
 
 Documents are dealt to chunks by a hash. A chunk explodes its distinct n-grams, each once with its count, into the ranges of
 hash of the count table; a range adds the counts of all chunks up and joins them back to the chunks that asked; a chunk then sums
-the scores of its documents. Single words and pairs go first. Longer n-grams go order by order, and only those of which both
-parts (without the first word, without the last) were found `least` times: no other can have been found so often itself, and
-what was found less often is never scored.
+the scores of its documents. With `least` 1, the default, every n-gram that occurs counts and all orders go in one round. With
+a higher one, single words and pairs go first, then longer n-grams order by order, and only those of which both parts (without
+the first word, without the last) were found `least` times: no other can have been found so often itself.
 
 The n-grams that a chunk sends to one range travel in one row, as packed arrays: 8 bytes and a plain row's header for each would
 be several times the input. A row holds one n-gram at least, so rows never outnumber the exploded n-grams; while chunks and
@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from seamark.llm.hashing import SPACES, mixed
 from seamark.llm.hashing import U as _U
 
-ORDER, ALPHA, LEAST = 3, 0.4, 2
+ORDER, ALPHA, LEAST = 3, 0.4, 1
 #: Bytes of text in a chunk, about; the number of chunks, and of buckets, follows the input.
-CHUNK_BYTES = 5_000_000
+CHUNK_BYTES = 8_000_000
 
 _R1, _R2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _NONE = np.zeros(1, dtype=_U)
@@ -137,6 +137,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
     """One row per row of docs: doc_id, n_words, log_score (summed over its words), mean_log_score (null without words)."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n, least = max(1, math.ceil(size / chunk_bytes)), max(least, 1)
+    together = order if least == 1 else min(2, order)  # orders of the first round
     df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     df = df.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n)).cast("int"))
 
@@ -159,9 +160,9 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
         """What a chunk knows after the answers on orders up to `upto`: documents, places, hashes, and the counts of its n-grams."""
         doc, place, hashes = grams(unzipped(g), order)
         keys, total = np.zeros(0, dtype=_U), np.zeros(0, dtype=_U)
-        for last in range(min(2, order), upto + 1):
-            asked = hashes[:last] if last <= 2 else [promising(hashes, place, keys, total, last, least)]
-            _, more, _ = _distinct(asked, n, len(doc) if last <= 2 else None)
+        for last in range(together, upto + 1):
+            asked = hashes[:last] if last == together else [promising(hashes, place, keys, total, last, least)]
+            _, more, _ = _distinct(asked, n, len(doc) if last == together else None)
             own = answers[answers["last"] == last].sort_values("bucket")["totals"]
             counts = np.concatenate([np.zeros(0, dtype=_U), *(unpack(zlib.decompress(t)) for t in own)])
             keys, total = np.concatenate([keys, more]), np.concatenate([total, counts])
@@ -170,7 +171,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
         return doc, place, hashes, keys, total
 
     def first(g: pd.DataFrame) -> pd.DataFrame:
-        _, _, hashes = grams(unzipped(g), min(2, order))
+        _, _, hashes = grams(unzipped(g), together)
         return message(g["chunk"].iloc[0], *_distinct(hashes, n, len(hashes[0])))
 
     def further(last: int):
@@ -200,7 +201,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
     found: list[DataFrame] = []
     chunks = df.groupBy("chunk")
     known = lambda: reduce(DataFrame.unionByName, found).groupBy("chunk")
-    for last in range(min(2, order), order + 1):
+    for last in range(together, order + 1):
         asked = chunks.cogroup(known()).applyInPandas(further(last), asked_kind) if found else chunks.applyInPandas(first, asked_kind)
         found.append(asked.groupBy("bucket").applyInPandas(answer, "chunk int, bucket int, totals binary").withColumn("last", F.lit(last)))
     return chunks.cogroup(known()).applyInPandas(tell, f"doc_id {kind}, n_words long, log_score double, mean_log_score double")
