@@ -14,8 +14,10 @@ near_duplicates() links by one fingerprint of three-word shingles and 3 bits. re
 of which five-word shingles agree to 0.8 or more. Such texts differ in about one word of 45, so in about 6 of 64 bits where
 the shingles are pairs of words, and in 10 where they are fives: a budget that finds most of them in one fingerprint would have
 keys too short for any index. So it takes PRINTS independent fingerprints of the set of word pairs, linked at PAIR_BITS bits, and
-texts are one group if any of their fingerprints are linked. A link is an estimate (4 bits say that nine in ten fives agree), and
-the recall is measured in the README; nothing is dropped to reach it.
+texts are linked if any of their fingerprints are. Each edge of the forest is then held against the texts: it stays where their sets
+of five-word shingles agree to AGREE, exactly counted. That is below 0.8, as two copies that both agree to 0.8 with a third
+need only agree to 0.6 with each other, and a forest may have the edge between those two. What the first kind of fingerprints
+loses so, the others may link by another edge. Recall and what else is taken are measured in the README.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated ids and rows keep a row each; a component's
 name is its smallest doc_id, a null id counting only where there is no other. An empty table gives no rows.
@@ -40,7 +42,9 @@ from seamark.operators.graph import connected
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 CROWD, HELD = 512, 1 << 20
 #: Fingerprints of word pairs for a corpus, and the bits in which linked ones may differ.
-PRINTS, PAIR_WORDS, PAIR_BITS = 4, 2, 4
+PRINTS, PAIR_WORDS, PAIR_BITS = 8, 2, 4
+#: Words of the shingles whose sets must agree to this part (Jaccard) at the ends of an edge.
+AGREE_WORDS, AGREE = 5, 0.6
 #: For each budget of bits, by level: segments; those, from the first of a chain, that must be equal; how many must be of which others.
 LEVELS = {
     3: ((5, (0,), 1, (1, 2)), (8, (0, 1), 2, (2, 3, 4)), (16, (), 13, tuple(range(16)))),
@@ -84,6 +88,16 @@ def pair_prints(text: str | None, n: int = PRINTS, k: int = PAIR_WORDS) -> np.nd
     return np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)[:n]
 
 
+def shingle_set(text: str | None, k: int = AGREE_WORDS) -> np.ndarray:
+    """32-bit hashes of the distinct k-word shingles of a text (fewer words: the whole sequence; none: nothing)."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.int32)
+    k = min(k, len(words))
+    h = xxhash.xxh32_intdigest
+    return np.unique(np.fromiter((h(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)), dtype=np.uint32)).view(np.int32)
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, fp), fp as a signed 64-bit integer; text_hash with the id tells rows apart that share the id."""
 
@@ -280,11 +294,38 @@ def report(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def agreeing(docs: DataFrame, rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Of found(a, b), edges between nodes, those whose texts agree. A node is spoken for by one text of its smallest unit.
+
+    The texts of nodes on an edge alone become sets, one for each text, and a set travels to the edges that ask for it.
+    """
+    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    best = rows.groupBy("unit").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"))
+    one = nodes.join(ends, "node", "left_semi").groupBy("node").agg(F.min("unit").alias("unit"))
+    one = cut(one.join(best, "unit").select("node", F.col("best.doc_id").alias("id"), F.col("best.text_hash").alias("h")), "pair-ends")
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
+    wanted = one.select("id", "h").distinct()
+    texts = own.join(wanted, own["doc_id"].eqNullSafe(wanted["id"]) & (own["own"] == wanted["h"])).groupBy("h").agg(F.first("text").alias("text"))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"h": b["h"], "fives": [shingle_set(t) for t in b["text"]]})
+
+    sets = cut(texts.mapInPandas(each, "h long, fives array<int>"), "pair-sets")
+    edges = found.distinct()
+    for end in ("a", "b"):
+        edges = edges.join(one.select(F.col("node").alias(end), F.col("h").alias(f"h{end}")), end)
+    for end in ("a", "b"):
+        edges = edges.join(sets.select(F.col("h").alias(f"h{end}"), F.col("fives").alias(f"s{end}")), f"h{end}")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return cut(edges.filter(both >= AGREE * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "pair-agreeing")
+
+
 def pair_groups(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, text) -> (rows(doc_id, text_hash, unit), groups(unit, root)): unit stands for all fingerprints of a row.
 
     Units and fingerprints are the nodes of one graph: a fingerprint is tied to those it is linked to, a unit to those of its
-    fingerprints that are linked or that other units have too. Units on no edge are groups of their own and not in groups.
+    fingerprints that are linked or that other units have too (equal ones aren't held against texts). Units on no edge are groups of their own and not in groups.
     """
     fps = [f"f{i}" for i in range(PRINTS)]
 
@@ -302,7 +343,8 @@ def pair_groups(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFra
     nodes = cut(nodes.withColumn("node", F.xxhash64("kind", "fp")), "pair-nodes")
 
     def linked(prints: DataFrame) -> DataFrame:
-        return cut(links(prints, crowd, PAIR_BITS).select(F.xxhash64("kind", "a").alias("a"), F.xxhash64("kind", "b").alias("b")), "pair-links")
+        found = links(prints, crowd, PAIR_BITS).select(F.xxhash64("kind", "a").alias("a"), F.xxhash64("kind", "b").alias("b"))
+        return agreeing(docs, rows, nodes, cut(found, "pair-links"))
 
     def grouped(found: DataFrame, own: DataFrame) -> DataFrame:
         """(unit, root) by the links of fingerprints and what units share of own."""

@@ -74,7 +74,7 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * ones[b] > len(shingles))
 
 
-def pair_prints(text, n=4, k=2):
+def pair_prints(text, n=8, k=2):
     w = WORD.findall(ascii_lower(text))
     if not w:
         return (0,) * n
@@ -95,9 +95,10 @@ def near(a, b, bits=3):
     return (a ^ b).bit_count() <= bits
 
 
-def components(prints, bits=3):
+def components(prints, bits=3, linked=None):
     """prints: {doc_id: fingerprint, or several} -> {doc_id: smallest reachable}."""
     ids, own = sorted(prints), {}
+    linked = linked or (lambda a, b: near(a, b, bits))
     for i in ids:
         if i in own:
             continue
@@ -105,7 +106,23 @@ def components(prints, bits=3):
         while todo:
             a = todo.pop()
             for b in ids:
-                if b not in own and near(prints[a], prints[b], bits):
+                if b not in own and linked(prints[a], prints[b]):
                     own[b] = i
                     todo.append(b)
     return own
+
+
+def fives(text):
+    w = WORD.findall(ascii_lower(text))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def text_groups(texts, bits=4, agree=0.6):
+    """{doc_id: text} -> {doc_id: smallest of its group}: linked by any of their prints, and with as many five-word shingles in common."""
+    prints = {i: (pair_prints(t), fives(t)) for i, t in texts.items()}
+
+    def linked(a, b):
+        (p, s), (q, t) = a, b
+        return p == q or near(p, q, bits) and len(s & t) >= agree * len(s | t)
+
+    return components(prints, linked=linked)

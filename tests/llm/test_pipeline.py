@@ -36,9 +36,9 @@ def test_quality_stage(stages):
 
 
 def test_dedup_stage(stages):
-    prints = {r.doc_id: brute.pair_prints(r.text) for r in stages[1].collect() if r.doc_id is not None}
-    assert {r.doc_id for r in stages[2].collect()} == {*brute.components(prints, 4).values(), None}
-    assert 90010 in prints and not {90011, 90012} & {r.doc_id for r in stages[2].collect()}
+    texts = {r.doc_id: r.text for r in stages[1].collect() if r.doc_id is not None}
+    assert {r.doc_id for r in stages[2].collect()} == {*brute.text_groups(texts).values(), None}
+    assert 90010 in texts and not {90011, 90012} & {r.doc_id for r in stages[2].collect()}
 
 
 def test_decontamination_stage(spark, stages):

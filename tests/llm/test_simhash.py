@@ -97,11 +97,30 @@ def test_near_copies_of_a_corpus(spark):
         rnd.shuffle(w)
         rows.append((100 * g + 50, " ".join(w)))
     kept = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = brute.components({i: brute.pair_prints(t) for i, t in rows}, 4)
+    want = brute.text_groups(dict(rows))
     assert kept == set(want.values())
     assert all(100 * g + 50 in kept for g in range(12)) and sum(want[i] == g for i, g in groups.items()) >= 0.9 * len(groups)
 
 
+def test_sets_of_fives():
+    texts = [None, "", " \t", "One", "one two three four", "a b c d e a b c d e", "É\x0bb C d e f", " ".join(f"v{i}" for i in range(60_000))]
+    assert [len(simhash.shingle_set(t)) for t in texts] == [len(brute.fives(t)) for t in texts[:-1]] + [len(set(simhash.shingle_set(texts[-1]).tolist()))]
+    assert simhash.shingle_set("A b").tolist() == simhash.shingle_set(" a\nb").tolist() != simhash.shingle_set("a c").tolist()
+
+
+def test_edges_are_held_against_the_texts(spark):
+    """Fingerprints may be as near as they like: an edge stays only where the texts agree; no words agree with no words alone."""
+    words = [f"w{i}" for i in range(100)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:99], "other"]), 3: " ".join(reversed(words)), 4: None, 5: "a b", 6: "A  b"}
+    docs = spark.createDataFrame([*texts.items(), (6, "A  b")], "doc_id long, text string")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), (F.col("doc_id") + 10).alias("unit"))
+    nodes = docs.select((F.col("doc_id") + 10).alias("unit"), (F.col("doc_id") + 20).alias("node"))
+    found = spark.createDataFrame([(20 + a, 20 + b) for a in texts for b in texts if a < b], "a long, b long")
+    kept = {(r.a - 20, r.b - 20) for r in simhash.agreeing(docs, rows, nodes, found.unionByName(found)).collect()}
+    assert kept == {(1, 2), (5, 6)}
+    assert simhash.agreeing(docs, rows, nodes, found.limit(0)).count() == simhash.agreeing(docs.limit(0), rows.limit(0), nodes.limit(0), found).count() == 0
+
+
 def test_connected(spark):
     rnd = random.Random(5)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(1, 50)]
@@ -128,7 +147,7 @@ def test_near_duplicates(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, exp))
     kept = simhash.representatives(df)
     assert kept.columns == df.columns
-    groups = brute.components({r.doc_id: brute.pair_prints(r.text) for r in rows if r.doc_id is not None}, simhash.PAIR_BITS)
+    groups = brute.text_groups({r.doc_id: r.text for r in rows if r.doc_id is not None}, simhash.PAIR_BITS)
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(i) for i in set(groups.values())] + ["None"])
     again = simhash.representatives(df.unionByName(df), crowd=2)
     assert sorted(map(repr, again.collect())) == sorted(map(repr, kept.collect()))
