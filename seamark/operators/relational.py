@@ -84,8 +84,11 @@ def join_anti(t):
 
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT CASE WHEN l_quantity > 10 THEN l_partkey ELSE 0 END FROM lineitem)")
 def join_null_aware_anti(t):
-    """NOT IN is null-aware only in SQL; the tables are named for this statement alone."""
-    return t.spark.sql("SELECT p_partkey FROM {p} WHERE p_partkey NOT IN (SELECT CASE WHEN l_quantity > 10 THEN l_partkey ELSE 0 END FROM {li})", p=t.part, li=t.lineitem)
+    """NOT IN as a plain anti join, which is never broadcast whole: a null on the right leaves no row, a null on the left only stays where the right is empty."""
+    v = t.lineitem.select(F.when(F.col("l_quantity") > 10, F.col("l_partkey")).otherwise(0).alias("v")).distinct()
+    told = v.agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("nulls"))  # one row
+    kept = t.part.join(v.dropna(), F.col("p_partkey") == F.col("v"), "left_anti").join(told, F.lit(True))
+    return kept.filter("n = 0 OR (nulls = 0 AND p_partkey IS NOT NULL)").select("p_partkey")
 
 
 @query("SELECT r_name, count(*) AS n FROM region, nation WHERE n_nationkey > r_regionkey * 4 GROUP BY 1")

@@ -1,6 +1,8 @@
 """Rows that steps make as groups and starts grow, and results at the edges of groups."""
 
-from seamark.operators import graph
+from types import SimpleNamespace
+
+from seamark.operators import graph, relational
 
 
 def kept(monkeypatch, module, prefixes):
@@ -38,3 +40,16 @@ def test_collapse_passed_walks_once_for_all_starts(spark, monkeypatch):
     got = {tuple(r) for r in graph.collapse_passed(*hub(spark, 40, 30)).collect()}
     assert got == {(f"s.{i}", "t", "FILTERS", *x) for i in range(40) for x in (("via", "h"), ("where", "f:1"), ("where", "f:2"))}
     assert counts == {"passed-steps": 31, "passed-items": 2}
+
+
+def test_null_aware_anti_is_a_plain_join(spark):
+    def run(parts, lines):
+        t = SimpleNamespace(spark=spark, part=spark.createDataFrame([(p,) for p in parts], "p_partkey int"), lineitem=spark.createDataFrame(lines, "l_quantity int, l_partkey int"))
+        df = relational.join_null_aware_anti(t)
+        assert "LeftAnti, BuildRight, true" not in df._jdf.queryExecution().executedPlan().toString()
+        return sorted((r.p_partkey for r in df.collect()), key=repr)
+
+    assert run([1, 2, None], [(11, 1), (5, 9)]) == [2]
+    assert run([1, 2, None], [(11, 1), (11, None)]) == []
+    assert run([1, 2, None], [(5, None)]) == [1, 2]
+    assert run([1, 2, None], []) == [1, 2, None]
