@@ -51,9 +51,10 @@ def recursive_groups(edges: DataFrame) -> DataFrame:
     sized = found.all()
     sized = sized.join(sized.groupBy("component").agg(F.count("*").alias("size")), "component")
     loops = edges.filter("source = target").select(F.col("source").alias("node"))
+    # Trimming leaves what lies between cycles; colouring makes of such a node a component of its own, which is none unless it calls itself.
+    sized = sized.filter("size > 1")
     alone = loops.join(sized, "node", "left_anti").select("node", F.col("node").alias("component"), F.lit(1).cast("long").alias("size"))
-    # Trimming leaves what lies between cycles; colouring makes of such a node a component of its own, which is none.
-    return sized.filter("size > 1").select("node", "component", "size").unionByName(alone)
+    return sized.select("node", "component", "size").unionByName(alone)
 
 
 def levels(edges: DataFrame, groups: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from types import SimpleNamespace
 
-from seamark.operators import graph, relational
+from seamark.operators import calls, graph, relational
 
 
 def kept(monkeypatch, module, prefixes):
@@ -53,3 +53,8 @@ def test_null_aware_anti_is_a_plain_join(spark):
     assert run([1, 2, None], [(11, 1), (11, None)]) == []
     assert run([1, 2, None], [(5, None)]) == [1, 2]
     assert run([1, 2, None], []) == [1, 2, None]
+
+
+def test_a_unit_that_calls_itself_between_cycles(spark):
+    e = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 3), (3, 4), (4, 6), (6, 5), (5, 6)], "source int, target int")
+    assert sorted(map(tuple, calls.recursive_groups(e).collect())) == [(1, 1, 2), (2, 1, 2), (3, 3, 1), (5, 5, 2), (6, 5, 2)]
