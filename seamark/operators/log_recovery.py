@@ -2,7 +2,9 @@
 
 contained() finds the patterns that texts hold. Every pattern is looked up by its rarest run of GRAM characters, by how often the
 texts hold each; runs of the texts that aren't such a key go before any join, and the characters around a run are compared
-before a candidate is sent anywhere. What is left is verified on the whole text, which travels once.
+before a candidate is sent anywhere. What is left is verified on the whole text, which travels once. Patterns with a space far
+enough from their end are looked up by runs that begin with a space, so that texts list as many runs as they have words; only
+for the others do they list one at each character.
 """
 
 from __future__ import annotations
@@ -33,6 +35,24 @@ def _runs(texts: DataFrame, sizes: list[int]) -> DataFrame:
     return df.select("id", "before", "after", F.explode(F.array_distinct(grams)).alias("gram"))
 
 
+def _spaced_runs(texts: DataFrame, size: int) -> DataFrame:
+    """texts(id, text) -> (id, gram, before, after) of each place with a space; before is empty."""
+    after = F.explode(F.regexp_extract_all("text", F.lit(f"(?s)(?=( .{{{size - 1},{AHEAD - 1}}}))"), F.lit(1)))
+    return texts.select("id", F.lit("").alias("before"), after.alias("after")).withColumn("gram", F.left("after", F.lit(size)))
+
+
+def _near(runs: DataFrame, places: DataFrame, back: int) -> DataFrame:
+    """runs as above, places(pattern, gram, at) -> (id, pattern) where a text's run and what stands around it are those of the pattern's rarest."""
+    often = runs.join(places.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    # A pattern with a run that no text has is in no text; an inner join lets it go, if its rarest run is that one.
+    rarest = places.join(often, "gram", "left").groupBy("pattern").agg(F.min_by(F.struct("gram", "at", "n"), F.struct(F.coalesce("n", F.lit(0)), "at")).alias("k"))
+    keys = rarest.filter("k.n IS NOT NULL").select("pattern", F.col("k.gram").alias("gram"), F.col("k.at").alias("at"))
+    p_before = F.substring("pattern", F.greatest(F.col("at") - back, F.lit(1)), F.least(F.col("at") - 1, F.lit(back)))
+    keys = keys.select("gram", "pattern", p_before.alias("p_before"), F.substring("pattern", F.col("at"), F.lit(AHEAD)).alias("p_after"))
+    near = runs.join(cut(keys, "pattern-keys"), "gram").filter(F.col("before").endswith(F.col("p_before")) & F.col("after").startswith(F.col("p_after")))
+    return near.select("id", "pattern")
+
+
 def contained(texts: DataFrame, patterns: DataFrame, gram: int = GRAM) -> DataFrame:
     """texts(id, text), patterns(pattern) -> distinct (id, pattern) where a text of the id holds the pattern, as it is written.
 
@@ -40,20 +60,21 @@ def contained(texts: DataFrame, patterns: DataFrame, gram: int = GRAM) -> DataFr
     texts and patterns count once.
     """
     texts = texts.select("id", "text").dropna()
+    at = F.instr("pattern", " ")
     size = F.least(F.char_length("pattern"), F.lit(gram))
-    p = patterns.select("pattern").filter("pattern <> ''").distinct().withColumn("size", size)
-    sizes = sorted(r.size_ for r in p.select(F.col("size").alias("size_")).distinct().collect())  # as many as a key has characters at most
-    if not sizes:
+    p = patterns.select("pattern").filter("pattern <> ''").distinct().select("pattern", size.alias("size"), ((at > 0) & (F.char_length("pattern") - at + 1 >= gram)).alias("spaced"))
+    p = cut(p, "pattern-sizes")
+    kinds = p.select("size", "spaced").distinct().collect()  # twice as many as a key has characters at most
+    if not kinds:
         return texts.select("id", F.lit("").alias("pattern")).limit(0)
-    places = p.select("pattern", F.explode(F.sequence(F.lit(1), F.char_length("pattern") - F.col("size") + 1)).alias("at"), "size")
-    places = cut(places.select("pattern", F.substring("pattern", F.col("at"), F.col("size")).alias("gram"), F.col("at")), "patterns")
-    runs = _runs(texts, sizes)
-    often = runs.join(places.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    # A pattern with a run that no text has is in no text; an inner join lets it go, if its rarest run is that one.
-    rarest = places.join(often, "gram", "left").groupBy("pattern").agg(F.min_by(F.struct("gram", "at", "n"), F.struct(F.coalesce("n", F.lit(0)), "at")).alias("k"))
-    keys = rarest.filter("k.n IS NOT NULL").select("pattern", F.col("k.gram").alias("gram"), F.col("k.at").alias("at"))
-    keys = keys.select("gram", "pattern", F.substring("pattern", F.greatest(F.col("at") - BACK, F.lit(1)), F.least(F.col("at") - 1, F.lit(BACK))).alias("p_before"), F.substring("pattern", F.col("at"), F.lit(AHEAD)).alias("p_after"))
-    near = runs.join(cut(keys, "pattern-keys"), "gram").filter(F.col("before").endswith(F.col("p_before")) & F.col("after").startswith(F.col("p_after")))
+    places = p.select("pattern", F.explode(F.sequence(F.lit(1), F.char_length("pattern") - F.col("size") + 1)).alias("at"), "size", "spaced")
+    places = cut(places.select("pattern", F.substring("pattern", F.col("at"), F.col("size")).alias("gram"), F.col("at"), "spaced").filter("NOT spaced OR startswith(gram, ' ')"), "patterns")
+    near = []
+    if any(k.spaced for k in kinds):
+        near.append(_near(_spaced_runs(texts, gram), places.filter("spaced"), back=0))
+    if sizes := sorted(k.size for k in kinds if not k.spaced):
+        near.append(_near(_runs(texts, sizes), places.filter("NOT spaced"), back=BACK))
+    near = near[0] if len(near) == 1 else near[0].unionByName(near[1])
     found = near.groupBy("id").agg(F.collect_set("pattern").alias("patterns"))  # no more than the text has places, times patterns that begin alike
     held = texts.join(found, "id").select("id", F.explode(F.filter("patterns", lambda x: F.contains(F.col("text"), x))).alias("pattern"))
     return held.distinct()
@@ -72,11 +93,12 @@ def leads(log: DataFrame, emitters: DataFrame) -> DataFrame:
     """
     own = emitters.select("unit", one_line(F.col("fragment")).alias("fragment")).filter("unit IS NOT NULL AND fragment <> ''")
     own = own.groupBy("fragment").agg(F.count_distinct("unit").alias("n"), F.min("unit").alias("unit")).filter("n = 1").select("fragment", "unit")
-    # Equal texts of a log are looked at once.
-    found = contained(log.select(F.col("text").alias("id"), "text").distinct(), own.select(F.col("fragment").alias("pattern")))
-    per = found.join(own, F.col("pattern") == F.col("fragment")).groupBy(F.col("id").alias("text"), "unit").agg(F.count("*").alias("n"), F.max(F.char_length("fragment")).alias("longest"))
+    # Equal texts of a log are looked at once, under a digest: a text is listed at each of its words, and its id with it.
+    texts = cut(log.select("text").distinct().select(F.sha2("text", 256).alias("id"), "text"), "log-texts")
+    found = contained(texts, own.select(F.col("fragment").alias("pattern")))
+    per = found.join(own, F.col("pattern") == F.col("fragment")).groupBy("id", "unit").agg(F.count("*").alias("n"), F.max(F.char_length("fragment")).alias("longest"))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), (-F.col("longest")).alias("longest"), "unit")))
-    per = per.groupBy("text").agg(ranked.alias("c"))
+    per = per.groupBy("id").agg(ranked.alias("c")).join(texts, "id")
     first, second = F.get("c", 0), F.get("c", 1)
     tied = second.isNotNull() & (first["n"] == second["n"]) & (first["longest"] == second["longest"])
     return per.select("text", F.transform("c", lambda x: x["unit"]).alias("candidates"), F.size("c").cast("long").alias("n_candidates"), F.when(~F.coalesce(tied, F.lit(False)), first["unit"]).alias("lead"))

@@ -21,6 +21,16 @@ def test_contained_equals_brute_force(spark):
     assert len(found) == len(set(found)) and set(found) == want
 
 
+def test_spaced_patterns_list_words_alone(spark, monkeypatch):
+    """A pattern with a space far from its end is found without a run at each character; digests stand for texts."""
+    monkeypatch.setattr(lr, "_runs", lambda *a: 1 / 0)
+    texts = [(1, "x" * 700 + " MANY WORDS BEFORE THE END"), (2, " ÜBER𝒜 WORDS\n"), (3, "MANY  WORDS BEFORE THE END"), (4, "MANY WORDS BEFORE"), (5, "")]
+    patterns = ["MANY WORDS BEFORE THE END", "x MANY WO", " ÜBER𝒜 W", "S BEFORE", "MANY WORDS BEFORE", "xx MANY WORDS BEFORE THE END "]
+    got = lr.contained(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(p,) for p in patterns if p.find(" ") + 8 <= len(p)], "pattern string"))
+    want = {(i, p) for i, t in texts for p in patterns if p in t and p.find(" ") + 8 <= len(p)}
+    assert {tuple(x) for x in got.collect()} == want and len(want) == 5
+
+
 def test_contained_of_nothing(spark):
     t, p = spark.createDataFrame([(1, "text")], "id int, text string"), spark.createDataFrame([("text",)], "pattern string")
     assert lr.contained(t.limit(0), p).collect() == [] and lr.contained(t, p.limit(0)).collect() == [] and len(lr.contained(t, p).collect()) == 1
