@@ -59,17 +59,18 @@ def discriminating_fragments(emitters: DataFrame) -> DataFrame:
 
 
 def attribute_log(log: DataFrame, emitters: DataFrame) -> DataFrame:
-    """log(sql_id, action, shape), emitters(unit, action, shape) -> (sql_id, unit, signal, n_candidates).
+    """log(sql_id, action, shape), emitters(unit, action, shape) -> (sql_id, unit, signal, n_candidates, candidates).
 
-    An action, in any case, names its unit, the first by name where several have it. A shape gives candidates and never a
+    An action, in any case, names its unit, the first by name where several have it. A shape gives candidates, by name, and never a
     unit, also where there is one candidate: texts that two units can emit are common. log_recovery.attributed reads whole texts.
     """
     action = emitters.groupBy(F.upper("action").alias("a")).agg(F.min("unit").alias("unit_a"))
-    shape = emitters.groupBy(F.col("shape").alias("s")).agg(F.countDistinct("unit").alias("n_s"))
+    shape = emitters.groupBy(F.col("shape").alias("s")).agg(F.countDistinct("unit").alias("n_s"), F.sort_array(F.collect_set("unit")).alias("units_s"))
     df = log.join(action, F.upper("action") == F.col("a"), "left").join(shape, F.col("shape") == F.col("s"), "left")
     signal = F.when(F.col("unit_a").isNotNull(), "action").when(F.col("n_s").isNotNull(), "shape").otherwise("none")
     n = F.when(F.col("unit_a").isNotNull(), 1).otherwise(F.coalesce("n_s", F.lit(0))).cast("long")
-    return df.select("sql_id", F.col("unit_a").alias("unit"), signal.alias("signal"), n.alias("n_candidates"))
+    candidates = F.when(F.col("unit_a").isNotNull(), F.array("unit_a")).otherwise(F.coalesce("units_s", F.array().cast("array<string>")))
+    return df.select("sql_id", F.col("unit_a").alias("unit"), signal.alias("signal"), n.alias("n_candidates"), candidates.alias("candidates"))
 
 
 def recovery_report(attributed: DataFrame) -> DataFrame:

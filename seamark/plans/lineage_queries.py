@@ -264,9 +264,11 @@ def _attributed(spark, sf_dir):
     return measure.attribute_log(log, em)
 
 
-@query(f"WITH {_LOG} SELECT * FROM att")
+@query(f"""WITH {_LOG}, c AS (SELECT shape AS k, string_agg(DISTINCT unit, ',' ORDER BY unit) AS units FROM em GROUP BY 1)
+SELECT sql_id, ua AS unit, CASE WHEN ua IS NOT NULL THEN 'action' WHEN n IS NOT NULL THEN 'shape' ELSE 'none' END AS signal, CASE WHEN ua IS NOT NULL THEN 1 ELSE coalesce(n, 0) END AS n_candidates,
+coalesce(ua, units, '') AS candidates FROM log LEFT JOIN a ON a.k = upper(action) LEFT JOIN s ON s.k = shape LEFT JOIN c ON c.k = shape""")
 def measure_log_attribution(spark, sf_dir):
-    return _attributed(spark, sf_dir)
+    return _attributed(spark, sf_dir).withColumn("candidates", F.array_join("candidates", ","))
 
 
 @query(f"WITH {_LOG} SELECT signal, count(*) AS n, count(unit) AS n_exact, (SELECT count(*) FILTER (signal = 'action') / count(*) FROM att) AS rate FROM att GROUP BY 1")

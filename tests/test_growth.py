@@ -2,7 +2,7 @@
 
 from types import SimpleNamespace
 
-from seamark.operators import calls, graph, relational
+from seamark.operators import calls, graph, measure, relational
 
 
 def kept(monkeypatch, module, prefixes):
@@ -58,3 +58,10 @@ def test_null_aware_anti_is_a_plain_join(spark):
 def test_a_unit_that_calls_itself_between_cycles(spark):
     e = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 3), (3, 4), (4, 6), (6, 5), (5, 6)], "source int, target int")
     assert sorted(map(tuple, calls.recursive_groups(e).collect())) == [(1, 1, 2), (2, 1, 2), (3, 3, 1), (5, 5, 2), (6, 5, 2)]
+
+
+def test_log_attribution_tells_the_candidates_of_a_shape(spark):
+    log = spark.createDataFrame([(1, "JOB", "s1"), (2, None, "s1"), (3, None, "s2"), (4, None, "s9")], "sql_id int, action string, shape string")
+    em = spark.createDataFrame([("b", "job", "s1"), ("a", None, "s1"), ("c", None, "s2")], "unit string, action string, shape string")
+    got = sorted((r.sql_id, r.unit, r.signal, r.candidates) for r in measure.attribute_log(log, em).collect())
+    assert got == [(1, "b", "action", ["b"]), (2, None, "shape", ["a", "b"]), (3, None, "shape", ["c"]), (4, None, "none", [])]
