@@ -24,18 +24,19 @@ def bases(definitions: DataFrame, cap: int = CAP) -> DataFrame:
 
     Every round joins the pointers that still point at a view to what that one points at, so rounds are the logarithm of the
     longest way; what points at a view when ways of all names' number are passed goes round in a cycle. Of several definitions
-    of a column, the first by name counts. Null names count for nothing.
+    of a column, the first by name counts. Null names count for nothing. Joins are by merge, as both sides grow with the names,
+    whose files look small enough to be broadcast through the driver.
     """
     p = definitions.filter("name IS NOT NULL").groupBy("name").agg(F.min("base").alias("to")).withColumn("hops", F.lit(1).cast("long"))
     p = cut(p, "views-pointers")
     n, passed = p.count(), 1
     while passed <= n:
         ahead = p.select(F.col("name").alias("to"), F.col("to").alias("next"), F.col("hops").alias("more"), F.lit(True).alias("open"))
-        p = cut(p.select("name", "to", "hops").join(ahead, "to", "left").select("name", F.when(F.col("open"), F.col("next")).otherwise(F.col("to")).alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.coalesce("open", F.lit(False)).alias("open")), "views-pointers")
+        p = cut(p.select("name", "to", "hops").join(ahead.hint("merge"), "to", "left").select("name", F.when(F.col("open"), F.col("next")).otherwise(F.col("to")).alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.coalesce("open", F.lit(False)).alias("open")), "views-pointers")
         passed *= 2
         if p.filter("open").isEmpty():
             break
-    p = p.select("name", "to", "hops").join(p.select(F.col("name").alias("to"), F.lit(True).alias("round")), "to", "left")
+    p = p.select("name", "to", "hops").join(p.select(F.col("name").alias("to"), F.lit(True).alias("round")).hint("merge"), "to", "left")
     state = F.when(F.col("round"), "cycle").when(F.col("hops") > cap, "deep").when(F.col("to").isNull(), "unknown").otherwise("base")
     return p.select("name", F.when(state == "base", F.col("to")).alias("base"), F.when(state != "cycle", F.col("hops")).alias("hops"), state.alias("state"))
 
@@ -53,7 +54,7 @@ def rewritten(edges: DataFrame, definitions: DataFrame, cap: int = CAP) -> tuple
     for side in ("source", "target"):
         of = found.select(F.col("name").alias(side), F.col("base").alias(f"{side}_base"), F.col("state").alias(f"{side}_state"))
         rel = view.select(F.col("view").alias(side), F.col("only").alias(f"{side}_only"), F.col("why").alias(f"{side}_why"))
-        df = df.join(of, side, "left").join(rel, side, "left")
+        df = df.join(of.hint("merge"), side, "left").join(rel, side, "left")
     for side, other in (("source", "target"), ("target", "source")):
         same = (F.col(f"{other}_state") == "base") & (relation(F.col(other)) == F.col(side))
         to = F.when(F.col(f"{side}_state") == "base", F.col(f"{side}_base")).when(F.col(f"{side}_why").isNotNull() & same, relation(F.col(f"{other}_base"))).when(F.col(f"{side}_why").isNotNull(), F.col(f"{side}_only"))
