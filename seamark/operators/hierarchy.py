@@ -25,7 +25,8 @@ def traverse(links: DataFrame, roots: DataFrame, most: int | None = None) -> Dat
     level = 0
     while (most is None or level < most) and not front.isEmpty():
         level += 1
-        ahead = front.filter("NOT is_cycle").join(links, F.col("id") == F.col("__p"))
+        # Files of small keys look small, so links would be sent to the driver and broadcast in each round.
+        ahead = front.filter("NOT is_cycle").join(links.hint("merge"), F.col("id") == F.col("__p"))
         front = found.add(ahead.filter("__c IS NOT NULL").select(F.col("__c").alias("id"), F.lit(level).alias("level"), F.array_append("path", F.col("__c")).alias("path"), F.array_contains("path", F.col("__c")).alias("is_cycle")))
     return found.all().withColumns({"breadth": F.struct("level", "id"), "depth": F.col("path")})
 

@@ -2,7 +2,7 @@
 
 from types import SimpleNamespace
 
-from seamark.operators import calls, graph, measure, relational
+from seamark.operators import calls, graph, hierarchy, measure, relational, views
 
 
 def kept(monkeypatch, module, prefixes):
@@ -65,3 +65,14 @@ def test_log_attribution_tells_the_candidates_of_a_shape(spark):
     em = spark.createDataFrame([("b", "job", "s1"), ("a", None, "s1"), ("c", None, "s2")], "unit string, action string, shape string")
     got = sorted((r.sql_id, r.unit, r.signal, r.candidates) for r in measure.attribute_log(log, em).collect())
     assert got == [(1, "b", "action", ["b"]), (2, None, "shape", ["a", "b"]), (3, None, "shape", ["c"]), (4, None, "none", [])]
+
+
+def test_recursions_send_no_table_to_the_driver(spark, monkeypatch):
+    plans, add, cut = [], hierarchy.Grown.add, views.cut
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(hierarchy.Grown, "add", lambda self, df: (plan(df), add(self, df))[1])
+    k = spark.range(1, 9).select("id")
+    assert hierarchy.traverse(k.filter("id > 1").selectExpr("id AS parent", "id DIV 2 AS child"), k).count() == 21
+    monkeypatch.setattr(views, "cut", lambda df, name: (plan(df), cut(df, name))[1])
+    assert views.bases(k.selectExpr("concat('v.', id) AS name", "concat('v.', id + 1) AS base")).filter("hops = 8").count() == 1
+    assert len(plans) > 6 and not any("Broadcast" in p for p in plans)
