@@ -143,7 +143,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
 
     def zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["text"] = [zlib.compress((t or "").encode(), 1) for t in b["text"]]
+            b["text"] = [zlib.compress((t or "").encode(), 6) for t in b["text"]]
             yield b
 
     def unzipped(g: pd.DataFrame) -> list[bytes]:
