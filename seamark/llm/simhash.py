@@ -295,7 +295,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def agreeing(docs: DataFrame, rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Of found(a, b), edges between nodes, those whose texts agree. A node is spoken for by one text of its smallest unit.
+    """Of found(a, b), distinct edges between nodes, those whose texts agree. A node is spoken for by one text of its smallest unit.
 
     The texts of nodes on an edge alone become sets, one for each text, and a set travels to the edges that ask for it.
     """
@@ -312,7 +312,7 @@ def agreeing(docs: DataFrame, rows: DataFrame, nodes: DataFrame, found: DataFram
             yield pd.DataFrame({"h": b["h"], "fives": [shingle_set(t) for t in b["text"]]})
 
     sets = cut(texts.mapInPandas(each, "h long, fives array<int>"), "pair-sets")
-    edges = found.distinct()
+    edges = found
     for end in ("a", "b"):
         edges = edges.join(one.select(F.col("node").alias(end), F.col("h").alias(f"h{end}")), end)
     for end in ("a", "b"):
@@ -344,7 +344,8 @@ def pair_groups(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFra
 
     def linked(prints: DataFrame) -> DataFrame:
         found = links(prints, crowd, PAIR_BITS).select(F.xxhash64("kind", "a").alias("a"), F.xxhash64("kind", "b").alias("b"))
-        return agreeing(docs, rows, nodes, cut(found, "pair-links"))
+        # Two fingerprints meet under several keys, in a group of near copies under most of them: an edge is told once from here on.
+        return agreeing(docs, rows, nodes, cut(found.distinct(), "pair-links"))
 
     def grouped(found: DataFrame, own: DataFrame) -> DataFrame:
         """(unit, root) by the links of fingerprints and what units share of own."""

@@ -152,3 +152,20 @@ def test_near_duplicates(spark):
     again = simhash.representatives(df.unionByName(df), crowd=2)
     assert sorted(map(repr, again.collect())) == sorted(map(repr, kept.collect()))
     assert simhash.report(df.limit(0)).count() == simhash.representatives(df.limit(0)).count() == 0
+
+
+def test_an_edge_is_told_once(spark, monkeypatch):
+    """Near copies meet under several keys; each pair is held against the texts once."""
+    handed, agreeing = [], simhash.agreeing
+
+    def told(docs, rows, nodes, found):
+        handed.append(sorted(map(tuple, found.collect())))
+        return agreeing(docs, rows, nodes, found)
+
+    monkeypatch.setattr(simhash, "agreeing", told)
+    rnd = random.Random(1)
+    words = [f"w{rnd.randrange(500)}" for _ in range(300)]
+    near = [" ".join(words[:i] + ["other"] + words[i + 1 :]) for i in range(0, 300, 20)]
+    simhash.pair_groups(spark.createDataFrame(list(enumerate(near)), "doc_id long, text string"))
+    assert len(handed) == 2 and len(handed[0]) > 1
+    assert all(len(found) == len(set(found)) for found in handed)
