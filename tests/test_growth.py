@@ -2,7 +2,7 @@
 
 from types import SimpleNamespace
 
-from seamark.operators import calls, graph, hierarchy, measure, relational, views
+from seamark.operators import calls, dataflow, graph, hierarchy, measure, relational, views
 
 
 def kept(monkeypatch, module, prefixes):
@@ -76,3 +76,20 @@ def test_recursions_send_no_table_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(views, "cut", lambda df, name: (plan(df), cut(df, name))[1])
     assert views.bases(k.selectExpr("concat('v.', id) AS name", "concat('v.', id + 1) AS base")).filter("hops = 8").count() == 1
     assert len(plans) > 6 and not any("Broadcast" in p for p in plans)
+
+
+def test_dataflow_rounds_move_only_what_is_new(spark, monkeypatch):
+    """Along nodes with one way in, a round reads the last part and the two tables laid out once; a definition without a name ends in a loop."""
+    leaves, add = [], dataflow.Grown.add
+
+    def told(self, df):
+        found = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        leaves.append(sorted(found.apply(i).getClass().getSimpleName() for i in range(found.size())))
+        return add(self, df)
+
+    monkeypatch.setattr(dataflow.Grown, "add", told)
+    flow = spark.createDataFrame([("u", i, (i + 1) % 6) for i in range(6)], "unit string, node int, succ int")
+    gen = spark.createDataFrame([("u", 0, "x"), ("u", 3, "y")], "unit string, node int, var string")
+    assert dataflow.reaching_definitions(flow, gen).count() == 12
+    assert len(leaves) == 7 and all(x == ["InMemoryRelation", "InMemoryRelation", "LogicalRelation"] for x in leaves[1:])
+    assert dataflow.reaching_definitions(flow, gen.selectExpr("unit", "node", "nullif(var, 'y') AS var")).count() == 12
