@@ -17,21 +17,19 @@ def score(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     pairs in order. A pair counts at the true band, a surplus prediction at the band it claims, a missed truth at its own.
     Nulls in a key or guard equal each other. Precision and recall are null where they are undefined.
     """
-    cols = [*KEY, "guard", "band"]
-    key = F.sha2(F.to_json(F.struct(*KEY), {"ignoreNullFields": "false"}), 256)
+    key = F.unhex(F.substring(F.sha2(F.to_json(F.struct(*KEY), {"ignoreNullFields": "false"}), 256), 1, 32))
     guard = F.coalesce(F.concat(F.lit("="), "guard"), F.lit("-"))
-    ready = lambda df: df.select(*cols).distinct().select("flow", "band", guard.alias("g"), key.alias("k"))
-    # Equal guards first: within (key, guard) both sides are numbered and joined by number.
-    number = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("band", "g", "flow")))
-    t, p = number(ready(truth), "k", "g"), number(ready(predicted), "k", "g")
-    exact = t.alias("t").join(p.alias("p"), ["k", "g", "n"], "full")
-    exact = exact.select("k", "g", F.coalesce("t.flow", "p.flow").alias("flow"), F.col("t.band").alias("tb"), F.col("p.band").alias("pb"))
-    paired = exact.filter("tb IS NOT NULL AND pb IS NOT NULL")
-    t = number(exact.filter("pb IS NULL").select("k", "g", "flow", F.col("tb").alias("band")), "k")
-    p = number(exact.filter("tb IS NULL").select("k", "g", "flow", F.col("pb").alias("band")), "k")
-    rest = t.alias("t").join(p.alias("p"), ["k", "n"], "full")
-    rest = rest.select(F.coalesce("t.flow", "p.flow").alias("flow"), F.col("t.band").alias("tb"), F.col("p.band").alias("pb"))
-    both = paired.select("flow", "tb", "pb").unionByName(rest)
+    ready = lambda df, side: df.select(key.alias("k"), guard.alias("g"), "flow", "band", F.lit(side).alias("side"))
+    # Both sides are dealt by the match key once: all that follows numbers and groups inside a key, so nothing moves again.
+    facts = ready(truth, 0).unionByName(ready(predicted, 1)).distinct().repartition("k")
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("band")))
+    number = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy(*by, "side").orderBy("band", "g", "flow")))
+    meet = lambda df, *by: df.groupBy(*by, "n").agg(F.min("flow").alias("flow"), of(0).alias("tb"), of(1).alias("pb"), F.min("side").alias("low"), F.max("side").alias("high"))
+    # Equal guards first: within (key, guard) both sides are numbered and meet by number.
+    exact = meet(number(facts, "k", "g"), "k", "g")
+    left = exact.filter("low = high").select("k", "g", "flow", F.col("low").alias("side"), F.coalesce("tb", "pb").alias("band"))
+    rest = meet(number(left, "k"), "k")
+    both = exact.filter("low < high").select("flow", "tb", "pb").unionByName(rest.select("flow", "tb", "pb"))
     out = both.groupBy(F.coalesce("tb", "pb").alias("band"), "flow").agg(
         F.count(F.when(F.col("tb").isNotNull() & F.col("pb").isNotNull(), 1)).alias("tp"),
         F.count(F.when(F.col("tb").isNull(), 1)).alias("fp"),
