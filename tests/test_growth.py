@@ -104,3 +104,11 @@ def test_score_deals_facts_once(spark):
     assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
     # y at 0 and x at 1 pair by guard, as does the fact without a target; of what is left, 0 pairs in order, 2 is missed.
     assert sorted(tuple(r)[:5] for r in df.collect()) == [(0, "value", 2, 0, 0), (1, "value", 2, 0, 0), (2, "value", 0, 1, 1)]
+
+
+def test_join_using_counts_before_it_joins(spark):
+    t = SimpleNamespace(customer=spark.createDataFrame([(x,) for x in (1, 1, 1, 2, None)], "c_nationkey int"), supplier=spark.createDataFrame([(x,) for x in (1, 1, 3, None)], "s_nationkey int"))
+    df = relational.join_using(t)
+    assert df.collect() == [(1, 6)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate") and plan.count("Aggregate") == 2
