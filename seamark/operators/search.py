@@ -20,13 +20,15 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), BETWEEN, -1), "")
 
 
-def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
     """docs -> (term, doc_id, positions, n_terms): positions from 0, and the number of terms of the whole document.
 
-    Texts that are null or without a term have no rows. Repeated ids count as one document with the texts' positions together.
+    only(term): the terms that will be asked for, if they are known; whole texts are read, and of other terms no rows are shuffled. Texts that are null or without a term have no rows. Repeated ids count as one document with the texts' positions together.
     """
     words = docs.select(F.col(doc_id).alias("doc_id"), terms(F.col(text)).alias("w")).withColumn("n_terms", F.size("w").cast("long"))
     each = words.select("doc_id", "n_terms", F.posexplode("w").alias("at", "term"))
+    if only is not None:
+        each = each.join(only.select("term").distinct(), "term", "left_semi")
     return each.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("at")).alias("positions"), F.max("n_terms").alias("n_terms"))
 
 

@@ -2,7 +2,7 @@
 
 from types import SimpleNamespace
 
-from seamark.operators import calls, dataflow, graph, hierarchy, measure, relational, views
+from seamark.operators import calls, dataflow, graph, hierarchy, measure, relational, search, views
 
 
 def kept(monkeypatch, module, prefixes):
@@ -112,3 +112,10 @@ def test_join_using_counts_before_it_joins(spark):
     assert df.collect() == [(1, 6)]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate") and plan.count("Aggregate") == 2
+
+
+def test_index_of_the_terms_asked(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (2, "c a"), (3, None)], "doc_id int, text string")
+    asked = spark.createDataFrame([("a",), ("a",), ("z",)], "term string")
+    got = sorted(map(tuple, search.index(docs, only=asked).collect()))
+    assert got == [("a", 1, [0, 2], 3), ("a", 2, [1], 2)] == sorted(tuple(r) for r in search.index(docs).filter("term = 'a'").collect())
