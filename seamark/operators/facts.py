@@ -23,25 +23,33 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """edges(id, type, source, target): customers feed nations, nations regions, suppliers nations, orders customers, parts suppliers."""
     c, n, s = (table(spark, sf_dir, t) for t in ("customer", "nation", "supplier"))
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    mod = lambda c, k: F.pmod(c, F.lit(k))
-    nation = lambda key: name("nation", mod(key, 5), key)
-    customer = lambda key: name("customer", mod(key, 10), key)
-    supplier = lambda key: name("supplier", mod(key, 3), key)
-    part = lambda key: name("part", mod(key, 20), key)
-    e = [
-        n.select(F.col("n_nationkey").cast("long").alias("k"), nation(F.col("n_nationkey")).alias("source"), name("region", F.lit(0), F.col("n_regionkey")).alias("target")),
-        c.select(F.col("c_custkey").alias("k"), customer(F.col("c_custkey")).alias("source"), nation(F.col("c_nationkey")).alias("target")),
-        s.select(F.col("s_suppkey").alias("k"), supplier(F.col("s_suppkey")).alias("source"), nation(F.col("s_nationkey")).alias("target")),
-        o.select(F.col("o_orderkey").alias("k"), name("orders", mod(F.col("o_orderkey"), 30), F.col("o_orderkey")).alias("source"), customer(F.col("o_custkey")).alias("target")),
-        li.groupBy("l_partkey", "l_suppkey").agg(F.min("l_orderkey").alias("k")).select("k", part(F.col("l_partkey")).alias("source"), supplier(F.col("l_suppkey")).alias("target")),
+    key = lambda c: F.col(c).cast("long")
+    lines = li.groupBy("l_partkey", "l_suppkey").agg(F.min("l_orderkey").alias("k"))
+    # Table, key that tells the type, key of the source and of the target, with the relations' kinds and numbers of relations.
+    arms = [
+        (n, "n_nationkey", ("nation", 5, "n_nationkey"), ("region", 1, "n_regionkey")),
+        (c, "c_custkey", ("customer", 10, "c_custkey"), ("nation", 5, "c_nationkey")),
+        (s, "s_suppkey", ("supplier", 3, "s_suppkey"), ("nation", 5, "s_nationkey")),
+        (o, "o_orderkey", ("orders", 30, "o_orderkey"), ("customer", 10, "o_custkey")),
+        (lines, "k", ("part", 20, "l_partkey"), ("supplier", 3, "l_suppkey")),
     ]
-    out = None
-    for i, df in enumerate(e):
-        kind = F.element_at(F.array(*map(F.lit, KINDS)), (mod(F.col("k") + i, len(KINDS)) + 1).cast("int"))
-        whole = kind.isin("FILTERS", "OPAQUE")
-        df = df.select(kind.alias("type"), "source", F.when(whole, F.regexp_extract("target", r"^([^.]*)", 1)).otherwise(F.col("target")).alias("target"))
+    # Edges are made distinct as numbers, ahead of their names.
+    out, kinds = None, ("nation", "region", "customer", "supplier", "orders", "part")
+    for i, (df, k, (of, m, source), (to, r, target)) in enumerate(arms):
+        kind = F.pmod(key(k) + i, F.lit(len(KINDS)))
+        whole = F.coalesce(kind.isin([j for j, x in enumerate(KINDS) if x in ("FILTERS", "OPAQUE")]), F.lit(False))
+        code = lambda c, x: F.when(F.col(c).isNotNull(), F.lit(kinds.index(x)))
+        df = df.select(
+            F.get(F.array(*(F.lit(KINDS.index(x)) for x in KINDS)), kind.cast("int")).alias("kind"), code(source, of).alias("of"), F.pmod(key(source), F.lit(m)).alias("of_no"), key(source).alias("source"),
+            code(target, to).alias("to"), F.pmod(key(target), F.lit(r)).alias("to_no"), F.when(~whole, key(target)).alias("target"),
+        )
         out = df if out is None else out.unionByName(df)
-    return out.select(F.concat_ws("|", "type", "source", "target").alias("id"), "type", "source", "target").distinct()
+    text = lambda names, c: F.get(F.array(*map(F.lit, names)), F.col(c))  # null for a null, which element_at() of plain values isn't
+    whole = F.concat(text(kinds, "to"), F.col("to_no").cast("string"))
+    target = F.when(F.col("target").isNull(), whole).otherwise(F.concat(whole, F.lit("."), F.col("target").cast("string")))
+    source = F.concat(text(kinds, "of"), F.col("of_no").cast("string"), F.lit("."), F.col("source").cast("string"))
+    out = out.distinct().select(text(KINDS, "kind").alias("type"), source.alias("source"), target.alias("target"))
+    return out.select(F.concat_ws("|", "type", "source", "target").alias("id"), "type", "source", "target")
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:

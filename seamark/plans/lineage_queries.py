@@ -70,7 +70,7 @@ _WALKED = "'FEEDS', 'INFLUENCES', 'MENTIONS_COL'"
 @query(_walk_sql("SELECT 'region0.' || r_regionkey AS node FROM region", True, 3, _WALKED) + " SELECT depth, type, source, target, id, type IN ('MENTIONS_COL', 'OPAQUE') AS unverified FROM hops")
 def graph_upstream(spark, sf_dir):
     start = table(spark, sf_dir, "region").select(F.concat(F.lit("region0."), "r_regionkey").alias("node"))
-    return graph.upstream(cut(facts.graph(spark, sf_dir), "graph"), start, 3)
+    return graph.upstream(facts.graph(spark, sf_dir), start, 3)
 
 
 @query(_walk_sql("SELECT 'region0.' || r_regionkey AS node FROM region", True, 3, _WALKED) + " SELECT depth, type, source, target, id, type IN ('MENTIONS_COL', 'OPAQUE') AS unverified FROM hops")
@@ -82,7 +82,7 @@ def graph_upstream_all(spark, sf_dir):
 @query(_walk_sql("SELECT 'orders' || o_orderkey % 30 || '.' || o_orderkey AS node FROM orders", False, 5, _WALKED + ", 'KEYS'") + " SELECT depth, type, source, target, id, type IN ('MENTIONS_COL', 'OPAQUE') AS unverified FROM hops")
 def graph_downstream(spark, sf_dir):
     start = table(spark, sf_dir, "orders").select(facts.name("orders", F.col("o_orderkey") % 30, F.col("o_orderkey")).alias("node"))
-    return graph.downstream(cut(facts.graph(spark, sf_dir), "graph"), start, 5, join_keys=True)
+    return graph.downstream(facts.graph(spark, sf_dir), start, 5, join_keys=True)
 
 
 @query(_walk_sql("SELECT 'orders' || o_orderkey % 30 || '.' || o_orderkey AS node FROM orders", False, 5, _WALKED + ", 'KEYS'") + " SELECT depth, type, source, target, id, type IN ('MENTIONS_COL', 'OPAQUE') AS unverified FROM hops")
@@ -97,7 +97,7 @@ def graph_downstream_all(spark, sf_dir):
 )
 def graph_impact(spark, sf_dir):
     key = table(spark, sf_dir, "customer").agg(F.min("c_custkey")).first()[0]
-    return graph.impact(cut(facts.graph(spark, sf_dir), "graph"), f"customer{key % 10}.{key}")
+    return graph.impact(facts.graph(spark, sf_dir), f"customer{key % 10}.{key}")
 
 
 @query(f"""WITH RECURSIVE {_GRAPH},

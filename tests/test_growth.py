@@ -2,7 +2,7 @@
 
 from types import SimpleNamespace
 
-from seamark.operators import calls, dataflow, graph, hierarchy, measure, relational, search, views
+from seamark.operators import calls, dataflow, facts, graph, hierarchy, measure, relational, search, views
 
 
 def kept(monkeypatch, module, prefixes):
@@ -131,3 +131,43 @@ def test_components_keep_hubs_where_they_lie(spark, monkeypatch):
     got = {r.node: r.component for r in graph.components(e).collect()}
     assert got == {**{f"n{i:02}": "h0" if i % 3 < 2 else "h2" for i in range(60)}, "h0": "h0", "h1": "h0", "h2": "h2", "x": "x", "y": "x", "z": "x", "w": "w"}
     assert plans and all("strategy=broadcast" in p and "LeftAnti" in p for p in plans)
+
+
+def test_graph_is_made_distinct_as_numbers(spark, tmp_path):
+    """No name goes through an exchange; a null key has no type and no name."""
+    def write(name, columns, rows):
+        spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    write("nation", "n_nationkey int, n_regionkey int", [(1, 0), (1, 0)])
+    write("customer", "c_custkey long, c_nationkey int", [(2, 6), (2, 1), (3, 7), (3, 7), (None, 8), (None, 8)])
+    write("supplier", "s_suppkey long, s_nationkey int", [(None, 8)])
+    write("orders", "o_orderkey long, o_custkey long", [(31, 12)])
+    write("lineitem", "l_orderkey long, l_partkey long, l_suppkey long", [(1, 21, 4), (9, 21, 4)])
+    g = facts.graph(spark, str(tmp_path))
+    assert sorted((tuple(r) for r in g.collect()), key=repr) == sorted([
+        ("INFLUENCES|nation1.1|region0.0", "INFLUENCES", "nation1.1", "region0.0"),
+        ("FILTERS|customer2.2|nation1", "FILTERS", "customer2.2", "nation1"),
+        ("FEEDS|customer3.3|nation2.7", "FEEDS", "customer3.3", "nation2.7"),
+        ("nation3.8", None, None, "nation3.8"),
+        ("OPAQUE|orders1.31|customer2", "OPAQUE", "orders1.31", "customer2"),
+        ("MENTIONS_COL|part1.21|supplier1.4", "MENTIONS_COL", "part1.21", "supplier1.4"),
+    ], key=repr)
+    plan = g._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat" not in plan[plan.index("Union") :]
+
+
+def test_walk_moves_hashes_to_tell_edges_of_one_id(spark, monkeypatch):
+    """Edges that are there once are neither grouped ahead of a walk nor after it."""
+    plans, cut = [], graph.cut
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(graph, "cut", lambda df, name: (plans.append(plan(df)), cut(df, name))[1])
+    rows = [(f"e{i}", "FEEDS", f"a.{i}", f"a.{i + 1}") for i in range(5)] + [("f", "FILTERS", "a.2", "b"), ("o", "OPAQUE", "a", "b.1"), ("m", "MENTIONS_COL", "a.9", "a")]
+    e, start = spark.createDataFrame(rows, "id string, type string, source string, target string"), spark.createDataFrame([("a.0",)], "node string")
+    got = {r.id: r.depth for r in graph.walk(e, start, False, 9).collect()}
+    assert got == {"e0": 1, "o": 1, "e1": 2, "e2": 3, "f": 3, "e3": 4, "e4": 5}
+    assert not any("first(" in p for p in plans) and len(plans) == 2
+    back = spark.createDataFrame([("a.5",)], "node string")
+    one = {r.id: r.depth for r in graph.walk(e, back, True, 9).collect()}
+    assert one == {"e4": 1, "m": 1, "e3": 2, "e2": 3, "e1": 4, "e0": 5}
+    twice = graph.walk(e.unionByName(e), back, True, 9)
+    assert twice.count() == 6 and {r.id: r.depth for r in twice.collect()} == one
