@@ -22,6 +22,8 @@ from seamark.operators import scans
 
 #: Positions of a block of the sweep.
 WIDTH = 1024
+#: Spans of a group up to which its points are held against each of them: about as many as a point has blocks.
+FEW = 16
 
 
 def blocks(start: Column, stop: Column) -> Column:
@@ -51,13 +53,25 @@ def _block(level: Column, no: Column) -> Column:
 
 
 def holding(points: DataFrame, spans: DataFrame, group: str = "unit", at: str = "line", start: str = "line", stop: str = "end_line") -> DataFrame:
-    """points(group, at, ...), spans(group, start, stop, ...) -> (point, span) as structs: each pair where the span holds the point."""
-    s = spans.select(F.struct(*spans.columns).alias("span"), F.struct(F.col(group).alias("g")).alias("g"), F.explode(blocks(F.col(start), F.col(stop))).alias("b"))
-    s = cut(s.select("span", "g", "b.level", "b.no"), "span-blocks")
-    levels = [r.level for r in s.select("level").distinct().collect()]  # 64 at most
-    p = points.filter(F.col(at).isNotNull()).select(F.struct(*points.columns).alias("point"), F.struct(F.col(group).alias("g")).alias("pg"), F.explode(F.array(*(_block(F.lit(x), F.shiftright(F.col(at).cast("long"), x)) for x in levels) if levels else [_block(F.lit(-1), F.lit(0))])).alias("b"))
-    p = p.select("point", "pg", F.col("b.level").alias("pl"), F.col("b.no").alias("pn"))
-    return p.join(s, (F.col("pl") == F.col("level")) & (F.col("pn") == F.col("no")) & F.col("pg").eqNullSafe(F.col("g"))).select("point", "span")
+    """points(group, at, ...), spans(group, start, stop, ...) -> (point, span) as structs: each pair where the span holds the point.
+
+    In a group of FEW spans or fewer a point is held against each of them; elsewhere points and spans meet by blocks.
+    """
+    of = lambda df, name, *more: df.select(F.struct(*df.columns).alias(name), F.struct(F.col(group).alias("g")).alias("g"), *more)
+    s = cut(of(spans.filter(F.col(start) <= F.col(stop)), "span", F.col(start).alias("from"), F.col(stop).alias("to")), "spans")
+    p = of(points.filter(F.col(at).isNotNull()), "point", F.col(at).cast("long").alias("at"))
+    crowded = cut(s.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > FEW).select(F.col("g").alias("c")), "crowded-groups")
+    meets = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    s1 = s.join(crowded, meets("g", "c"), "left_anti").withColumnRenamed("g", "sg")
+    near = p.join(s1, meets("g", "sg") & F.col("at").between(F.col("from"), F.col("to"))).select("point", "span")
+    if crowded.isEmpty():
+        return near
+    s2 = s.join(crowded, meets("g", "c"), "left_semi").select("span", F.col("g").alias("sg"), F.explode(blocks(F.col("from"), F.col("to"))).alias("b"))
+    s2 = cut(s2.select("span", "sg", "b.level", "b.no"), "span-blocks")
+    levels = [r.level for r in s2.select("level").distinct().collect()]  # 64 at most
+    p2 = p.join(crowded, meets("g", "c"), "left_semi").select("point", F.col("g").alias("pg"), F.explode(F.array(*(_block(F.lit(x), F.shiftright("at", x)) for x in levels))).alias("b"))
+    p2 = p2.select("point", "pg", F.col("b.level").alias("pl"), F.col("b.no").alias("pn"))
+    return near.unionByName(p2.join(s2, (F.col("pl") == F.col("level")) & (F.col("pn") == F.col("no")) & meets("pg", "sg")).select("point", "span"))
 
 
 def contradictions(refused: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from types import SimpleNamespace
 
-from seamark.operators import calls, dataflow, facts, graph, hierarchy, measure, relational, search, views
+from pyspark.sql import functions as F
+
+from seamark.operators import calls, dataflow, facts, graph, hierarchy, intervals, measure, relational, search, views
 
 
 def kept(monkeypatch, module, prefixes):
@@ -171,3 +173,15 @@ def test_walk_moves_hashes_to_tell_edges_of_one_id(spark, monkeypatch):
     assert one == {"e4": 1, "m": 1, "e3": 2, "e2": 3, "e1": 4, "e0": 5}
     twice = graph.walk(e.unionByName(e), back, True, 9)
     assert twice.count() == 6 and {r.id: r.depth for r in twice.collect()} == one
+
+
+def test_few_spans_of_a_group_are_not_taken_apart(spark, monkeypatch):
+    """Only a group of many spans meets its points by blocks; pairs are those of a plain loop."""
+    counts = kept(monkeypatch, intervals, ["span-blocks"])
+    spans = [(i, u, i % 5, i % 5 + n) for i, (u, n) in enumerate([("a", 1_000_000), ("a", 0), ("a", -1), (None, 3), *[("b", i % 3) for i in range(17)]])] + [(99, "a", 1, None), (98, "c", None, 4)]
+    points = [(i, u, n) for i, (u, n) in enumerate((u, n) for u in ("a", "b", "c", None) for n in (*range(7), 700_000, None))]
+    s = spark.createDataFrame(spans, "id int, unit string, line long, end_line long")
+    got = intervals.holding(spark.createDataFrame(points, "id int, unit string, line long"), s).select("point.id", F.col("span.id").alias("span")).collect()
+    hold = lambda p, s: None not in (p[2], s[2], s[3]) and p[1] == s[1] and s[2] <= p[2] <= s[3]
+    assert sorted(map(tuple, got)) == sorted((p[0], s[0]) for p in points for s in spans if hold(p, s))
+    assert 0 < counts["span-blocks"] <= 34
