@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seamark.frames import cut
+
 #: A row's hash of 128 bits is summed in parts of 32, so that sums of any number of rows that a table can have stay whole.
 PARTS = 4
 
@@ -33,6 +35,8 @@ def diff(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 
     Columns are those that both builds have. Of a key that one build has several times only how often each row occurs counts:
     it is changed, with no columns named, if the rows differ as a multiset. Null keys are a key.
+
+    Keys are counted by their hashes; where a build has none twice, rows are compared as they are, and only the others are summed up.
     """
     names = [c for c in old.columns if c in new.columns and c != key]
     h = F.md5(row_text(names)) if names else F.lit("")
@@ -42,10 +46,31 @@ def diff(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
         first = [F.first(c).alias(f"{side}_{i}") for i, c in enumerate(names)]
         return df.groupBy(F.struct(key).alias(f"{side}_k")).agg(F.count("*").alias(f"{side}_n"), F.array(*(F.sum(p) for p in parts)).alias(f"{side}_h"), *first)
 
-    both = per(old, "a").join(per(new, "b"), F.col("a_k") == F.col("b_k"), "full")
+    def one(df: DataFrame, side: str) -> DataFrame:
+        return df.select(F.struct(key).alias(f"{side}_k"), F.lit(1).alias(f"{side}_n"), *(F.col(c).alias(f"{side}_{i}") for i, c in enumerate(names)))
+
+    text = lambda side: row_text([f"{side}_{i}" for i in range(len(names))]) if names else F.lit("")
+    rows_differ, sums_differ = text("a") != text("b"), F.col("a_h") != F.col("b_h")
+    # Keys of other kinds may be equal and yet have several spellings.
+    if old.schema[key].dataType != new.schema[key].dataType or old.schema[key].dataType.simpleString() not in ("string", "int", "bigint"):
+        return _changes(per(old, "a"), per(new, "b"), names, key, sums_differ)
+    at = F.xxhash64(key)
+    count = lambda df, a, b: df.select(at.alias("__h"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    again = count(old, 1, 0).unionByName(count(new, 0, 1)).groupBy("__h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    again = cut(again.filter("a > 1 OR b > 1").select("__h"), "diff-again")
+    if again.isEmpty():
+        return _changes(one(old, "a"), one(new, "b"), names, key, rows_differ)
+    part = lambda df, how: df.join(again, at == F.col("__h"), how)
+    single = _changes(one(part(old, "left_anti"), "a"), one(part(new, "left_anti"), "b"), names, key, rows_differ)
+    return single.unionByName(_changes(per(part(old, "left_semi"), "a"), per(part(new, "left_semi"), "b"), names, key, sums_differ))
+
+
+def _changes(old: DataFrame, new: DataFrame, names: list[str], key: str, differ: Column) -> DataFrame:
+    """Both sides with a row for each key -> what diff() tells of them."""
+    both = old.join(new, F.col("a_k") == F.col("b_k"), "full")
     single = (F.col("a_n") == 1) & (F.col("b_n") == 1)
     differs = F.filter(F.array(*(F.when(~F.col(f"a_{i}").eqNullSafe(F.col(f"b_{i}")), F.lit(c)) for i, c in sorted(enumerate(names), key=lambda x: x[1])), F.lit(None).cast("string")), lambda x: x.isNotNull())
-    change = F.when(F.col("a_n").isNull(), "added").when(F.col("b_n").isNull(), "gone").when((F.col("a_n") != F.col("b_n")) | (F.col("a_h") != F.col("b_h")), "changed")
+    change = F.when(F.col("a_n").isNull(), "added").when(F.col("b_n").isNull(), "gone").when((F.col("a_n") != F.col("b_n")) | differ, "changed")
     out = both.withColumn("change", change).filter("change IS NOT NULL")
     return out.select(F.coalesce(F.col("a_k"), F.col("b_k"))[key].alias(key), "change", F.when((F.col("change") == "changed") & single, differs).otherwise(F.array().cast("array<string>")).alias("columns"))
 

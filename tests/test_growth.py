@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from seamark.operators import calls, dataflow, facts, graph, hierarchy, intervals, measure, relational, search, views
+from seamark.operators import builds, calls, dataflow, facts, graph, hierarchy, intervals, measure, relational, search, views
 
 
 def kept(monkeypatch, module, prefixes):
@@ -185,3 +185,17 @@ def test_few_spans_of_a_group_are_not_taken_apart(spark, monkeypatch):
     hold = lambda p, s: None not in (p[2], s[2], s[3]) and p[1] == s[1] and s[2] <= p[2] <= s[3]
     assert sorted(map(tuple, got)) == sorted((p[0], s[0]) for p in points for s in spans if hold(p, s))
     assert 0 < counts["span-blocks"] <= 34
+
+
+def test_diff_sums_only_keys_that_occur_again(spark):
+    cols = "id string, x int, y string"
+    old = spark.createDataFrame([("a", 1, None), ("b", 1, "u"), ("c", None, "u"), ("d", 4, "v")], cols)
+    new = spark.createDataFrame([("a", 1, None), ("b", 2, "w"), ("c", 0, "u"), ("e", 4, "v"), (None, 1, "z")], cols)
+    told = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    df = builds.diff(old, new)
+    want = [("b", "changed", ["x", "y"]), ("c", "changed", ["x"]), ("d", "gone", []), ("e", "added", []), (None, "added", [])]
+    assert told(df) == sorted(want, key=repr) and "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
+    more = spark.createDataFrame([("m", 1, "p"), ("m", 1, "p"), ("m", 2, "q"), ("n", 1, "p"), (None, 1, "z"), (None, 1, "z")], cols)
+    less = spark.createDataFrame([("m", 2, "q"), ("m", 1, "p"), ("m", 1, "p"), ("n", 1, "p"), ("n", 1, "p"), (None, 1, "z")], cols)
+    want = [*want[:4], ("n", "changed", []), (None, "changed", [])]
+    assert told(builds.diff(old.unionByName(more), new.filter("id IS NOT NULL").unionByName(less))) == sorted(want, key=repr)
