@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from seamark.operators import builds, calls, dataflow, facts, graph, hierarchy, intervals, measure, relational, search, views
+from seamark.operators import builds, calls, control_flow, dataflow, facts, graph, hierarchy, intervals, measure, relational, search, views
 
 
 def kept(monkeypatch, module, prefixes):
@@ -199,3 +199,21 @@ def test_diff_sums_only_keys_that_occur_again(spark):
     less = spark.createDataFrame([("m", 2, "q"), ("m", 1, "p"), ("m", 1, "p"), ("n", 1, "p"), ("n", 1, "p"), (None, 1, "z")], cols)
     want = [*want[:4], ("n", "changed", []), (None, "changed", [])]
     assert told(builds.diff(old.unionByName(more), new.filter("id IS NOT NULL").unionByName(less))) == sorted(want, key=repr)
+
+
+def test_rounds_of_guards_move_no_edges_again(spark, monkeypatch):
+    """Each round joins the edges, and the labels that may go, as they were laid out, and not by an exchange of their own."""
+    plans, add = [], control_flow.Grown.add
+
+    def adding(self, df):
+        if self.parts and "first" not in self.path:
+            plans.append((self.path, df._jdf.queryExecution().executedPlan().toString()))
+        return add(self, df)
+
+    monkeypatch.setattr(control_flow.Grown, "add", adding)
+    # A way of seven steps under one condition, and a longer way past it to the third node.
+    flow = [(1, i, i + 1, "a" if i == 0 else None) for i in range(7)] + [(1, a, b, None) for a, b in ((0, 10), (10, 11), (11, 12), (12, 2))]
+    got = control_flow.guards(spark.createDataFrame(flow, "unit int, node int, succ int, label string"), spark.createDataFrame([(1, 0)], "unit int, node int"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, "a")]
+    assert {p.rsplit("/", 1)[1][:12] for p, _ in plans} == {"guards-reach", "guards-gone-"}
+    assert all("InMemoryTableScan" in plan for _, plan in plans)
