@@ -20,7 +20,10 @@ def name(kind: str, relation: Column, key: Column) -> Column:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """edges(id, type, source, target): customers feed nations, nations regions, suppliers nations, orders customers, parts suppliers."""
+    """edges(id, type, source, target): customers feed nations, nations regions, suppliers nations, orders customers, parts suppliers.
+
+    Each id of an edge without nulls occurs once.
+    """
     c, n, s = (table(spark, sf_dir, t) for t in ("customer", "nation", "supplier"))
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     key = lambda c: F.col(c).cast("long")

@@ -70,7 +70,7 @@ _WALKED = "'FEEDS', 'INFLUENCES', 'MENTIONS_COL'"
 @query(_walk_sql("SELECT 'region0.' || r_regionkey AS node FROM region", True, 3, _WALKED) + " SELECT depth, type, source, target, id, type IN ('MENTIONS_COL', 'OPAQUE') AS unverified FROM hops")
 def graph_upstream(spark, sf_dir):
     start = table(spark, sf_dir, "region").select(F.concat(F.lit("region0."), "r_regionkey").alias("node"))
-    return graph.upstream(facts.graph(spark, sf_dir), start, 3)
+    return graph.upstream(facts.graph(spark, sf_dir), start, 3, unique=True)
 
 
 @query(_walk_sql("SELECT 'region0.' || r_regionkey AS node FROM region", True, 3, _WALKED) + " SELECT depth, type, source, target, id, type IN ('MENTIONS_COL', 'OPAQUE') AS unverified FROM hops")

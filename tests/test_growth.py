@@ -217,3 +217,24 @@ def test_rounds_of_guards_move_no_edges_again(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == [(1, 1, "a")]
     assert {p.rsplit("/", 1)[1][:12] for p, _ in plans} == {"guards-reach", "guards-gone-"}
     assert all("InMemoryTableScan" in plan for _, plan in plans)
+
+
+def test_walk_tells_edges_at_a_table_once(spark, monkeypatch):
+    """Later nodes of a table that was met tell none of its edges again; edges of unique ids are written as they come."""
+    names, rows, cut, add = [], [], graph.cut, graph.Grown.add
+    monkeypatch.setattr(graph, "cut", lambda df, name: (names.append(name), cut(df, name))[1])
+
+    def adding(self, df):
+        part = add(self, df)
+        if "walk-edges" in self.path:
+            rows.extend(r.id for r in part.collect())
+        return part
+
+    monkeypatch.setattr(graph.Grown, "add", adding)
+    edges = [(f"e{i}", "FEEDS", f"a.{i}", f"a.{i + 1}") for i in range(4)] + [("f", "FILTERS", "x.1", "a"), ("o", "OPAQUE", "x.2", "a"), ("p", "OPAQUE", "a", "y.1")]
+    e = spark.createDataFrame(edges, "id string, type string, source string, target string")
+    up = graph.upstream(e, spark.createDataFrame([("a.4",)], "node string"), 9, unique=True)
+    assert {r.id: r.depth for r in up.collect()} == {"e3": 1, "f": 1, "o": 1, "e2": 2, "e1": 3, "e0": 4}
+    down = graph.downstream(e, spark.createDataFrame([("a.0",)], "node string"), 9, unique=True)
+    assert {r.id: r.depth for r in down.collect()} == {"e0": 1, "p": 1, "e1": 2, "e2": 3, "e3": 4}
+    assert sorted(rows) == sorted(["e0", "e1", "e2", "e3"] * 2 + ["f", "o", "p"]) and names == ["walk-graph"] * 2
