@@ -82,7 +82,7 @@ def graph_upstream_all(spark, sf_dir):
 @query(_walk_sql("SELECT 'orders' || o_orderkey % 30 || '.' || o_orderkey AS node FROM orders", False, 5, _WALKED + ", 'KEYS'") + " SELECT depth, type, source, target, id, type IN ('MENTIONS_COL', 'OPAQUE') AS unverified FROM hops")
 def graph_downstream(spark, sf_dir):
     start = table(spark, sf_dir, "orders").select(facts.name("orders", F.col("o_orderkey") % 30, F.col("o_orderkey")).alias("node"))
-    return graph.downstream(facts.graph(spark, sf_dir), start, 5, join_keys=True)
+    return graph.downstream(facts.graph(spark, sf_dir), start, 5, join_keys=True, unique=True)
 
 
 @query(_walk_sql("SELECT 'orders' || o_orderkey % 30 || '.' || o_orderkey AS node FROM orders", False, 5, _WALKED + ", 'KEYS'") + " SELECT depth, type, source, target, id, type IN ('MENTIONS_COL', 'OPAQUE') AS unverified FROM hops")
