@@ -130,3 +130,17 @@ def test_stream_drops_too_late_rows_and_tells_quiet_ones(spark, tmp_path):
     assert quiet == [("LOAD", 3, 1)]
     n = max(r.n for r in told if r.line == 9)
     assert n == 3 and batch["LOAD", 9][2] == 4  # the row of minute 1 came after the watermark had passed it
+
+
+def test_patterns_meet_words_and_not_texts(spark, monkeypatch):
+    """Patterns of several words need no runs of characters; those of one word list the runs of the distinct words alone."""
+    runs, asked = lr._runs, []
+    monkeypatch.setattr(lr, "_runs", lambda words, sizes: asked.append(words.count()) or runs(words, sizes))
+    texts = [(i, f"SOME{i % 2} WORDS BEFORE  THE ÄND " * 50 + "x" * 9) for i in range(30)] + [(40, " "), (41, "AB CD"), (42, "xAB CDx\nEF")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    told = lambda patterns: {tuple(r) for r in lr.contained(df, spark.createDataFrame([(p,) for p in patterns], "pattern string")).collect()}
+    want = lambda patterns: {(i, p) for i, t in texts for p in patterns if p in t}
+    several = ["S BEFORE", "AB CD", "B C", " ", "  ", "  T", "E0 WOR", "D ", "AB  CD", "BEFORE  THE ÄND SOME1", "A B"]
+    assert told(several) == want(several) and not asked
+    one = ["xxxx", "ORD", "ÄND", "CDx\nEF", "BEFORE", "nowhere", "S"]
+    assert told(one + several) == want(one + several) and asked == [11]
