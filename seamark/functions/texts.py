@@ -47,10 +47,11 @@ def normal_guard(guard: Column) -> Column:
 
 def statement_shape(sql: Column) -> Column:
     """A statement without comments, with literals and numbers as ?, in upper case and single spaces; null if it is short."""
-    text = F.regexp_replace(sql, r"(?s)/\*.*?\*/|--[^\n]*", " ")
-    text = F.regexp_replace(text, r"'(?:[^']|'')*'|\b\d+(?:\.\d+)?\b", "?")
-    text = F.trim(F.regexp_replace(F.upper(text), r"[\s;]+", " "))
-    return F.when(F.char_length(text) >= SHAPE_LEAST, text)
+    text = F.when(F.contains(sql, F.lit("--")) | F.contains(sql, F.lit("/*")), F.regexp_replace(sql, r"(?s)/\*.*?\*/|--[^\n]*", " ")).otherwise(sql)
+    text = F.regexp_replace(text, r"(?=['0-9])(?:'(?:[^']++|'')*'|\b\d+(?:\.\d+)?\b)", "?")
+    # A space that is alone is no match, so that most of a text is only read.
+    text = F.trim(F.regexp_replace(F.upper(text), r" [\s;]+|[;\t\n\x0B\f\r][\s;]*", " "))
+    return F.get(F.filter(F.array(text), lambda x: F.char_length(x) >= SHAPE_LEAST), 0)  # when() would make the text twice
 
 
 def literal_fragments(sql: Column) -> Column:

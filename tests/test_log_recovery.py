@@ -144,3 +144,10 @@ def test_patterns_meet_words_and_not_texts(spark, monkeypatch):
     assert told(several) == want(several) and not asked
     one = ["xxxx", "ORD", "ÄND", "CDx\nEF", "BEFORE", "nowhere", "S"]
     assert told(one + several) == want(one + several) and asked == [11]
+
+
+def test_shapes_of_quotes_and_blanks(spark):
+    long = "select '" + "ab " * 40_000 + "' from a_table_of_mine"
+    said = [long, "select 'it''s' ,'x from a_table_of_mine", "select  1.5;\t; x2 3 from\n\na_table_of_mine ; ", "select a -- b\n/* c */ from a_table_of_mine", "short", None]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(said)), "i int, s string").orderBy("i").select(lr.normal.statement_shape(F.col("s"))).collect()]
+    assert got == ["SELECT ? FROM A_TABLE_OF_MINE", "SELECT ? ,'X FROM A_TABLE_OF_MINE", "SELECT ? X2 ? FROM A_TABLE_OF_MINE", "SELECT A FROM A_TABLE_OF_MINE", None, None]
