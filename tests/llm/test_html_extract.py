@@ -135,14 +135,17 @@ def test_a_long_page(spark):
     assert [x.n_chars for x in r] == [100_000 * 8 - 1] * 2 and [x.n_repeated for x in r] == [1, 1]
 
 
-def test_the_whole_page_is_in_the_array(spark):
+def test_the_whole_page_is_in_the_array(spark, monkeypatch):
     """A teaser in an article goes if it is another page's article, and stays if it isn't; a copy without article element stays whole."""
     said = [" ".join(f"a{i}x{j}" for j in range(12)) for i in range(4)]
     tease = lambda i, t: f"<article><h1>Own {i}</h1><p>{said[i]}</p><div class='related'>{t}</div></article>"
     pages = [tease(0, said[1]), tease(1, "Nobody else says a word of this one"), tease(2, said[2]), f"<div>Print {said[3]}</div><p>{said[0]}</p><div>Nothing else is here</div>", tease(3, said[0])]
     rows = [(i, f"http://t.org/{i}", p) for i, p in enumerate(pages)] + [(9, "http://other.org/", tease(0, said[1]))]
     assert h.stream(h.blocks(pages[0])) == (said[1].split(), list(range(7)), list(range(7)), ["Own", "0", *said[0].split()])
-    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in h.extract(df).collect()}
+    monkeypatch.setattr(h, "SLOTS", 64)  # suffixes that share a remainder change nothing
+    assert {r.page_id: r.text for r in h.extract(df).collect()} == got
     assert got[0] == f"Own 0\n{said[0]}" and got[4].startswith("Own 3") and said[0] not in got[4]
     assert got[1].endswith("of this one") and got[2] == f"Own 2\n{said[2]}\n{said[2]}"
     assert got[3].startswith(f"Print {said[3]}\n")
